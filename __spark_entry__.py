@@ -13,7 +13,6 @@ from collections.abc import Callable
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 import oracle  # noqa: E402
@@ -36,8 +35,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _as_doubles(rows: DataFrame) -> DataFrame:
-    money = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.DecimalType)]
-    return rows.withColumns({c: F.col(f"`{c}`").cast("double") for c in money})
+    return rows.selectExpr(
+        *(f"CAST(`{f.name}` AS DOUBLE) AS `{f.name}`" if isinstance(f.dataType, T.DecimalType)
+          else f"`{f.name}`" for f in rows.schema.fields)
+    )
 
 
 def _report(build: Callable, *args) -> Query:
@@ -91,17 +92,17 @@ def queries() -> dict[str, Query]:
     branches = {
         "l01_proc": _rows(charges.procedure_charges, q, fields=_BASE, money="tranamount"),
         "l01b_proc_undated": _rows(
-            charges.procedure_charges, q, False, fields=_BASE, money="tranamount"),
+            charges.procedure_charges, q, False, False, fields=_BASE, money="tranamount"),
         "l02_claim_ar": _rows(
-            claims.claims_receivable, q, fields=_FULL, money=f"tranamount {_ESTIMATES}"),
+            claims.claims_receivable, q, True, fields=_FULL, money=f"tranamount {_ESTIMATES}"),
         "l02x_claim_ar_exclusive": _rows(
-            claims.claims_receivable, x, fields=_FULL, money=f"tranamount {_ESTIMATES}"),
+            claims.claims_receivable, x, True, fields=_FULL, money=f"tranamount {_ESTIMATES}"),
         "l03_claim_prod": _rows(
-            claims.claims_production, q, fields=_FULL, money=f"tranamount woamount {_ESTIMATES}"),
+            claims.claims_production, q, True, fields=_FULL, money=f"tranamount woamount {_ESTIMATES}"),
         "l04_claim_month": _rows(
-            claims.claims_paid, QUARTER, fields=_FULL, money="tranamount woamount"),
+            claims.claims_paid, QUARTER, True, fields=_FULL, money="tranamount woamount"),
         "l05_claim_listing": _rows(
-            claims.claims_paid, x, INS_PAY, fields=f"{_BASE} clinicnum",
+            claims.claims_paid, x, True, INS_PAY, fields=f"{_BASE} clinicnum",
             money="tranamount woamount"),
         "l06_claim_aging": _rows(
             claims.claims_aging, q, fields=_BASE, money="tranamount inspayest inswoest"),
@@ -111,7 +112,7 @@ def queries() -> dict[str, Query]:
             claims.writeoff_estimates, q, fields=_BASE, money="tranamount"),
         "l10_ins_est": _rows(claims.claim_events, q, [INS_EST], fields=_BASE, money="tranamount"),
         "l11_adj_procdate": _rows(
-            charges.adjustments_by_service, q, fields=_FULL, money="tranamount"),
+            charges.adjustments_by_service, q, True, fields=_FULL, money="tranamount"),
         "l12_adj_adjdate": _rows(
             charges.adjustments_by_entry, q, fields=f"{_BASE} agedprocnum agedprocdate",
             money="tranamount"),
@@ -141,7 +142,7 @@ def queries() -> dict[str, Query]:
         "l19_payplan_discount": _rows(
             installments.linked_discounts, q, fields=_BASE, money="tranamount"),
         "l20_patpay_ar": _rows(
-            splits.splits_entered, q, fields=f"{_BASE} clinicnum procdate",
+            splits.splits_entered, q, True, fields=f"{_BASE} clinicnum procdate",
             money="tranamount payplanamount"),
         "l21_patpay_month": _rows(
             splits.splits_in_period, QUARTER, fields=f"{_BASE} clinicnum procdate",
@@ -149,7 +150,7 @@ def queries() -> dict[str, Query]:
         "l22_patpay_listing": _rows(
             splits.splits_listed, x, fields=f"{_BASE} clinicnum", money="tranamount"),
         "l23_patpay_aging": _rows(
-            splits.splits_paid, q, fields=f"{_BASE} clinicnum procdate",
+            splits.splits_paid, q, fields=f"{_BASE} procdate",
             money="tranamount payplanamount"),
         "l24_patpay_custom": _rows(splits.splits_earned, q, fields=_BASE, money="tranamount"),
     }

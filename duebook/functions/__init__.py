@@ -1 +1 @@
-"""Column-level building blocks."""
+"""Building blocks: SQL expressions over columns, and joins on reference columns."""

@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from duebook.functions.money import ZERO
 
-from duebook.functions.money import zero
 
-
-def age_bucket(day: Column, as_of: Column, edges: Sequence[int]) -> Column:
+def age_bucket(day: str, as_of: str, edges: Sequence[int]) -> str:
     """Index of the bucket ``day`` falls in: 0 is the youngest, len(edges) the oldest."""
-    index = F.when(day >= F.date_sub(as_of, edges[0]), 0)
-    for position, age in enumerate(edges[1:], start=1):
-        index = index.when(day >= F.date_sub(as_of, age), position)
-    return index.when(day < F.date_sub(as_of, edges[-1]), len(edges))
+    steps = [f"WHEN {day} >= date_sub({as_of}, {age}) THEN {i}" for i, age in enumerate(edges)]
+    oldest = f"WHEN {day} < date_sub({as_of}, {edges[-1]}) THEN {len(edges)}"
+    return f"CASE {' '.join(steps)} {oldest} END"
+
+
+def sum_where(condition: str, amount: str) -> str:
+    return f"sum(if({condition}, {amount}, {ZERO}))"
 
 
-def sum_where(condition: Column, amount: Column) -> Column:
-    return F.sum(F.when(condition, amount).otherwise(zero()))
+def sums_by_age(age: str, amount: str, names: Sequence[str]) -> list[str]:
+    """One conditional sum per bucket, named youngest first."""
+    return [f"{sum_where(f'{age} = {i}', amount)} AS {name}" for i, name in enumerate(names)]
 
 
-def allocate_oldest_first(payment: Column, buckets: Sequence[Column]) -> list[Column]:
+def allocate_oldest_first(payment: str, buckets: Sequence[str]) -> list[str]:
     """What stays open in each bucket (oldest first) once ``payment`` is used up.
 
     ``left`` is the money no older bucket has taken. Where it is spent, a bucket stays
@@ -32,22 +33,21 @@ def allocate_oldest_first(payment: Column, buckets: Sequence[Column]) -> list[Co
     """
     left, open_amounts = payment, []
     for position, bucket in enumerate(buckets):
-        paid_down = F.greatest(bucket - left, zero())
+        paid_down = f"greatest({bucket} - ({left}), {ZERO})"
         if position == 0:
             open_amounts.append(paid_down)
         else:
-            young = position >= len(buckets) - 2
-            spent = (left < 0) if young else (left <= 0)
-            open_amounts.append(F.when(spent, bucket).otherwise(paid_down))
-        left = left - bucket
+            spent = "<" if position >= len(buckets) - 2 else "<="
+            open_amounts.append(f"if({left} {spent} 0, {bucket}, {paid_down})")
+        left = f"{left} - {bucket}"
     return open_amounts
 
 
-def owed(balance: Column) -> Column:
+def owed(balance: str) -> str:
     """The part of a balance owed to the practice."""
-    return F.greatest(balance, zero())
+    return f"greatest({balance}, {ZERO})"
 
 
-def owing(balance: Column) -> Column:
+def owing(balance: str) -> str:
     """The part of a balance the practice owes back (zero or negative)."""
-    return F.least(balance, zero())
+    return f"least({balance}, {ZERO})"

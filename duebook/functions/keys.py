@@ -14,9 +14,9 @@ def zero_or_matched(rows: DataFrame, key: str, others: DataFrame) -> DataFrame:
     references are joined, as a semi join; a heavily used one is left to AQE's skew
     split, which may cut the left side of a semi join.
     """
-    free = rows.filter(F.col(key) == 0)
-    bound = rows.filter(F.col(key) != 0).join(others.select(key), key, "left_semi")
-    return free.unionByName(bound.select(*rows.columns))
+    free = rows.filter(f"{key} = 0")
+    bound = rows.filter(f"{key} != 0").join(others.select(key), key, "left_semi")
+    return free.unionByName(bound)
 
 
 def duplicate_keys(rows: DataFrame, *key: str) -> DataFrame:

@@ -8,31 +8,27 @@ A BIGINT sum that overflows raises under ANSI mode instead of wrapping.
 
 from __future__ import annotations
 
-from decimal import Decimal
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+ZERO = "0L"
 
 
-def zero() -> Column:
-    return F.lit(0).cast("bigint")
-
-
-def cents(column: str) -> Column:
+def cents(column: str) -> str:
     """DECIMAL(12,2) column as a BIGINT number of cents."""
-    return (F.col(column) * 100).cast("bigint")
+    return f"CAST({column} * 100 AS BIGINT)"
 
 
-def dollars(amount: Column | str) -> Column:
+def dollars(amount: str) -> str:
     """BIGINT or wide cents as DECIMAL dollars."""
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    return (amount.cast("decimal(30,0)") * F.lit(Decimal("0.01"))).cast("decimal(30,2)")
+    return f"CAST(CAST({amount} AS DECIMAL(30,0)) * 0.01BD AS DECIMAL(30,2))"
 
 
 def in_dollars(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumns({c: dollars(c) for c in columns})
+    return rows.selectExpr(
+        *(f"{dollars(c)} AS `{c}`" if c in columns else f"`{c}`" for c in rows.columns)
+    )
 
 
-def wide_sum(column: str) -> Column:
+def wide_sum(column: str) -> str:
     """Grand total of cents; DECIMAL, as one group may add up a whole practice chain."""
-    return F.sum(F.col(column).cast("decimal(20,0)"))
+    return f"sum(CAST({column} AS DECIMAL(20,0)))"

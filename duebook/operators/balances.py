@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.buckets import age_bucket, allocate_oldest_first, owed, owing, sum_where
-from duebook.functions.money import zero
+from duebook.functions.buckets import (
+    age_bucket, allocate_oldest_first, owed, owing, sums_by_age,
+)
+from duebook.functions.money import ZERO
 from duebook.operators.rows import union_all
 from duebook.params import AsOf
 from duebook.schema import (
@@ -26,16 +28,22 @@ CREDIT_BUCKETS = ("Credits_0_30", "Credits_31_60", "Credits_61_90", "CreditsOver
 OPEN_BUCKETS = ("Bal_0_30", "Bal_31_60", "Bal_61_90", "BalOver90")
 
 
+def _sums(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*map(F.expr, sums))
+
+
 def procedure_summary(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The receivable ledger per patient, service day and procedure, the charge, claim and
     adjustment rows of a procedure taken together."""
-    tag = F.col("trantype")
-    together = tag.isin(PROC, CLAIM) | ((tag == ADJ) & (F.col("procnum") != 0))
-    return ledger.withColumn("trantype", F.when(together, PROC_SUM).otherwise(tag)).groupBy(
-        *keys, "patnum", "procdate", "trantype", "procnum"
-    ).agg(
-        *(F.sum(c).alias(c)
-          for c in ("tranamount", "payplanamount", "instotest", "inspayest", "inswoest"))
+    together = f"trantype IN ('{PROC}', '{CLAIM}') OR trantype = '{ADJ}' AND procnum != 0"
+    amounts = ("tranamount", "payplanamount", "instotest", "inspayest", "inswoest")
+    rows = ledger.selectExpr(
+        *keys, "patnum", "procdate", "procnum", *amounts,
+        f"if({together}, '{PROC_SUM}', trantype) AS trantype",
+    )
+    return _sums(
+        rows, [*keys, "patnum", "procdate", "trantype", "procnum"],
+        [f"sum({a}) AS {a}" for a in amounts],
     )
 
 
@@ -43,40 +51,33 @@ def receivable_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) ->
     """Expected insurance money and patient charges by age, payments, balance and plan
     money per patient. The sums are linear and their tests read only what a procedure's
     rows share, so they are taken straight from the ledger, without the step above."""
-    rows = ledger.withColumns(
-        {
-            "age": age_bucket(F.col("procdate"), as_of.date, AR_EDGES),
-            "patshare": F.when(
-                F.col("trantype").isin(PROC, CLAIM, ADJ, PLAN_OFFSET),
-                F.col("tranamount") - F.col("instotest"),
-            ).otherwise(zero()),
-        }
+    charged = f"trantype IN ('{PROC}', '{CLAIM}', '{ADJ}', '{PLAN_OFFSET}')"
+    rows = ledger.selectExpr(
+        *keys, "patnum", "tranamount", "payplanamount", "instotest", "inspayest", "inswoest",
+        f"{age_bucket('procdate', as_of.date, AR_EDGES)} AS age",
+        f"if({charged}, tranamount - instotest, {ZERO}) AS patshare",
+        f"if(trantype = '{PAT_PAY}', -tranamount, {ZERO}) AS payment",
     )
-    age = F.col("age")
-    return rows.groupBy(*keys, "patnum").agg(
-        *(sum_where(age == i, F.col("instotest")).alias(b) for i, b in enumerate(INS_BUCKETS)),
-        *(sum_where(age == i, F.col("patshare")).alias(b) for i, b in enumerate(PAT_BUCKETS)),
-        (-sum_where(F.col("trantype") == PAT_PAY, F.col("tranamount"))).alias("TotalPayments"),
-        F.sum("tranamount").alias("TotalBalance"),
-        F.sum("payplanamount").alias("TotalPayPlan"),
-        F.sum("inspayest").alias("InsPayEst"),
-        F.sum("inswoest").alias("InsWoEst"),
-    )
-
-
-def open_receivables(sums: DataFrame) -> DataFrame:
+    return _sums(rows, [*keys, "patnum"], [
+        *sums_by_age("age", "instotest", INS_BUCKETS),
+        *sums_by_age("age", "patshare", PAT_BUCKETS),
+        "sum(payment) AS TotalPayments",
+        "sum(tranamount) AS TotalBalance",
+        "sum(payplanamount) AS TotalPayPlan",
+        "sum(inspayest) AS InsPayEst",
+        "sum(inswoest) AS InsWoEst",
+    ])
+
+
+def open_receivables(sums: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Patients with something open, their payments applied to the oldest charges first."""
-    kept = sums.filter(
-        (F.col("TotalBalance") != 0)
-        | (F.col("InsPayEst") + F.col("InsWoEst") != 0)
-        | (F.col("TotalPayPlan") != 0)
-    )
-    return kept.withColumns(
-        {
-            **_allocated(PAT_BUCKETS, PAT_BUCKETS, F.col("TotalPayments")),
-            "TotalArBalance": owed(F.col("TotalBalance")),
-            "TotalApBalance": owing(F.col("TotalBalance")),
-        }
+    kept = sums.filter("TotalBalance != 0 OR InsPayEst + InsWoEst != 0 OR TotalPayPlan != 0")
+    return kept.selectExpr(
+        *keys, "patnum", *reversed(INS_BUCKETS),
+        *_allocated(PAT_BUCKETS, PAT_BUCKETS, "TotalPayments"),
+        f"{owed('TotalBalance')} AS TotalArBalance",
+        f"{owing('TotalBalance')} AS TotalApBalance",
+        "TotalPayPlan", "InsPayEst", "InsWoEst",
     )
 
 
@@ -84,27 +85,20 @@ def day_groups(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The aging ledger per patient, day and kind of row; rows attached to a procedure are
     put together per procedure and day. Where such a group comes to a credit it takes the
     day of the procedure, which only the finished sum can tell."""
-    attached = F.col("agedprocnum") != 0
-    sign = F.when(F.col("tranamount") >= 0, "credit").when(F.col("tranamount") < 0, "charge")
-    rows = ledger.withColumns(
-        {
-            "trantype": F.when(attached, PROC_AND_DATE).otherwise(F.col("trantype")),
-            "sign": F.when(attached, PROC_AND_DATE).otherwise(sign),
-        }
+    amounts = ("tranamount", "payplanamount", "inswoest", "inspayest")
+    rows = ledger.selectExpr(
+        *keys, "patnum", "agedprocnum", "agedprocdate", "trandate", *amounts,
+        f"if(agedprocnum != 0, '{PROC_AND_DATE}', trantype) AS trantype",
+        "if(agedprocnum != 0, 0, if(tranamount < 0, -1, 1)) AS side",
     )
-    groups = rows.groupBy(*keys, "patnum", "agedprocnum", "trandate", "trantype", "sign").agg(
-        *(F.sum(c).alias(c) for c in ("tranamount", "payplanamount", "inswoest", "inspayest")),
-        F.min("agedprocdate").alias("agedprocdate"),
+    groups = _sums(
+        rows, [*keys, "patnum", "agedprocnum", "trandate", "trantype", "side"],
+        [*(f"sum({a}) AS {a}" for a in amounts), "min(agedprocdate) AS agedprocdate"],
     )
-    shifted = attached & (F.col("tranamount") < 0)
-    return groups.withColumns(
-        {
-            "prikey": zero(),
-            "trandate": F.when(shifted, F.col("agedprocdate")).otherwise(F.col("trandate")),
-        }
-    ).select(
-        *keys, "trantype", "prikey", "patnum", "trandate", "tranamount", "payplanamount",
-        "inswoest", "inspayest",
+    shifted = "agedprocnum != 0 AND tranamount < 0"
+    return groups.selectExpr(
+        *keys, "trantype", f"{ZERO} AS prikey", "patnum",
+        f"if({shifted}, agedprocdate, trandate) AS trandate", *amounts,
     )
 
 
@@ -115,8 +109,8 @@ def aged_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataF
     summing the rows equals summing their groups. Only the attached adjustments go
     through the grouping; the bulk of the ledger is shuffled once, as partial sums.
     """
-    free = ledger.filter(F.col("agedprocnum") == 0)
-    attached = day_groups(ledger.filter(F.col("agedprocnum") != 0), keys)
+    free = ledger.filter("agedprocnum = 0")
+    attached = day_groups(ledger.filter("agedprocnum != 0"), keys)
     used = [*keys, "trantype", "patnum", "trandate", "tranamount", "payplanamount", "inswoest",
             "inspayest"]
     return charge_sums(union_all([free.select(*used), attached.select(*used)]), as_of, keys)
@@ -124,70 +118,60 @@ def aged_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataF
 
 def charge_sums(groups: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataFrame:
     """Charges by age, credits, balance and estimates per patient."""
-    whole = F.col("trantype").isin(WRITEOFF_ORIG, PROC_AND_DATE)
-    amount = F.col("tranamount")
+    whole = f"trantype IN ('{WRITEOFF_ORIG}', '{PROC_AND_DATE}')"
     reached = as_of.covers("trandate")
-    rows = groups.withColumns(
-        {
-            "age": F.when(reached, age_bucket(F.col("trandate"), as_of.date, AGING_EDGES)),
-            "charge": F.when((amount > 0) | whole, amount).otherwise(zero()),
-            "credit": F.when(reached & (amount < 0) & ~whole, -amount).otherwise(zero()),
-            "balance": F.when(reached, amount).otherwise(zero()),
-        }
-    )
-    return rows.groupBy(*keys, "patnum").agg(
-        *(sum_where(F.col("age") == i, F.col("charge")).alias(b)
-          for i, b in enumerate(CHARGE_BUCKETS)),
-        F.sum("credit").alias("TotalCredits"),
-        F.sum("balance").alias("BalTotal"),
-        F.sum("inswoest").alias("InsWoEst"),
-        F.sum("inspayest").alias("InsPayEst"),
-        F.sum("payplanamount").alias("PayPlanDue"),
+    age = age_bucket("trandate", as_of.date, AGING_EDGES)
+    rows = groups.selectExpr(
+        *keys, "patnum", "inswoest", "inspayest", "payplanamount",
+        f"if({reached}, {age}, NULL) AS age",
+        f"if(tranamount > 0 OR {whole}, tranamount, {ZERO}) AS charge",
+        f"if({reached} AND tranamount < 0 AND NOT {whole}, -tranamount, {ZERO}) AS credit",
+        f"if({reached}, tranamount, {ZERO}) AS balance",
     )
+    return _sums(rows, [*keys, "patnum"], [
+        *sums_by_age("age", "charge", CHARGE_BUCKETS),
+        "sum(credit) AS TotalCredits",
+        "sum(balance) AS BalTotal",
+        "sum(inswoest) AS InsWoEst",
+        "sum(inspayest) AS InsPayEst",
+        "sum(payplanamount) AS PayPlanDue",
+    ])
 
 
 def clamped(sums: DataFrame) -> DataFrame:
     """Buckets no lower than zero; what was below counts as credit."""
-    below = sum((F.least(F.col(b), zero()) for b in CHARGE_BUCKETS), zero())
-    return sums.withColumns(
-        {
-            "TotalCredits": F.col("TotalCredits") - below,
-            **{b: F.greatest(F.col(b), zero()) for b in CHARGE_BUCKETS},
-        }
-    )
+    below = " + ".join(f"least({b}, {ZERO})" for b in CHARGE_BUCKETS)
+    computed = {
+        "TotalCredits": f"TotalCredits - ({below})",
+        **{b: f"greatest({b}, {ZERO})" for b in CHARGE_BUCKETS},
+    }
+    return sums.selectExpr(*(f"{computed.get(c, c)} AS {c}" for c in sums.columns))
 
 
 def open_balances(sums: DataFrame) -> DataFrame:
     """Credits applied to the oldest charges first."""
-    return sums.withColumns(_allocated(CHARGE_BUCKETS, OPEN_BUCKETS, F.col("TotalCredits")))
+    return sums.selectExpr("*", *_allocated(CHARGE_BUCKETS, OPEN_BUCKETS, "TotalCredits"))
 
 
 def signed_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataFrame:
     """Positive rows as charges and negative ones as credits, by age, per patient. The
     rows are cut at the report date already; a later one counts as the youngest."""
-    amount = F.col("tranamount")
-    rows = ledger.withColumns(
-        {
-            "age": age_bucket(F.col("trandate"), as_of.date, AGING_EDGES),
-            "charge": F.greatest(amount, zero()),
-            "credit": F.greatest(-amount, zero()),
-        }
+    rows = ledger.selectExpr(
+        *keys, "patnum", "tranamount",
+        f"{age_bucket('trandate', as_of.date, AGING_EDGES)} AS age",
+        f"greatest(tranamount, {ZERO}) AS charge",
+        f"greatest(-tranamount, {ZERO}) AS credit",
     )
-
-    def by_age(column: str, names: Sequence[str]) -> list[Column]:
-        return [
-            sum_where(F.col("age") == i, F.col(column)).alias(b) for i, b in enumerate(names)
-        ]
-
-    return rows.groupBy(*keys, "patnum").agg(
-        *by_age("charge", CHARGE_BUCKETS),
-        F.sum("charge").alias("TotalCharges"),
-        *by_age("credit", CREDIT_BUCKETS),
-        F.sum("credit").alias("TotalCredits"),
-        F.sum("tranamount").alias("BalTotal"),
-    )
-
-
-def _allocated(buckets: Sequence[str], names: Sequence[str], payment: Column) -> dict[str, Column]:
-    oldest_first = [F.col(b) for b in reversed(buckets)]
-    return dict(zip(reversed(names), allocate_oldest_first(payment, oldest_first)))
+    return _sums(rows, [*keys, "patnum"], [
+        *sums_by_age("age", "charge", CHARGE_BUCKETS),
+        "sum(charge) AS TotalCharges",
+        *sums_by_age("age", "credit", CREDIT_BUCKETS),
+        "sum(credit) AS TotalCredits",
+        "sum(tranamount) AS BalTotal",
+    ])
+
+
+def _allocated(buckets: Sequence[str], names: Sequence[str], payment: str) -> list[str]:
+    """Named expressions for what stays open, oldest bucket first."""
+    open_amounts = allocate_oldest_first(payment, list(reversed(buckets)))
+    return [f"{amount} AS {name}" for amount, name in zip(open_amounts, reversed(names))]

@@ -2,57 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from duebook.functions.money import cents
-from duebook.operators.rows import ledger_rows
+from duebook.operators.rows import ledger_rows, place
 from duebook.params import AsOf, Period
 from duebook.schema import ADJ, COMPLETE, PROC
 from duebook.sources.base import Tables
 
+# Fee in cents times the units billed.
+GROSS_FEE = f"{cents('procfee')} * (unitqty + baseunits)"
 
-def gross_fee() -> Column:
-    """Fee in cents times the units billed."""
-    return cents("procfee") * (F.col("unitqty") + F.col("baseunits"))
 
-
-def procedure_charges(tables: Tables, scope: AsOf | Period, dated: bool = True) -> DataFrame:
+def procedure_charges(
+    tables: Tables, scope: AsOf | Period, with_clinic: bool = False, dated: bool = True
+) -> DataFrame:
     """Completed procedures with a fee. Undated, rows after the report date stay in and
     are cut where the amounts are summed."""
     rows = tables.read(
-        "procedurelog", "procnum", "patnum", "clinicnum", "procdate", "procfee", "unitqty",
-        "baseunits", "procstatus",
-    ).filter((F.col("procstatus") == COMPLETE) & (F.col("procfee") != 0))
+        "procedurelog", "procnum", "patnum", *place(with_clinic), "procdate", "procfee",
+        "unitqty", "baseunits", "procstatus",
+    ).filter(f"procstatus = {COMPLETE} AND procfee != 0")
     rows = scope.select(rows, "procdate") if dated else scope.spread(rows)
     return ledger_rows(
-        rows, scope.keys, PROC,
-        prikey="procnum", patnum="patnum", clinicnum="clinicnum", trandate="procdate",
-        procdate="procdate", tranamount=gross_fee(),
+        rows, [*scope.keys, *place(with_clinic)], PROC,
+        prikey="procnum", patnum="patnum", trandate="procdate", procdate="procdate",
+        tranamount=GROSS_FEE,
     )
 
 
-def adjustments_by_service(tables: Tables, scope: AsOf | Period) -> DataFrame:
+def adjustments_by_service(
+    tables: Tables, scope: AsOf | Period, with_clinic: bool = False
+) -> DataFrame:
     """Adjustments dated by the procedure they belong to."""
     rows = tables.read(
-        "adjustment", "adjnum", "procnum", "patnum", "clinicnum", "procdate", "adjamt"
-    ).filter(F.col("adjamt") != 0)
+        "adjustment", "adjnum", "procnum", "patnum", *place(with_clinic), "procdate", "adjamt"
+    ).filter("adjamt != 0")
     return ledger_rows(
-        scope.select(rows, "procdate"), scope.keys, ADJ,
-        prikey="adjnum", procnum="procnum", patnum="patnum", clinicnum="clinicnum",
-        trandate="procdate", procdate="procdate", tranamount=cents("adjamt"),
+        scope.select(rows, "procdate"), [*scope.keys, *place(with_clinic)], ADJ,
+        prikey="adjnum", procnum="procnum", patnum="patnum", trandate="procdate",
+        procdate="procdate", tranamount=cents("adjamt"),
     )
 
 
 def adjustments_by_entry(tables: Tables, as_of: AsOf, dated: bool = False) -> DataFrame:
     """Adjustments dated by their own day; the procedure travels along as the aged one."""
     rows = tables.read(
-        "adjustment", "adjnum", "procnum", "patnum", "clinicnum", "adjdate", "procdate", "adjamt"
-    ).filter(F.col("adjamt") != 0)
+        "adjustment", "adjnum", "procnum", "patnum", "adjdate", "procdate", "adjamt"
+    ).filter("adjamt != 0")
     rows = as_of.select(rows, "adjdate") if dated else as_of.spread(rows)
     return ledger_rows(
         rows, as_of.keys, ADJ,
-        prikey="adjnum", procnum="procnum", patnum="patnum", clinicnum="clinicnum",
-        trandate="adjdate", procdate="procdate", tranamount=cents("adjamt"),
-        agedprocnum="procnum", agedprocdate="procdate",
+        prikey="adjnum", procnum="procnum", patnum="patnum", trandate="adjdate",
+        procdate="procdate", tranamount=cents("adjamt"), agedprocnum="procnum",
+        agedprocdate="procdate",
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duebook.functions.keys import zero_or_matched
-from duebook.functions.money import cents, zero
-from duebook.operators.rows import each_entry, ledger_rows
+from duebook.functions.money import ZERO, cents
+from duebook.operators.rows import each_entry, ledger_rows, place
 from duebook.params import AsOf, Period
 from duebook.schema import (
     CLAIM, CLAIM_STATUSES, COMPLETE, INS_EST, INS_PAY, NOT_RECEIVED, PAID_STATUSES, RECEIVED,
@@ -17,75 +17,62 @@ from duebook.schema import (
 )
 from duebook.sources.base import Tables
 
-_LINE = ("claimprocnum", "procnum", "patnum", "clinicnum", "procdate", "datecp", "status",
-         "inspayamt", "writeoff", "payplannum")
+_LINE = ("claimprocnum", "procnum", "patnum", "procdate", "datecp", "status", "inspayamt",
+         "writeoff", "payplannum")
+_PAY, _WRITEOFF, _EXPECTED = cents("inspayamt"), cents("writeoff"), cents("inspayest")
+_OFF_PLAN_PAY = f"if(payplannum = 0, -{_PAY}, {ZERO})"
+_OFF_PLAN_WRITEOFF = f"if(payplannum = 0, -{_WRITEOFF}, {ZERO})"
 
 
 def _on_complete_work(lines: DataFrame, tables: Tables) -> DataFrame:
     """Lines paid by total (no procedure) or on a completed procedure."""
     complete = tables.read("procedurelog", "procnum", "procstatus")
-    return zero_or_matched(lines, "procnum", complete.filter(F.col("procstatus") == COMPLETE))
+    return zero_or_matched(lines, "procnum", complete.filter(f"procstatus = {COMPLETE}"))
 
 
-def _off_plan(amount: str) -> Column:
-    """Minus the amount, unless a payment plan carries the line."""
-    return F.when(F.col("payplannum") == 0, -cents(amount)).otherwise(zero())
+def _received(as_of: AsOf) -> str:
+    return f"(status != {NOT_RECEIVED} AND {as_of.covers('datecp')})"
 
 
-def _pending(as_of: AsOf) -> Column:
+def _pending(as_of: AsOf) -> str:
     """Not received by the report date; only plain lines wait once they have a date."""
-    status = F.col("status")
-    return (status == NOT_RECEIVED) | ((status == RECEIVED) & ~as_of.covers("datecp"))
-
-
-def _any_amount(*fields: str) -> Column:
-    found = F.lit(False)
-    for field in fields:
-        found = found | (F.col(field) != 0)
-    return found
+    return (f"(status = {NOT_RECEIVED} OR "
+            f"(status = {RECEIVED} AND NOT {as_of.covers('datecp')}))")
 
 
 def _claim_lines(
-    tables: Tables, as_of: AsOf, received: Column, amount: Column, writeoff: Column,
-    pending: Column, dated: bool,
+    tables: Tables, as_of: AsOf, with_clinic: bool, dated: bool, received: str, amount: str,
+    writeoff: str, pending: str,
 ) -> DataFrame:
-    lines = tables.read("claimproc", *_LINE, "inspayest").filter(
-        F.col("status").isin(*CLAIM_STATUSES)
-    )
-    lines = _on_complete_work(lines, tables)
+    lines = tables.read("claimproc", *_LINE, "inspayest", *place(with_clinic))
+    lines = _on_complete_work(lines.filter(f"status IN {CLAIM_STATUSES}"), tables)
     lines = as_of.select(lines, "procdate") if dated else as_of.spread(lines)
-    nothing = zero()
-    rows = ledger_rows(
-        lines, as_of.keys, CLAIM,
-        prikey="claimprocnum", procnum="procnum", patnum="patnum", clinicnum="clinicnum",
-        trandate="datecp", procdate="procdate",
-        tranamount=F.when(received, amount).otherwise(nothing),
-        woamount=F.when(received, writeoff).otherwise(nothing),
-        instotest=F.when(pending, cents("inspayest") + cents("writeoff")).otherwise(nothing),
-        inspayest=F.when(pending, cents("inspayest")).otherwise(nothing),
-        inswoest=F.when(pending, cents("writeoff")).otherwise(nothing),
-    )
-    return rows.filter(_any_amount("tranamount", "woamount", "inswoest", "inspayest"))
-
-
-def _received(as_of: AsOf) -> Column:
-    return (F.col("status") != NOT_RECEIVED) & as_of.covers("datecp")
-
-
-def claims_receivable(tables: Tables, as_of: AsOf) -> DataFrame:
+    return ledger_rows(
+        lines, [*as_of.keys, *place(with_clinic)], CLAIM,
+        prikey="claimprocnum", procnum="procnum", patnum="patnum", trandate="datecp",
+        procdate="procdate",
+        tranamount=f"if({received}, {amount}, {ZERO})",
+        woamount=f"if({received}, {writeoff}, {ZERO})",
+        instotest=f"if({pending}, {_EXPECTED} + {_WRITEOFF}, {ZERO})",
+        inspayest=f"if({pending}, {_EXPECTED}, {ZERO})",
+        inswoest=f"if({pending}, {_WRITEOFF}, {ZERO})",
+    ).filter("tranamount != 0 OR woamount != 0 OR inswoest != 0 OR inspayest != 0")
+
+
+def claims_receivable(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     """Claim lines with payment and write-off in one amount; a plan line still loses its
     write-off."""
     return _claim_lines(
-        tables, as_of, _received(as_of), _off_plan("inspayamt") - cents("writeoff"), zero(),
-        _pending(as_of), dated=True,
+        tables, as_of, with_clinic, True, _received(as_of), f"{_OFF_PLAN_PAY} - {_WRITEOFF}",
+        ZERO, _pending(as_of),
     )
 
 
-def claims_production(tables: Tables, as_of: AsOf) -> DataFrame:
+def claims_production(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     """Claim lines with payment and write-off apart; a plan line loses neither."""
     return _claim_lines(
-        tables, as_of, _received(as_of), _off_plan("inspayamt"), _off_plan("writeoff"),
-        _pending(as_of), dated=True,
+        tables, as_of, with_clinic, True, _received(as_of), _OFF_PLAN_PAY, _OFF_PLAN_WRITEOFF,
+        _pending(as_of),
     )
 
 
@@ -93,22 +80,22 @@ def claims_aging(tables: Tables, as_of: AsOf) -> DataFrame:
     """Claim lines as the A/R aging takes them: amounts without a date test (they are cut
     in the sums), estimates for service up to the report date."""
     return _claim_lines(
-        tables, as_of, F.col("status") != NOT_RECEIVED,
-        _off_plan("inspayamt") - cents("writeoff"), zero(),
-        as_of.covers("procdate") & _pending(as_of), dated=False,
+        tables, as_of, False, False, f"status != {NOT_RECEIVED}",
+        f"{_OFF_PLAN_PAY} - {_WRITEOFF}", ZERO,
+        f"({as_of.covers('procdate')} AND {_pending(as_of)})",
     )
 
 
-def claims_paid(tables: Tables, scope: AsOf | Period, tag: str = CLAIM) -> DataFrame:
+def claims_paid(
+    tables: Tables, scope: AsOf | Period, with_clinic: bool = False, tag: str = CLAIM
+) -> DataFrame:
     """Claim lines paid within the scope, payment and write-off apart, no estimates.
 
     Lines off the scope, unreceived or on a plan amount to nothing and nothing is kept
     of them, so those tests go to the scan and the join sees one window of lines only.
     """
-    lines = tables.read("claimproc", *_LINE).filter(
-        F.col("status").isin(*PAID_STATUSES)
-        & (F.col("payplannum") == 0)
-        & ((F.col("inspayamt") != 0) | (F.col("writeoff") != 0))
+    lines = tables.read("claimproc", *_LINE, *place(with_clinic)).filter(
+        f"status IN {PAID_STATUSES} AND payplannum = 0 AND (inspayamt != 0 OR writeoff != 0)"
     )
     if isinstance(scope, Period):
         lines = scope.select(lines, "datecp").filter(scope.not_after("procdate"))
@@ -116,10 +103,9 @@ def claims_paid(tables: Tables, scope: AsOf | Period, tag: str = CLAIM) -> DataF
     else:
         lines = scope.select(_on_complete_work(lines, tables), "datecp", "procdate")
     return ledger_rows(
-        lines, scope.keys, tag,
-        prikey="claimprocnum", procnum="procnum" if tag == CLAIM else "claimprocnum",
-        patnum="patnum", clinicnum="clinicnum", trandate="datecp", procdate="procdate",
-        tranamount=-cents("inspayamt"), woamount=-cents("writeoff"),
+        lines, [*scope.keys, *place(with_clinic)], tag,
+        prikey="claimprocnum", procnum="procnum", patnum="patnum", trandate="datecp",
+        procdate="procdate", tranamount=f"-{_PAY}", woamount=f"-{_WRITEOFF}",
     )
 
 
@@ -128,25 +114,24 @@ def claim_events(
 ) -> DataFrame:
     """Payments and write-offs of received lines and estimates of waiting ones, each a row
     of its own, dated by the claim. All kinds come out of one scan."""
-    paid = F.col("status").isin(*PAID_STATUSES)
-    waiting = F.col("status") == NOT_RECEIVED
+    paid, waiting = f"status IN {PAID_STATUSES}", f"status = {NOT_RECEIVED}"
     sources = {
-        INS_PAY: (paid & (F.col("payplannum") == 0), "inspayamt"),
+        INS_PAY: (f"{paid} AND payplannum = 0", "inspayamt"),
         WRITEOFF: (paid, "writeoff"),
         INS_EST: (waiting, "inspayest"),
     }
+    chosen = [(kind, *sources[kind]) for kind in kinds]
     entries = [
-        (test & (F.col(amount) != 0), {"kind": kind, "amount": -cents(amount)})
-        for kind, (test, amount) in sources.items() if kind in kinds
+        (f"{test} AND {amount} != 0", {"kind": f"'{kind}'", "amount": f"-{cents(amount)}"})
+        for kind, test, amount in chosen
     ]
     lines = tables.read(
         "claimproc", "claimprocnum", "patnum", "datecp", "status", "payplannum",
-        *dict.fromkeys(amount for kind, (_, amount) in sources.items() if kind in kinds),
+        *(amount for _, _, amount in chosen),
     )
     return ledger_rows(
-        each_entry(as_of.select(lines, "datecp"), entries), as_of.keys, F.col("entry.kind"),
-        prikey="claimprocnum", patnum="patnum", trandate="datecp",
-        tranamount=F.col("entry.amount"),
+        each_entry(as_of.select(lines, "datecp"), entries), as_of.keys, "entry.kind",
+        prikey="claimprocnum", patnum="patnum", trandate="datecp", tranamount="entry.amount",
     )
 
 
@@ -156,12 +141,12 @@ def writeoff_estimates(tables: Tables, as_of: AsOf) -> DataFrame:
     sent = (
         tables.read("claimsnapshot", "claimprocnum", "writeoff")
         .groupBy("claimprocnum")
-        .agg(F.max("writeoff").alias("writeoff"))
-        .filter((F.col("writeoff") != UNSET) & (F.col("writeoff") != 0))
+        .agg(F.expr("max(writeoff) AS writeoff"))
+        .filter(f"writeoff != {UNSET} AND writeoff != 0")
     )
     lines = tables.read("claimproc", "claimprocnum", "patnum", "datecp", "status")
-    lines = lines.filter(F.col("status") == NOT_RECEIVED).join(sent, "claimprocnum")
+    lines = lines.filter(f"status = {NOT_RECEIVED}").join(sent, "claimprocnum")
     return ledger_rows(
         as_of.select(lines, "datecp"), as_of.keys, WRITEOFF_EST,
-        prikey="claimprocnum", patnum="patnum", trandate="datecp", tranamount=-cents("writeoff"),
+        prikey="claimprocnum", patnum="patnum", trandate="datecp", tranamount=f"-{_WRITEOFF}",
     )

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from duebook.functions.money import cents, zero
-from duebook.operators.charges import gross_fee
+from duebook.functions.money import ZERO, cents
+from duebook.operators.charges import GROSS_FEE
 from duebook.operators.linked import adjustment_by_procedure, claims_by_procedure, splits_by
-from duebook.operators.rows import each_entry, ledger_rows
+from duebook.operators.rows import each_entry, ledger_rows, place
 from duebook.params import AsOf, Period
 from duebook.schema import (
     COMPLETE, CREDIT, DEBIT, LINK_ADJUSTMENT, LINK_PROCEDURE, NO_DATE, PLAN_CHARGE, PLAN_COMPLETE,
@@ -18,6 +17,9 @@ from duebook.schema import (
 )
 from duebook.sources.base import Tables
 
+_PLAN_AMOUNT = cents("completedamt")
+_DUE = f"{cents('principal')} + {cents('interest')}"
+
 
 def plan_totals(
     tables: Tables,
@@ -28,52 +30,46 @@ def plan_totals(
     """The plan's full amount taken off the ledger (offset) and, while the plan is open,
     listed as plan money (total). Plans carry no clinic; the patient's stands in."""
     rows = tables.read("payplan", "payplannum", "patnum", "payplandate", "completedamt", "isclosed")
-    rows = rows.filter(F.col("completedamt") != 0)
-    fields = {}
+    rows = rows.filter("completedamt != 0")
     if with_clinic:
-        homes = tables.read("patient", "patnum", "clinicnum")
-        rows = rows.join(homes, "patnum", "left")
-        fields["clinicnum"] = "clinicnum"
-    amount = cents("completedamt")
+        rows = rows.join(tables.read("patient", "patnum", "clinicnum"), "patnum", "left")
     options = {
-        PLAN_OFFSET: (F.lit(True), {"kind": PLAN_OFFSET, "owed": -amount, "planned": zero()}),
-        PLAN_TOTAL: (F.col("isclosed") == 0,
-                     {"kind": PLAN_TOTAL, "owed": zero(), "planned": amount}),
+        PLAN_OFFSET: ("true", {"owed": f"-{_PLAN_AMOUNT}", "planned": ZERO}),
+        PLAN_TOTAL: ("isclosed = 0", {"owed": ZERO, "planned": _PLAN_AMOUNT}),
     }
-    rows = each_entry(scope.select(rows, "payplandate"), [options[k] for k in kinds])
+    entries = [(options[k][0], {"kind": f"'{k}'", **options[k][1]}) for k in kinds]
     return ledger_rows(
-        rows, scope.keys, F.col("entry.kind"),
+        each_entry(scope.select(rows, "payplandate"), entries),
+        [*scope.keys, *place(with_clinic)], "entry.kind",
         prikey="payplannum", patnum="patnum", trandate="payplandate", procdate="payplandate",
-        tranamount=F.col("entry.owed"), payplanamount=F.col("entry.planned"), **fields,
+        tranamount="entry.owed", payplanamount="entry.planned",
     )
 
 
 def plans_completed(tables: Tables, as_of: AsOf) -> DataFrame:
     """The plan's full amount taken off the ledger, whatever its date."""
     rows = tables.read("payplan", "payplannum", "patnum", "payplandate", "completedamt")
-    rows = as_of.spread(rows.filter(F.col("completedamt") != 0))
     return ledger_rows(
-        rows, as_of.keys, PLAN_COMPLETE,
+        as_of.spread(rows.filter("completedamt != 0")), as_of.keys, PLAN_COMPLETE,
         prikey="payplannum", patnum="patnum", trandate="payplandate", procdate="payplandate",
-        tranamount=-cents("completedamt"),
+        tranamount=f"-{_PLAN_AMOUNT}",
     )
 
 
 def plan_charges(tables: Tables, as_of: AsOf, look_ahead: int = 10) -> DataFrame:
     """Charges of non-insurance plans due up to some days past the report date, booked to
     the guarantor."""
-    own_plans = tables.read("payplan", "payplannum", "plannum").filter(F.col("plannum") == 0)
+    own_plans = tables.read("payplan", "payplannum", "plannum").filter("plannum = 0")
     rows = tables.read(
         "payplancharge", "payplanchargenum", "payplannum", "guarantor", "chargedate",
         "chargetype", "principal", "interest",
-    ).filter(
-        (F.col("chargetype") == DEBIT) & (F.col("principal") + F.col("interest") != 0)
-    ).join(own_plans, "payplannum", "left_semi")
-    rows = as_of.spread(rows).filter(F.col("chargedate") <= F.date_add(as_of.date, look_ahead))
+    ).filter(f"chargetype = {DEBIT} AND principal + interest != 0")
+    rows = as_of.spread(rows.join(own_plans, "payplannum", "left_semi"))
     return ledger_rows(
-        rows, as_of.keys, PLAN_CHARGE,
+        rows.filter(f"chargedate <= date_add({as_of.date}, {look_ahead})"),
+        as_of.keys, PLAN_CHARGE,
         prikey="payplanchargenum", patnum="guarantor", trandate="chargedate",
-        procdate="chargedate", payplanamount=cents("principal") + cents("interest"),
+        procdate="chargedate", payplanamount=_DUE,
     )
 
 
@@ -85,29 +81,26 @@ def plan_entries(tables: Tables, as_of: AsOf) -> DataFrame:
     rows = tables.read(
         "payplancharge", "payplanchargenum", "payplannum", "patnum", "guarantor", "chargedate",
         "chargetype", "principal", "interest",
-    ).filter(F.col("chargetype").isin(DEBIT, CREDIT)).join(plans, "payplannum", "left")
-    amount = (
-        F.when(F.col("chargetype") != DEBIT, -cents("principal"))
-        .when(F.col("plannum") == 0, cents("principal") + cents("interest"))
-        .otherwise(zero())
-    )
+    ).filter(f"chargetype IN ({DEBIT}, {CREDIT})").join(plans, "payplannum", "left")
+    debit = f"if(plannum = 0, {_DUE}, {ZERO})"
     return ledger_rows(
         as_of.select(rows, "chargedate"), as_of.keys, PLAN_COMPLETE,
-        prikey="payplanchargenum",
-        patnum=F.when(F.col("plannum") > 0, F.col("patnum")).otherwise(F.col("guarantor")),
-        trandate="chargedate", tranamount=amount,
+        prikey="payplanchargenum", patnum="if(plannum > 0, patnum, guarantor)",
+        trandate="chargedate",
+        tranamount=f"if(chargetype = {DEBIT}, {debit}, -{cents('principal')})",
     )
 
 
-def _links(tables: Tables, kind: int) -> DataFrame:
-    links = tables.read(
-        "payplanlink", "payplanlinknum", "payplannum", "linktype", "fkey", "amountoverride",
-        "secdatetentry",
-    )
-    return links.filter(F.col("linktype") == kind).withColumnRenamed("payplanlinknum", "linknum")
+_LINK = ("payplannum", "amountoverride", "secdatetentry")
+_FEE = ("linknum", "procnum", "patnum", "fee", "agedate", "amountoverride", "secdatetentry")
 
 
-_FEE = ("linknum", "procnum", "patnum", "fee", "agedate", "amountoverride", "secdatetentry")
+def _links(tables: Tables, kind: int, target: str) -> DataFrame:
+    """Links of one kind, with the key they point at under the name ``target``."""
+    links = tables.read("payplanlink", "payplanlinknum", "linktype", "fkey", *_LINK)
+    return links.filter(f"linktype = {kind}").selectExpr(
+        "payplanlinknum AS linknum", f"fkey AS {target}", *_LINK
+    )
 
 
 def linked_procedure_fees(tables: Tables) -> DataFrame:
@@ -119,75 +112,66 @@ def linked_procedure_fees(tables: Tables) -> DataFrame:
         "procedurelog", "procnum", "patnum", "provnum", "clinicnum", "procdate", "procfee",
         "unitqty", "baseunits", "procstatus",
     )
-    named = F.col("procnum") != 0
     linked = (
-        _links(tables, LINK_PROCEDURE)
-        .withColumnRenamed("fkey", "procnum")
+        _links(tables, LINK_PROCEDURE, "procnum")
         .join(plans, "payplannum")
         .join(procedures, "procnum")
-        .filter(~((F.col("dynamicpayplantpoption") == 1) & (F.col("procstatus") != COMPLETE)))
+        .filter(f"NOT (dynamicpayplantpoption = 1 AND procstatus != {COMPLETE})")
     )
     where = ["procnum", "patnum", "provnum", "clinicnum"]
+    named = "procnum != 0"
     valued = (
         linked.join(adjustment_by_procedure(tables).filter(named), where, "left")
         .join(claims_by_procedure(tables).filter(named), "procnum", "left")
         .join(splits_by(tables, "procnum").filter(named), "procnum", "left")
     )
-    parts = [F.coalesce(c, zero()) for c in ("adjamt", "inspay", "writeoff", "splitamt")]
-    fee = sum(parts, gross_fee())
-    return valued.withColumns({"fee": fee, "agedate": F.col("procdate")}).select(*_FEE)
+    parts = [f"coalesce({c}, {ZERO})" for c in ("adjamt", "inspay", "writeoff", "splitamt")]
+    computed = {"fee": " + ".join([GROSS_FEE, *parts]), "agedate": "procdate"}
+    return valued.selectExpr(*(f"{computed.get(c, c)} AS {c}" for c in _FEE))
 
 
 def linked_adjustment_fees(tables: Tables) -> DataFrame:
     """What is left of each adjustment linked to a plan. It has no age of its own."""
-    adjustments = tables.read("adjustment", "adjnum", "patnum", "adjamt")
     rows = (
-        _links(tables, LINK_ADJUSTMENT)
-        .withColumnRenamed("fkey", "adjnum")
-        .join(adjustments, "adjnum")
-        .join(splits_by(tables, "adjnum").filter(F.col("adjnum") != 0), "adjnum", "left")
+        _links(tables, LINK_ADJUSTMENT, "adjnum")
+        .join(tables.read("adjustment", "adjnum", "patnum", "adjamt"), "adjnum")
+        .join(splits_by(tables, "adjnum").filter("adjnum != 0"), "adjnum", "left")
     )
-    return rows.withColumns(
-        {
-            "procnum": zero(),
-            "fee": cents("adjamt") + F.coalesce("splitamt", zero()),
-            "agedate": F.lit(NO_DATE).cast("date"),
-        }
-    ).select(*_FEE)
+    computed = {
+        "procnum": ZERO,
+        "fee": f"{cents('adjamt')} + coalesce(splitamt, {ZERO})",
+        "agedate": f"DATE'{NO_DATE}'",
+    }
+    return rows.selectExpr(*(f"{computed.get(c, c)} AS {c}" for c in _FEE))
 
 
 def linked_production(tables: Tables, as_of: AsOf) -> DataFrame:
     """Production moved into plans: minus the override where one is set, else minus what is
     left of the linked procedure or adjustment."""
     rows = linked_procedure_fees(tables).unionByName(linked_adjustment_fees(tables))
-    moved = F.when(F.col("amountoverride") == 0, -F.col("fee")).otherwise(-cents("amountoverride"))
     return ledger_rows(
         as_of.select(rows, "agedate"), as_of.keys, PLAN_LINK,
-        prikey="linknum", patnum="patnum", trandate=F.to_date("secdatetentry"),
-        tranamount=moved,
+        prikey="linknum", patnum="patnum", trandate="to_date(secdatetentry)",
+        tranamount=f"-if(amountoverride = 0, fee, {cents('amountoverride')})",
     )
 
 
 def linked_discounts(tables: Tables, as_of: AsOf) -> DataFrame:
     """Discounts on planned procedures that a dynamic plan already counts as done."""
     plans = tables.read("payplan", "payplannum", "isdynamic", "dynamicpayplantpoption").filter(
-        (F.col("isdynamic") == 1) & (F.col("dynamicpayplantpoption") == 2)
+        "isdynamic = 1 AND dynamicpayplantpoption = 2"
     )
     procedures = tables.read(
         "procedurelog", "procnum", "patnum", "procdate", "procstatus", "discount",
         "discountplanamt",
-    ).filter(
-        (F.col("procstatus") == PLANNED)
-        & ((F.col("discount") != 0) | (F.col("discountplanamt") != 0))
-    )
+    ).filter(f"procstatus = {PLANNED} AND (discount != 0 OR discountplanamt != 0)")
     rows = (
-        _links(tables, LINK_PROCEDURE)
-        .withColumnRenamed("fkey", "procnum")
+        _links(tables, LINK_PROCEDURE, "procnum")
         .join(plans, "payplannum", "left_semi")
         .join(procedures, "procnum")
     )
     return ledger_rows(
         as_of.select(rows, "procdate"), as_of.keys, PLAN_LINK,
         prikey="linknum", patnum="patnum", trandate="procdate",
-        tranamount=cents("discount") + cents("discountplanamt"),
+        tranamount=f"{cents('discount')} + {cents('discountplanamt')}",
     )

@@ -13,11 +13,11 @@ from duebook.sources.base import Tables
 
 def receivable(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     return union_all([
-        charges.procedure_charges(tables, as_of),
-        claims.claims_receivable(tables, as_of),
-        charges.adjustments_by_service(tables, as_of),
+        charges.procedure_charges(tables, as_of, with_clinic),
+        claims.claims_receivable(tables, as_of, with_clinic),
+        charges.adjustments_by_service(tables, as_of, with_clinic),
         installments.plan_totals(tables, as_of, with_clinic),
-        splits.splits_entered(tables, as_of),
+        splits.splits_entered(tables, as_of, with_clinic),
     ])
 
 
@@ -33,19 +33,19 @@ def production(tables: Tables, as_of: AsOf) -> DataFrame:
 
 def month(tables: Tables, period: Period) -> DataFrame:
     return union_all([
-        charges.procedure_charges(tables, period),
-        claims.claims_paid(tables, period),
-        charges.adjustments_by_service(tables, period),
+        charges.procedure_charges(tables, period, with_clinic=True),
+        claims.claims_paid(tables, period, with_clinic=True),
+        charges.adjustments_by_service(tables, period, with_clinic=True),
         installments.plan_totals(tables, period, with_clinic=True),
-        splits.splits_in_period(tables, period),
+        splits.splits_in_period(tables, period, with_clinic=True),
     ])
 
 
 def listing(tables: Tables, as_of: AsOf) -> DataFrame:
     return union_all([
-        charges.procedure_charges(tables, as_of),
-        claims.claims_paid(tables, as_of, INS_PAY),
-        charges.adjustments_by_service(tables, as_of),
+        charges.procedure_charges(tables, as_of, with_clinic=True),
+        claims.claims_paid(tables, as_of, with_clinic=True, tag=INS_PAY),
+        charges.adjustments_by_service(tables, as_of, with_clinic=True),
         splits.splits_listed(tables, as_of),
     ])
 

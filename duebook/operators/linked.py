@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.money import cents, zero
-from duebook.schema import PREAUTH, RECEIVED, SUPPLEMENTAL, CAP_COMPLETE, UNSET
+from duebook.functions.money import ZERO, cents
+from duebook.schema import CAP_COMPLETE, PREAUTH, RECEIVED, SUPPLEMENTAL, UNSET
 from duebook.sources.base import Tables
 
 # Statuses whose actual amounts stand in place of estimates.
@@ -17,7 +17,15 @@ def adjustment_by_procedure(tables: Tables) -> DataFrame:
     """Adjustments per procedure, patient, provider and clinic."""
     where = ("procnum", "patnum", "provnum", "clinicnum")
     rows = tables.read("adjustment", *where, "adjamt")
-    return rows.groupBy(*where).agg(F.sum(cents("adjamt")).alias("adjamt"))
+    return rows.groupBy(*where).agg(F.expr(f"sum({cents('adjamt')}) AS adjamt"))
+
+
+def _settled_or(actual: str, guess: str) -> str:
+    return f"coalesce(if(status IN {SETTLED}, {actual}, {guess}), 0)"
+
+
+def _if_set(amount: str) -> str:
+    return f"nullif({amount}, {UNSET})"
 
 
 def claims_by_procedure(tables: Tables) -> DataFrame:
@@ -26,30 +34,20 @@ def claims_by_procedure(tables: Tables) -> DataFrame:
     rows = tables.read(
         "claimproc", "procnum", "status", "inspayamt", "inspayest", "writeoff",
         "insesttotaloverride", "writeoffest", "writeoffestoverride",
-    ).filter(F.col("status") != PREAUTH)
-    settled = F.col("status").isin(*SETTLED)
-    pay = (
-        F.when(settled, cents("inspayamt"))
-        .when(F.col("insesttotaloverride") != UNSET, cents("insesttotaloverride"))
-        .otherwise(cents("inspayest"))
-    )
-    writeoff = (
-        F.when(settled, cents("writeoff"))
-        .when(F.col("writeoffestoverride") != UNSET, cents("writeoffestoverride"))
-        .when(F.col("writeoffest") != UNSET, cents("writeoffest"))
+    ).filter(f"status != {PREAUTH}")
+    pay = _settled_or("inspayamt", f"coalesce({_if_set('insesttotaloverride')}, inspayest)")
+    writeoff = _settled_or(
+        "writeoff", f"coalesce({_if_set('writeoffestoverride')}, {_if_set('writeoffest')})"
     )
     return rows.groupBy("procnum").agg(
-        F.sum(-F.coalesce(pay, zero())).alias("inspay"),
-        F.sum(-F.coalesce(writeoff, zero())).alias("writeoff"),
+        F.expr(f"sum(-{cents(pay)}) AS inspay"), F.expr(f"sum(-{cents(writeoff)}) AS writeoff")
     )
 
 
 def splits_by(tables: Tables, key: str) -> DataFrame:
     """Payments outside plans per procedure (``procnum``) or adjustment (``adjnum``),
     negative."""
-    rows = tables.read("paysplit", key, "payplannum", "splitamt")
-    return (
-        rows.filter(F.col("payplannum") == 0)
-        .groupBy(key)
-        .agg(F.sum(-F.coalesce(cents("splitamt"), zero())).alias("splitamt"))
+    rows = tables.read("paysplit", key, "payplannum", "splitamt").filter("payplannum = 0")
+    return rows.groupBy(key).agg(
+        F.expr(f"sum(-coalesce({cents('splitamt')}, {ZERO})) AS splitamt")
     )

@@ -13,26 +13,23 @@ from duebook.schema import ADJ, CLAIM, PAT_PAY, PLAN_OFFSET, PROC
 
 def production_measures(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Production, write-offs, adjustments, collections and balances per key."""
-    tag, amount = F.col("trantype"), F.col("tranamount")
-    sums = ledger.groupBy(*keys).agg(
-        sum_where(tag.isin(PROC, PLAN_OFFSET), amount).alias("RawProduction"),
-        F.sum("woamount").alias("TotWo"),
-        sum_where((tag == ADJ) & (amount > 0), amount).alias("PosAdj"),
-        sum_where((tag == ADJ) & (amount < 0), amount).alias("NegAdj"),
-        sum_where(tag == CLAIM, amount).alias("TotInsPaymt"),
-        sum_where(tag == PAT_PAY, amount).alias("PatPaymts"),
-        (F.sum("tranamount") + F.sum("woamount")).alias("TotBalance"),
-        F.sum("instotest").alias("InsAR"),
-        F.sum("payplanamount").alias("PPOwed"),
-    )
-    on_patient = F.col("TotBalance") - F.col("InsAR")
-    return sums.withColumns(
-        {
-            "NetProduction": sum(
-                (F.col(c) for c in ("TotWo", "PosAdj", "NegAdj")), F.col("RawProduction")
-            ),
-            "NetCollections": F.col("TotInsPaymt") + F.col("PatPaymts"),
-            "PatAR": owed(on_patient),
-            "PatAP": owing(on_patient),
-        }
+    adjustment = f"trantype = '{ADJ}'"
+    sums = {
+        "RawProduction": sum_where(f"trantype IN ('{PROC}', '{PLAN_OFFSET}')", "tranamount"),
+        "TotWo": "sum(woamount)",
+        "PosAdj": sum_where(f"{adjustment} AND tranamount > 0", "tranamount"),
+        "NegAdj": sum_where(f"{adjustment} AND tranamount < 0", "tranamount"),
+        "TotInsPaymt": sum_where(f"trantype = '{CLAIM}'", "tranamount"),
+        "PatPaymts": sum_where(f"trantype = '{PAT_PAY}'", "tranamount"),
+        "TotBalance": "sum(tranamount) + sum(woamount)",
+        "InsAR": "sum(instotest)",
+        "PPOwed": "sum(payplanamount)",
+    }
+    rows = ledger.groupBy(*keys).agg(*(F.expr(f"{s} AS {name}") for name, s in sums.items()))
+    return rows.selectExpr(
+        "*",
+        "RawProduction + TotWo + PosAdj + NegAdj AS NetProduction",
+        "TotInsPaymt + PatPaymts AS NetCollections",
+        f"{owed('TotBalance - InsAR')} AS PatAR",
+        f"{owing('TotBalance - InsAR')} AS PatAP",
     )

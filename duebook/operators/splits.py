@@ -5,68 +5,69 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from duebook.functions.keys import zero_or_matched
-from duebook.functions.money import cents, zero
-from duebook.operators.rows import ledger_rows
+from duebook.functions.money import ZERO, cents
+from duebook.operators.rows import ledger_rows, place
 from duebook.params import AsOf, Period
 from duebook.schema import PAT_PAY, UNEARNED_TYPES
 from duebook.sources.base import Tables
 
 
-def _splits(tables: Tables, *extra: str) -> DataFrame:
+def _splits(tables: Tables, *more: str) -> DataFrame:
     rows = tables.read(
-        "paysplit", "splitnum", "patnum", "clinicnum", "payplannum", "datepay", "procdate",
-        "splitamt", *extra,
+        "paysplit", "splitnum", "patnum", "payplannum", "datepay", "procdate", "splitamt", *more
     )
-    return rows.filter(F.col("splitamt") != 0)
+    return rows.filter("splitamt != 0")
 
 
 def _on_open_plan(splits: DataFrame, tables: Tables) -> DataFrame:
     """Splits outside plans or on a plan that is still open."""
-    plans = tables.read("payplan", "payplannum", "isclosed")
-    return zero_or_matched(splits, "payplannum", plans.filter(F.col("isclosed") == 0))
+    plans = tables.read("payplan", "payplannum", "isclosed").filter("isclosed = 0")
+    return zero_or_matched(splits, "payplannum", plans)
 
 
-def _rows(splits: DataFrame, scope: AsOf | Period, apart: bool = True) -> DataFrame:
+def _rows(splits: DataFrame, keys: Sequence[str], apart: bool = True) -> DataFrame:
     """Ledger rows; ``apart`` keeps payments on plans out of the ordinary amount."""
-    paid, off_plan = -cents("splitamt"), F.col("payplannum") == 0
+    paid = f"-{cents('splitamt')}"
     return ledger_rows(
-        splits, scope.keys, PAT_PAY,
-        prikey="splitnum", patnum="patnum", clinicnum="clinicnum", trandate="datepay",
-        procdate="procdate",
-        tranamount=F.when(off_plan, paid).otherwise(zero()) if apart else paid,
-        payplanamount=F.when(~off_plan, paid).otherwise(zero()) if apart else zero(),
+        splits, keys, PAT_PAY,
+        prikey="splitnum", patnum="patnum", trandate="datepay", procdate="procdate",
+        tranamount=f"if(payplannum = 0, {paid}, {ZERO})" if apart else paid,
+        payplanamount=f"if(payplannum = 0, {ZERO}, {paid})" if apart else ZERO,
     )
 
 
-def splits_entered(tables: Tables, as_of: AsOf) -> DataFrame:
+def splits_entered(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     """Splits paid, and their payment entered, by the report date; closed plans left out."""
-    payments = tables.read("payment", "paynum", "dateentry")
-    splits = _on_open_plan(_splits(tables, "paynum"), tables).join(payments, "paynum")
-    return _rows(as_of.select(splits, "datepay", "dateentry"), as_of)
+    splits = _on_open_plan(_splits(tables, "paynum", *place(with_clinic)), tables)
+    splits = splits.join(tables.read("payment", "paynum", "dateentry"), "paynum")
+    return _rows(
+        as_of.select(splits, "datepay", "dateentry"), [*as_of.keys, *place(with_clinic)]
+    )
 
 
-def splits_in_period(tables: Tables, period: Period) -> DataFrame:
+def splits_in_period(tables: Tables, period: Period, with_clinic: bool = True) -> DataFrame:
     """Splits paid within the window; closed plans left out."""
-    splits = period.select(_splits(tables), "datepay")
-    return _rows(_on_open_plan(splits, tables), period)
+    splits = period.select(_splits(tables, *place(with_clinic)), "datepay")
+    return _rows(_on_open_plan(splits, tables), place(with_clinic))
 
 
 def splits_listed(tables: Tables, as_of: AsOf) -> DataFrame:
     """All splits paid by the report date, plans included."""
-    return _rows(as_of.select(_splits(tables), "datepay"), as_of, apart=False)
+    splits = as_of.select(_splits(tables, "clinicnum"), "datepay")
+    return _rows(splits, [*as_of.keys, "clinicnum"], apart=False)
 
 
 def splits_paid(tables: Tables, as_of: AsOf) -> DataFrame:
     """Splits paid by the report date, payments on open and closed plans apart."""
-    return _rows(as_of.select(_splits(tables), "datepay"), as_of)
+    return _rows(as_of.select(_splits(tables), "datepay"), as_of.keys)
 
 
 def splits_earned(
     tables: Tables, as_of: AsOf, unearned: Sequence[int] = UNEARNED_TYPES
 ) -> DataFrame:
     """Splits paid by the report date that are not of the given unearned-income types."""
-    splits = _splits(tables, "unearnedtype").filter(~F.col("unearnedtype").isin(*unearned))
-    return _rows(as_of.select(splits, "datepay"), as_of, apart=False)
+    types = ", ".join(map(str, unearned))
+    splits = _splits(tables, "unearnedtype").filter(f"unearnedtype NOT IN ({types})")
+    return _rows(as_of.select(splits, "datepay"), as_of.keys, apart=False)

@@ -1,20 +1,26 @@
-"""Report parameters: an as-of date (or a series of them) and a closed date window."""
+"""Report parameters: an as-of date (or a series of them) and a closed date window.
+
+Conditions are SQL text, as everywhere in the package: one expression string costs one
+call into the JVM, a tree of Column objects one per node.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def _day(value: dt.date | str) -> dt.date:
     return dt.date.fromisoformat(value) if isinstance(value, str) else value
 
 
+def _literal(day: dt.date) -> str:
+    return f"DATE'{day.isoformat()}'"
+
+
 @dataclass(frozen=True)
 class AsOf:
     """Report date. ``inclusive`` says whether rows dated on the day itself count.
@@ -40,28 +46,30 @@ class AsOf:
         return ["as_of"] if self.many else []
 
     @property
-    def date(self) -> Column:
-        return F.col("as_of") if self.many else F.lit(self.days[0])
-
-    def _reached(self, day: Column, until: Column) -> Column:
-        return day <= until if self.inclusive else day < until
+    def date(self) -> str:
+        return "as_of" if self.many else _literal(self.days[0])
 
-    def covers(self, column: str) -> Column:
+    def covers(self, column: str) -> str:
         """The date in ``column`` is not after the report date."""
-        return self._reached(F.col(column), self.date)
+        return self._reached(column, self.date)
+
+    def _reached(self, column: str, until: str) -> str:
+        return f"({column} {'<=' if self.inclusive else '<'} {until})"
 
     def spread(self, rows: DataFrame) -> DataFrame:
         """For a series, repeat each row once per report day."""
         if not self.many:
             return rows
-        return rows.withColumn("as_of", F.explode(F.array(*map(F.lit, self.days))))
+        return rows.selectExpr(
+            "*", f"explode(array({', '.join(map(_literal, self.days))})) AS as_of"
+        )
 
     def select(self, rows: DataFrame, *columns: str) -> DataFrame:
         """Rows whose dates in all ``columns`` are covered, per report day."""
         if self.many:  # rows past the last day fit no day: drop them before repeating
-            last = F.lit(self.days[-1])
-            rows = rows.filter(_all(self._reached(F.col(c), last) for c in columns))
-        return self.spread(rows).filter(_all(self.covers(c) for c in columns))
+            last = _literal(self.days[-1])
+            rows = rows.filter(" AND ".join(self._reached(c, last) for c in columns))
+        return self.spread(rows).filter(" AND ".join(map(self.covers, columns)))
 
 
 @dataclass(frozen=True)
@@ -77,15 +85,11 @@ class Period:
     def between(cls, start: dt.date | str, end: dt.date | str) -> Period:
         return cls(_day(start), _day(end))
 
-    def covers(self, column: str) -> Column:
-        return F.col(column).between(F.lit(self.start), F.lit(self.end))
+    def covers(self, column: str) -> str:
+        return f"({column} BETWEEN {_literal(self.start)} AND {_literal(self.end)})"
 
-    def not_after(self, column: str) -> Column:
-        return F.col(column) <= F.lit(self.end)
+    def not_after(self, column: str) -> str:
+        return f"({column} <= {_literal(self.end)})"
 
     def select(self, rows: DataFrame, *columns: str) -> DataFrame:
-        return rows.filter(_all(self.covers(c) for c in columns))
-
-
-def _all(conditions: Iterable[Column]) -> Column:
-    return reduce(Column.__and__, conditions)
+        return rows.filter(" AND ".join(map(self.covers, columns)))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from duebook.functions.money import dollars, in_dollars
 from duebook.operators import ledgers
@@ -19,12 +16,14 @@ from duebook.sources.base import Tables
 _ESTIMATES = ("BalTotal", "InsWoEst", "InsPayEst", "PayPlanDue")
 
 
-def _any_bucket(test) -> Column:
-    return reduce(Column.__or__, (test(F.col(b)) for b in OPEN_BUCKETS))
+def _any_bucket(test: str) -> str:
+    return " OR ".join(f"{b} {test}" for b in OPEN_BUCKETS)
 
 
 def _by_name(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.lower("lname"), F.lower("fname"), "patnum")
+    return rows.selectExpr("*", "lower(lname) AS l", "lower(fname) AS f").orderBy(
+        "l", "f", "patnum"
+    )
 
 
 def aging_ledger(tables: Tables, as_of: AsOf) -> DataFrame:
@@ -60,18 +59,12 @@ def aging_balances(tables: Tables, as_of: AsOf) -> DataFrame:
 def aging_of_receivables(tables: Tables, as_of: AsOf) -> DataFrame:
     """Patients with at least half a cent open in some bucket."""
     people = tables.read("patient", "patnum", "lname", "fname", "middlei")
-    rows = _aged(tables, as_of).filter(_any_bucket(lambda b: b >= 1)).join(people, "patnum")
-    share = F.col("BalTotal") - F.col("InsPayEst") - F.col("InsWoEst")
-    name = F.concat("lname", F.lit(", "), "fname", F.lit(" "), "middlei")
-    columns = {
-        "bal_0_30": "Bal_0_30", "bal_31_60": "Bal_31_60", "bal_61_90": "Bal_61_90",
-        "balover90": "BalOver90", "baltotal": "BalTotal", "inswoest": "InsWoEst",
-        "inspayest": "InsPayEst",
-    }
-    return _by_name(rows).select(
-        *as_of.keys, name.alias("patName"),
-        *(dollars(source).alias(shown) for shown, source in columns.items()),
-        dollars(share).alias("$pat"),
+    rows = _aged(tables, as_of).filter(_any_bucket(">= 1")).join(people, "patnum")
+    shown = (*OPEN_BUCKETS, "BalTotal", "InsWoEst", "InsPayEst")
+    return _by_name(rows).selectExpr(
+        *as_of.keys, "concat(lname, ', ', fname, ' ', middlei) AS patName",
+        *(f"{dollars(c)} AS {c.lower()}" for c in shown),
+        f"{dollars('BalTotal - InsPayEst - InsWoEst')} AS `$pat`",
     )
 
 
@@ -86,12 +79,12 @@ def custom_aging(tables: Tables, as_of: AsOf) -> DataFrame:
     """Patients who owe money on balance, with some bucket open. Names are joined to the
     summed rows; that join also drops transactions of unknown patients."""
     sums = signed_sums(ledgers.custom_aging(tables, as_of), as_of, as_of.keys)
-    total = F.col("TotalCharges") - F.col("TotalCredits")
-    rows = open_balances(sums).withColumn("BalTotal", total).filter(
-        _any_bucket(lambda b: b != 0) & (F.col("BalTotal") > 0)
+    rows = open_balances(sums).filter(
+        f"({_any_bucket('!= 0')}) AND TotalCharges - TotalCredits > 0"
     )
     people = tables.read("patient", "patnum", "fname", "lname")
-    return _by_name(rows.join(people, "patnum")).select(
+    return _by_name(rows.join(people, "patnum")).selectExpr(
         *as_of.keys, "fname", "lname", "patnum",
-        *(dollars(c).alias(c) for c in (*OPEN_BUCKETS, "BalTotal")),
+        *(f"{dollars(b)} AS {b}" for b in OPEN_BUCKETS),
+        f"{dollars('TotalCharges - TotalCredits')} AS BalTotal",
     )

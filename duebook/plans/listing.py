@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from duebook.functions.money import dollars
 from duebook.operators import ledgers
@@ -16,15 +15,12 @@ def transactions(tables: Tables, as_of: AsOf, clinic: int | None = None) -> Data
     makes one large join partition, which AQE splits on the transaction side."""
     rows = ledgers.listing(tables, as_of)
     if clinic is not None:
-        rows = rows.filter(F.col("clinicnum") == clinic)
-    people = tables.read("patient", "patnum", "fname", "lname", "clinicnum").select(
-        "patnum",
-        F.concat("fname", F.lit(" "), "lname").alias("pat_name"),
-        F.col("clinicnum").alias("pat_clinic"),
+        rows = rows.filter(f"clinicnum = {int(clinic)}")
+    people = tables.read("patient", "patnum", "fname", "lname", "clinicnum").selectExpr(
+        "patnum", "concat(fname, ' ', lname) AS pat_name", "clinicnum AS pat_clinic"
     )
-    return rows.join(people, "patnum", "left").select(
-        *as_of.keys, "pat_name", "pat_clinic",
-        F.col("trantype").alias("TranType"), F.col("prikey").alias("PriKey"), "patnum",
-        "clinicnum", F.col("trandate").alias("TranDate"),
-        dollars("tranamount").alias("TranAmount"), dollars("woamount").alias("WoAmount"),
+    return rows.join(people, "patnum", "left").selectExpr(
+        *as_of.keys, "pat_name", "pat_clinic", "trantype AS TranType", "prikey AS PriKey",
+        "patnum", "clinicnum", "trandate AS TranDate", f"{dollars('tranamount')} AS TranAmount",
+        f"{dollars('woamount')} AS WoAmount",
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,13 @@ MEASURES = (
     "NetCollections", "TotBalance", "InsAR", "PatAR", "PatAP", "PPOwed",
 )
 MONTH_MEASURES = tuple(m for m in MEASURES if m not in ("InsAR", "PatAR", "PatAP"))
+# Fixed value: the totals spell the patient payments column PayPaymts.
+_TOTAL_NAMES = {m: "PayPaymts" if m == "PatPaymts" else m for m in MEASURES}
 
 
-def _totals(measures: tuple[str, ...]):
-    # Fixed value: the totals spell the patient payments column PayPaymts.
-    names = {"PatPaymts": "PayPaymts"}
-    return [dollars(wide_sum(m)).alias(names.get(m, m)) for m in measures]
+def _totals(rows: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    sums = (f"{dollars(wide_sum(m))} AS {_TOTAL_NAMES[m]}" for m in measures)
+    return rows.groupBy(*keys).agg(*map(F.expr, sums))
 
 
 def _per_patient(tables: Tables, as_of: AsOf) -> DataFrame:
@@ -35,13 +38,14 @@ def production_by_patient(tables: Tables, as_of: AsOf) -> DataFrame:
 
 def production_total(tables: Tables, as_of: AsOf) -> DataFrame:
     """One row of totals, or one per day of a series."""
-    return _per_patient(tables, as_of).groupBy(*as_of.keys).agg(*_totals(MEASURES))
+    return _totals(_per_patient(tables, as_of), as_of.keys, MEASURES)
 
 
 def _per_month(tables: Tables, period: Period) -> DataFrame:
     keys = ["TranMonth", "clinicnum", "patnum"]
-    ledger = ledgers.month(tables, period)
-    ledger = ledger.withColumn("TranMonth", F.date_format("trandate", "yyyy-MM"))
+    ledger = ledgers.month(tables, period).selectExpr(
+        "*", "date_format(trandate, 'yyyy-MM') AS TranMonth"
+    )
     return production_measures(ledger, keys).select(*keys, *MONTH_MEASURES)
 
 
@@ -51,12 +55,9 @@ def production_by_month_and_patient(tables: Tables, period: Period) -> DataFrame
 
 def production_by_month(tables: Tables, period: Period) -> DataFrame:
     """Totals per month and clinic. The name is looked up after the summing."""
-    keys = ["TranMonth", "clinicnum"]
-    totals = _per_month(tables, period).groupBy(*keys).agg(*_totals(MONTH_MEASURES))
+    totals = _totals(_per_month(tables, period), ["TranMonth", "clinicnum"], MONTH_MEASURES)
     clinics = tables.read("clinic", "clinicnum", "description")
-    named = totals.join(clinics, "clinicnum", "left")
-    amounts = [c for c in totals.columns if c not in keys]
-    return named.select(
-        "TranMonth", F.col("clinicnum").alias("ClinicNum"),
-        F.col("description").alias("ClinicName"), *amounts,
+    return totals.join(clinics, "clinicnum", "left").selectExpr(
+        "TranMonth", "clinicnum AS ClinicNum", "description AS ClinicName",
+        *(_TOTAL_NAMES[m] for m in MONTH_MEASURES),
     )

@@ -17,13 +17,13 @@ AMOUNTS = (
     *reversed(INS_BUCKETS), *reversed(PAT_BUCKETS), "TotalArBalance", "TotalApBalance",
     "TotalPayPlan", "InsPayEst", "InsWoEst",
 )
+_TOTALS = [f"{dollars(wide_sum(a))} AS {a}" for a in AMOUNTS]
 
 
 def _per_patient(tables: Tables, as_of: AsOf, by_clinic: bool = False) -> DataFrame:
     keys = [*as_of.keys, *(["clinicnum"] if by_clinic else [])]
     ledger = ledgers.receivable(tables, as_of, with_clinic=by_clinic)
-    sums = receivable_sums(ledger, as_of, keys)
-    return open_receivables(sums).select(*keys, "patnum", *AMOUNTS)
+    return open_receivables(receivable_sums(ledger, as_of, keys), keys)
 
 
 def receivables_by_patient(tables: Tables, as_of: AsOf) -> DataFrame:
@@ -32,27 +32,22 @@ def receivables_by_patient(tables: Tables, as_of: AsOf) -> DataFrame:
 
 def receivables_total(tables: Tables, as_of: AsOf) -> DataFrame:
     """One row of totals, or one per day of a series."""
-    rows = _per_patient(tables, as_of).groupBy(*as_of.keys)
-    return rows.agg(*(dollars(wide_sum(a)).alias(a) for a in AMOUNTS))
+    return _per_patient(tables, as_of).groupBy(*as_of.keys).agg(*map(F.expr, _TOTALS))
 
 
 def receivables_by_clinic_and_patient(tables: Tables, as_of: AsOf) -> DataFrame:
     """Payments meet charges within the same clinic only."""
-    rows = in_dollars(_per_patient(tables, as_of, by_clinic=True), *AMOUNTS)
-    return rows.withColumn("ar_date", as_of.date).select(
-        "ar_date", "clinicnum", "patnum", *AMOUNTS
+    return _per_patient(tables, as_of, by_clinic=True).selectExpr(
+        f"{as_of.date} AS ar_date", "clinicnum", "patnum",
+        *(f"{dollars(a)} AS {a}" for a in AMOUNTS),
     )
 
 
 def receivables_by_clinic(tables: Tables, as_of: AsOf) -> DataFrame:
     """Totals per clinic. The name is looked up once per clinic, after the summing."""
-    totals = (
-        _per_patient(tables, as_of, by_clinic=True)
-        .groupBy(*as_of.keys, "clinicnum")
-        .agg(*(dollars(wide_sum(a)).alias(a) for a in AMOUNTS))
-    )
-    return (
-        totals.join(tables.read("clinic", "clinicnum", "description"), "clinicnum", "left")
-        .withColumn("ar_date", as_of.date)
-        .select("ar_date", "clinicnum", F.col("description").alias("ClinicName"), *AMOUNTS)
+    rows = _per_patient(tables, as_of, by_clinic=True)
+    totals = rows.groupBy(*as_of.keys, "clinicnum").agg(*map(F.expr, _TOTALS))
+    clinics = tables.read("clinic", "clinicnum", "description")
+    return totals.join(clinics, "clinicnum", "left").selectExpr(
+        f"{as_of.date} AS ar_date", "clinicnum", "description AS ClinicName", *AMOUNTS
     )

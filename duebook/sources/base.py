@@ -7,7 +7,6 @@ from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from duebook.schema import TABLES
 
@@ -21,13 +20,10 @@ class Tables(ABC):
         """``columns`` of a table in their contract types. The cast is a no-op, and
         predicates still reach the files, where the stored type already agrees."""
         types = TABLES[name]
-        return self.frame(name, columns).select(
-            *(F.col(c).cast(types[c]).alias(c) for c in columns)
+        return self.frame(name, columns).selectExpr(
+            *(f"CAST({c} AS {types[c]}) AS {c}" for c in columns)
         )
 
-    def key(self, name: str) -> str:
-        return next(iter(TABLES[name]))
-
 
 class StoredTables(Tables):
     """One file set per table below ``path``."""

@@ -8,280 +8,213 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duebook.schema import MONEY, UNSET
 from duebook.sources.base import Tables
 
 
-def _money(value: Column | str | int) -> Column:
-    column = value if isinstance(value, Column) else F.lit(value)
-    return column.cast(MONEY)
+def _share(amount: str, fraction: str) -> str:
+    return f"CAST({amount} * {fraction} AS {MONEY})"
 
 
-def _share(amount: str, fraction: str) -> Column:
-    return _money(F.col(amount) * F.lit(fraction).cast("decimal(3,2)"))
-
-
-def _days_later(day: str, days: Column) -> Column:
-    return F.date_add(F.col(day), days.cast("int"))
+def _later(day: str, days: str) -> str:
+    return f"date_add({day}, CAST({days} AS INT))"
 
 
 class TradeTables(Tables):
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._files: dict[str, DataFrame] = {}
 
     def frame(self, name: str, columns: Sequence[str]) -> DataFrame:
         return getattr(self, f"_{name}")(set(columns))
 
     def _file(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._files:  # reading the schema touches the file: once will do
+            self._files[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._files[name]
 
     # --- helpers over the source rows ---------------------------------------------
 
     def _orders(self, with_clinic: bool = False) -> DataFrame:
-        orders = self._file("orders").select(
-            F.col("o_orderkey").alias("k"),
-            "o_custkey",
-            (F.col("o_custkey") + 1).alias("patnum"),
-            F.col("o_orderdate").cast("date").alias("od"),
-            _money(F.col("o_totalprice")).alias("tp"),
-            "o_orderstatus",
+        orders = self._file("orders").selectExpr(
+            "o_orderkey AS k", "o_custkey AS cust", "o_custkey + 1 AS patnum",
+            "CAST(o_orderdate AS DATE) AS od", f"CAST(o_totalprice AS {MONEY}) AS tp",
+            "o_orderstatus AS st",
         )
         if with_clinic:
-            home = self._file("customer").select(
-                F.col("c_custkey").alias("o_custkey"),
-                (F.col("c_nationkey") + 1).cast("bigint").alias("clinicnum"),
+            homes = self._file("customer").selectExpr(
+                "c_custkey AS cust", "CAST(c_nationkey + 1 AS BIGINT) AS clinicnum"
             )
-            orders = orders.join(home, "o_custkey", "left")
+            orders = orders.join(homes, "cust", "left")
         return orders
 
     def _lines(self) -> DataFrame:
         """One row per (order, line); the source repeats that pair."""
         return (
             self._file("lineitem")
-            .groupBy("l_orderkey", "l_linenumber")
+            .groupBy(F.expr("l_orderkey AS k"), F.expr("l_linenumber AS line"))
             .agg(
-                _money(F.max("l_extendedprice")).alias("price"),
-                _money(F.max("l_discount")).alias("disc"),
-                F.max("l_suppkey").alias("suppkey"),
-                F.min("l_returnflag").alias("rf"),
-                F.min("l_shipdate").cast("date").alias("sd"),
+                F.expr(f"CAST(max(l_extendedprice) AS {MONEY}) AS price"),
+                F.expr(f"CAST(max(l_discount) AS {MONEY}) AS disc"),
+                F.expr("max(l_suppkey) AS suppkey"),
+                F.expr("min(l_returnflag) AS rf"),
+                F.expr("CAST(min(l_shipdate) AS DATE) AS sd"),
             )
         )
 
-    def _first_lines(self, orders: Column) -> DataFrame:
+    def _first_lines(self, orders: str) -> DataFrame:
         """Lowest line of each order that meets ``orders``, in a single aggregation: the
         sort key puts the line number before the tie-break among repeated lines."""
-        day = F.col("l_shipdate").cast("date")
-        line = F.col("l_linenumber").cast("bigint")
-        earliest = line * 1_000_000 + F.unix_date(day)
-        last_supplier = line * 1_000_000_000_000 - F.col("l_suppkey")
-        return (
-            self._file("lineitem")
-            .withColumn("k", F.col("l_orderkey"))
-            .filter(orders)
-            .groupBy("k")
-            .agg(
-                F.min(F.col("k") * 10 + line).alias("f_procnum"),
-                F.min_by(day, earliest).alias("f_procdate"),
-                (F.min_by("l_suppkey", last_supplier) + 1).alias("f_provnum"),
-            )
+        lines = self._file("lineitem").selectExpr(
+            "l_orderkey AS k", "CAST(l_linenumber AS BIGINT) AS line",
+            "CAST(l_shipdate AS DATE) AS sd", "l_suppkey AS supp",
+        )
+        return lines.filter(orders).groupBy("k").agg(
+            F.expr("min(k * 10 + line) AS f_procnum"),
+            F.expr("min_by(sd, line * 1000000L + unix_date(sd)) AS f_procdate"),
+            F.expr("min_by(supp, line * 1000000000000L - supp) + 1 AS f_provnum"),
         )
 
     # --- the eleven tables ---------------------------------------------------------
 
     def _procedurelog(self, need: set[str]) -> DataFrame:
-        number = F.col("l_linenumber")
         lines = self._lines()
-        if need & {"patnum", "clinicnum"}:
-            orders = self._orders("clinicnum" in need)
-            lines = lines.join(orders, lines.l_orderkey == orders.k, "left")
-        return lines.withColumns(
-            {
-                "procnum": F.col("l_orderkey") * 10 + number,
-                "provnum": F.col("suppkey") + 1,
-                "procdate": F.col("sd"),
-                "unitqty": F.when(number % 4 == 0, 2).otherwise(1),
-                "baseunits": F.when(number == 7, 1).otherwise(0),
-                "procstatus": F.when(F.col("rf") == "R", 1).otherwise(2),
-                "discount": F.when(
-                    number % 3 == 0, _money(F.col("price") * F.col("disc"))
-                ).otherwise(_money(0)),
-                "discountplanamt": F.when(number == 5, _money(25)).otherwise(_money(0)),
-            }
-        ).withColumn(
-            "procfee", F.when(F.col("procnum") % 97 == 0, _money(0)).otherwise(F.col("price"))
+        owner = [c for c in ("patnum", "clinicnum") if c in need]
+        if owner:
+            orders = self._orders("clinicnum" in need).select("k", *owner)
+            lines = lines.join(orders, "k", "left")
+        return lines.selectExpr(
+            "k * 10 + line AS procnum", *owner, "suppkey + 1 AS provnum", "sd AS procdate",
+            f"if((k * 10 + line) % 97 = 0, CAST(0 AS {MONEY}), price) AS procfee",
+            "if(line % 4 = 0, 2, 1) AS unitqty", "if(line = 7, 1, 0) AS baseunits",
+            "if(rf = 'R', 1, 2) AS procstatus",
+            f"if(line % 3 = 0, CAST(price * disc AS {MONEY}), 0) AS discount",
+            "if(line = 5, 25, 0) AS discountplanamt",
         )
 
     def _claimproc(self, need: set[str]) -> DataFrame:
-        lines = self._claim_lines(need)
-        totals = self._orders("clinicnum" in need).filter("k % 11 = 0").select(
-            (F.col("k") * 10 + 9).alias("claimprocnum"),
-            F.lit(0).cast("bigint").alias("procnum"),
-            "patnum",
-            *(["clinicnum"] if "clinicnum" in need else []),
-            F.col("od").alias("procdate"),
-            F.date_add("od", 20).alias("datecp"),
-            F.lit(4).alias("status"),
-            _share("tp", "0.02").alias("inspayamt"),
-            _money(0).alias("inspayest"),
-            _money(0).alias("writeoff"),
-            F.lit(0).cast("bigint").alias("payplannum"),
-            _money(UNSET).alias("insesttotaloverride"),
-            _money(UNSET).alias("writeoffest"),
-            _money(UNSET).alias("writeoffestoverride"),
+        place = ["clinicnum"] if "clinicnum" in need else []
+        totals = self._orders(bool(place)).filter("k % 11 = 0").selectExpr(
+            "k * 10 + 9 AS claimprocnum", "0L AS procnum", "patnum", *place, "od AS procdate",
+            "date_add(od, 20) AS datecp", "4 AS status", f"{_share('tp', '0.02')} AS inspayamt",
+            f"CAST(0 AS {MONEY}) AS inspayest", f"CAST(0 AS {MONEY}) AS writeoff",
+            "0L AS payplannum", f"CAST({UNSET} AS {MONEY}) AS insesttotaloverride",
+            f"CAST({UNSET} AS {MONEY}) AS writeoffest",
+            f"CAST({UNSET} AS {MONEY}) AS writeoffestoverride",
         )
         wanted = [c for c in totals.columns if c in need]
-        return lines.select(*wanted).unionByName(totals.select(*wanted))
+        return self._claim_lines(need).select(*wanted).unionByName(totals.select(*wanted))
 
     def _claim_lines(self, need: set[str]) -> DataFrame:
-        key = F.col("procnum")
-        code = key % 11
         # Line numbers start at 1, so no procnum is 0; saying so lets the optimizer drop
         # this branch where only the procnum = 0 lines are wanted.
-        procedures = self._procedurelog((need & {"patnum", "clinicnum"}) | {"procnum"})
-        return procedures.filter((key != 0) & (key % 3 != 0)).withColumns(
-            {
-                "claimprocnum": key,
-                "datecp": _days_later("procdate", key % 90),
-                "status": F.when(code <= 1, 0).when(code == 5, 4).when(code == 6, 5)
-                .when(code == 7, 7).when(code == 8, 2).otherwise(1),
-                "inspayamt": _share("procfee", "0.50"),
-                "inspayest": _share("procfee", "0.55"),
-                "writeoff": _share("procfee", "0.10"),
-                "payplannum": F.when(key % 50 == 1, key).otherwise(F.lit(0).cast("bigint")),
-                "insesttotaloverride": F.when(key % 10 == 3, _share("procfee", "0.45"))
-                .otherwise(_money(UNSET)),
-                "writeoffest": F.when(key % 10 == 4, _money(UNSET))
-                .otherwise(_share("procfee", "0.08")),
-                "writeoffestoverride": F.when(key % 10 == 6, _share("procfee", "0.07"))
-                .otherwise(_money(UNSET)),
-            }
+        owner = [c for c in ("patnum", "clinicnum") if c in need]
+        lines = self._procedurelog({*owner, "procnum"}).filter("procnum != 0 AND procnum % 3 != 0")
+
+        def unless_unset(test: str, amount: str) -> str:
+            return f"if({test}, {amount}, CAST({UNSET} AS {MONEY}))"
+
+        return lines.selectExpr(
+            "procnum AS claimprocnum", "procnum", *owner, "procdate",
+            f"{_later('procdate', 'procnum % 90')} AS datecp",
+            "element_at(array(0, 0, 1, 1, 1, 4, 5, 7, 2, 1, 1), CAST(procnum % 11 AS INT) + 1) "
+            "AS status",
+            f"{_share('procfee', '0.50')} AS inspayamt",
+            f"{_share('procfee', '0.55')} AS inspayest",
+            f"{_share('procfee', '0.10')} AS writeoff",
+            "if(procnum % 50 = 1, procnum, 0L) AS payplannum",
+            f"{unless_unset('procnum % 10 = 3', _share('procfee', '0.45'))} AS insesttotaloverride",
+            f"{unless_unset('procnum % 10 != 4', _share('procfee', '0.08'))} AS writeoffest",
+            f"{unless_unset('procnum % 10 = 6', _share('procfee', '0.07'))} AS writeoffestoverride",
         )
 
     def _claimsnapshot(self, need: set[str]) -> DataFrame:
-        key = F.col("claimprocnum")
-        waiting = self._claim_lines({"claimprocnum"}).filter((F.col("status") == 0) & (key % 5 != 0))
-        return waiting.select(
+        waiting = self._claim_lines(set()).filter("status = 0 AND claimprocnum % 5 != 0")
+        return waiting.selectExpr(
             "claimprocnum",
-            F.when(key % 4 == 0, _money(UNSET)).otherwise(_share("inspayest", "0.15"))
-            .alias("writeoff"),
+            f"if(claimprocnum % 4 = 0, CAST({UNSET} AS {MONEY}), {_share('inspayest', '0.15')}) "
+            "AS writeoff",
         )
 
     def _adjustment(self, need: set[str]) -> DataFrame:
-        k = F.col("k")
-        rows = self._orders("clinicnum" in need).filter("k % 2 = 0")
-        none = F.lit(0).cast("bigint")
+        place = ["clinicnum"] if "clinicnum" in need else []
+        rows = self._orders(bool(place)).filter("k % 2 = 0")
+        attached = []
         if need & {"procnum", "procdate", "provnum"}:
-            rows = rows.join(self._first_lines(k % 4 == 0), "k", "left").withColumns(
-                {
-                    "procnum": F.coalesce("f_procnum", none),
-                    "procdate": F.coalesce("f_procdate", "od"),
-                    "provnum": F.coalesce("f_provnum", none),
-                }
-            )
-        return rows.withColumns(
-            {
-                "adjnum": k + 1,
-                "adjdate": F.col("od"),
-                "adjamt": F.when(k % 6 == 0, _share("tp", "0.01")).otherwise(_share("tp", "-0.03")),
-            }
+            rows = rows.join(self._first_lines("k % 4 = 0"), "k", "left")
+            attached = [
+                "coalesce(f_procnum, 0L) AS procnum", "coalesce(f_procdate, od) AS procdate",
+                "coalesce(f_provnum, 0L) AS provnum",
+            ]
+        return rows.selectExpr(
+            "k + 1 AS adjnum", "patnum", *place, *attached, "od AS adjdate",
+            f"if(k % 6 = 0, {_share('tp', '0.01')}, {_share('tp', '-0.03')}) AS adjamt",
         )
 
     def _payplan(self, need: set[str]) -> DataFrame:
-        k = F.col("k")
-        return self._orders().filter("k % 25 = 0").select(
-            (k + 1).alias("payplannum"),
-            "patnum",
-            F.when(k % 100 == 0, 1).otherwise(0).cast("bigint").alias("plannum"),
-            F.col("od").alias("payplandate"),
-            _share("tp", "0.20").alias("completedamt"),
-            F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("isclosed"),
-            F.when(k % 75 == 0, 1).otherwise(0).alias("isdynamic"),
-            F.when(k % 75 == 0, 2).when(k % 75 == 25, 1).otherwise(0)
-            .alias("dynamicpayplantpoption"),
-            "k",
+        return self._orders().filter("k % 25 = 0").selectExpr(
+            "k", "k + 1 AS payplannum", "patnum", "if(k % 100 = 0, 1L, 0L) AS plannum",
+            "od AS payplandate", f"{_share('tp', '0.20')} AS completedamt",
+            "if(st = 'F', 1, 0) AS isclosed", "if(k % 75 = 0, 1, 0) AS isdynamic",
+            "CASE k % 75 WHEN 0 THEN 2 WHEN 25 THEN 1 ELSE 0 END AS dynamicpayplantpoption",
         )
 
     def _payplancharge(self, need: set[str]) -> DataFrame:
-        plan = F.col("payplannum")
-        charges = self._payplan(set()).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(5))))
-        return charges.select(
-            (plan * 10 + F.col("n")).alias("payplanchargenum"),
-            "payplannum",
-            "patnum",
-            F.when(plan % 7 == 0, F.lit(1).cast("bigint")).otherwise(F.col("patnum"))
-            .alias("guarantor"),
-            _days_later("payplandate", 30 * F.col("n")).alias("chargedate"),
-            F.when(F.col("n") == 5, 1).otherwise(0).alias("chargetype"),
-            _share("completedamt", "0.20").alias("principal"),
-            _share("completedamt", "0.01").alias("interest"),
+        return self._payplan(set()).selectExpr("*", "explode(sequence(0, 5)) AS n").selectExpr(
+            "payplannum * 10 + n AS payplanchargenum", "payplannum", "patnum",
+            "if(payplannum % 7 = 0, 1L, patnum) AS guarantor",
+            f"{_later('payplandate', '30 * n')} AS chargedate",
+            "if(n = 5, 1, 0) AS chargetype", f"{_share('completedamt', '0.20')} AS principal",
+            f"{_share('completedamt', '0.01')} AS interest",
         )
 
     def _payplanlink(self, need: set[str]) -> DataFrame:
-        plan = F.col("payplannum")
         plans = self._payplan(set())
-        to_procedure = plans.join(self._first_lines(F.col("k") % 25 == 0), "k").select(
-            (plan * 10 + 1).alias("payplanlinknum"),
-            "payplannum",
-            F.lit(2).alias("linktype"),
-            F.col("f_procnum").alias("fkey"),
-            F.when(plan % 4 == 0, _share("completedamt", "0.50")).otherwise(_money(0))
-            .alias("amountoverride"),
-            F.col("payplandate").cast("timestamp_ntz").alias("secdatetentry"),
+        entered = "CAST(payplandate AS TIMESTAMP_NTZ) AS secdatetentry"
+        to_procedure = plans.join(self._first_lines("k % 25 = 0"), "k").selectExpr(
+            "payplannum * 10 + 1 AS payplanlinknum", "payplannum", "2 AS linktype",
+            "f_procnum AS fkey",
+            f"if(payplannum % 4 = 0, {_share('completedamt', '0.50')}, 0) AS amountoverride",
+            entered,
         )
         # Adjustments sit on the even orders and share the plan's number.
-        to_adjustment = plans.filter("k % 2 = 0").select(
-            (plan * 10 + 2).alias("payplanlinknum"),
-            "payplannum",
-            F.lit(1).alias("linktype"),
-            F.col("payplannum").alias("fkey"),
-            _money(0).alias("amountoverride"),
-            F.col("payplandate").cast("timestamp_ntz").alias("secdatetentry"),
+        to_adjustment = plans.filter("k % 2 = 0").selectExpr(
+            "payplannum * 10 + 2 AS payplanlinknum", "payplannum", "1 AS linktype",
+            "payplannum AS fkey", "0 AS amountoverride", entered,
         )
         return to_procedure.unionByName(to_adjustment)
 
     def _paysplit(self, need: set[str]) -> DataFrame:
-        k = F.col("k")
-        rows = self._orders("clinicnum" in need)
-        none = F.lit(0).cast("bigint")
+        place = ["clinicnum"] if "clinicnum" in need else []
+        rows = self._orders(bool(place))
+        attached = []
         if "procnum" in need:
-            rows = rows.join(self._first_lines(k % 3 == 0), "k", "left").withColumn(
-                "procnum", F.coalesce("f_procnum", none)
-            )
-        return rows.withColumns(
-            {
-                "splitnum": k + 1,
-                "paynum": k + 1,
-                "adjnum": F.when(k % 10 == 0, k + 1).otherwise(none),
-                "payplannum": F.when(k % 25 == 0, k + 1).otherwise(none),
-                "datepay": _days_later("od", 30 + k % 45),
-                "procdate": F.col("od"),
-                "splitamt": _share("tp", "0.35"),
-                "unearnedtype": F.when(k % 20 == 7, 301).when(k % 20 == 9, 325).otherwise(0),
-            }
+            rows = rows.join(self._first_lines("k % 3 = 0"), "k", "left")
+            attached = ["coalesce(f_procnum, 0L) AS procnum"]
+        return rows.selectExpr(
+            "k + 1 AS splitnum", "k + 1 AS paynum", "patnum", *place, *attached,
+            "if(k % 10 = 0, k + 1, 0L) AS adjnum", "if(k % 25 = 0, k + 1, 0L) AS payplannum",
+            f"{_later('od', '30 + k % 45')} AS datepay", "od AS procdate",
+            f"{_share('tp', '0.35')} AS splitamt",
+            "CASE k % 20 WHEN 7 THEN 301 WHEN 9 THEN 325 ELSE 0 END AS unearnedtype",
         )
 
     def _payment(self, need: set[str]) -> DataFrame:
-        k = F.col("k")
-        return self._orders().filter("k % 13 != 0").select(
-            (k + 1).alias("paynum"), _days_later("od", 35 + k % 40).alias("dateentry")
+        return self._orders().filter("k % 13 != 0").selectExpr(
+            "k + 1 AS paynum", f"{_later('od', '35 + k % 40')} AS dateentry"
         )
 
     def _patient(self, need: set[str]) -> DataFrame:
-        key = F.col("c_custkey")
-        return self._file("customer").filter(key % 200 != 199).select(
-            (key + 1).alias("patnum"),
-            F.col("c_mktsegment").alias("fname"),
-            F.col("c_name").alias("lname"),
-            F.when(key % 5 != 0, "M").alias("middlei"),
-            (F.col("c_nationkey") + 1).cast("bigint").alias("clinicnum"),
+        return self._file("customer").filter("c_custkey % 200 != 199").selectExpr(
+            "c_custkey + 1 AS patnum", "c_mktsegment AS fname", "c_name AS lname",
+            "if(c_custkey % 5 = 0, NULL, 'M') AS middlei",
+            "CAST(c_nationkey + 1 AS BIGINT) AS clinicnum",
         )
 
     def _clinic(self, need: set[str]) -> DataFrame:
-        return self._file("nation").filter("n_nationkey != 24").select(
-            (F.col("n_nationkey") + 1).cast("bigint").alias("clinicnum"),
-            F.col("n_name").alias("description"),
+        return self._file("nation").filter("n_nationkey != 24").selectExpr(
+            "CAST(n_nationkey + 1 AS BIGINT) AS clinicnum", "n_name AS description"
         )

@@ -126,13 +126,13 @@ for _name, _rows in (("l18_payplan_link", "moved"), ("l19_payplan_discount", "di
     answer(_name, f"""
 SELECT 'PayPlanLink' AS trantype, payplanlinknum AS prikey, patnum, trandate,
        {dbl("tranamount")} FROM {_rows}""")
-for _name, _rows, _scope in (
-    ("l20_patpay_ar", "split_entered", INCLUSIVE), ("l21_patpay_month", "split_month", INCLUSIVE),
-    ("l23_patpay_aging", "split_paid", INCLUSIVE),
-):
+for _name, _rows in (("l20_patpay_ar", "split_entered"), ("l21_patpay_month", "split_month")):
     answer(_name, f"""
 SELECT 'PatPay' AS trantype, splitnum AS prikey, patnum, clinicnum, datepay AS trandate, procdate,
-       {dbl("plainamt AS tranamount", "planamt AS payplanamount")} FROM {_rows}""", _scope)
+       {dbl("plainamt AS tranamount", "planamt AS payplanamount")} FROM {_rows}""")
+answer("l23_patpay_aging", f"""
+SELECT 'PatPay' AS trantype, splitnum AS prikey, patnum, datepay AS trandate, procdate,
+       {dbl("plainamt AS tranamount", "planamt AS payplanamount")} FROM split_paid""")
 answer("l22_patpay_listing", f"""
 SELECT 'PatPay' AS trantype, splitnum AS prikey, patnum, clinicnum, datepay AS trandate,
        {dbl("amount AS tranamount")} FROM split_paid""", EXCLUSIVE)
