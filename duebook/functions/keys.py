@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def zero_or_matched(rows: DataFrame, key: str, others: DataFrame) -> DataFrame:
-    """Rows whose ``key`` is 0 or is found in the same column of ``others``.
+def free_or_matched(
+    free: DataFrame, bound: DataFrame, key: str, others: DataFrame
+) -> DataFrame:
+    """The ``free`` rows, whose ``key`` is 0, and those ``bound`` rows whose key is found
+    in the same column of ``others`` (see ``Tables.split``).
 
-    The 0 rows can be most of the table and would all hash to one join partition, so
-    they are read as a branch of their own and never enter the shuffle. Only real
-    references are joined, as a semi join; a heavily used one is left to AQE's skew
-    split, which may cut the left side of a semi join.
+    The 0 rows can be most of the table and would all hash to one join partition; as a
+    branch of their own they never enter the shuffle. Only real references are joined, as
+    a semi join; a heavily used one is left to AQE's skew split, which may cut the left
+    side of a semi join.
     """
-    free = rows.filter(f"{key} = 0")
-    bound = rows.filter(f"{key} != 0").join(others.select(key), key, "left_semi")
-    return free.unionByName(bound)
+    return free.unionByName(bound.join(others.select(key), key, "left_semi"))
 
 
 def duplicate_keys(rows: DataFrame, *key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.keys import zero_or_matched
+from duebook.functions.keys import free_or_matched
 from duebook.functions.money import ZERO, cents
 from duebook.operators.rows import each_entry, ledger_rows, place
 from duebook.params import AsOf, Period
@@ -24,10 +24,14 @@ _OFF_PLAN_PAY = f"if(payplannum = 0, -{_PAY}, {ZERO})"
 _OFF_PLAN_WRITEOFF = f"if(payplannum = 0, -{_WRITEOFF}, {ZERO})"
 
 
-def _on_complete_work(lines: DataFrame, tables: Tables) -> DataFrame:
-    """Lines paid by total (no procedure) or on a completed procedure."""
-    complete = tables.read("procedurelog", "procnum", "procstatus")
-    return zero_or_matched(lines, "procnum", complete.filter(f"procstatus = {COMPLETE}"))
+def _on_complete_work(tables: Tables, columns: Sequence[str], condition: str) -> DataFrame:
+    """Lines that meet ``condition`` and are paid by total (no procedure) or on a completed
+    procedure."""
+    free, bound = tables.split("claimproc", "procnum", *columns)
+    complete = tables.read("procedurelog", "procnum", "procstatus").filter(
+        f"procstatus = {COMPLETE}"
+    )
+    return free_or_matched(free.filter(condition), bound.filter(condition), "procnum", complete)
 
 
 def _received(as_of: AsOf) -> str:
@@ -44,8 +48,8 @@ def _claim_lines(
     tables: Tables, as_of: AsOf, with_clinic: bool, dated: bool, received: str, amount: str,
     writeoff: str, pending: str,
 ) -> DataFrame:
-    lines = tables.read("claimproc", *_LINE, "inspayest", *place(with_clinic))
-    lines = _on_complete_work(lines.filter(f"status IN {CLAIM_STATUSES}"), tables)
+    columns = [*_LINE, "inspayest", *place(with_clinic)]
+    lines = _on_complete_work(tables, columns, f"status IN {CLAIM_STATUSES}")
     lines = as_of.select(lines, "procdate") if dated else as_of.spread(lines)
     return ledger_rows(
         lines, [*as_of.keys, *place(with_clinic)], CLAIM,
@@ -94,14 +98,9 @@ def claims_paid(
     Lines off the scope, unreceived or on a plan amount to nothing and nothing is kept
     of them, so those tests go to the scan and the join sees one window of lines only.
     """
-    lines = tables.read("claimproc", *_LINE, *place(with_clinic)).filter(
-        f"status IN {PAID_STATUSES} AND payplannum = 0 AND (inspayamt != 0 OR writeoff != 0)"
-    )
-    if isinstance(scope, Period):
-        lines = scope.select(lines, "datecp").filter(scope.not_after("procdate"))
-        lines = _on_complete_work(lines, tables)
-    else:
-        lines = scope.select(_on_complete_work(lines, tables), "datecp", "procdate")
+    counted = f"status IN {PAID_STATUSES} AND payplannum = 0 AND (inspayamt != 0 OR writeoff != 0)"
+    lines = _on_complete_work(tables, [*_LINE, *place(with_clinic)], counted)
+    lines = scope.select(lines, "datecp").filter(scope.not_after("procdate"))
     return ledger_rows(
         lines, [*scope.keys, *place(with_clinic)], tag,
         prikey="claimprocnum", procnum="procnum", patnum="patnum", trandate="datecp",

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from duebook.functions.keys import zero_or_matched
+from duebook.functions.keys import free_or_matched
 from duebook.functions.money import ZERO, cents
 from duebook.operators.rows import ledger_rows, place
 from duebook.params import AsOf, Period
@@ -14,17 +14,18 @@ from duebook.schema import PAT_PAY, UNEARNED_TYPES
 from duebook.sources.base import Tables
 
 
+_SPLIT = ("splitnum", "patnum", "payplannum", "datepay", "procdate", "splitamt")
+
+
 def _splits(tables: Tables, *more: str) -> DataFrame:
-    rows = tables.read(
-        "paysplit", "splitnum", "patnum", "payplannum", "datepay", "procdate", "splitamt", *more
-    )
-    return rows.filter("splitamt != 0")
+    return tables.read("paysplit", *_SPLIT, *more).filter("splitamt != 0")
 
 
-def _on_open_plan(splits: DataFrame, tables: Tables) -> DataFrame:
+def _on_open_plan(tables: Tables, *more: str) -> DataFrame:
     """Splits outside plans or on a plan that is still open."""
+    free, bound = tables.split("paysplit", "payplannum", *_SPLIT, *more)
     plans = tables.read("payplan", "payplannum", "isclosed").filter("isclosed = 0")
-    return zero_or_matched(splits, "payplannum", plans)
+    return free_or_matched(free, bound, "payplannum", plans).filter("splitamt != 0")
 
 
 def _rows(splits: DataFrame, keys: Sequence[str], apart: bool = True) -> DataFrame:
@@ -40,8 +41,9 @@ def _rows(splits: DataFrame, keys: Sequence[str], apart: bool = True) -> DataFra
 
 def splits_entered(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     """Splits paid, and their payment entered, by the report date; closed plans left out."""
-    splits = _on_open_plan(_splits(tables, "paynum", *place(with_clinic)), tables)
-    splits = splits.join(tables.read("payment", "paynum", "dateentry"), "paynum")
+    splits = _on_open_plan(tables, "paynum", *place(with_clinic)).join(
+        tables.read("payment", "paynum", "dateentry"), "paynum"
+    )
     return _rows(
         as_of.select(splits, "datepay", "dateentry"), [*as_of.keys, *place(with_clinic)]
     )
@@ -49,8 +51,8 @@ def splits_entered(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> Da
 
 def splits_in_period(tables: Tables, period: Period, with_clinic: bool = True) -> DataFrame:
     """Splits paid within the window; closed plans left out."""
-    splits = period.select(_splits(tables, *place(with_clinic)), "datepay")
-    return _rows(_on_open_plan(splits, tables), place(with_clinic))
+    splits = _on_open_plan(tables, *place(with_clinic))
+    return _rows(period.select(splits, "datepay"), place(with_clinic))
 
 
 def splits_listed(tables: Tables, as_of: AsOf) -> DataFrame:

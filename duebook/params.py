@@ -56,6 +56,8 @@ class AsOf:
     def _reached(self, column: str, until: str) -> str:
         return f"({column} {'<=' if self.inclusive else '<'} {until})"
 
+    not_after = covers
+
     def spread(self, rows: DataFrame) -> DataFrame:
         """For a series, repeat each row once per report day."""
         if not self.many:

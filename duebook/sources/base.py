@@ -19,10 +19,17 @@ class Tables(ABC):
     def read(self, name: str, *columns: str) -> DataFrame:
         """``columns`` of a table in their contract types. The cast is a no-op, and
         predicates still reach the files, where the stored type already agrees."""
+        return self._typed(name, self.frame(name, columns), columns)
+
+    @staticmethod
+    def _typed(name: str, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         types = TABLES[name]
-        return self.frame(name, columns).selectExpr(
-            *(f"CAST({c} AS {types[c]}) AS {c}" for c in columns)
-        )
+        return rows.selectExpr(*(f"CAST({c} AS {types[c]}) AS {c}" for c in columns))
+
+    def split(self, name: str, key: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+        """The table in two: rows that refer to nothing (``key`` is 0), and the others."""
+        rows = self.read(name, *columns)
+        return rows.filter(f"{key} = 0"), rows.filter(f"{key} != 0")
 
 
 class StoredTables(Tables):

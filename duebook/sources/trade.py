@@ -60,7 +60,10 @@ class TradeTables(Tables):
                 F.expr(f"CAST(max(l_extendedprice) AS {MONEY}) AS price"),
                 F.expr(f"CAST(max(l_discount) AS {MONEY}) AS disc"),
                 F.expr("max(l_suppkey) AS suppkey"),
-                F.expr("min(l_returnflag) AS rf"),
+                # The lowest flag is 'R': as numbers, since strings would make it a sort
+                # aggregation.
+                F.expr("min(if(l_returnflag < 'R', 0, if(l_returnflag = 'R', 1, 2))) = 1 "
+                       "AS returned"),
                 F.expr("CAST(min(l_shipdate) AS DATE) AS sd"),
             )
         )
@@ -90,14 +93,26 @@ class TradeTables(Tables):
             "k * 10 + line AS procnum", *owner, "suppkey + 1 AS provnum", "sd AS procdate",
             f"if((k * 10 + line) % 97 = 0, CAST(0 AS {MONEY}), price) AS procfee",
             "if(line % 4 = 0, 2, 1) AS unitqty", "if(line = 7, 1, 0) AS baseunits",
-            "if(rf = 'R', 1, 2) AS procstatus",
+            "if(returned, 1, 2) AS procstatus",
             f"if(line % 3 = 0, CAST(price * disc AS {MONEY}), 0) AS discount",
             "if(line = 5, 25, 0) AS discountplanamt",
         )
 
+    def split(self, name: str, key: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+        if (name, key) != ("claimproc", "procnum"):
+            return super().split(name, key, *columns)
+        need = set(columns)  # the two parts come from sources of their own
+        return (self._typed(name, self._claim_totals(need), columns),
+                self._typed(name, self._claim_lines(need), columns))
+
     def _claimproc(self, need: set[str]) -> DataFrame:
+        totals = self._claim_totals(need)
+        wanted = [c for c in totals.columns if c in need]
+        return self._claim_lines(need).select(*wanted).unionByName(totals.select(*wanted))
+
+    def _claim_totals(self, need: set[str]) -> DataFrame:
         place = ["clinicnum"] if "clinicnum" in need else []
-        totals = self._orders(bool(place)).filter("k % 11 = 0").selectExpr(
+        return self._orders(bool(place)).filter("k % 11 = 0").selectExpr(
             "k * 10 + 9 AS claimprocnum", "0L AS procnum", "patnum", *place, "od AS procdate",
             "date_add(od, 20) AS datecp", "4 AS status", f"{_share('tp', '0.02')} AS inspayamt",
             f"CAST(0 AS {MONEY}) AS inspayest", f"CAST(0 AS {MONEY}) AS writeoff",
@@ -105,14 +120,10 @@ class TradeTables(Tables):
             f"CAST({UNSET} AS {MONEY}) AS writeoffest",
             f"CAST({UNSET} AS {MONEY}) AS writeoffestoverride",
         )
-        wanted = [c for c in totals.columns if c in need]
-        return self._claim_lines(need).select(*wanted).unionByName(totals.select(*wanted))
 
     def _claim_lines(self, need: set[str]) -> DataFrame:
-        # Line numbers start at 1, so no procnum is 0; saying so lets the optimizer drop
-        # this branch where only the procnum = 0 lines are wanted.
         owner = [c for c in ("patnum", "clinicnum") if c in need]
-        lines = self._procedurelog({*owner, "procnum"}).filter("procnum != 0 AND procnum % 3 != 0")
+        lines = self._procedurelog({*owner, "procnum"}).filter("procnum % 3 != 0")
 
         def unless_unset(test: str, amount: str) -> str:
             return f"if({test}, {amount}, CAST({UNSET} AS {MONEY}))"
