@@ -17,6 +17,7 @@ from pyspark.sql import types as T  # noqa: E402
 
 import oracle  # noqa: E402
 from duebook import AsOf, Period, TradeTables  # noqa: E402
+from duebook.sources import Tables  # noqa: E402
 from duebook.functions.money import in_dollars  # noqa: E402
 from duebook.operators import (  # noqa: E402
     balances, charges, claims, installments, ledgers, linked, splits,
@@ -31,6 +32,7 @@ HALF_YEAR = AsOf.series(
     ["2001-01-31", "2001-02-28", "2001-03-31", "2001-04-30", "2001-05-31", "2001-06-30"]
 )
 
+Build = Callable[[Tables], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -41,15 +43,15 @@ def _as_doubles(rows: DataFrame) -> DataFrame:
     )
 
 
-def _report(build: Callable, *args) -> Query:
-    return lambda spark, sf_dir: _as_doubles(build(TradeTables(spark, sf_dir), *args))
+def _report(build: Callable, *args) -> Build:
+    return lambda tables: _as_doubles(build(tables, *args))
 
 
-def _scan(name: str) -> Query:
+def _scan(name: str) -> Build:
     return _report(lambda tables: tables.read(name, *TABLES[name]))
 
 
-def _rows(build: Callable, *args, fields: str, money: str) -> Query:
+def _rows(build: Callable, *args, fields: str, money: str) -> Build:
     """A ledger branch: the columns that mean something there, cents as dollars."""
     amounts = money.split()
 
@@ -85,8 +87,8 @@ def _day_groups(tables, as_of):
     return aging.aging_day_groups(tables, as_of).toDF(*names)
 
 
-def queries() -> dict[str, Query]:
-    """One entry per operator and report."""
+def builds() -> dict[str, Build]:
+    """One entry per operator and report, over any source of the ledger tables."""
     q, x = INCLUSIVE, EXCLUSIVE
     scans = {f"s{i:02d}_{name}": _scan(name) for i, name in enumerate(TABLES, start=1)}
     branches = {
@@ -205,6 +207,15 @@ def queries() -> dict[str, Query]:
     return {**scans, **branches, **sums, **reports}
 
 
+def _over_trade(build: Build) -> Query:
+    return lambda spark, sf_dir: build(TradeTables(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    """Every operator and report over the ledger tables derived from a test folder."""
+    return {name: _over_trade(build) for name, build in builds().items()}
+
+
 def oracle_sql() -> dict[str, str]:
     """The SQL answer of every query."""
     return oracle.sql()

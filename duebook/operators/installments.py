@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from duebook.functions.money import ZERO, cents
 from duebook.operators.charges import GROSS_FEE
 from duebook.operators.linked import adjustment_by_procedure, claims_by_procedure, splits_by
-from duebook.operators.rows import each_entry, ledger_rows, place
+from duebook.operators.rows import each_entry, ledger_rows, place, union_all
 from duebook.params import AsOf, Period
 from duebook.schema import (
     COMPLETE, CREDIT, DEBIT, LINK_ADJUSTMENT, LINK_PROCEDURE, NO_DATE, PLAN_CHARGE, PLAN_COMPLETE,
@@ -103,31 +104,39 @@ def _links(tables: Tables, kind: int, target: str) -> DataFrame:
     )
 
 
-def linked_procedure_fees(tables: Tables) -> DataFrame:
-    """What is left of each procedure linked to a plan: its fee less the adjustments,
-    insurance money and payments on it. The three sums are taken per procedure before
-    the join, without the rows that name none."""
-    plans = tables.read("payplan", "payplannum", "dynamicpayplantpoption")
+def procedure_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
+    """What is left of the ``wanted`` procedures: the fee less the adjustments, insurance
+    money and payments on them. One row per procedure, so no join here can be skewed; the
+    money is summed per procedure before it is joined, without rows that name none."""
     procedures = tables.read(
         "procedurelog", "procnum", "patnum", "provnum", "clinicnum", "procdate", "procfee",
         "unitqty", "baseunits", "procstatus",
+    ).join(wanted.select("procnum").distinct(), "procnum", "left_semi")
+    credits = union_all([
+        claims_by_procedure(tables).selectExpr("procnum", "inspay + writeoff AS credit"),
+        splits_by(tables, "procnum").selectExpr("procnum", "splitamt AS credit"),
+    ]).filter("procnum != 0").groupBy("procnum").agg(F.expr("sum(credit) AS credit"))
+    adjusted = adjustment_by_procedure(tables).filter("procnum != 0")
+    return (
+        procedures.join(credits, "procnum", "left")
+        .join(adjusted, ["procnum", "patnum", "provnum", "clinicnum"], "left")
+        .selectExpr(
+            "procnum", "patnum", "procdate", "procstatus",
+            f"{GROSS_FEE} + coalesce(credit, {ZERO}) + coalesce(adjamt, {ZERO}) AS fee",
+        )
     )
-    linked = (
-        _links(tables, LINK_PROCEDURE, "procnum")
-        .join(plans, "payplannum")
-        .join(procedures, "procnum")
+
+
+def linked_procedure_fees(tables: Tables) -> DataFrame:
+    """What is left of each procedure linked to a plan, per link."""
+    plans = tables.read("payplan", "payplannum", "dynamicpayplantpoption")
+    links = _links(tables, LINK_PROCEDURE, "procnum")
+    rows = (
+        links.join(plans, "payplannum")
+        .join(procedure_worth(tables, links), "procnum")
         .filter(f"NOT (dynamicpayplantpoption = 1 AND procstatus != {COMPLETE})")
     )
-    where = ["procnum", "patnum", "provnum", "clinicnum"]
-    named = "procnum != 0"
-    valued = (
-        linked.join(adjustment_by_procedure(tables).filter(named), where, "left")
-        .join(claims_by_procedure(tables).filter(named), "procnum", "left")
-        .join(splits_by(tables, "procnum").filter(named), "procnum", "left")
-    )
-    parts = [f"coalesce({c}, {ZERO})" for c in ("adjamt", "inspay", "writeoff", "splitamt")]
-    computed = {"fee": " + ".join([GROSS_FEE, *parts]), "agedate": "procdate"}
-    return valued.selectExpr(*(f"{computed.get(c, c)} AS {c}" for c in _FEE))
+    return rows.withColumnRenamed("procdate", "agedate").select(*_FEE)
 
 
 def linked_adjustment_fees(tables: Tables) -> DataFrame:

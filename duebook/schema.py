@@ -49,6 +49,13 @@ TABLES: dict[str, dict[str, str]] = {
     "clinic": {"clinicnum": "bigint", "description": "string"},
 }
 
+# The date each table is cut on.
+DATES = {
+    "procedurelog": "procdate", "claimproc": "datecp", "adjustment": "procdate",
+    "payplan": "payplandate", "payplancharge": "chargedate", "paysplit": "datepay",
+    "payment": "dateentry",
+}
+
 # One row per transaction. Positive amounts are owed to the practice, negative ones
 # are paid or credited. Money is whole cents (see functions/money.py). `prikey` is
 # the key of the row's own source table; `procnum` is what the row is grouped under

@@ -8,6 +8,7 @@ equivalent form that is cheaper on a cluster. The two share no text.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from oracle.answers import ANSWERS
 from oracle.relations import RELATIONS
@@ -20,12 +21,14 @@ def _needed(text: str, found: dict[str, str], given: dict[str, str]) -> None:
             found[name] = given[name]
 
 
-def sql() -> dict[str, str]:
-    """Query name -> one self-contained statement over the test tables."""
+def sql(given_tables: Collection[str] = ()) -> dict[str, str]:
+    """Query name -> one self-contained statement over the test tables. Ledger tables named
+    in ``given_tables`` are taken as they lie in the database instead of derived."""
+    steps = {n: t for n, t in RELATIONS.items() if n not in given_tables}
     texts = {}
     for name, (scope, body) in ANSWERS.items():
-        given, found = {**RELATIONS, "report_day": scope}, {}
+        given, found = {**steps, "report_day": scope}, {}
         _needed(body, found, given)
-        steps = ",\n".join(f"{n} AS (\n{t.strip()}\n)" for n, t in found.items())
-        texts[name] = f"WITH {steps}\n{body.strip()}"
+        parts = ",\n".join(f"{n} AS (\n{t.strip()}\n)" for n, t in found.items())
+        texts[name] = f"WITH {parts}\n{body.strip()}" if parts else body.strip()
     return texts
