@@ -8,8 +8,9 @@ from decimal import Decimal
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 
-from duebook import FrameTables
+from duebook import StoredTables
 from duebook.schema import TABLES
 
 Q = dt.date(2001, 6, 30)
@@ -54,12 +55,11 @@ def _value(value, kind: str):
     return value
 
 
-def frames(spark, tables: dict[str, pa.Table]) -> FrameTables:
-    made = {}
+def stored(spark, tables: dict[str, pa.Table], folder) -> StoredTables:
     for name, table in tables.items():
-        schema = ", ".join(f"{c} {t}" for c, t in TABLES[name].items())
-        made[name] = spark.createDataFrame(table.to_pylist(), schema)
-    return FrameTables(made)
+        (folder / name).mkdir()
+        pq.write_table(table, folder / name / "rows.parquet")
+    return StoredTables(spark, str(folder))
 
 
 def database(tables: dict[str, pa.Table]) -> duckdb.DuckDBPyConnection:
