@@ -17,6 +17,26 @@ SETTINGS = {
 }
 
 
+MB, GB = 1024**2, 1024**3
+
+
+def cluster_settings(input_bytes: int) -> dict[str, str]:
+    """Settings for a cluster run over tables of that size.
+
+    Reports read a few narrow columns and combine rows before most shuffles, so a shuffle
+    moves a small part of the input: one partition per 2 GB read keeps partitions within
+    executor memory. AQE merges those that turn out small, but splits none outside skewed
+    joins, so the count must be large enough from the start. Scan splits grow with the
+    input to about 100,000 tasks; map tasks times partitions is the number of blocks.
+    """
+    split = min(GB, max(128 * MB, input_bytes // 100_000))
+    return {
+        **SETTINGS,
+        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // (2 * GB)))),
+        "spark.sql.files.maxPartitionBytes": str(split),
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Single-machine session for tests and the benchmark."""
     builder = (

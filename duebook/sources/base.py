@@ -7,6 +7,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from duebook.schema import DATES, TABLES
 
@@ -37,13 +38,17 @@ class StoredTables(Tables):
 
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet", **options: str):
         self.spark, self.path, self.fmt, self.options = spark, path.rstrip("/"), fmt, options
+        self._schemas: dict[str, StructType | str] = {}
 
     def frame(self, name: str, columns: Sequence[str]) -> DataFrame:
         reader = self.spark.read.format(self.fmt).options(**self.options)
-        if self.fmt in ("csv", "json"):  # text formats carry no types of their own
-            types = TABLES[name]
-            reader = reader.schema(", ".join(f"{c} {t}" for c, t in types.items()))
-        return reader.load(f"{self.path}/{name}")
+        path = f"{self.path}/{name}"
+        if name not in self._schemas:  # finding it touches the files: once will do
+            if self.fmt in ("csv", "json"):  # text formats carry no types of their own
+                self._schemas[name] = ", ".join(f"{c} {t}" for c, t in TABLES[name].items())
+            else:
+                self._schemas[name] = reader.load(path).schema
+        return reader.schema(self._schemas[name]).load(path)
 
 
 class CatalogTables(Tables):
@@ -66,14 +71,18 @@ class FrameTables(Tables):
         return self.frames[name]
 
 
-def write_tables(tables: Tables, path: str, names: Sequence[str] = tuple(TABLES)) -> None:
+def write_tables(
+    tables: Tables, path: str, names: Sequence[str] = tuple(TABLES), files: int | None = None
+) -> None:
     """Write tables as parquet for ``StoredTables``, so that a costly source is assembled
     once. Rows are laid out by the date the reports cut on, so a date filter skips the
     files and row groups outside it; the unique key after the date lets the writer cut a
-    day that holds a large share of the rows into several files."""
+    day that holds a large share of the rows into several files. ``files`` is the number
+    of parts per table; by default the session's shuffle partitions, merged by AQE."""
     for name in names:
         rows = tables.read(name, *TABLES[name])
         if name in DATES:
             order = [DATES[name], next(iter(TABLES[name]))]
-            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            parts = [files] if files else []
+            rows = rows.repartitionByRange(*parts, *order).sortWithinPartitions(*order)
         rows.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -12,6 +12,7 @@ from duebook import AsOf, CatalogTables, Period, StoredTables, TradeTables
 from duebook.operators import claims
 from duebook.plans import listing, production, receivables
 from duebook.schema import DATES, TABLES
+from duebook.session import cluster_settings
 from duebook.sources import write_tables
 from tests.ledger_rows import random_tables, stored
 
@@ -153,3 +154,11 @@ def test_other_formats_and_the_catalog(spark, tables, tmp_path, fmt):
     assert sorted(map(str, listing.transactions(catalog, day).collect())) == want
     for name in names:
         spark.catalog.dropTempView(name)
+
+
+def test_settings_follow_the_input():
+    small, large = cluster_settings(10**9), cluster_settings(100 * 10**12)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert int(small["spark.sql.files.maxPartitionBytes"]) == 128 * 1024**2
+    assert 40_000 < int(large["spark.sql.shuffle.partitions"]) < 50_000
+    assert int(large["spark.sql.files.maxPartitionBytes"]) == 10**9
