@@ -139,18 +139,24 @@ def linked_procedure_fees(tables: Tables) -> DataFrame:
     return rows.withColumnRenamed("procdate", "agedate").select(*_FEE)
 
 
-def linked_adjustment_fees(tables: Tables) -> DataFrame:
-    """What is left of each adjustment linked to a plan. It has no age of its own."""
-    rows = (
-        _links(tables, LINK_ADJUSTMENT, "adjnum")
-        .join(tables.read("adjustment", "adjnum", "patnum", "adjamt"), "adjnum")
+def adjustment_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
+    """What is left of the ``wanted`` adjustments after the payments on them."""
+    adjustments = tables.read("adjustment", "adjnum", "patnum", "adjamt")
+    return (
+        adjustments.join(wanted.select("adjnum").distinct(), "adjnum", "left_semi")
         .join(splits_by(tables, "adjnum").filter("adjnum != 0"), "adjnum", "left")
+        .selectExpr(
+            "adjnum", "patnum", f"{cents('adjamt')} + coalesce(splitamt, {ZERO}) AS fee"
+        )
     )
-    computed = {
-        "procnum": ZERO,
-        "fee": f"{cents('adjamt')} + coalesce(splitamt, {ZERO})",
-        "agedate": f"DATE'{NO_DATE}'",
-    }
+
+
+def linked_adjustment_fees(tables: Tables) -> DataFrame:
+    """What is left of each adjustment linked to a plan, per link. It has no age of its
+    own."""
+    links = _links(tables, LINK_ADJUSTMENT, "adjnum")
+    rows = links.join(adjustment_worth(tables, links), "adjnum")
+    computed = {"procnum": ZERO, "agedate": f"DATE'{NO_DATE}'"}
     return rows.selectExpr(*(f"{computed.get(c, c)} AS {c}" for c in _FEE))
 
 

@@ -20,9 +20,9 @@ def _any_bucket(test: str) -> str:
     return " OR ".join(f"{b} {test}" for b in OPEN_BUCKETS)
 
 
-def _by_name(rows: DataFrame) -> DataFrame:
+def _by_name(rows: DataFrame, as_of: AsOf) -> DataFrame:
     return rows.selectExpr("*", "lower(lname) AS l", "lower(fname) AS f").orderBy(
-        "l", "f", "patnum"
+        *as_of.keys, "l", "f", "patnum"
     )
 
 
@@ -61,7 +61,7 @@ def aging_of_receivables(tables: Tables, as_of: AsOf) -> DataFrame:
     people = tables.read("patient", "patnum", "lname", "fname", "middlei")
     rows = _aged(tables, as_of).filter(_any_bucket(">= 1")).join(people, "patnum")
     shown = (*OPEN_BUCKETS, "BalTotal", "InsWoEst", "InsPayEst")
-    return _by_name(rows).selectExpr(
+    return _by_name(rows, as_of).selectExpr(
         *as_of.keys, "concat(lname, ', ', fname, ' ', middlei) AS patName",
         *(f"{dollars(c)} AS {c.lower()}" for c in shown),
         f"{dollars('BalTotal - InsPayEst - InsWoEst')} AS `$pat`",
@@ -83,7 +83,7 @@ def custom_aging(tables: Tables, as_of: AsOf) -> DataFrame:
         f"({_any_bucket('!= 0')}) AND TotalCharges - TotalCredits > 0"
     )
     people = tables.read("patient", "patnum", "fname", "lname")
-    return _by_name(rows.join(people, "patnum")).selectExpr(
+    return _by_name(rows.join(people, "patnum"), as_of).selectExpr(
         *as_of.keys, "fname", "lname", "patnum",
         *(f"{dollars(b)} AS {b}" for b in OPEN_BUCKETS),
         f"{dollars('TotalCharges - TotalCredits')} AS BalTotal",

@@ -175,7 +175,7 @@ answer("a8_claim_by_proc", f"SELECT procnum, {dbl('inspay', 'writeoff')} FROM cl
 answer("a9_split_by_proc", f"SELECT procnum, {dbl('splitamt')} FROM split_proc")
 answer("a10_split_by_adj", f"SELECT adjnum, {dbl('splitamt')} FROM split_adj")
 answer("a12_trans", f"""
-SELECT tag AS "TranType", 0 AS "PriKey", patnum, d AS "TranDate",
+SELECT tag AS "TranType", CAST(0 AS BIGINT) AS "PriKey", patnum, d AS "TranDate",
        {dbl("amt AS TranAmount", "planamt AS PayPlanAmount", "woest AS InsWoEst",
             "insest AS InsPayEst")} FROM day_group""")
 _AGED = dbl("ChargesOver90", "Charges_61_90", "Charges_31_60", "Charges_0_30", "TotalCredits",

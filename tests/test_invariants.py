@@ -11,8 +11,9 @@ import __spark_entry__ as contract
 from duebook import AsOf, FrameTables, TradeTables
 from duebook.functions.buckets import age_bucket, allocate_oldest_first
 from duebook.functions.keys import duplicate_keys
-from duebook.plans import production, receivables
+from duebook.plans import aging, listing, production, receivables
 from duebook.schema import TABLES
+from tests.ledger_rows import random_tables, stored
 
 Q = dt.date(2001, 6, 30)
 
@@ -87,6 +88,23 @@ def test_series_equals_single_days(spark, sf_dir):
         assert by_day[day] == tuple(production.production_total(tables, AsOf.on(day)).collect()[0])
 
 
+@pytest.mark.parametrize("report", [
+    receivables.receivables_by_clinic, listing.transactions, aging.aging_of_receivables,
+    aging.aging_day_groups, aging.custom_aging, aging.custom_aging_charges,
+])
+def test_series_of_any_report(spark, tmp_path, report):
+    days = [dt.date(2001, 5, 31), Q]
+    tables = stored(spark, random_tables(seed=4, size=60), tmp_path)
+    series = report(tables, AsOf.series(days))
+    column = "ar_date" if "ar_date" in series.columns else "as_of"
+    for day in days:
+        one = report(tables, AsOf.on(day))
+        part = series.filter(f"{column} = DATE'{day}'").select(
+            *(f"`{c}`" for c in one.columns)
+        )
+        assert sorted(map(str, part.collect())) == sorted(map(str, one.collect()))
+
+
 def test_keys_are_unique(spark, sf_dir):
     tables = TradeTables(spark, sf_dir)
     for name, columns in TABLES.items():
