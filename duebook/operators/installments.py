@@ -93,7 +93,15 @@ def plan_entries(tables: Tables, as_of: AsOf) -> DataFrame:
 
 
 _LINK = ("payplannum", "amountoverride", "secdatetentry")
-_FEE = ("linknum", "procnum", "patnum", "fee", "agedate", "amountoverride", "secdatetentry")
+_PROCEDURE = ("procnum", "patnum", "provnum", "clinicnum", "procdate", "procstatus", "procfee",
+              "unitqty", "baseunits", "discount", "discountplanamt")
+# What a link moves into its plan: the override where one is set, else what is left.
+_MOVED = f"-if(amountoverride = 0, fee, {cents('amountoverride')})"
+# Links that move their procedure: all but those of a plan that waits for completed work.
+_COUNTED = f"NOT (dynamicpayplantpoption = 1 AND procstatus != {COMPLETE})"
+# Links whose planned procedure a dynamic plan already counts as done, at a discount.
+_DISCOUNTED = (f"isdynamic = 1 AND dynamicpayplantpoption = 2 AND procstatus = {PLANNED} "
+               "AND (discount != 0 OR discountplanamt != 0)")
 
 
 def _links(tables: Tables, kind: int, target: str) -> DataFrame:
@@ -105,13 +113,13 @@ def _links(tables: Tables, kind: int, target: str) -> DataFrame:
 
 
 def procedure_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
-    """What is left of the ``wanted`` procedures: the fee less the adjustments, insurance
-    money and payments on them. One row per procedure, so no join here can be skewed; the
-    money is summed per procedure before it is joined, without rows that name none."""
-    procedures = tables.read(
-        "procedurelog", "procnum", "patnum", "provnum", "clinicnum", "procdate", "procfee",
-        "unitqty", "baseunits", "procstatus",
-    ).join(wanted.select("procnum").distinct(), "procnum", "left_semi")
+    """What is left of the ``wanted`` procedures (``fee``): their gross fee less the
+    adjustments, insurance money and payments on them. One row per procedure, so no join
+    here can be skewed; the money is summed per procedure before it is joined, without
+    rows that name none."""
+    procedures = tables.read("procedurelog", *_PROCEDURE).join(
+        wanted.select("procnum").distinct(), "procnum", "left_semi"
+    )
     credits = union_all([
         claims_by_procedure(tables).selectExpr("procnum", "inspay + writeoff AS credit"),
         splits_by(tables, "procnum").selectExpr("procnum", "splitamt AS credit"),
@@ -121,22 +129,48 @@ def procedure_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
         procedures.join(credits, "procnum", "left")
         .join(adjusted, ["procnum", "patnum", "provnum", "clinicnum"], "left")
         .selectExpr(
-            "procnum", "patnum", "procdate", "procstatus",
+            "procnum", "patnum", "procdate", "procstatus", "discount", "discountplanamt",
             f"{GROSS_FEE} + coalesce(credit, {ZERO}) + coalesce(adjamt, {ZERO}) AS fee",
         )
     )
 
 
+def _linked_procedures(tables: Tables, valued: bool) -> DataFrame:
+    """Links with their plan and procedure, ``valued`` by what is left of it."""
+    plans = tables.read("payplan", "payplannum", "isdynamic", "dynamicpayplantpoption")
+    links = _links(tables, LINK_PROCEDURE, "procnum")
+    if valued:
+        procedures = procedure_worth(tables, links)
+    else:
+        procedures = tables.read(
+            "procedurelog", "procnum", "patnum", "procdate", "procstatus", "discount",
+            "discountplanamt",
+        )
+    return links.join(plans, "payplannum").join(procedures, "procnum")
+
+
 def linked_procedure_fees(tables: Tables) -> DataFrame:
     """What is left of each procedure linked to a plan, per link."""
-    plans = tables.read("payplan", "payplannum", "dynamicpayplantpoption")
-    links = _links(tables, LINK_PROCEDURE, "procnum")
-    rows = (
-        links.join(plans, "payplannum")
-        .join(procedure_worth(tables, links), "procnum")
-        .filter(f"NOT (dynamicpayplantpoption = 1 AND procstatus != {COMPLETE})")
+    rows = _linked_procedures(tables, valued=True).filter(_COUNTED)
+    return rows.selectExpr("linknum", "procnum", "patnum", "procdate AS agedate", "fee")
+
+
+def linked_procedures(
+    tables: Tables, as_of: AsOf, moved: bool = True, discounted: bool = True
+) -> DataFrame:
+    """Procedures moved into plans, and the discounts on those only planned so far, out of
+    one pass over the links."""
+    entries = []
+    if moved:
+        entries.append((_COUNTED, {"day": "to_date(secdatetentry)", "amount": _MOVED}))
+    if discounted:
+        discount = f"{cents('discount')} + {cents('discountplanamt')}"
+        entries.append((_DISCOUNTED, {"day": "procdate", "amount": discount}))
+    rows = as_of.select(_linked_procedures(tables, valued=moved), "procdate")
+    return ledger_rows(
+        each_entry(rows, entries), as_of.keys, PLAN_LINK,
+        prikey="linknum", patnum="patnum", trandate="entry.day", tranamount="entry.amount",
     )
-    return rows.withColumnRenamed("procdate", "agedate").select(*_FEE)
 
 
 def adjustment_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
@@ -151,42 +185,34 @@ def adjustment_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
     )
 
 
+def _linked_adjustments(tables: Tables) -> DataFrame:
+    links = _links(tables, LINK_ADJUSTMENT, "adjnum")
+    return links.join(adjustment_worth(tables, links), "adjnum")
+
+
 def linked_adjustment_fees(tables: Tables) -> DataFrame:
     """What is left of each adjustment linked to a plan, per link. It has no age of its
     own."""
-    links = _links(tables, LINK_ADJUSTMENT, "adjnum")
-    rows = links.join(adjustment_worth(tables, links), "adjnum")
-    computed = {"procnum": ZERO, "agedate": f"DATE'{NO_DATE}'"}
-    return rows.selectExpr(*(f"{computed.get(c, c)} AS {c}" for c in _FEE))
+    return _linked_adjustments(tables).selectExpr(
+        "linknum", f"{ZERO} AS procnum", "patnum", f"DATE'{NO_DATE}' AS agedate", "fee"
+    )
 
 
-def linked_production(tables: Tables, as_of: AsOf) -> DataFrame:
-    """Production moved into plans: minus the override where one is set, else minus what is
-    left of the linked procedure or adjustment."""
-    rows = linked_procedure_fees(tables).unionByName(linked_adjustment_fees(tables))
+def linked_adjustments(tables: Tables, as_of: AsOf) -> DataFrame:
+    """Adjustments moved into plans; having no age, they count on any report date."""
     return ledger_rows(
-        as_of.select(rows, "agedate"), as_of.keys, PLAN_LINK,
-        prikey="linknum", patnum="patnum", trandate="to_date(secdatetentry)",
-        tranamount=f"-if(amountoverride = 0, fee, {cents('amountoverride')})",
+        as_of.spread(_linked_adjustments(tables)), as_of.keys, PLAN_LINK,
+        prikey="linknum", patnum="patnum", trandate="to_date(secdatetentry)", tranamount=_MOVED,
+    )
+
+
+def linked_production(tables: Tables, as_of: AsOf, discounted: bool = False) -> DataFrame:
+    """Production moved into plans, and the discounts on it where asked for."""
+    return linked_procedures(tables, as_of, discounted=discounted).unionByName(
+        linked_adjustments(tables, as_of)
     )
 
 
 def linked_discounts(tables: Tables, as_of: AsOf) -> DataFrame:
     """Discounts on planned procedures that a dynamic plan already counts as done."""
-    plans = tables.read("payplan", "payplannum", "isdynamic", "dynamicpayplantpoption").filter(
-        "isdynamic = 1 AND dynamicpayplantpoption = 2"
-    )
-    procedures = tables.read(
-        "procedurelog", "procnum", "patnum", "procdate", "procstatus", "discount",
-        "discountplanamt",
-    ).filter(f"procstatus = {PLANNED} AND (discount != 0 OR discountplanamt != 0)")
-    rows = (
-        _links(tables, LINK_PROCEDURE, "procnum")
-        .join(plans, "payplannum", "left_semi")
-        .join(procedures, "procnum")
-    )
-    return ledger_rows(
-        as_of.select(rows, "procdate"), as_of.keys, PLAN_LINK,
-        prikey="linknum", patnum="patnum", trandate="procdate",
-        tranamount=f"{cents('discount')} + {cents('discountplanamt')}",
-    )
+    return linked_procedures(tables, as_of, moved=False)

@@ -68,7 +68,6 @@ def custom_aging(tables: Tables, as_of: AsOf) -> DataFrame:
         claims.writeoff_estimates(tables, as_of),
         charges.adjustments_by_entry(tables, as_of, dated=True),
         installments.plan_entries(tables, as_of),
-        installments.linked_production(tables, as_of),
-        installments.linked_discounts(tables, as_of),
+        installments.linked_production(tables, as_of, discounted=True),
         splits.splits_earned(tables, as_of),
     ])
