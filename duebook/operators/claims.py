@@ -19,11 +19,6 @@ from duebook.sources.base import Tables
 
 _LINE = ("claimprocnum", "procnum", "patnum", "procdate", "datecp", "status", "inspayamt",
          "writeoff", "payplannum")
-_PAY, _WRITEOFF, _EXPECTED = cents("inspayamt"), cents("writeoff"), cents("inspayest")
-_OFF_PLAN_PAY = f"if(payplannum = 0, -{_PAY}, {ZERO})"
-_OFF_PLAN_WRITEOFF = f"if(payplannum = 0, -{_WRITEOFF}, {ZERO})"
-
-
 def _on_complete_work(tables: Tables, columns: Sequence[str], condition: str) -> DataFrame:
     """Lines that meet ``condition`` and are paid by total (no procedure) or on a completed
     procedure."""
@@ -45,48 +40,68 @@ def _pending(as_of: AsOf) -> str:
 
 
 def _claim_lines(
-    tables: Tables, as_of: AsOf, with_clinic: bool, dated: bool, received: str, amount: str,
-    writeoff: str, pending: str,
+    tables: Tables, as_of: AsOf, with_clinic: bool, received: str, pending: str, amount: str,
+    writeoff: str, counts: str, dated: bool = True,
 ) -> DataFrame:
+    """Claim lines that are ``received`` and count for something, or ``pending`` with
+    something to expect. The tests and amounts are columns of their own, made once per
+    line: repeated in place they would grow the generated method past what the JVM
+    compiles."""
     columns = [*_LINE, "inspayest", *place(with_clinic)]
     lines = _on_complete_work(tables, columns, f"status IN {CLAIM_STATUSES}")
     lines = as_of.select(lines, "procdate") if dated else as_of.spread(lines)
+    lines = lines.selectExpr("*", f"{received} AS received", f"{pending} AS pending").filter(
+        f"received AND ({counts}) OR pending AND (inspayest != 0 OR writeoff != 0)"
+    )
+    lines = lines.selectExpr(
+        "*", f"{cents('inspayamt')} AS paid", f"{cents('writeoff')} AS off",
+        f"{cents('inspayest')} AS expected",
+    )
     return ledger_rows(
         lines, [*as_of.keys, *place(with_clinic)], CLAIM,
         prikey="claimprocnum", procnum="procnum", patnum="patnum", trandate="datecp",
         procdate="procdate",
-        tranamount=f"if({received}, {amount}, {ZERO})",
-        woamount=f"if({received}, {writeoff}, {ZERO})",
-        instotest=f"if({pending}, {_EXPECTED} + {_WRITEOFF}, {ZERO})",
-        inspayest=f"if({pending}, {_EXPECTED}, {ZERO})",
-        inswoest=f"if({pending}, {_WRITEOFF}, {ZERO})",
-    ).filter("tranamount != 0 OR woamount != 0 OR inswoest != 0 OR inspayest != 0")
+        tranamount=f"if(received, {amount}, {ZERO})",
+        woamount=f"if(received, {writeoff}, {ZERO})",
+        instotest=f"if(pending, expected + off, {ZERO})",
+        inspayest=f"if(pending, expected, {ZERO})",
+        inswoest=f"if(pending, off, {ZERO})",
+    )
+
+
+_ONE_AMOUNT = {
+    "amount": f"if(payplannum = 0, -paid, {ZERO}) - off",
+    "writeoff": ZERO,
+    "counts": "if(payplannum = 0, inspayamt, 0) + writeoff != 0",
+}
+_TWO_AMOUNTS = {
+    "amount": f"if(payplannum = 0, -paid, {ZERO})",
+    "writeoff": f"if(payplannum = 0, -off, {ZERO})",
+    "counts": "payplannum = 0 AND (inspayamt != 0 OR writeoff != 0)",
+}
 
 
 def claims_receivable(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     """Claim lines with payment and write-off in one amount; a plan line still loses its
     write-off."""
     return _claim_lines(
-        tables, as_of, with_clinic, True, _received(as_of), f"{_OFF_PLAN_PAY} - {_WRITEOFF}",
-        ZERO, _pending(as_of),
+        tables, as_of, with_clinic, _received(as_of), _pending(as_of), **_ONE_AMOUNT
     )
 
 
 def claims_production(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     """Claim lines with payment and write-off apart; a plan line loses neither."""
     return _claim_lines(
-        tables, as_of, with_clinic, True, _received(as_of), _OFF_PLAN_PAY, _OFF_PLAN_WRITEOFF,
-        _pending(as_of),
+        tables, as_of, with_clinic, _received(as_of), _pending(as_of), **_TWO_AMOUNTS
     )
 
 
 def claims_aging(tables: Tables, as_of: AsOf) -> DataFrame:
     """Claim lines as the A/R aging takes them: amounts without a date test (they are cut
     in the sums), estimates for service up to the report date."""
+    pending = f"({as_of.covers('procdate')} AND {_pending(as_of)})"
     return _claim_lines(
-        tables, as_of, False, False, f"status != {NOT_RECEIVED}",
-        f"{_OFF_PLAN_PAY} - {_WRITEOFF}", ZERO,
-        f"({as_of.covers('procdate')} AND {_pending(as_of)})",
+        tables, as_of, False, f"status != {NOT_RECEIVED}", pending, **_ONE_AMOUNT, dated=False
     )
 
 
@@ -104,7 +119,8 @@ def claims_paid(
     return ledger_rows(
         lines, [*scope.keys, *place(with_clinic)], tag,
         prikey="claimprocnum", procnum="procnum", patnum="patnum", trandate="datecp",
-        procdate="procdate", tranamount=f"-{_PAY}", woamount=f"-{_WRITEOFF}",
+        procdate="procdate", tranamount=f"-{cents('inspayamt')}",
+        woamount=f"-{cents('writeoff')}",
     )
 
 
@@ -147,5 +163,5 @@ def writeoff_estimates(tables: Tables, as_of: AsOf) -> DataFrame:
     lines = lines.filter(f"status = {NOT_RECEIVED}").join(sent, "claimprocnum")
     return ledger_rows(
         as_of.select(lines, "datecp"), as_of.keys, WRITEOFF_EST,
-        prikey="claimprocnum", patnum="patnum", trandate="datecp", tranamount=f"-{_WRITEOFF}",
+        prikey="claimprocnum", patnum="patnum", trandate="datecp", tranamount=f"-{cents('writeoff')}",
     )

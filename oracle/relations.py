@@ -464,8 +464,8 @@ GROUP BY {keys}, patnum, procdate, tag, procnum
 
 def _ar_sums(keys: str, source: str) -> str:
     bands = ["0_30", "31_60", "61_90", "91_120", "Over120"]
-    ins = [f"InsOver120" if b == "Over120" else f"Ins_{b}" for b in bands]
-    pat = [f"PatOver120" if b == "Over120" else f"Pat_{b}" for b in bands]
+    ins = ["InsOver120" if b == "Over120" else f"Ins_{b}" for b in bands]
+    pat = ["PatOver120" if b == "Over120" else f"Pat_{b}" for b in bands]
     sums = [f"COALESCE(SUM(instot) FILTER (band = {i}), 0) AS {n}" for i, n in enumerate(ins)]
     sums += [
         f"COALESCE(SUM(amt - instot) FILTER (band = {i} AND tag IN ('ProcSum', 'PPOffset', 'Adj')),"

@@ -110,8 +110,9 @@ def test_keys_are_unique(spark, sf_dir):
     for name, columns in TABLES.items():
         key = next(iter(columns))
         assert duplicate_keys(tables.read(name, key), key).isEmpty(), name
-    twice = FrameTables({"clinic": spark.createDataFrame([(1, "a"), (1, "b")], "clinicnum long, description string")})
-    assert [tuple(r) for r in duplicate_keys(twice.read("clinic", "clinicnum"), "clinicnum").collect()] == [(1, 2)]
+    rows = spark.createDataFrame([(1, "a"), (1, "b")], "clinicnum long, description string")
+    twice = FrameTables({"clinic": rows}).read("clinic", "clinicnum")
+    assert [tuple(r) for r in duplicate_keys(twice, "clinicnum").collect()] == [(1, 2)]
 
 
 def literal_rule(buckets, pay):

@@ -52,6 +52,20 @@ def test_sums_are_combined_before_the_shuffle(tables, no_broadcast, name):
             assert "HashAggregate" in below
 
 
+@pytest.mark.parametrize("name", REPORTS)
+def test_generated_code_stays_small_enough_to_be_compiled(spark, sf_dir, name):
+    """The JVM leaves methods of more than 8000 bytes to the interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the code of the whole plan
+    try:
+        rows = contract.queries()[name](spark, sf_dir)
+        debug = getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$")
+        code = getattr(debug, "MODULE$").codegenString(rows._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_a_month_of_claims_is_read_not_the_history(tables):
     text = plan(claims.claims_paid(tables, Period.between("2001-06-01", "2001-06-30")))
     pushed = [line for line in text.splitlines() if "PushedFilters" in line and "payplannum" in line]
