@@ -211,14 +211,28 @@ def _over_trade(build: Build) -> Query:
     return lambda spark, sf_dir: build(TradeTables(spark, sf_dir))
 
 
+def _text_queries() -> tuple[dict[str, Query], dict[str, str]]:
+    """The text operators and their pipeline, where the package is there."""
+    try:
+        import corpus_pipeline
+        from duebook.llm import queries as text
+    except ImportError:
+        return {}, {}
+    answers = text.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        answers["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**text.queries(), "pipeline": corpus_pipeline.run}, answers
+
+
 def queries() -> dict[str, Query]:
-    """Every operator and report over the ledger tables derived from a test folder."""
-    return {name: _over_trade(build) for name, build in builds().items()}
+    """Every operator and report over the ledger tables derived from a test folder, and the
+    text operators over the test tables themselves."""
+    return {**{name: _over_trade(build) for name, build in builds().items()}, **_text_queries()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The SQL answer of every query."""
-    return oracle.sql()
+    """The SQL answers; a query without one is tested against a plain version of itself."""
+    return {**oracle.sql(), **_text_queries()[1]}
 
 
 def entry(spark: SparkSession) -> DataFrame:
