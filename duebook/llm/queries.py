@@ -7,18 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from duebook.llm import answers
-from duebook.llm.common import table
+from duebook.llm.common import new_folder, table
 from duebook.llm.exact_dedup import exact_dedup
+from duebook.llm.packing import pack_documents
+from duebook.llm.token_files import read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "token_files")
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_token_files": op7_token_files,
+        "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
