@@ -12,3 +12,22 @@ WITH t AS (
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g USING (norm)
 """
+
+WARC = """
+WITH t AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages
+), g AS (
+  SELECT html, min(page_id) AS first FROM t GROUP BY html
+), d AS (
+  SELECT sha, list_aggregate(list_transform(range(32), lambda i: substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(5), lambda j:
+             CASE substr(bits, 5 * i + j + 1, 1) WHEN '1' THEN (1 << (4 - j)) ELSE 0 END))::INT,
+           1)), 'string_agg', '') AS digest
+  FROM (SELECT DISTINCT sha, unhex(sha)::BIT::VARCHAR AS bits FROM t)
+)
+SELECT t.page_id, strlen(t.html) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN t.page_id = g.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN t.page_id <> g.first THEN g.first END AS refers_to
+FROM t JOIN g USING (html) JOIN d USING (sha)
+"""

@@ -11,6 +11,7 @@ from duebook.llm.common import new_folder, table
 from duebook.llm.exact_dedup import exact_dedup
 from duebook.llm.packing import pack_documents
 from duebook.llm.token_files import read_token_files, write_token_files
+from duebook.llm.warc import index_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return index_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token_files")
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
@@ -37,6 +45,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_warc": op6_warc,
         "op7_token_files": op7_token_files,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
@@ -45,5 +54,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_warc": answers.WARC,
         "op9_exact_dedup": answers.EXACT_DEDUP,
     }
