@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from duebook.llm import answers
-from duebook.llm.common import new_folder, table
+from duebook.llm.common import held_out, new_folder, table
 from duebook.llm.exact_dedup import exact_dedup
 from duebook.llm.packing import pack_documents
+from duebook.llm.quality import fit_quality, score_quality
 from duebook.llm.token_files import read_token_files, write_token_files
+from duebook.llm.toxicity import fit_toxicity, score_toxicity
 from duebook.llm.warc import index_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +24,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held)
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held)
+    return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -45,6 +59,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxicity": op2_toxicity,
+        "op4_quality": op4_quality,
         "op6_warc": op6_warc,
         "op7_token_files": op7_token_files,
         "op8_packing": op8_packing,
