@@ -11,6 +11,7 @@ from duebook.llm.common import held_out, new_folder, table
 from duebook.llm.exact_dedup import exact_dedup
 from duebook.llm.packing import pack_documents
 from duebook.llm.quality import fit_quality, score_quality
+from duebook.llm.suffix_lm import score_texts
 from duebook.llm.token_files import read_token_files, write_token_files
 from duebook.llm.toxicity import fit_toxicity, score_toxicity
 from duebook.llm.warc import index_archives, write_archives
@@ -57,6 +58,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out("doc_id", 5, 1)
+    scores = score_texts(table(spark, sf_dir, "documents"), ~held)
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_toxicity": op2_toxicity,
@@ -65,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op7_token_files": op7_token_files,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_suffix_lm": op10_suffix_lm,
     }
 
 
