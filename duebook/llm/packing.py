@@ -114,8 +114,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "spa
         encode = encoder(tokenizer, cut).encode
         for batch in batches:
             starts, lengths, crcs, rows, sizes, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch["text"]):
-                raw = encode([text])[0] + end
+            for i, done in enumerate(encode(batch["text"])):
+                raw = done + end
                 at = cuts(len(raw) // 4, capacity, piece)
                 starts.append(at[:-1])
                 lengths.append(np.diff(at))

@@ -148,8 +148,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, c
         encode = encoder(tokenizer, cut).encode
         names, ids, size = [], [], 0
         for batch in batches:
-            for name, missing, text in zip(batch["id"], batch["missing"], batch["text"]):
-                ids.append(encode([text])[0] + end)
+            for name, missing, done in zip(batch["id"], batch["missing"], encode(batch["text"])):
+                ids.append(done + end)
                 names.append(None if missing else int(name))
                 size += len(ids[-1]) // 4
                 if size >= SEGMENT_TOKENS:

@@ -9,17 +9,32 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-#: Pieces remembered by a worker; beyond that it starts anew, so its memory is bounded.
-CACHED_PIECES = 300_000
+import numpy as np
+
+#: Words, and parts of words, that a worker remembers. Those met first are kept, which the frequent
+#: ones are among; others are encoded each time, so memory is bounded.
+CACHED_WORDS, CACHED_PARTS = 300_000, 300_000
+#: Characters of text encoded together.
+CHUNK_CHARS = 1_000_000
 
 #: Where a text may be cut without changing its ids.
 #: "word": the vocabulary drops white space and never joins across it.
 #: "space": a blank before a visible character opens a new piece and belongs to it.
 CUTS = {"word": re.compile(r"[ \n\r\t]+"), "space": re.compile(r"(?= \S)")}
 
+# Both pre-tokenizers end a piece between one of these letters or digits and one of these marks,
+# either way round: none of the marks starts a contraction, and none of the letters gains a
+# combining mark when the text is normalised. A single line end is a piece too.
+_LETTER, _MARK = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:|]"
+_PARTS = re.compile(rf"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})"
+                    r"|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+
+#: Vocabularies of lower case: A-Z may be lowered first, so that fewer parts are distinct.
+LOWER = {"word": {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}, "space": None}
+
 
 class TextEncoder:
     """encode(texts): the ids of each text as little-endian unsigned 32-bit integers."""
@@ -30,24 +45,41 @@ class TextEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        self._cut = CUTS[cut]
-        self._known: dict[str, bytes] = {}
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        return [self._encode(text or "") for text in texts]
-
-    def _encode(self, text: str) -> bytes:
-        import numpy as np
-
-        pieces = self._cut.split(text)
-        new = list(set(pieces).difference(self._known))
-        if new:
-            if len(self._known) > CACHED_PIECES:
-                self._known.clear()
-                new = list(set(pieces))
-            for piece, done in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self._known[piece] = np.array(done.ids, dtype="<u4").tobytes()
-        return b"".join(map(self._known.__getitem__, pieces))
+        self._cut, self._lower = CUTS[cut], LOWER[cut]
+        self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        held, chars = [], 0
+        for text in texts:
+            held.append(self._cut.split(text or ""))
+            chars += len(text or "")
+            if chars > CHUNK_CHARS:
+                yield from self._joined(held)
+                held, chars = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, texts: list[list[str]]) -> Iterator[bytes]:
+        known = self._words
+        new = self._learn(set().union(*texts).difference(known))
+        if len(known) < CACHED_WORDS:
+            known.update(new)
+            new = {}
+        for words in texts:
+            if new:
+                yield b"".join([known[w] if w in known else new[w] for w in words])
+            else:
+                yield b"".join(map(known.__getitem__, words))
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        cut = {w: _PARTS.split(w.translate(self._lower) if self._lower else w) for w in words}
+        known = self._parts
+        parts = list({p for some in cut.values() for p in some}.difference(known))
+        done = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        new = {p: np.array(d.ids, dtype="<u4").tobytes() for p, d in zip(parts, done)}
+        if len(known) < CACHED_PARTS:
+            known.update(new)
+        return {w: b"".join([known[p] if p in known else new[p] for p in some]) for w, some in cut.items()}
 
 
 @lru_cache(maxsize=4)
