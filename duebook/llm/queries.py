@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from duebook.llm import answers
 from duebook.llm.common import held_out, new_folder, table
+from duebook.llm.decontamination import contaminated
 from duebook.llm.exact_dedup import exact_dedup
 from duebook.llm.packing import pack_documents
 from duebook.llm.quality import fit_quality, score_quality
@@ -37,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -69,6 +74,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_toxicity": op2_toxicity,
         "op4_quality": op4_quality,
+        "op5_decontamination": op5_decontamination,
         "op6_warc": op6_warc,
         "op7_token_files": op7_token_files,
         "op8_packing": op8_packing,
