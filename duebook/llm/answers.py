@@ -31,3 +31,28 @@ SELECT t.page_id, strlen(t.html) AS payload_bytes, d.digest AS payload_digest,
        CASE WHEN t.page_id <> g.first THEN g.first END AS refers_to
 FROM t JOIN g USING (html) JOIN d USING (sha)
 """
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []
+           WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+           END) AS shingles
+  FROM w
+), e AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a
+)
+SELECT s.doc_id, any_value(len(s.shingles)) AS n_shingles, min(r.reached) AS component_id
+FROM s JOIN r USING (doc_id) GROUP BY s.doc_id
+"""

@@ -10,6 +10,7 @@ from duebook.llm import answers
 from duebook.llm.common import held_out, new_folder, table
 from duebook.llm.decontamination import contaminated
 from duebook.llm.exact_dedup import exact_dedup
+from duebook.llm.ngram_join import jaccard_join
 from duebook.llm.packing import pack_documents
 from duebook.llm.quality import fit_quality, score_quality
 from duebook.llm.suffix_lm import score_texts
@@ -26,6 +27,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held)
@@ -72,6 +77,7 @@ def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_toxicity": op2_toxicity,
         "op4_quality": op4_quality,
         "op5_decontamination": op5_decontamination,
@@ -85,6 +91,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": answers.NGRAM_JOIN,
         "op6_warc": answers.WARC,
         "op9_exact_dedup": answers.EXACT_DEDUP,
     }
