@@ -56,3 +56,10 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
 
 def salted(column: str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+
+
+def joined_evenly(rows: DataFrame, answers: DataFrame, key: str, salt: str) -> DataFrame:
+    """rows left-joined to answers, one per key, without bringing a hot key's rows to one task: an
+    answer goes to each salt that its key has, SALTS at most."""
+    places = rows.select(key, salt).distinct()
+    return rows.join(answers.join(places, key), [key, salt], "left")

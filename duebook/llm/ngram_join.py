@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duebook.llm.common import salted, stored
+from duebook.llm.common import joined_evenly, salted, stored
 from duebook.llm.components import components
 from duebook.llm.words import hashes_of, shingles_of, words_of
 
@@ -287,9 +287,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named_by = labelled.join(least, "component").select("node", "component_id")
-    # Back to the rows by node and salt, so that a hot set's rows are spread.
-    spread = named_by.join(named.select("node", "salt").distinct(), "node")
-    answer = sets.join(spread, ["node", "salt"], "left")
+    answer = joined_evenly(sets, named_by, "node", "salt")
     return answer.select(
         F.when(~F.col("missing"), F.col("id")).alias(id_col), F.col("n").alias("n_shingles"),
         F.when(~F.col("missing"), F.coalesce("component_id", "id")).alias("component_id"))

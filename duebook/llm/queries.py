@@ -13,6 +13,7 @@ from duebook.llm.exact_dedup import exact_dedup
 from duebook.llm.ngram_join import jaccard_join
 from duebook.llm.packing import pack_documents
 from duebook.llm.quality import fit_quality, score_quality
+from duebook.llm.suffix_dedup import remove_repeats
 from duebook.llm.suffix_lm import score_texts
 from duebook.llm.token_files import read_token_files, write_token_files
 from duebook.llm.toxicity import fit_toxicity, score_toxicity
@@ -37,6 +38,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
     model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held)
@@ -79,6 +84,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_toxicity": op2_toxicity,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality": op4_quality,
         "op5_decontamination": op5_decontamination,
         "op6_warc": op6_warc,
