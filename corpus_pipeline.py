@@ -1,4 +1,4 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: from documents to packed sequences, each stage by one operator."""
 
 from __future__ import annotations
 
@@ -6,28 +6,62 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duebook.llm.common import new_folder, table
+from duebook.llm.common import held_out, new_folder, table
+from duebook.llm.decontamination import contaminated
 from duebook.llm.exact_dedup import exact_dedup
+from duebook.llm.ngram_join import jaccard_join
+from duebook.llm.packing import pack_documents
+from duebook.llm.quality import fit_quality, score_quality
+from duebook.llm.queries import tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject. It is fitted on labelled documents of
+    the stage's input, the held-out ones aside."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    rejected = score_quality(docs, model).where("predicted = 0").select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti")
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
+    dropped = exact_dedup(docs).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti")
+
+
+def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group that links join."""
+    dropped = jaccard_join(docs).where("component_id <> doc_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti")
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents in sequences of tokens."""
+    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("exact_dedup", drop_exact_copies),
+    ("quality", keep_good),
+    ("exact_dedup", keep_one_copy),
+    ("ngram_join", keep_one_near_copy),
+    ("decontamination", keep_clean),
+    ("packing", pack),
 ]
 
-#: The classifier's scores cannot be had in SQL.
+#: The classifier's scores and the token ids can't be had in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over what its predecessor kept, written as Parquet and read back."""
+    """Every stage over all that its predecessor kept, written as Parquet and read back."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, f"stage-{name}")
