@@ -16,7 +16,7 @@ import numpy as np
 
 #: Words, and parts of words, that a worker remembers. Those met first are kept, which the frequent
 #: ones are among; others are encoded each time, so memory is bounded.
-CACHED_WORDS, CACHED_PARTS = 300_000, 300_000
+CACHED_WORDS, CACHED_PARTS = 150_000, 1_000_000
 #: Characters of text encoded together.
 CHUNK_CHARS = 1_000_000
 
