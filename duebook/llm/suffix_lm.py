@@ -248,7 +248,7 @@ def _retain(tree: SuffixTree, row_counts: np.ndarray, keys: np.ndarray, values:
         scores[at] = np.log10(p)
     # Divergence of the counts from the suffix's prediction, the words without entries as one.
     share = values / row_counts[own]
-    gain = np.bincount(own, weights=values * (np.log(share) - np.log(10) * beneath), minlength=rows)
+    gain = np.bincount(own, weights=values * (np.log(share) - np.log(10) * beneath), minlength=rows).astype(float)
     rest = np.maximum(row_counts - np.bincount(own, weights=values, minlength=rows), 0)
     rest_beneath = np.clip(1 - np.bincount(own, weights=10**beneath, minlength=rows), 1e-12, 1)
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -17,18 +17,21 @@ from pyspark.sql import functions as F
 
 from duebook.llm.sampling import labelled_sample
 
-SIZES = (3, 4, 5)
-CELL_BITS = 19
+#: Bytes of an n-gram: stems within words, and whole words with the blank before them.
+SIZES = (3, 5, 7)
+CELL_BITS = 20
 #: Labelled texts of each class that the model is fitted on at most; this bounds the driver's share.
 #: Each class has the same bound and the share of the classes in all labels sets the intercept.
 SAMPLE_PER_CLASS = 2_000
 #: Texts of the sample that a feature must occur in.
 LEAST_TEXTS = 3
 #: Features whose log-count ratio is nearer to 0 are as common in either class; they get no weight.
-LEAST_RATIO = 0.3
+LEAST_RATIO = 1.5
 SMOOTHING = 1.0
-RIDGE = 1e-3
-STEPS = 50
+RIDGE = 0.1
+STEPS = 60
+#: Parts of the sample; each is scored by a model of the others, and these scores set the scale.
+FOLDS = 3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,46 +66,80 @@ class _Distinct:
 @dataclass
 class ToxicityModel:
     weights: np.ndarray  # log-count ratio times fitted weight, by cell
+    scale: float
     intercept: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         distinct = _Distinct()
         sums = np.array([self.weights[distinct(cells_of(t))].sum() for t in texts], dtype=np.float64)
-        return 1 / (1 + np.exp(-np.clip(sums + self.intercept, -500, 500)))
+        return _sigmoid(self.scale * sums + self.intercept)
 
 
-def fit(cells: list[np.ndarray], labels: np.ndarray, share: float) -> ToxicityModel:
-    """cells: the distinct cells of each text; share: of label 1 among all labelled texts."""
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def fit_weights(cells: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Weight per cell. cells: the distinct cells of each text; y: 0 or 1, both there."""
     size, n = 1 << CELL_BITS, len(cells)
-    y = labels.astype(np.float64)
-    prior = float(np.log((share * n + 1) / ((1 - share) * n + 1)))
-    if not 0 < y.sum() < n:
-        return ToxicityModel(np.zeros(size), prior)
     toxic, other = np.zeros(size), np.zeros(size)
-    for text_cells, label in zip(cells, labels):  # cells of a text are distinct
+    for text_cells, label in zip(cells, y):
         (toxic if label else other)[text_cells] += 1
     ratio = np.log((toxic + SMOOTHING) / (toxic + SMOOTHING).sum()) \
         - np.log((other + SMOOTHING) / (other + SMOOTHING).sum())
     ratio[(toxic + other < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    cells = [c[ratio[c] != 0] for c in cells]
-    flat = np.concatenate(cells)
-    text = np.repeat(np.arange(n), [len(c) for c in cells])
+    used = [c[ratio[c] != 0] for c in cells]
+    flat = np.concatenate(used)
+    text = np.repeat(np.arange(n), [len(c) for c in used])
     value = ratio[flat]
     # Classes weigh alike in the fit, whatever their part of the sample.
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
-    w, b = np.full(size, 0.0), 0.0
+    w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, STEPS + 1):
         z = np.bincount(text, weights=value * w[flat], minlength=n) + b
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        error = weight * (_sigmoid(z) - y)
         g = np.bincount(flat, weights=value * error[text], minlength=size) + RIDGE * w
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        rate = 0.02
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        b -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-8)
-    return ToxicityModel((ratio * w), b + prior)
+        w -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        b -= 0.02 * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-8)
+    return ratio * w
+
+
+def _scaled(sums: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Scale and intercept of a logistic curve through the sums, for that share of label 1."""
+    weight = np.where(y > 0, share / y.sum(), (1 - share) / (len(y) - y.sum()))
+    spread = sums.std() + 1e-9
+    x = np.stack([sums / spread, np.ones(len(y))], axis=1)
+    at = np.zeros(2)
+    for _ in range(50):  # Newton, with a ridge that keeps separable sums finite
+        p = _sigmoid(x @ at)
+        gradient = x.T @ (weight * (p - y)) + 1e-4 * at
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        at -= np.clip(np.linalg.solve(curve, gradient), -2, 2)
+    return float(at[0] / spread), float(at[1])
+
+
+def fit(cells: list[np.ndarray], labels: np.ndarray, share: float) -> ToxicityModel:
+    """share: of label 1 among all labelled texts."""
+    n, y = len(cells), labels.astype(np.float64)
+    if not 0 < y.sum() < n:
+        prior = np.log((share * n + 1) / ((1 - share) * n + 1))
+        return ToxicityModel(np.zeros(1 << CELL_BITS), 1.0, float(prior))
+    fold = np.empty(n, dtype=np.int64)
+    for label in (0, 1):  # each fold has its part of either label
+        places = np.flatnonzero(y == label)
+        fold[places] = np.arange(len(places)) % FOLDS
+    sums = np.zeros(n)
+    for k in range(FOLDS):
+        inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if 0 < y[inside].sum() < len(inside):
+            weights = fit_weights([cells[i] for i in inside], y[inside])
+            sums[outside] = [weights[cells[i]].sum() for i in outside]
+    scale, intercept = _scaled(sums, y, share)
+    return ToxicityModel(fit_weights(cells, y), max(scale, 0.0), intercept)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str = "toxic",
