@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from duebook.llm.sampling import labelled_sample
 
 #: Bytes of an n-gram: stems within words, and whole words with the blank before them.
-SIZES = (3, 5, 7)
+SIZES = (5, 7, 9)
 CELL_BITS = 20
 #: Labelled texts of each class that the model is fitted on at most; this bounds the driver's share.
 #: Each class has the same bound and the share of the classes in all labels sets the intercept.

@@ -54,7 +54,7 @@ def test_odd_documents_are_scored(spark, odd, none, fitted, scored, label):
 
 def test_cells_are_of_lower_case_bytes():
     assert (cells_of("IDIOT") == cells_of("idiot")).all()
-    assert len(cells_of("ab")) == 0 and len(cells_of("abc")) == 1 and len(cells_of(None)) == 0
+    assert len(cells_of("abcd")) == 0 and len(cells_of("abcde")) == 1 and len(cells_of(None)) == 0
 
 
 def test_every_word_is_in_a_passage():
