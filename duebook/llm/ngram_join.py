@@ -3,8 +3,9 @@
 The matrix has a row per distinct shingle set and a column per shingle. Columns are ordered from
 rare to frequent, and of each row only the first columns are multiplied: two rows of similarity t
 share one of the first n - ceil(t n) + 1. Blocks are the columns' entries within a range of row
-sizes; products are accumulated to overlap counts per pair, and a pair is dropped as soon as its
-sizes and its count say that it can't reach t. What is left is verified on whole sets.
+sizes. A pair is dropped as soon as the bound that its sizes give can't be reached: first by the
+places of the column in both rows, then by the accumulated overlap count of their first columns.
+What is left is verified on whole sets.
 
 Copies are one row from the start. A column with many rows would still give the square of their
 number, so a few rounds first multiply each block with one of its rows only; the links found join
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duebook.llm.common import joined_evenly, salted, stored
@@ -135,12 +136,13 @@ class _Join:
             F.min("id").alias("first_id")), "shingle_nodes")
 
     def entries(self, counts) -> DataFrame:
-        """h, node, n: entries of the matrix in columns that more than one node has."""
+        """h, node, n, place: entries of the matrix in columns that more than one node has; place
+        is the number of the node's columns before."""
         size, per_cent = self.size, self.per_cent
 
         def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                seen, columns, nodes, n, parts = set(), [], [], [], []
+                seen, columns, nodes, n, parts, places = set(), [], [], [], [], []
                 for text in batch["text"]:
                     shingles = _sets(text, size)
                     node = _node(shingles)
@@ -152,18 +154,20 @@ class _Join:
                     # A column that may be hot is dealt by node too; -1 marks the others.
                     parts.append(np.where(weight > HOT_COLUMN, node % (weight // HOT_COLUMN + 1), -1))
                     nodes.append(np.full(len(first), node))
-                    n.append(np.full(len(first), len(shingles)))
+                    n.append(np.full(len(first), len(shingles), dtype=np.int32))
+                    places.append(np.arange(len(first), dtype=np.int32))
                 if columns:
                     yield pd.DataFrame({"h": np.concatenate(columns), "part": np.concatenate(parts),
-                                        "node": np.concatenate(nodes), "n": np.concatenate(n)})
+                                        "node": np.concatenate(nodes), "n": np.concatenate(n),
+                                        "place": np.concatenate(places)})
 
         every = self.rows.where(~F.col("missing")).select("text").mapInPandas(
-            made, "h long, part long, node long, n long")
+            made, "h long, part long, node long, n int, place int")
         # One exchange serves both the copies of other batches and the count.
         column = Window.partitionBy("h", "part")
-        dealt = every.repartition("h", "part").dropDuplicates(["h", "part", "node", "n"])
+        dealt = every.repartition("h", "part").dropDuplicates(["h", "part", "node"])
         return stored(dealt.withColumn("rows", F.count(F.lit(1)).over(column))
-                      .where("rows > 1 or part >= 0").select("h", "node", "n"), "shingle_entries")
+                      .where("rows > 1 or part >= 0").select("h", "node", "n", "place"), "shingle_entries")
 
     def plausible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs a, b with an overlap count of first columns that the sizes allow to be enough.
@@ -209,23 +213,27 @@ class _Join:
         return stored(rows.mapInPandas(compared, "a long, b long, linked boolean")
                       .groupBy("a", "b").agg(F.max("linked").alias("linked")), "shingle_links")
 
-    def sizes_allow(self, x: str, y: str):
-        return (F.least(x, y) * 100) >= (F.greatest(x, y) * self.per_cent)
+    def sizes_allow(self, n: str, place: str, other_n: str, other_place: str) -> Column:
+        """Whether two nodes that meet in a column can be similar enough with this one as the first
+        that they share. The shingles before it are then lost to either, and the rest must do; a
+        similar pair passes at least in the first column it shares."""
+        p = self.per_cent
+        rest = F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place))
+        return rest * (100 + p) >= (F.col(n) + F.col(other_n)) * p
 
-    def block_pairs(self, entries: DataFrame, columns: DataFrame, seed: int) -> DataFrame:
+    def block_pairs(self, entries: DataFrame, seed: int) -> DataFrame:
         """Each block's rows with one of its rows, the same one wherever it can be."""
         block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / self.per_cent)))
         rows = entries.withColumn("block", block)
         first = rows.groupBy("h", "block").agg(F.min(F.struct(
-            F.xxhash64(F.col("node"), F.lit(seed)).alias("o"), F.col("node"), F.col("n"), F.col("component"),
-        )).alias("p"))
+            F.xxhash64(F.col("node"), F.lit(seed)).alias("o"), F.col("node"), F.col("n"), F.col("place"),
+            F.col("component"))).alias("p"))
         pairs = rows.join(first, ["h", "block"]).where(
-            (F.col("component") != F.col("p.component")) & self.sizes_allow("n", "p.n"))
-        return self.overlaps(pairs.select(
-            F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), columns)
+            (F.col("component") != F.col("p.component")) & self.sizes_allow("n", "place", "p.n", "p.place"))
+        return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
     def full_pairs(self, entries: DataFrame) -> DataFrame:
-        """The product of all columns, without pairs within a component, summed to overlap counts.
+        """The pairs of all columns, without those within a component.
 
         Each pair between components has a node outside the column's largest component, so only
         those are multiplied with the whole column.
@@ -234,14 +242,15 @@ class _Join:
         largest = by_component.groupBy("h").agg(F.max(F.struct("c", "component"))["component"].alias("major"))
         marked = entries.join(largest, "h")
         minor = marked.where("component <> major").select(
-            "h", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-        every = marked.select("h", F.col("node").alias("y"), F.col("n").alias("yn"),
-                              F.col("component").alias("yc"), (F.col("component") == F.col("major")).alias("main"))
+            "h", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"),
+            F.col("component").alias("xc"))
+        every = marked.select(
+            "h", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"),
+            F.col("component").alias("yc"), (F.col("component") == F.col("major")).alias("main"))
         pairs = minor.join(every, "h").where(
             (F.col("xc") != F.col("yc")) & (F.col("main") | (F.col("x") < F.col("y")))
-            & self.sizes_allow("xn", "yn"))
-        return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-            F.count(F.lit(1)).alias("overlap"))
+            & self.sizes_allow("xn", "xp", "yn", "yp"))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -271,16 +280,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     checked = None
     current = entries.withColumn("component", F.col("node"))
     for step in range(rounds + 1):
-        pairs = join.block_pairs(current, columns, step) if step < rounds else join.full_pairs(current)
-        pairs = join.plausible(pairs, nodes)
+        pairs = join.block_pairs(current, step) if step < rounds else join.full_pairs(current)
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        now = join.verified(pairs, nodes)
+        now = join.verified(join.plausible(join.overlaps(pairs, columns), nodes), nodes)
         checked = now if checked is None else checked.unionByName(now)
         found = components(checked.where("linked").select("a", "b").unionByName(links))
         if step < rounds:
             labelled = entries.join(found, "node", "left").select(
-                "h", "node", "n", F.coalesce("component", "node").alias("component"))
+                "h", "node", "n", "place", F.coalesce("component", "node").alias("component"))
             open_columns = labelled.groupBy("h").agg(
                 F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
             current = stored(labelled.join(open_columns, "h", "left_semi"), "shingle_entries")
