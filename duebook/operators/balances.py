@@ -28,6 +28,10 @@ CREDIT_BUCKETS = ("Credits_0_30", "Credits_31_60", "Credits_61_90", "CreditsOver
 OPEN_BUCKETS = ("Bal_0_30", "Bal_31_60", "Bal_61_90", "BalOver90")
 
 
+# True or false for every row, a NULL procedure included.
+_UNATTACHED = "agedprocnum <=> 0"
+
+
 def _sums(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*map(F.expr, sums))
 
@@ -84,12 +88,13 @@ def open_receivables(sums: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def day_groups(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The aging ledger per patient, day and kind of row; rows attached to a procedure are
     put together per procedure and day. Where such a group comes to a credit it takes the
-    day of the procedure, which only the finished sum can tell."""
+    day of the procedure, which only the finished sum can tell. A NULL procedure is not
+    "none": its rows make a group of their own, which keeps its day."""
     amounts = ("tranamount", "payplanamount", "inswoest", "inspayest")
     rows = ledger.selectExpr(
         *keys, "patnum", "agedprocnum", "agedprocdate", "trandate", *amounts,
-        f"if(agedprocnum != 0, '{PROC_AND_DATE}', trantype) AS trantype",
-        "if(agedprocnum != 0, 0, if(tranamount < 0, -1, 1)) AS side",
+        f"if({_UNATTACHED}, trantype, '{PROC_AND_DATE}') AS trantype",
+        f"if({_UNATTACHED}, if(tranamount < 0, -1, 1), 0) AS side",
     )
     groups = _sums(
         rows, [*keys, "patnum", "agedprocnum", "trandate", "trantype", "side"],
@@ -109,8 +114,8 @@ def aged_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataF
     summing the rows equals summing their groups. Only the attached adjustments go
     through the grouping; the bulk of the ledger is shuffled once, as partial sums.
     """
-    free = ledger.filter("agedprocnum = 0")
-    attached = day_groups(ledger.filter("agedprocnum != 0"), keys)
+    free = ledger.filter(_UNATTACHED)
+    attached = day_groups(ledger.filter(f"NOT ({_UNATTACHED})"), keys)
     used = [*keys, "trantype", "patnum", "trandate", "tranamount", "payplanamount", "inswoest",
             "inspayest"]
     return charge_sums(union_all([free.select(*used), attached.select(*used)]), as_of, keys)

@@ -35,7 +35,7 @@ def _rows(splits: DataFrame, keys: Sequence[str], apart: bool = True) -> DataFra
         splits, keys, PAT_PAY,
         prikey="splitnum", patnum="patnum", trandate="datepay", procdate="procdate",
         tranamount=f"if(payplannum = 0, {paid}, {ZERO})" if apart else paid,
-        payplanamount=f"if(payplannum = 0, {ZERO}, {paid})" if apart else ZERO,
+        payplanamount=f"if(payplannum != 0, {paid}, {ZERO})" if apart else ZERO,
     )
 
 

@@ -340,7 +340,7 @@ WHERE procstatus = 1 AND isdynamic = 1 AND dynamicpayplantpoption = 2
 
 RELATIONS["split_open"] = """
 SELECT s.*, CASE WHEN s.payplannum = 0 THEN -splitamt ELSE 0 END AS plainamt,
-       CASE WHEN s.payplannum = 0 THEN 0 ELSE -splitamt END AS planamt
+       CASE WHEN s.payplannum <> 0 THEN -splitamt ELSE 0 END AS planamt
 FROM paysplit s LEFT JOIN payplan p ON p.payplannum = s.payplannum
 WHERE splitamt <> 0 AND (s.payplannum = 0 OR p.isclosed = 0)
 """
@@ -355,7 +355,7 @@ RELATIONS["split_month"] = "SELECT s.* FROM split_open s JOIN win ON datepay BET
 RELATIONS["split_paid"] = """
 SELECT splitnum, patnum, clinicnum, datepay, procdate, unearnedtype, -splitamt AS amount,
        CASE payplannum WHEN 0 THEN -splitamt ELSE 0 END AS plainamt,
-       CASE payplannum WHEN 0 THEN 0 ELSE -splitamt END AS planamt
+       CASE WHEN payplannum <> 0 THEN -splitamt ELSE 0 END AS planamt
 FROM paysplit JOIN report_day ON datepay <= upto WHERE splitamt <> 0
 """
 
@@ -577,7 +577,7 @@ FROM (
   SELECT patnum, agedproc, d, tag2, side, SUM(amt) AS amt, SUM(planamt) AS planamt,
          SUM(woest) AS woest, SUM(insest) AS insest, MIN(ageddate) AS ageddate
   FROM (SELECT *, CASE agedproc WHEN 0 THEN tag ELSE 'SumByProcAndDate' END AS tag2,
-               CASE WHEN agedproc <> 0 THEN 0 WHEN amt >= 0 THEN 1 ELSE -1 END AS side
+               CASE WHEN agedproc IS DISTINCT FROM 0 THEN 0 WHEN amt >= 0 THEN 1 ELSE -1 END AS side
         FROM led_aging)
   GROUP BY patnum, agedproc, d, tag2, side)
 """

@@ -70,10 +70,25 @@ def database(tables: dict[str, pa.Table]) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def random_tables(seed: int, size: int = 300) -> dict[str, pa.Table]:
+# Columns that a ledger may leave empty: references, places and days.
+_GAPS = {
+    "procedurelog": ("provnum", "clinicnum", "procdate"),
+    "claimproc": ("procnum", "clinicnum", "payplannum", "procdate", "datecp"),
+    "adjustment": ("procnum", "provnum", "clinicnum", "adjdate", "procdate"),
+    "payplan": ("plannum", "payplandate"),
+    "payplancharge": ("payplannum", "chargedate"),
+    "payplanlink": ("payplannum", "fkey", "secdatetentry"),
+    "paysplit": ("paynum", "procnum", "adjnum", "clinicnum", "payplannum", "datepay", "procdate", "unearnedtype"),
+    "payment": ("dateentry",),
+    "patient": ("clinicnum",),
+}
+
+
+def random_tables(seed: int, size: int = 300, gaps: float = 0.0) -> dict[str, pa.Table]:
     """Ledgers with every code, dates on and around each cut-off, sentinel and dangling
     references, negative amounts, and a third of the rows on one patient, one clinic, one
-    procedure, one plan or on the 0 reference."""
+    procedure, one plan or on the 0 reference. ``gaps`` is the share of NULLs in the columns
+    that may be empty."""
     r = random.Random(seed)
     people, works, plans = range(1, 13), range(1, size + 1), range(1, 31)
 
@@ -111,7 +126,7 @@ def random_tables(seed: int, size: int = 300) -> dict[str, pa.Table]:
         number = ref(works)
         adjustments.append(dict(procnum=number, adjdate=day(), procdate=day(), adjamt=money(-20),
                                 **on_procedure(number)))
-    return arrow_tables(
+    tables = dict(
         procedurelog=procedures,
         claimproc=[
             dict(procnum=ref(range(1, size + 20)), patnum=hot(people), clinicnum=hot(range(1, 5)),
@@ -156,3 +171,7 @@ def random_tables(seed: int, size: int = 300) -> dict[str, pa.Table]:
         ],
         clinic=[dict(clinicnum=i, description=f"clinic {i}") for i in (1, 2, 3)],
     )
+    for name, columns in _GAPS.items():
+        for row in tables[name]:
+            row.update({c: None for c in columns if r.random() < gaps})
+    return arrow_tables(**tables)
