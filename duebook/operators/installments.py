@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duebook.functions.money import ZERO, cents
 from duebook.operators.charges import GROSS_FEE
-from duebook.operators.linked import adjustment_by_procedure, claims_by_procedure, splits_by
+from duebook.operators.linked import claims_by_procedure, splits_by
 from duebook.operators.rows import each_entry, ledger_rows, place, union_all
 from duebook.params import AsOf, Period
 from duebook.schema import (
@@ -114,24 +114,25 @@ def _links(tables: Tables, kind: int, target: str) -> DataFrame:
 
 def procedure_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
     """What is left of the ``wanted`` procedures (``fee``): their gross fee less the
-    adjustments, insurance money and payments on them. One row per procedure, so no join
-    here can be skewed; the money is summed per procedure before it is joined, without
-    rows that name none."""
-    procedures = tables.read("procedurelog", *_PROCEDURE).join(
-        wanted.select("procnum").distinct(), "procnum", "left_semi"
-    )
+    adjustments, insurance money and payments on them. Claims, payments and adjustments are
+    cut to the wanted procedures before anything is grouped, so what is shuffled grows with
+    the links, not with the facts; rows that name no procedure go with that cut. An
+    adjustment counts where patient, provider and clinic are those of its procedure. All
+    joins are by procedure alone, so one placement serves them."""
+    wanted = wanted.filter("procnum != 0").select("procnum").distinct()
+    procedures = tables.read("procedurelog", *_PROCEDURE).join(wanted, "procnum", "left_semi")
+    own = procedures.selectExpr("procnum", "patnum AS pat", "provnum AS prov", "clinicnum AS clinic")
+    adjusted = tables.read("adjustment", "procnum", "patnum", "provnum", "clinicnum", "adjamt")
+    same = "patnum = pat AND provnum = prov AND clinicnum = clinic"
     credits = union_all([
-        claims_by_procedure(tables).selectExpr("procnum", "inspay + writeoff AS credit"),
-        splits_by(tables, "procnum").selectExpr("procnum", "splitamt AS credit"),
-    ]).filter("procnum != 0").groupBy("procnum").agg(F.expr("sum(credit) AS credit"))
-    adjusted = adjustment_by_procedure(tables).filter("procnum != 0")
-    return (
-        procedures.join(credits, "procnum", "left")
-        .join(adjusted, ["procnum", "patnum", "provnum", "clinicnum"], "left")
-        .selectExpr(
-            "procnum", "patnum", "procdate", "procstatus", "discount", "discountplanamt",
-            f"{GROSS_FEE} + coalesce(credit, {ZERO}) + coalesce(adjamt, {ZERO}) AS fee",
-        )
+        claims_by_procedure(tables, wanted).selectExpr("procnum", "inspay + writeoff AS credit"),
+        splits_by(tables, "procnum", wanted).selectExpr("procnum", "splitamt AS credit"),
+        adjusted.join(own, "procnum").selectExpr(
+            "procnum", f"if({same}, {cents('adjamt')}, {ZERO}) AS credit"),
+    ]).groupBy("procnum").agg(F.expr("sum(credit) AS credit"))
+    return procedures.join(credits, "procnum", "left").selectExpr(
+        "procnum", "patnum", "procdate", "procstatus", "discount", "discountplanamt",
+        f"{GROSS_FEE} + coalesce(credit, {ZERO}) AS fee",
     )
 
 
@@ -175,10 +176,11 @@ def linked_procedures(
 
 def adjustment_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
     """What is left of the ``wanted`` adjustments after the payments on them."""
+    wanted = wanted.filter("adjnum != 0").select("adjnum").distinct()
     adjustments = tables.read("adjustment", "adjnum", "patnum", "adjamt")
     return (
-        adjustments.join(wanted.select("adjnum").distinct(), "adjnum", "left_semi")
-        .join(splits_by(tables, "adjnum").filter("adjnum != 0"), "adjnum", "left")
+        adjustments.join(wanted, "adjnum", "left_semi")
+        .join(splits_by(tables, "adjnum", wanted), "adjnum", "left")
         .selectExpr(
             "adjnum", "patnum", f"{cents('adjamt')} + coalesce(splitamt, {ZERO}) AS fee"
         )

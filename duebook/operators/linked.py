@@ -1,4 +1,6 @@
-"""Money per procedure or adjustment, summed before it is joined to a plan link."""
+"""Money per procedure or adjustment, summed before it is joined to a plan link. ``among``
+restricts the rows to the keys of a frame before they are grouped: the few that plans link
+to, out of all facts."""
 
 from __future__ import annotations
 
@@ -20,6 +22,10 @@ def adjustment_by_procedure(tables: Tables) -> DataFrame:
     return rows.groupBy(*where).agg(F.expr(f"sum({cents('adjamt')}) AS adjamt"))
 
 
+def _restricted(rows: DataFrame, key: str, among: DataFrame | None) -> DataFrame:
+    return rows if among is None else rows.join(among.select(key), key, "left_semi")
+
+
 def _settled_or(actual: str, guess: str) -> str:
     return f"coalesce(if(status IN {SETTLED}, {actual}, {guess}), 0)"
 
@@ -28,7 +34,7 @@ def _if_set(amount: str) -> str:
     return f"nullif({amount}, {UNSET})"
 
 
-def claims_by_procedure(tables: Tables) -> DataFrame:
+def claims_by_procedure(tables: Tables, among: DataFrame | None = None) -> DataFrame:
     """Insurance money per procedure, negative: actual amounts of settled lines, for the
     others the override, else the estimate."""
     rows = tables.read(
@@ -39,15 +45,15 @@ def claims_by_procedure(tables: Tables) -> DataFrame:
     writeoff = _settled_or(
         "writeoff", f"coalesce({_if_set('writeoffestoverride')}, {_if_set('writeoffest')})"
     )
-    return rows.groupBy("procnum").agg(
+    return _restricted(rows, "procnum", among).groupBy("procnum").agg(
         F.expr(f"sum(-{cents(pay)}) AS inspay"), F.expr(f"sum(-{cents(writeoff)}) AS writeoff")
     )
 
 
-def splits_by(tables: Tables, key: str) -> DataFrame:
+def splits_by(tables: Tables, key: str, among: DataFrame | None = None) -> DataFrame:
     """Payments outside plans per procedure (``procnum``) or adjustment (``adjnum``),
     negative."""
     rows = tables.read("paysplit", key, "payplannum", "splitamt").filter("payplannum = 0")
-    return rows.groupBy(key).agg(
+    return _restricted(rows, key, among).groupBy(key).agg(
         F.expr(f"sum(-coalesce({cents('splitamt')}, {ZERO})) AS splitamt")
     )

@@ -12,6 +12,10 @@ from pyspark.sql.types import StructType
 from duebook.schema import DATES, TABLES
 
 
+# Options of the text formats. With FAILFAST a value that can't be read raises.
+_TEXT = {"csv": {"header": "true", "mode": "FAILFAST"}, "json": {"mode": "FAILFAST"}}
+
+
 class Tables(ABC):
     @abstractmethod
     def frame(self, name: str, columns: Sequence[str]) -> DataFrame:
@@ -34,23 +38,41 @@ class Tables(ABC):
 
 
 class StoredTables(Tables):
-    """One file set per table below ``path``."""
+    """One file set per table below ``path``.
+
+    CSV and JSON columns are found by name: a CSV file's header may have them in any order,
+    and one that lacks a column raises; without a header (``header="false"``) the contract's
+    order is taken. A value that isn't of its column's type raises too, unless another ``mode``
+    is given.
+    """
 
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet", **options: str):
         self.spark, self.path, self.fmt, self.options = spark, path.rstrip("/"), fmt, options
         self._schemas: dict[str, StructType | str] = {}
 
     def frame(self, name: str, columns: Sequence[str]) -> DataFrame:
-        reader = self.spark.read.format(self.fmt).options(**self.options)
+        reader = self.spark.read.format(self.fmt).options(**{**_TEXT.get(self.fmt, {}), **self.options})
         path = f"{self.path}/{name}"
         if name not in self._schemas:  # finding it touches the files: once will do
-            if self.fmt in ("csv", "json"):  # text formats carry no types of their own
-                self._schemas[name] = ", ".join(f"{c} {t}" for c, t in TABLES[name].items())
+            if self.fmt in _TEXT:  # text formats carry no types of their own
+                types, names = TABLES[name], list(TABLES[name])
+                if self.fmt == "csv" and str(self._option("header")).lower() == "true":
+                    header = self.spark.read.format("csv").options(**self.options).option("header", "true")
+                    names = [c.lower() for c in header.load(path).columns]
+                    missing = sorted(set(types) - set(names))
+                    if missing:
+                        raise ValueError(f"{path} has no column {', '.join(missing)}")
+                self._schemas[name] = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in names)
             else:
                 self._schemas[name] = reader.load(path).schema
         return reader.schema(self._schemas[name]).load(path)
 
 
+    def _option(self, name: str) -> str | None:
+        given = {k.lower(): v for k, v in {**_TEXT.get(self.fmt, {}), **self.options}.items()}
+        return given.get(name)
+
+
 class CatalogTables(Tables):
     """Tables or views of the session catalog."""
 

@@ -154,13 +154,11 @@ def test_other_formats_and_the_catalog(spark, tables, tmp_path, fmt):
     for name, columns in TABLES.items():
         kept = [c for c in columns if c != "secdatetentry"]
         rows = tables.read(name, *(columns if fmt == "orc" else kept))
-        rows.write.format(fmt).save(f"{tmp_path}/{name}")
+        rows.write.format(fmt).option("header", "true").save(f"{tmp_path}/{name}")
     names = ("patient", "procedurelog", "claimproc", "adjustment", "paysplit")
     other = StoredTables(spark, str(tmp_path), fmt)
     day = AsOf.on("2001-06-30")
     want = sorted(map(str, listing.transactions(tables, day).collect()))
-    if fmt != "orc":  # text files hold the columns that were written, in contract order
-        assert "secdatetentry" not in spark.read.format(fmt).load(f"{tmp_path}/payplanlink").columns
     assert sorted(map(str, listing.transactions(other, day).collect())) == want
     for name in names:
         other.frame(name, []).createOrReplaceTempView(name)
@@ -170,6 +168,55 @@ def test_other_formats_and_the_catalog(spark, tables, tmp_path, fmt):
         spark.catalog.dropTempView(name)
 
 
+def write_text(path, *lines):
+    path.mkdir(parents=True)
+    (path / "rows.txt").write_text("\n".join(lines) + "\n")
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    write_text(tmp_path / "clinic", "description,extra,clinicnum", "North,x,1", "South,y,2")
+    source = StoredTables(spark, str(tmp_path), "csv")
+    assert sorted(source.read("clinic", "clinicnum", "description").collect()) == [(1, "North"), (2, "South")]
+    write_text(tmp_path / "payment", "dateentry", "2001-01-01")
+    with pytest.raises(ValueError, match="paynum"):
+        source.read("payment", "paynum")
+    bare = tmp_path / "bare"
+    write_text(bare / "clinic", "1,North", "2,South")
+    with pytest.raises(ValueError, match="clinicnum"):  # no header: the first row is none
+        StoredTables(spark, str(bare), "csv").read("clinic", "clinicnum")
+    plain = StoredTables(spark, str(bare), "csv", header="false")
+    assert sorted(plain.read("clinic", "clinicnum", "description").collect()) == [(1, "North"), (2, "South")]
+
+
+@pytest.mark.parametrize("fmt, lines", [
+    ("csv", ["adjnum,procnum,patnum,provnum,clinicnum,adjdate,procdate,adjamt", "1,0,1,1,1,2001-01-01,2001-01-01,12x"]),
+    ("json", ['{"adjnum": 1, "adjamt": "12x"}']),
+])
+def test_bad_values_raise(spark, tmp_path, fmt, lines):
+    write_text(tmp_path / "adjustment", *lines)
+    with pytest.raises(Exception, match="(?i)malformed|cannot|invalid"):
+        StoredTables(spark, str(tmp_path), fmt).read("adjustment", "adjnum", "adjamt").collect()
+    lenient = StoredTables(spark, str(tmp_path), fmt, mode="PERMISSIVE")
+    assert lenient.read("adjustment", "adjnum", "adjamt").count() == 1
+
+
+@pytest.mark.parametrize("name", ["l18a_linked_proc_fee", "l18b_linked_adj_fee"])
+def test_facts_are_cut_to_the_links_before_they_are_summed(spark, tables, no_broadcast, name):
+    """Below each sum of claims, payments or adjustments lies a join with the links."""
+    depths, open_sums = [], []
+    for line in plan(BUILDS[name](tables), "simple").splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        open_sums = [s for s in open_sums if s[0] < depth]
+        if "functions=[partial_sum" in line:
+            open_sums.append((depth, []))
+        for _, seen in open_sums:
+            seen.append(line)
+            depths.append(seen)
+    for seen in depths:
+        if any("FileScan" in line and re.search("claimproc|paysplit|adjustment", line) for line in seen):
+            assert any("Join" in line for line in seen)
+
+
 def test_settings_follow_the_input():
     small, large = cluster_settings(10**9), cluster_settings(100 * 10**12)
     assert small["spark.sql.shuffle.partitions"] == "200"
