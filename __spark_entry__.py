@@ -8,21 +8,25 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 import oracle  # noqa: E402
-from duebook import AsOf, Period, TradeTables  # noqa: E402
-from duebook.sources import Tables  # noqa: E402
+from duebook import AsOf, Period, StoredTables  # noqa: E402
+from duebook.sources import Tables, write_tables  # noqa: E402
 from duebook.functions.money import in_dollars  # noqa: E402
 from duebook.operators import (  # noqa: E402
     balances, charges, claims, installments, ledgers, linked, splits,
 )
 from duebook.plans import aging, listing, production, receivables  # noqa: E402
+from trade_tables import TradeTables  # noqa: E402
 from duebook.schema import INS_EST, INS_PAY, PLAN_OFFSET, PLAN_TOTAL, TABLES, WRITEOFF  # noqa: E402
 
 INCLUSIVE = AsOf.on("2001-06-30")
@@ -52,7 +56,7 @@ def _scan(name: str) -> Build:
 
 
 def _rows(build: Callable, *args, fields: str, money: str) -> Build:
-    """A ledger branch: the columns that mean something there, cents as dollars."""
+    """A ledger branch: the columns that mean something there, money as dollars."""
     amounts = money.split()
 
     def query(tables):
@@ -87,10 +91,32 @@ def _day_groups(tables, as_of):
     return aging.aging_day_groups(tables, as_of).toDF(*names)
 
 
+def _in_order(build: Build) -> Build:
+    """The rows with their places, as the report hands them out."""
+    def query(tables):
+        rows = build(tables).withColumn("_at", F.monotonically_increasing_id())
+        return rows.withColumn("position", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+    return query
+
+
+def _written(name: str) -> Build:
+    """A table after ``write_tables`` and reading it back."""
+    def query(tables):
+        spark = tables.read(name, "adjnum").sparkSession
+        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
+        path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+        write_tables(tables, path, [name])
+        return StoredTables(spark, path).read(name, *TABLES[name])
+
+    return _report(query)
+
+
 def builds() -> dict[str, Build]:
     """One entry per operator and report, over any source of the ledger tables."""
     q, x = INCLUSIVE, EXCLUSIVE
     scans = {f"s{i:02d}_{name}": _scan(name) for i, name in enumerate(TABLES, start=1)}
+    scans["s12_written_adjustment"] = _written("adjustment")
     branches = {
         "l01_proc": _rows(charges.procedure_charges, q, fields=_BASE, money="tranamount"),
         "l01b_proc_undated": _rows(
@@ -200,6 +226,11 @@ def builds() -> dict[str, Build]:
             money="tranamount payplanamount inswoest inspayest"),
         "r12_aging_of_ar": _report(aging.aging_of_receivables, q),
         "r13_custom_aging": _report(aging.custom_aging, q),
+        "o1_aging_of_ar_order": _in_order(_report(aging.aging_of_receivables, q)),
+        "o1_custom_aging_order": _in_order(_report(aging.custom_aging, q)),
+        "p6_transactions_clinic": _report(listing.transactions, x, 3),
+        "r14_aging_series": _report(aging.aging_of_receivables, HALF_YEAR),
+        "r14_custom_series": _report(aging.custom_aging, HALF_YEAR),
         "r14_ar_series": _report(receivables.receivables_total, HALF_YEAR),
         "r14_ar_clinic_series": _report(receivables.receivables_by_clinic, HALF_YEAR),
         "r14_prod_series": _report(production.production_total, HALF_YEAR),

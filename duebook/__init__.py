@@ -1,6 +1,6 @@
 """Receivables and production reports over a practice ledger, on PySpark."""
 
 from duebook.params import AsOf, Period
-from duebook.sources import CatalogTables, FrameTables, StoredTables, TradeTables
+from duebook.sources import CatalogTables, FrameTables, StoredTables
 
-__all__ = ["AsOf", "Period", "CatalogTables", "FrameTables", "StoredTables", "TradeTables"]
+__all__ = ["AsOf", "Period", "CatalogTables", "FrameTables", "StoredTables"]

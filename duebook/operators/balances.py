@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from duebook.functions.buckets import (
     age_bucket, allocate_oldest_first, owed, owing, sums_by_age,
 )
-from duebook.functions.money import ZERO
+from duebook.functions.money import ZERO, rounded
 from duebook.operators.rows import union_all
 from duebook.params import AsOf
 from duebook.schema import (
@@ -66,7 +66,7 @@ def receivable_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) ->
         *sums_by_age("age", "instotest", INS_BUCKETS),
         *sums_by_age("age", "patshare", PAT_BUCKETS),
         "sum(payment) AS TotalPayments",
-        "sum(tranamount) AS TotalBalance",
+        f"{rounded('sum(tranamount)', 2)} AS TotalBalance",
         "sum(payplanamount) AS TotalPayPlan",
         "sum(inspayest) AS InsPayEst",
         "sum(inswoest) AS InsWoEst",
@@ -78,7 +78,7 @@ def open_receivables(sums: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     kept = sums.filter("TotalBalance != 0 OR InsPayEst + InsWoEst != 0 OR TotalPayPlan != 0")
     return kept.selectExpr(
         *keys, "patnum", *reversed(INS_BUCKETS),
-        *_allocated(PAT_BUCKETS, PAT_BUCKETS, "TotalPayments"),
+        *_allocated(PAT_BUCKETS, PAT_BUCKETS, "TotalPayments", 2),
         f"{owed('TotalBalance')} AS TotalArBalance",
         f"{owing('TotalBalance')} AS TotalApBalance",
         "TotalPayPlan", "InsPayEst", "InsWoEst",
@@ -155,7 +155,7 @@ def clamped(sums: DataFrame) -> DataFrame:
 
 def open_balances(sums: DataFrame) -> DataFrame:
     """Credits applied to the oldest charges first."""
-    return sums.selectExpr("*", *_allocated(CHARGE_BUCKETS, OPEN_BUCKETS, "TotalCredits"))
+    return sums.selectExpr("*", *_allocated(CHARGE_BUCKETS, OPEN_BUCKETS, "TotalCredits", 3))
 
 
 def signed_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataFrame:
@@ -176,7 +176,12 @@ def signed_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> Dat
     ])
 
 
-def _allocated(buckets: Sequence[str], names: Sequence[str], payment: str) -> list[str]:
-    """Named expressions for what stays open, oldest bucket first."""
+def _allocated(
+    buckets: Sequence[str], names: Sequence[str], payment: str, places: int
+) -> list[str]:
+    """Named expressions for what stays open, oldest bucket first, to so many places."""
     open_amounts = allocate_oldest_first(payment, list(reversed(buckets)))
-    return [f"{amount} AS {name}" for amount, name in zip(open_amounts, reversed(names))]
+    return [
+        f"{rounded(amount, places)} AS {name}"
+        for amount, name in zip(open_amounts, reversed(names))
+    ]

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from duebook.functions.money import cents
+from duebook.functions.money import units
 from duebook.operators.rows import ledger_rows, place
 from duebook.params import AsOf, Period
 from duebook.schema import ADJ, COMPLETE, PROC
 from duebook.sources.base import Tables
 
-# Fee in cents times the units billed.
-GROSS_FEE = f"{cents('procfee')} * (unitqty + baseunits)"
+# Fee in money units times the units billed.
+GROSS_FEE = f"{units('procfee')} * (unitqty + baseunits)"
 
 
 def procedure_charges(
@@ -41,7 +41,7 @@ def adjustments_by_service(
     return ledger_rows(
         scope.select(rows, "procdate"), [*scope.keys, *place(with_clinic)], ADJ,
         prikey="adjnum", procnum="procnum", patnum="patnum", trandate="procdate",
-        procdate="procdate", tranamount=cents("adjamt"),
+        procdate="procdate", tranamount=units("adjamt"),
     )
 
 
@@ -54,6 +54,6 @@ def adjustments_by_entry(tables: Tables, as_of: AsOf, dated: bool = False) -> Da
     return ledger_rows(
         rows, as_of.keys, ADJ,
         prikey="adjnum", procnum="procnum", patnum="patnum", trandate="adjdate",
-        procdate="procdate", tranamount=cents("adjamt"), agedprocnum="procnum",
+        procdate="procdate", tranamount=units("adjamt"), agedprocnum="procnum",
         agedprocdate="procdate",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duebook.functions.keys import free_or_matched
-from duebook.functions.money import ZERO, cents
+from duebook.functions.money import ZERO, units
 from duebook.operators.rows import each_entry, ledger_rows, place
 from duebook.params import AsOf, Period
 from duebook.schema import (
@@ -54,8 +54,8 @@ def _claim_lines(
         f"received AND ({counts}) OR pending AND (inspayest != 0 OR writeoff != 0)"
     )
     lines = lines.selectExpr(
-        "*", f"{cents('inspayamt')} AS paid", f"{cents('writeoff')} AS off",
-        f"{cents('inspayest')} AS expected",
+        "*", f"{units('inspayamt')} AS paid", f"{units('writeoff')} AS off",
+        f"{units('inspayest')} AS expected",
     )
     return ledger_rows(
         lines, [*as_of.keys, *place(with_clinic)], CLAIM,
@@ -119,8 +119,8 @@ def claims_paid(
     return ledger_rows(
         lines, [*scope.keys, *place(with_clinic)], tag,
         prikey="claimprocnum", procnum="procnum", patnum="patnum", trandate="datecp",
-        procdate="procdate", tranamount=f"-{cents('inspayamt')}",
-        woamount=f"-{cents('writeoff')}",
+        procdate="procdate", tranamount=f"-{units('inspayamt')}",
+        woamount=f"-{units('writeoff')}",
     )
 
 
@@ -137,7 +137,7 @@ def claim_events(
     }
     chosen = [(kind, *sources[kind]) for kind in kinds]
     entries = [
-        (f"{test} AND {amount} != 0", {"kind": f"'{kind}'", "amount": f"-{cents(amount)}"})
+        (f"{test} AND {amount} != 0", {"kind": f"'{kind}'", "amount": f"-{units(amount)}"})
         for kind, test, amount in chosen
     ]
     lines = tables.read(
@@ -163,5 +163,5 @@ def writeoff_estimates(tables: Tables, as_of: AsOf) -> DataFrame:
     lines = lines.filter(f"status = {NOT_RECEIVED}").join(sent, "claimprocnum")
     return ledger_rows(
         as_of.select(lines, "datecp"), as_of.keys, WRITEOFF_EST,
-        prikey="claimprocnum", patnum="patnum", trandate="datecp", tranamount=f"-{cents('writeoff')}",
+        prikey="claimprocnum", patnum="patnum", trandate="datecp", tranamount=f"-{units('writeoff')}",
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.money import ZERO, cents
+from duebook.functions.money import ZERO, units
 from duebook.operators.charges import GROSS_FEE
 from duebook.operators.linked import claims_by_procedure, splits_by
 from duebook.operators.rows import each_entry, ledger_rows, place, union_all
@@ -18,8 +18,8 @@ from duebook.schema import (
 )
 from duebook.sources.base import Tables
 
-_PLAN_AMOUNT = cents("completedamt")
-_DUE = f"{cents('principal')} + {cents('interest')}"
+_PLAN_AMOUNT = units("completedamt")
+_DUE = f"{units('principal')} + {units('interest')}"
 
 
 def plan_totals(
@@ -88,7 +88,7 @@ def plan_entries(tables: Tables, as_of: AsOf) -> DataFrame:
         as_of.select(rows, "chargedate"), as_of.keys, PLAN_COMPLETE,
         prikey="payplanchargenum", patnum="if(plannum > 0, patnum, guarantor)",
         trandate="chargedate",
-        tranamount=f"if(chargetype = {DEBIT}, {debit}, -{cents('principal')})",
+        tranamount=f"if(chargetype = {DEBIT}, {debit}, -{units('principal')})",
     )
 
 
@@ -96,7 +96,7 @@ _LINK = ("payplannum", "amountoverride", "secdatetentry")
 _PROCEDURE = ("procnum", "patnum", "provnum", "clinicnum", "procdate", "procstatus", "procfee",
               "unitqty", "baseunits", "discount", "discountplanamt")
 # What a link moves into its plan: the override where one is set, else what is left.
-_MOVED = f"-if(amountoverride = 0, fee, {cents('amountoverride')})"
+_MOVED = f"-if(amountoverride = 0, fee, {units('amountoverride')})"
 # Links that move their procedure: all but those of a plan that waits for completed work.
 _COUNTED = f"NOT (dynamicpayplantpoption = 1 AND procstatus != {COMPLETE})"
 # Links whose planned procedure a dynamic plan already counts as done, at a discount.
@@ -128,7 +128,7 @@ def procedure_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
         claims_by_procedure(tables, wanted).selectExpr("procnum", "inspay + writeoff AS credit"),
         splits_by(tables, "procnum", wanted).selectExpr("procnum", "splitamt AS credit"),
         adjusted.join(own, "procnum").selectExpr(
-            "procnum", f"if({same}, {cents('adjamt')}, {ZERO}) AS credit"),
+            "procnum", f"if({same}, {units('adjamt')}, {ZERO}) AS credit"),
     ]).groupBy("procnum").agg(F.expr("sum(credit) AS credit"))
     return procedures.join(credits, "procnum", "left").selectExpr(
         "procnum", "patnum", "procdate", "procstatus", "discount", "discountplanamt",
@@ -165,7 +165,7 @@ def linked_procedures(
     if moved:
         entries.append((_COUNTED, {"day": "to_date(secdatetentry)", "amount": _MOVED}))
     if discounted:
-        discount = f"{cents('discount')} + {cents('discountplanamt')}"
+        discount = f"{units('discount')} + {units('discountplanamt')}"
         entries.append((_DISCOUNTED, {"day": "procdate", "amount": discount}))
     rows = as_of.select(_linked_procedures(tables, valued=moved), "procdate")
     return ledger_rows(
@@ -182,7 +182,7 @@ def adjustment_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
         adjustments.join(wanted, "adjnum", "left_semi")
         .join(splits_by(tables, "adjnum", wanted), "adjnum", "left")
         .selectExpr(
-            "adjnum", "patnum", f"{cents('adjamt')} + coalesce(splitamt, {ZERO}) AS fee"
+            "adjnum", "patnum", f"{units('adjamt')} + coalesce(splitamt, {ZERO}) AS fee"
         )
     )
 

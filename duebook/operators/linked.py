@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.money import ZERO, cents
+from duebook.functions.money import ZERO, units
 from duebook.schema import CAP_COMPLETE, PREAUTH, RECEIVED, SUPPLEMENTAL, UNSET
 from duebook.sources.base import Tables
 
@@ -19,7 +19,7 @@ def adjustment_by_procedure(tables: Tables) -> DataFrame:
     """Adjustments per procedure, patient, provider and clinic."""
     where = ("procnum", "patnum", "provnum", "clinicnum")
     rows = tables.read("adjustment", *where, "adjamt")
-    return rows.groupBy(*where).agg(F.expr(f"sum({cents('adjamt')}) AS adjamt"))
+    return rows.groupBy(*where).agg(F.expr(f"sum({units('adjamt')}) AS adjamt"))
 
 
 def _restricted(rows: DataFrame, key: str, among: DataFrame | None) -> DataFrame:
@@ -46,7 +46,7 @@ def claims_by_procedure(tables: Tables, among: DataFrame | None = None) -> DataF
         "writeoff", f"coalesce({_if_set('writeoffestoverride')}, {_if_set('writeoffest')})"
     )
     return _restricted(rows, "procnum", among).groupBy("procnum").agg(
-        F.expr(f"sum(-{cents(pay)}) AS inspay"), F.expr(f"sum(-{cents(writeoff)}) AS writeoff")
+        F.expr(f"sum(-{units(pay)}) AS inspay"), F.expr(f"sum(-{units(writeoff)}) AS writeoff")
     )
 
 
@@ -55,5 +55,5 @@ def splits_by(tables: Tables, key: str, among: DataFrame | None = None) -> DataF
     negative."""
     rows = tables.read("paysplit", key, "payplannum", "splitamt").filter("payplannum = 0")
     return _restricted(rows, key, among).groupBy(key).agg(
-        F.expr(f"sum(-coalesce({cents('splitamt')}, {ZERO})) AS splitamt")
+        F.expr(f"sum(-coalesce({units('splitamt')}, {ZERO})) AS splitamt")
     )

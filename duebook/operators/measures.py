@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duebook.functions.buckets import owed, owing, sum_where
+from duebook.functions.money import rounded
 from duebook.schema import ADJ, CLAIM, PAT_PAY, PLAN_OFFSET, PROC
 
 
-def production_measures(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Production, write-offs, adjustments, collections and balances per key."""
+def production_measures(
+    ledger: DataFrame, keys: Sequence[str], net_of_rounded: bool = True
+) -> DataFrame:
+    """Production, write-offs, adjustments, collections and balances per key, each rounded to
+    cents after its sum. The net amounts add up what was rounded, or else are rounded once."""
     adjustment = f"trantype = '{ADJ}'"
     sums = {
         "RawProduction": sum_where(f"trantype IN ('{PROC}', '{PLAN_OFFSET}')", "tranamount"),
@@ -26,10 +30,14 @@ def production_measures(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
         "PPOwed": "sum(payplanamount)",
     }
     rows = ledger.groupBy(*keys).agg(*(F.expr(f"{s} AS {name}") for name, s in sums.items()))
-    return rows.selectExpr(
-        "*",
-        "RawProduction + TotWo + PosAdj + NegAdj AS NetProduction",
-        "TotInsPaymt + PatPaymts AS NetCollections",
-        f"{owed('TotBalance - InsAR')} AS PatAR",
-        f"{owing('TotBalance - InsAR')} AS PatAP",
-    )
+    nets = {
+        "NetProduction": ["RawProduction", "TotWo", "PosAdj", "NegAdj"],
+        "NetCollections": ["TotInsPaymt", "PatPaymts"],
+    }
+    shown = {name: rounded(name, 2) for name in sums}
+    for name, parts in nets.items():
+        shown[name] = (" + ".join(rounded(p, 2) for p in parts) if net_of_rounded
+                       else rounded(" + ".join(parts), 2))
+    account = rounded("TotBalance - InsAR", 2)
+    shown["PatAR"], shown["PatAP"] = owed(account), owing(account)
+    return rows.selectExpr(*keys, *(f"{e} AS {name}" for name, e in shown.items()))

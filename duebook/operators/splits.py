@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from duebook.functions.keys import free_or_matched
-from duebook.functions.money import ZERO, cents
+from duebook.functions.money import ZERO, units
 from duebook.operators.rows import ledger_rows, place
 from duebook.params import AsOf, Period
 from duebook.schema import PAT_PAY, UNEARNED_TYPES
@@ -30,7 +30,7 @@ def _on_open_plan(tables: Tables, *more: str) -> DataFrame:
 
 def _rows(splits: DataFrame, keys: Sequence[str], apart: bool = True) -> DataFrame:
     """Ledger rows; ``apart`` keeps payments on plans out of the ordinary amount."""
-    paid = f"-{cents('splitamt')}"
+    paid = f"-{units('splitamt')}"
     return ledger_rows(
         splits, keys, PAT_PAY,
         prikey="splitnum", patnum="patnum", trandate="datepay", procdate="procdate",
@@ -40,8 +40,9 @@ def _rows(splits: DataFrame, keys: Sequence[str], apart: bool = True) -> DataFra
 
 
 def splits_entered(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
-    """Splits paid, and their payment entered, by the report date; closed plans left out."""
-    splits = _on_open_plan(tables, "paynum", *place(with_clinic)).join(
+    """Splits paid, and their payment entered, by the report date; closed plans left out.
+    Splits of no payment never match one, so they don't enter the join."""
+    splits = _on_open_plan(tables, "paynum", *place(with_clinic)).filter("paynum != 0").join(
         tables.read("payment", "paynum", "dateentry"), "paynum"
     )
     return _rows(

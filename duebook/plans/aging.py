@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from duebook.functions.money import dollars, in_dollars
+from duebook.functions.money import DOLLAR, dollars, in_dollars, rounded
 from duebook.operators import ledgers
 from duebook.operators.balances import (
     CHARGE_BUCKETS, OPEN_BUCKETS, aged_sums, clamped, day_groups, open_balances, signed_sums,
@@ -16,6 +16,10 @@ from duebook.sources.base import Tables
 _ESTIMATES = ("BalTotal", "InsWoEst", "InsPayEst", "PayPlanDue")
 
 
+# Fixed value: half a cent, from which a bucket is shown.
+_MATERIAL = DOLLAR * 5 // 1000
+
+
 def _any_bucket(test: str) -> str:
     return " OR ".join(f"{b} {test}" for b in OPEN_BUCKETS)
 
@@ -46,8 +50,9 @@ def aging_charges(tables: Tables, as_of: AsOf, clamp: bool = False) -> DataFrame
 
 def _aged(tables: Tables, as_of: AsOf) -> DataFrame:
     sums = aged_sums(ledgers.aging(tables, as_of), as_of, as_of.keys)
-    return open_balances(clamped(sums)).select(
-        *as_of.keys, "patnum", *reversed(OPEN_BUCKETS), *_ESTIMATES
+    return open_balances(clamped(sums)).selectExpr(
+        *as_of.keys, "patnum", *reversed(OPEN_BUCKETS),
+        *(f"{rounded(e, 3)} AS {e}" for e in _ESTIMATES),
     )
 
 
@@ -59,7 +64,7 @@ def aging_balances(tables: Tables, as_of: AsOf) -> DataFrame:
 def aging_of_receivables(tables: Tables, as_of: AsOf) -> DataFrame:
     """Patients with at least half a cent open in some bucket."""
     people = tables.read("patient", "patnum", "lname", "fname", "middlei")
-    rows = _aged(tables, as_of).filter(_any_bucket(">= 1")).join(people, "patnum")
+    rows = _aged(tables, as_of).filter(_any_bucket(f">= {_MATERIAL}")).join(people, "patnum")
     shown = (*OPEN_BUCKETS, "BalTotal", "InsWoEst", "InsPayEst")
     return _by_name(rows, as_of).selectExpr(
         *as_of.keys, "concat(lname, ', ', fname, ' ', middlei) AS patName",
@@ -79,12 +84,11 @@ def custom_aging(tables: Tables, as_of: AsOf) -> DataFrame:
     """Patients who owe money on balance, with some bucket open. Names are joined to the
     summed rows; that join also drops transactions of unknown patients."""
     sums = signed_sums(ledgers.custom_aging(tables, as_of), as_of, as_of.keys)
-    rows = open_balances(sums).filter(
-        f"({_any_bucket('!= 0')}) AND TotalCharges - TotalCredits > 0"
-    )
+    total = rounded("TotalCharges - TotalCredits", 3)
+    rows = open_balances(sums).filter(f"({_any_bucket('!= 0')}) AND {total} > 0")
     people = tables.read("patient", "patnum", "fname", "lname")
     return _by_name(rows.join(people, "patnum"), as_of).selectExpr(
         *as_of.keys, "fname", "lname", "patnum",
         *(f"{dollars(b)} AS {b}" for b in OPEN_BUCKETS),
-        f"{dollars('TotalCharges - TotalCredits')} AS BalTotal",
+        f"{dollars(total)} AS BalTotal",
     )

@@ -46,7 +46,8 @@ def _per_month(tables: Tables, period: Period) -> DataFrame:
     ledger = ledgers.month(tables, period).selectExpr(
         "*", "date_format(trandate, 'yyyy-MM') AS TranMonth"
     )
-    return production_measures(ledger, keys).select(*keys, *MONTH_MEASURES)
+    measures = production_measures(ledger, keys, net_of_rounded=False)
+    return measures.select(*keys, *MONTH_MEASURES)
 
 
 def production_by_month_and_patient(tables: Tables, period: Period) -> DataFrame:

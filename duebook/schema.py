@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MONEY = "decimal(12,2)"
+MONEY = "decimal(14,4)"
 
 # Input tables. The first column is the table's unique key.
 TABLES: dict[str, dict[str, str]] = {
@@ -57,7 +57,7 @@ DATES = {
 }
 
 # One row per transaction. Positive amounts are owed to the practice, negative ones
-# are paid or credited. Money is whole cents (see functions/money.py). `prikey` is
+# are paid or credited. Money is whole units (see functions/money.py). `prikey` is
 # the key of the row's own source table; `procnum` is what the row is grouped under
 # (the procedure where there is one, else the row's own key).
 LEDGER: dict[str, str] = {

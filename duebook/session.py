@@ -14,27 +14,35 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",  # sums that overflow raise
 }
 
 
 MB, GB = 1024**2, 1024**3
+#: Share of the bytes read that a report's largest shuffle moves.
+SHUFFLED = 0.02
 
 
 def cluster_settings(input_bytes: int) -> dict[str, str]:
     """Settings for a cluster run over tables of that size.
 
-    Reports read a few narrow columns and combine rows before most shuffles, so a shuffle
-    moves a small part of the input: one partition per 2 GB read keeps partitions within
-    executor memory. AQE merges those that turn out small, but splits none outside skewed
-    joins, so the count must be large enough from the start. Scan splits grow with the
-    input to about 100,000 tasks; map tasks times partitions is the number of blocks.
+    Reports read a few narrow columns and combine rows before most shuffles: a shuffle moves
+    about SHUFFLED of the input. Partitions are sized by those bytes, half a gigabyte each;
+    AQE merges those that turn out small, but splits none outside skewed joins. Scan splits
+    grow with the input to about 50,000 tasks. Map tasks times partitions is the number of
+    blocks, about two hundred million at 100 TB; from a million on, blocks are merged where
+    the cluster's shuffle service can do so.
     """
-    split = min(GB, max(128 * MB, input_bytes // 100_000))
-    return {
+    split = min(2 * GB, max(128 * MB, input_bytes // 50_000))
+    partitions = max(200, int(input_bytes * SHUFFLED) // (512 * MB))
+    settings = {
         **SETTINGS,
-        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // (2 * GB)))),
+        "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(split),
     }
+    if input_bytes // split * partitions > 10**6:
+        settings["spark.shuffle.push.enabled"] = "true"
+    return settings
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:

@@ -1,8 +1,5 @@
 """Where the eleven ledger tables come from."""
 
 from duebook.sources.base import CatalogTables, FrameTables, StoredTables, Tables, write_tables
-from duebook.sources.trade import TradeTables
 
-__all__ = [
-    "CatalogTables", "FrameTables", "StoredTables", "Tables", "TradeTables", "write_tables",
-]
+__all__ = ["CatalogTables", "FrameTables", "StoredTables", "Tables", "write_tables"]

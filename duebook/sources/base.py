@@ -3,6 +3,7 @@ its use and a source that assembles a table can leave out what nobody asked for.
 
 from __future__ import annotations
 
+import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
 
@@ -29,6 +30,8 @@ class Tables(ABC):
     @staticmethod
     def _typed(name: str, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         types = TABLES[name]
+        if rows.sparkSession.conf.get("spark.sql.ansi.enabled") != "true":
+            warnings.warn("spark.sql.ansi.enabled is off: sums that overflow wrap", stacklevel=3)
         return rows.selectExpr(*(f"CAST({c} AS {types[c]}) AS {c}" for c in columns))
 
     def split(self, name: str, key: str, *columns: str) -> tuple[DataFrame, DataFrame]:

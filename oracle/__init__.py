@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Collection
 
-from oracle.answers import ANSWERS
+from oracle.answers import ANSWERS, BY_DAY, DAYS
 from oracle.relations import RELATIONS
 
 
@@ -25,10 +25,19 @@ def sql(given_tables: Collection[str] = ()) -> dict[str, str]:
     """Query name -> one self-contained statement over the test tables. Ledger tables named
     in ``given_tables`` are taken as they lie in the database instead of derived."""
     steps = {n: t for n, t in RELATIONS.items() if n not in given_tables}
-    texts = {}
-    for name, (scope, body) in ANSWERS.items():
-        given, found = {**steps, "report_day": scope}, {}
-        _needed(body, found, given)
-        parts = ",\n".join(f"{n} AS (\n{t.strip()}\n)" for n, t in found.items())
-        texts[name] = f"WITH {parts}\n{body.strip()}" if parts else body.strip()
+    texts = {name: _statement(body, scope, steps) for name, (scope, body) in ANSWERS.items()}
+    for name, report in BY_DAY.items():
+        days = (
+            (d, _statement(ANSWERS[report][1], f"SELECT DATE '{d}' AS q, DATE '{d}' AS upto", steps))
+            for d in DAYS
+        )
+        texts[name] = "\nUNION ALL\n".join(
+            f"SELECT DATE '{d}' AS as_of, * FROM (\n{text}\n)" for d, text in days)
     return texts
+
+
+def _statement(body: str, scope: str, steps: dict[str, str]) -> str:
+    given, found = {**steps, "report_day": scope}, {}
+    _needed(body, found, given)
+    parts = ",\n".join(f"{n} AS (\n{t.strip()}\n)" for n, t in found.items())
+    return f"WITH {parts}\n{body.strip()}" if parts else body.strip()

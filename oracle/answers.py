@@ -245,10 +245,23 @@ WHERE GREATEST(Bal_0_30, Bal_31_60, Bal_61_90, BalOver90) >= 0.005""")
 answer("r13_custom_aging", f"""
 SELECT fname, lname, patnum, {dbl("Bal_0_30", "Bal_31_60", "Bal_61_90", "BalOver90", "BalTotal")}
 FROM (SELECT r.patnum AS patnum, w[1] AS BalOver90, w[2] AS Bal_61_90, w[3] AS Bal_31_60,
-             w[4] AS Bal_0_30, r.TotalCharges - r.TotalCredits AS BalTotal FROM custom_paid)
+             w[4] AS Bal_0_30, ROUND(r.TotalCharges - r.TotalCredits, 3) AS BalTotal FROM custom_paid)
 JOIN patient USING (patnum)
 WHERE BalTotal > 0 AND (Bal_0_30 <> 0 OR Bal_31_60 <> 0 OR Bal_61_90 <> 0 OR BalOver90 <> 0)""")
 answer("r14_ar_series", f"SELECT q AS as_of, {sums(*_AR)} FROM ar_detail GROUP BY q", SERIES)
 answer("r14_ar_clinic_series", _BY_CLINIC, SERIES)
 answer("r14_prod_series", f"SELECT q AS as_of, {_prod_totals(_PROD)} FROM prod_detail GROUP BY q",
        SERIES)
+
+# --- clinic, order, series and the written table --------------------------------------------
+
+_ADJUSTMENT = ANSWERS["s04_adjustment"][1]
+answer("s12_written_adjustment", _ADJUSTMENT)
+answer("p6_transactions_clinic", ANSWERS["r09_transactions"][1] + "\nWHERE t.clinicnum = 3", EXCLUSIVE)
+_PLACE = "CAST(row_number() OVER (ORDER BY lower(lname), lower(fname), patnum) AS INT) AS position"
+for _name, _report in (("o1_aging_of_ar_order", "r12_aging_of_ar"), ("o1_custom_aging_order", "r13_custom_aging")):
+    answer(_name, ANSWERS[_report][1].replace("SELECT ", f"SELECT {_PLACE}, ", 1))
+
+#: Series of reports whose steps know one day: one statement per day, put together.
+BY_DAY = {"r14_aging_series": "r12_aging_of_ar", "r14_custom_series": "r13_custom_aging"}
+DAYS = ("2001-01-31", "2001-02-28", "2001-03-31", "2001-04-30", "2001-05-31", "2001-06-30")

@@ -543,28 +543,29 @@ SELECT q, patnum, RawProduction, TotWo, PosAdj, NegAdj,
        CASE WHEN acc > 0 THEN acc ELSE 0 END AS PatAR,
        CASE WHEN acc < 0 THEN acc ELSE 0 END AS PatAP, PPOwed
 FROM (
-  SELECT q, patnum, SUM(CASE WHEN tag IN ('Proc', 'PPOffset') THEN amt ELSE 0 END) AS RawProduction,
-         SUM(wo) AS TotWo,
-         SUM(CASE WHEN tag = 'Adj' THEN GREATEST(amt, 0) ELSE 0 END) AS PosAdj,
-         SUM(CASE WHEN tag = 'Adj' THEN LEAST(amt, 0) ELSE 0 END) AS NegAdj,
-         SUM(CASE tag WHEN 'Claimproc' THEN amt ELSE 0 END) AS TotInsPaymt,
-         SUM(CASE tag WHEN 'PatPay' THEN amt ELSE 0 END) AS PatPaymts,
-         SUM(amt + wo) AS TotBalance, SUM(instot) AS InsAR, SUM(amt + wo - instot) AS acc,
-         SUM(planamt) AS PPOwed
+  SELECT q, patnum,
+         ROUND(SUM(CASE WHEN tag IN ('Proc', 'PPOffset') THEN amt ELSE 0 END), 2) AS RawProduction,
+         ROUND(SUM(wo), 2) AS TotWo,
+         ROUND(SUM(CASE WHEN tag = 'Adj' THEN GREATEST(amt, 0) ELSE 0 END), 2) AS PosAdj,
+         ROUND(SUM(CASE WHEN tag = 'Adj' THEN LEAST(amt, 0) ELSE 0 END), 2) AS NegAdj,
+         ROUND(SUM(CASE tag WHEN 'Claimproc' THEN amt ELSE 0 END), 2) AS TotInsPaymt,
+         ROUND(SUM(CASE tag WHEN 'PatPay' THEN amt ELSE 0 END), 2) AS PatPaymts,
+         ROUND(SUM(amt + wo), 2) AS TotBalance, ROUND(SUM(instot), 2) AS InsAR,
+         ROUND(SUM(amt + wo - instot), 2) AS acc, ROUND(SUM(planamt), 2) AS PPOwed
   FROM led_prod GROUP BY q, patnum)
 """
 
 RELATIONS["prod_month"] = """
 SELECT strftime(d, '%Y-%m') AS TranMonth, clinicnum, patnum,
-       SUM(CASE WHEN tag IN ('Proc', 'PPOffset') THEN amt ELSE 0 END) AS RawProduction,
-       SUM(wo) AS TotWo,
-       SUM(CASE WHEN tag = 'Adj' THEN GREATEST(amt, 0) ELSE 0 END) AS PosAdj,
-       SUM(CASE WHEN tag = 'Adj' THEN LEAST(amt, 0) ELSE 0 END) AS NegAdj,
-       SUM(wo + CASE WHEN tag IN ('Proc', 'PPOffset', 'Adj') THEN amt ELSE 0 END) AS NetProduction,
-       SUM(CASE tag WHEN 'Claimproc' THEN amt ELSE 0 END) AS TotInsPaymt,
-       SUM(CASE tag WHEN 'PatPay' THEN amt ELSE 0 END) AS PatPaymts,
-       SUM(CASE WHEN tag IN ('Claimproc', 'PatPay') THEN amt ELSE 0 END) AS NetCollections,
-       SUM(amt + wo) AS TotBalance, SUM(planamt) AS PPOwed
+       ROUND(SUM(CASE WHEN tag IN ('Proc', 'PPOffset') THEN amt ELSE 0 END), 2) AS RawProduction,
+       ROUND(SUM(wo), 2) AS TotWo,
+       ROUND(SUM(CASE WHEN tag = 'Adj' THEN GREATEST(amt, 0) ELSE 0 END), 2) AS PosAdj,
+       ROUND(SUM(CASE WHEN tag = 'Adj' THEN LEAST(amt, 0) ELSE 0 END), 2) AS NegAdj,
+       ROUND(SUM(wo + CASE WHEN tag IN ('Proc', 'PPOffset', 'Adj') THEN amt ELSE 0 END), 2) AS NetProduction,
+       ROUND(SUM(CASE tag WHEN 'Claimproc' THEN amt ELSE 0 END), 2) AS TotInsPaymt,
+       ROUND(SUM(CASE tag WHEN 'PatPay' THEN amt ELSE 0 END), 2) AS PatPaymts,
+       ROUND(SUM(CASE WHEN tag IN ('Claimproc', 'PatPay') THEN amt ELSE 0 END), 2) AS NetCollections,
+       ROUND(SUM(amt + wo), 2) AS TotBalance, ROUND(SUM(planamt), 2) AS PPOwed
 FROM led_month GROUP BY ALL
 """
 
@@ -610,8 +611,8 @@ RELATIONS["aged_paid"] = _waterfall("clamped_sum", _CHARGES, 2, "TotalCredits",
 
 RELATIONS["aged"] = """
 SELECT r.patnum AS patnum, w[1] AS BalOver90, w[2] AS Bal_61_90, w[3] AS Bal_31_60,
-       w[4] AS Bal_0_30, r.BalTotal AS BalTotal, r.InsWoEst AS InsWoEst,
-       r.InsPayEst AS InsPayEst, r.PayPlanDue AS PayPlanDue
+       w[4] AS Bal_0_30, ROUND(r.BalTotal, 3) AS BalTotal, ROUND(r.InsWoEst, 3) AS InsWoEst,
+       ROUND(r.InsPayEst, 3) AS InsPayEst, ROUND(r.PayPlanDue, 3) AS PayPlanDue
 FROM aged_paid
 """
 

@@ -17,10 +17,10 @@ Q = dt.date(2001, 6, 30)
 
 _ARROW = {
     "bigint": pa.int64(), "int": pa.int32(), "date": pa.date32(), "string": pa.string(),
-    "decimal(12,2)": pa.decimal128(12, 2), "timestamp_ntz": pa.timestamp("us"),
+    "decimal(14,4)": pa.decimal128(14, 4), "timestamp_ntz": pa.timestamp("us"),
 }
 _BLANK = {
-    "bigint": 0, "int": 0, "date": Q, "string": "x", "decimal(12,2)": Decimal("0.00"),
+    "bigint": 0, "int": 0, "date": Q, "string": "x", "decimal(14,4)": Decimal("0.00"),
     "timestamp_ntz": dt.datetime(2001, 6, 30),
 }
 # What an untouched column holds where the type's blank would hide the row.
@@ -51,7 +51,7 @@ def arrow_tables(**given) -> dict[str, pa.Table]:
 
 def _value(value, kind: str):
     if kind.startswith("decimal") and value is not None:
-        return Decimal(str(value)).quantize(Decimal("0.01"))
+        return Decimal(str(value)).quantize(Decimal("0.0001"))
     return value
 
 
@@ -84,11 +84,11 @@ _GAPS = {
 }
 
 
-def random_tables(seed: int, size: int = 300, gaps: float = 0.0) -> dict[str, pa.Table]:
+def random_tables(seed: int, size: int = 300, gaps: float = 0.0, fine: float = 0.0) -> dict[str, pa.Table]:
     """Ledgers with every code, dates on and around each cut-off, sentinel and dangling
     references, negative amounts, and a third of the rows on one patient, one clinic, one
     procedure, one plan or on the 0 reference. ``gaps`` is the share of NULLs in the columns
-    that may be empty."""
+    that may be empty, ``fine`` that of amounts with parts of a cent."""
     r = random.Random(seed)
     people, works, plans = range(1, 13), range(1, size + 1), range(1, 31)
 
@@ -100,6 +100,8 @@ def random_tables(seed: int, size: int = 300, gaps: float = 0.0) -> dict[str, pa
         return Q - dt.timedelta(days=near if r.random() < 0.5 else r.randint(-40, 200))
 
     def money(low=0):
+        if r.random() < fine:
+            return r.choice([0.004, 0.0045, 0.0005, r.randint(low * 10000, 3000000) / 10000])
         return 0 if r.random() < 0.1 else r.choice([r.randint(low, 30) * 10, r.randint(low * 100, 30000) / 100])
 
     def ref(values):

@@ -8,7 +8,8 @@ import random
 import pytest
 
 import __spark_entry__ as contract
-from duebook import AsOf, FrameTables, TradeTables
+from duebook import AsOf, FrameTables
+from trade_tables import TradeTables
 from duebook.functions.buckets import age_bucket, allocate_oldest_first
 from duebook.functions.keys import duplicate_keys
 from duebook.plans import aging, listing, production, receivables

@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from duebook import AsOf, CatalogTables, Period, StoredTables, TradeTables
+from duebook import AsOf, CatalogTables, FrameTables, Period, StoredTables
 from duebook.operators import claims
 from duebook.plans import listing, production, receivables
 from duebook.schema import DATES, TABLES
 from duebook.session import cluster_settings
 from duebook.sources import write_tables
+from trade_tables import TradeTables
 from tests.ledger_rows import random_tables, stored
 
 BUILDS = contract.builds()
@@ -221,5 +222,22 @@ def test_settings_follow_the_input():
     small, large = cluster_settings(10**9), cluster_settings(100 * 10**12)
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert int(small["spark.sql.files.maxPartitionBytes"]) == 128 * 1024**2
-    assert 40_000 < int(large["spark.sql.shuffle.partitions"]) < 50_000
-    assert int(large["spark.sql.files.maxPartitionBytes"]) == 10**9
+    assert "spark.shuffle.push.enabled" not in small
+    tasks = 100 * 10**12 // int(large["spark.sql.files.maxPartitionBytes"])
+    assert tasks * int(large["spark.sql.shuffle.partitions"]) < 200_000_000
+    assert large["spark.shuffle.push.enabled"] == "true"
+
+
+def test_overflow_raises_whatever_the_default(spark):
+    """Under the settings given here; without them, reading tables warns."""
+    from pyspark.errors import ArithmeticException
+
+    with pytest.raises(ArithmeticException):
+        spark.sql("SELECT sum(x) FROM VALUES (9223372036854775807L), (1L) t(x)").collect()
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        rows = spark.createDataFrame([(1, "x")], "clinicnum long, description string")
+        with pytest.warns(UserWarning, match="ansi"):
+            FrameTables({"clinic": rows}).read("clinic", "clinicnum")
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")

@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 
 from duebook import AsOf, Period
+from duebook.functions.money import DOLLAR
 from duebook.operators import balances, claims, ledgers, linked, splits
 from duebook.plans import aging, listing, production, receivables
 from tests.ledger_rows import Q, arrow_tables, stored
@@ -136,7 +137,7 @@ def test_late_or_missing_payment_entry(tables, receivable, produced):
 def test_closed_plan_payments_count_only_where_plans_are_not_looked_up(tables, receivable):
     assert by_patient(receivable, "TotalPayPlan", *BALANCE)[6] == (70, 0, -150)
     aged = splits.splits_paid(tables, AsOf.on(Q)).filter("patnum = 6")
-    assert sorted(r.payplanamount for r in aged.collect()) == [-3000, -700]
+    assert sorted(r.payplanamount for r in aged.collect()) == [-30 * DOLLAR, -7 * DOLLAR]
 
 
 def test_attached_credit_takes_the_day_of_its_procedure(tables):
@@ -197,12 +198,13 @@ def test_claims_need_a_completed_procedure(produced):
 
 def test_claim_money_per_procedure(tables):
     rows = {r.procnum: (r.inspay, r.writeoff) for r in linked.claims_by_procedure(tables).collect()}
-    assert (rows[500], rows[501], rows[502]) == ((-800, 0), (-600, -200), (-400, 0))
+    assert (rows[500], rows[501], rows[502]) == (
+        (-8 * DOLLAR, 0), (-6 * DOLLAR, -2 * DOLLAR), (-4 * DOLLAR, 0))
 
 
 def test_write_off_estimates_need_a_set_snapshot(tables):
     rows = claims.writeoff_estimates(tables, AsOf.on(Q)).collect()
-    assert [(r.prikey, r.tranamount) for r in rows] == [(8, -1100)]
+    assert [(r.prikey, r.tranamount) for r in rows] == [(8, -11 * DOLLAR)]
 
 
 def test_unearned_types_are_a_parameter(tables):
@@ -220,3 +222,31 @@ def test_clinic_without_a_name(tables):
     rows = receivables.receivables_by_clinic(tables, AsOf.on(Q)).collect()
     assert {r.clinicnum: r.ClinicName for r in rows}[1] == "One"
     assert {r.clinicnum: r.ClinicName for r in rows}[2] is None
+
+
+def test_parts_of_a_cent_are_rounded_after_the_sum(spark, tmp_path):
+    """A thousand fees of 0.004 are 4.00; one is below what any report shows."""
+    tables = stored(spark, arrow_tables(
+        procedurelog=[dict(patnum=1, procfee=0.004) for _ in range(1000)] + [
+            dict(patnum=2, procfee=0.004), dict(patnum=3, procfee=0.0045), dict(patnum=4, procfee=0.005)],
+        patient=[dict(patnum=i, fname=f"F{i}", lname=f"L{i}") for i in (1, 2, 3, 4)],
+    ), tmp_path)
+    day = AsOf.on(Q)
+    owed = {r.patnum: r.TotalArBalance for r in receivables.receivables_by_patient(tables, day).collect()}
+    assert {k: float(v) for k, v in owed.items()} == {1: 4.0, 4: 0.01}
+    made = {r.patnum: float(r.RawProduction) for r in production.production_by_patient(tables, day).collect()}
+    assert made == {1: 4.0, 2: 0.0, 3: 0.0, 4: 0.01}
+    aged = {r.patName.split(",")[0]: float(r.bal_0_30) for r in aging.aging_of_receivables(tables, day).collect()}
+    assert aged == {"L1": 4.0, "L3": 0.005, "L4": 0.005}
+
+
+def test_an_empty_procedure_is_kept_in_the_aging(spark, tmp_path):
+    tables = stored(spark, arrow_tables(adjustment=[
+        dict(patnum=1, procnum=None, adjamt=40), dict(patnum=1, procnum=0, adjamt=7),
+        dict(patnum=1, procnum=None, adjamt=-5, procdate=ago(200)),
+    ]), tmp_path)
+    day = AsOf.on(Q)
+    ledger = ledgers.aging(tables, day)
+    whole = balances.charge_sums(balances.day_groups(ledger), day).collect()
+    assert balances.aged_sums(ledger, day).collect() == whole
+    assert whole[0].BalTotal == 42 * DOLLAR and whole[0].Charges_0_30 == 42 * DOLLAR

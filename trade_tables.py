@@ -11,12 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duebook.schema import MONEY, UNSET
+from duebook.schema import UNSET
 from duebook.sources.base import Tables
 
+# The test tables hold whole cents (FIXTURES.md §2).
+CENTS = "decimal(12,2)"
+
 
 def _share(amount: str, fraction: str) -> str:
-    return f"CAST({amount} * {fraction} AS {MONEY})"
+    return f"CAST({amount} * {fraction} AS {CENTS})"
 
 
 def _later(day: str, days: str) -> str:
@@ -41,7 +44,7 @@ class TradeTables(Tables):
     def _orders(self, with_clinic: bool = False) -> DataFrame:
         orders = self._file("orders").selectExpr(
             "o_orderkey AS k", "o_custkey AS cust", "o_custkey + 1 AS patnum",
-            "CAST(o_orderdate AS DATE) AS od", f"CAST(o_totalprice AS {MONEY}) AS tp",
+            "CAST(o_orderdate AS DATE) AS od", f"CAST(o_totalprice AS {CENTS}) AS tp",
             "o_orderstatus AS st",
         )
         if with_clinic:
@@ -57,8 +60,8 @@ class TradeTables(Tables):
             self._file("lineitem")
             .groupBy(F.expr("l_orderkey AS k"), F.expr("l_linenumber AS line"))
             .agg(
-                F.expr(f"CAST(max(l_extendedprice) AS {MONEY}) AS price"),
-                F.expr(f"CAST(max(l_discount) AS {MONEY}) AS disc"),
+                F.expr(f"CAST(max(l_extendedprice) AS {CENTS}) AS price"),
+                F.expr(f"CAST(max(l_discount) AS {CENTS}) AS disc"),
                 F.expr("max(l_suppkey) AS suppkey"),
                 # The lowest flag is 'R': as numbers, since strings would make it a sort
                 # aggregation.
@@ -91,10 +94,10 @@ class TradeTables(Tables):
             lines = lines.join(orders, "k", "left")
         return lines.selectExpr(
             "k * 10 + line AS procnum", *owner, "suppkey + 1 AS provnum", "sd AS procdate",
-            f"if((k * 10 + line) % 97 = 0, CAST(0 AS {MONEY}), price) AS procfee",
+            f"if((k * 10 + line) % 97 = 0, CAST(0 AS {CENTS}), price) AS procfee",
             "if(line % 4 = 0, 2, 1) AS unitqty", "if(line = 7, 1, 0) AS baseunits",
             "if(returned, 1, 2) AS procstatus",
-            f"if(line % 3 = 0, CAST(price * disc AS {MONEY}), 0) AS discount",
+            f"if(line % 3 = 0, CAST(price * disc AS {CENTS}), 0) AS discount",
             "if(line = 5, 25, 0) AS discountplanamt",
         )
 
@@ -115,10 +118,10 @@ class TradeTables(Tables):
         return self._orders(bool(place)).filter("k % 11 = 0").selectExpr(
             "k * 10 + 9 AS claimprocnum", "0L AS procnum", "patnum", *place, "od AS procdate",
             "date_add(od, 20) AS datecp", "4 AS status", f"{_share('tp', '0.02')} AS inspayamt",
-            f"CAST(0 AS {MONEY}) AS inspayest", f"CAST(0 AS {MONEY}) AS writeoff",
-            "0L AS payplannum", f"CAST({UNSET} AS {MONEY}) AS insesttotaloverride",
-            f"CAST({UNSET} AS {MONEY}) AS writeoffest",
-            f"CAST({UNSET} AS {MONEY}) AS writeoffestoverride",
+            f"CAST(0 AS {CENTS}) AS inspayest", f"CAST(0 AS {CENTS}) AS writeoff",
+            "0L AS payplannum", f"CAST({UNSET} AS {CENTS}) AS insesttotaloverride",
+            f"CAST({UNSET} AS {CENTS}) AS writeoffest",
+            f"CAST({UNSET} AS {CENTS}) AS writeoffestoverride",
         )
 
     def _claim_lines(self, need: set[str]) -> DataFrame:
@@ -126,7 +129,7 @@ class TradeTables(Tables):
         lines = self._procedurelog({*owner, "procnum"}).filter("procnum % 3 != 0")
 
         def unless_unset(test: str, amount: str) -> str:
-            return f"if({test}, {amount}, CAST({UNSET} AS {MONEY}))"
+            return f"if({test}, {amount}, CAST({UNSET} AS {CENTS}))"
 
         return lines.selectExpr(
             "procnum AS claimprocnum", "procnum", *owner, "procdate",
@@ -146,7 +149,7 @@ class TradeTables(Tables):
         waiting = self._claim_lines(set()).filter("status = 0 AND claimprocnum % 5 != 0")
         return waiting.selectExpr(
             "claimprocnum",
-            f"if(claimprocnum % 4 = 0, CAST({UNSET} AS {MONEY}), {_share('inspayest', '0.15')}) "
+            f"if(claimprocnum % 4 = 0, CAST({UNSET} AS {CENTS}), {_share('inspayest', '0.15')}) "
             "AS writeoff",
         )
 
