@@ -221,12 +221,15 @@ class _Join:
         rest = F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place))
         return rest * (100 + p) >= (F.col(n) + F.col(other_n)) * p
 
-    def block_pairs(self, entries: DataFrame, seed: int) -> DataFrame:
-        """Each block's rows with one of its rows, the same one wherever it can be."""
+    def block_pairs(self, entries: DataFrame, step: int) -> DataFrame:
+        """Each block's rows with one of its rows, the same one wherever it can be: first the one
+        that has the column earliest. It has the fewest shingles of its own, so of an original
+        and its changed copies it is the original, or nearest to it. Later any one."""
         block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / self.per_cent)))
         rows = entries.withColumn("block", block)
+        order = F.col("place").cast("long") if step == 0 else F.xxhash64(F.col("node"), F.lit(step))
         first = rows.groupBy("h", "block").agg(F.min(F.struct(
-            F.xxhash64(F.col("node"), F.lit(seed)).alias("o"), F.col("node"), F.col("n"), F.col("place"),
+            order.alias("o"), F.xxhash64("node").alias("tie"), F.col("node"), F.col("n"), F.col("place"),
             F.col("component"))).alias("p"))
         pairs = rows.join(first, ["h", "block"]).where(
             (F.col("component") != F.col("p.component")) & self.sizes_allow("n", "place", "p.n", "p.place"))
