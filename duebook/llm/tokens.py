@@ -13,17 +13,24 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words, and parts of words, that a worker remembers. Those met first are kept, which the frequent
 #: ones are among; others are encoded each time, so memory is bounded.
-CACHED_WORDS, CACHED_PARTS = 150_000, 1_000_000
+CACHED_WORDS, CACHED_PARTS = 300_000, 500_000
 #: Characters of text encoded together.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 4_000_000
 
 #: Where a text may be cut without changing its ids.
 #: "word": the vocabulary drops white space and never joins across it.
 #: "space": a blank before a visible character opens a new piece and belongs to it.
-CUTS = {"word": re.compile(r"[ \n\r\t]+"), "space": re.compile(r"(?= \S)")}
+_WHITE = r"[ \n\r\t]+"
+CUTS = {"word": re.compile(_WHITE), "space": re.compile(r"(?= \S)")}
+# A blank that is last or before other white space; texts that have one are cut by CUTS, others at
+# every blank.
+_ODD_BLANK = (r" ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+              r"\x{205f}\x{3000}]|\z)")
 
 # Both pre-tokenizers end a piece between one of these letters or digits and one of these marks,
 # either way round: none of the marks starts a contraction, and none of the letters gains a
@@ -45,34 +52,73 @@ class TextEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        self._cut, self._lower = CUTS[cut], LOWER[cut]
+        self._cut, self._lower, self._blank = CUTS[cut], LOWER[cut], cut == "space"
         self._words: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         held, chars = [], 0
         for text in texts:
-            held.append(self._cut.split(text or ""))
+            held.append(text or "")
             chars += len(text or "")
             if chars > CHUNK_CHARS:
-                yield from self._joined(held)
+                yield from self._encoded(held)
                 held, chars = [], 0
-        yield from self._joined(held)
-
-    def _joined(self, texts: list[list[str]]) -> Iterator[bytes]:
+        yield from self._encoded(held)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """Texts are cut and their distinct words found by Arrow; each word's ids are copied to its
+        places by numpy."""
+        if not texts:
+            return []
+        rows = pa.array(texts, pa.string())
+        if self._blank:
+            odd = np.flatnonzero(pc.match_substring_regex(rows, _ODD_BLANK).to_numpy(zero_copy_only=False))
+            pieces = pc.split_pattern(rows, " ")
+        else:
+            odd = ()
+            pieces = pc.split_pattern_regex(rows, _WHITE)
+        coded = pieces.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        starts = pieces.offsets.to_numpy()
+        words = coded.dictionary.to_pylist()
+        if self._blank:  # all but a text's first piece have the blank before them
+            opening = [words[c] for c in codes[starts[:-1]]]
+            codes = codes.copy()
+            codes[starts[:-1]] = len(words) + np.arange(len(texts))
+            words = [" " + w for w in words] + opening
+        ids = self._ids(words)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first = np.cumsum(sizes) - sizes
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        places = np.repeat(first[codes] - (ends - counts), counts) + np.arange(int(counts.sum()))
+        out = flat[places]
+        edges = np.append(0, ends)[starts]
+        done = [out[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
+        for i in odd:  # more blanks than one between words
+            done[i] = b"".join(self._ids(self._cut.split(texts[i])))
+        return done
+
+    def _ids(self, words: list[str]) -> list[bytes]:
         known = self._words
-        new = self._learn(set().union(*texts).difference(known))
+        new = self._learn(set(words).difference(known))
         if len(known) < CACHED_WORDS:
             known.update(new)
             new = {}
-        for words in texts:
-            if new:
-                yield b"".join([known[w] if w in known else new[w] for w in words])
-            else:
-                yield b"".join(map(known.__getitem__, words))
+        if not new:
+            return list(map(known.__getitem__, words))
+        return [known[w] if w in known else new[w] for w in words]
+
+    def _parts_of(self, word: str) -> list[str]:
+        if self._lower and not word.islower():
+            word = word.translate(self._lower)
+        # Most words are letters only, and have no place to be cut at.
+        return [word] if word.lstrip(" ").isalpha() else _PARTS.split(word)
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        cut = {w: _PARTS.split(w.translate(self._lower) if self._lower else w) for w in words}
+        cut = {w: self._parts_of(w) for w in words}
         known = self._parts
         parts = list({p for some in cut.values() for p in some}.difference(known))
         done = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
