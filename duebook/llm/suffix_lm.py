@@ -2,17 +2,22 @@
 
 Symbols are words and one end per text. A state of the tree is a context of up to `depth`
 preceding words; a text's next word is predicted by the longest suffix of its past that is a
-state. A context becomes a state if its share of all tokens reaches CONTEXT_SHARE and its
-next-word counts diverge enough from what its longest proper suffix predicts to pay for what
-storing them costs; the suffixes of a state are states too.
+state. A context seen LEAST_COUNT times becomes a state if its next-word counts diverge enough
+from what its longest proper suffix predicts to pay for what storing them costs; the suffixes of
+a state are states too. Counts are absolute, so the tree grows with the corpus.
 
 Smoothing is by absolute discounting: p(w|s) = max(n(s,w) - D, 0) / n(s) + left(s) * p(w|suffix of s),
 down to the root, whose p(w) = (c + 0.5) / (N + 0.5 (V + 1)), c, N and V counted over all training
 texts. Every state's distribution sums to 1 over the vocabulary and one unknown word.
 
-Shares bound the tree, not caps on rows: at most 1 / share words, contexts or next-word counts
-can reach a share, so tree and frequent words are broadcast whatever the size of the corpus. All
-other words are counted and looked up by joins.
+The tree is a stored table of word runs (grams), named by 64-bit hashes. A gram (c, w) is a
+next-word count of context c, its suffix is (suffix of c, w), and it is itself a context one level
+deeper. What predicts a word is its longest gram whose context is a state, and the lefts of the
+longer states before it. Suffixes of such grams and states are such too, so a log score is a sum
+over all of a text's grams: log10 of p(w|c) / (left(c) p(w|suffix of c)) of each stored gram,
+log10 left(c) of each state, and the root's log10 p of each word. So texts are scored by a join of
+their grams to the table; the frequent grams, bounded by a share, are looked up where a text is
+read.
 """
 
 from __future__ import annotations
@@ -25,25 +30,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import stored
+from duebook.llm.common import drop_folder, new_folder, stored
 from duebook.llm.words import hashes_of, words_of
 
-DEPTH = 2
-#: Least share of all training tokens: of a word that tasks know without a join, of a context, of
-#: a next-word count within a context (not less than of a word, whose count is never smaller).
-WORD_SHARE, CONTEXT_SHARE, ENTRY_SHARE = 5e-7, 5e-5, 2e-6
-#: Least count of any of them, for small corpora.
+DEPTH = 3
+#: Least share of all training tokens of a word or gram that tasks know without a join.
+WORD_SHARE = 5e-7
+#: Least share of a context, and of a next-word count within a context; by default LEAST_COUNT
+#: and the divergence test alone decide.
+CONTEXT_SHARE, ENTRY_SHARE = 0.0, 0.0
+#: Least count of any of them.
 LEAST_COUNT = 2
 DISCOUNT = 0.75
 #: Nats of divergence that a stored next-word count has to bring, in halves of the log of N.
 COST = 1.0
 #: Tokens that a task counts before it passes the counts on.
 CHUNK_TOKENS = 3_000_000
+#: Binary log of the bits in a filter. Grams that it lets pass are joined to the table, which
+#: decides, so a filter that fills up costs time and changes nothing.
+FILTER_BITS = 27
 
 #: Characters of text that a task scores at a time.
 SCORED_CHARS = 2_000_000
-#: Kinds of rows on the way: a rare word, the summary of a text with an id, and of one without.
-RARE, NAMED, NAMELESS = 0, 1, 2
+#: Kinds of rows on the way: a gram, a rare word, the summary of a text with an id, and of one without.
+GRAM, RARE, NAMED, NAMELESS = 0, 1, 2, 3
 
 #: The end of a text; no word is likely to hash to it.
 END = np.uint64(0xE17D0F7E87C0FFEE)
@@ -64,63 +74,31 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-@dataclass
-class SuffixTree:
-    """Row 0 is the root. A child is found by its parent's row and the word before the context."""
+def _places(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-    words: np.ndarray  # hashes of frequent words, sorted; a word's place is its code
-    counts: np.ndarray
-    total: int
-    vocabulary: int
-    child_keys: np.ndarray  # row * len(words) + code, sorted
-    child_rows: np.ndarray
-    parents: np.ndarray
-    left: np.ndarray  # log10 of the mass left to the parent, by row
-    entry_keys: np.ndarray  # row * len(words) + code of the next word, sorted
-    entry_scores: np.ndarray  # log10 of its probability
 
-    def root_scores(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.vocabulary + 1)))
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-    def codes(self, tokens: np.ndarray) -> np.ndarray:
-        return _find(self.words, tokens)
-
-    def states(self, codes: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row and depth of the longest state before each token; place: the token's in its text."""
-        row = np.zeros(len(codes), dtype=np.int64)
-        deep = np.zeros(len(codes), dtype=np.int64)
-        for back in range(1, depth + 1):
-            alive = np.flatnonzero((deep == back - 1) & (place >= back))
-            word = codes[alive - back]
-            alive, word = alive[word >= 0], word[word >= 0]
-            at = _find(self.child_keys, row[alive] * len(self.words) + word)
-            hit = at >= 0
-            row[alive[hit]] = self.child_rows[at[hit]]
-            deep[alive[hit]] = back
-        return row, deep
-
-    def predict(self, codes: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability in its state; of a word without a code, the part
-        above its probability at the root."""
-        score = np.zeros(len(codes))
-        row = row.copy()
-        open_ = np.flatnonzero(row > 0)
-        while len(open_):
-            at = _find(self.entry_keys, row[open_] * len(self.words) + codes[open_])
-            hit = (at >= 0) & (codes[open_] >= 0)
-            score[open_[hit]] += self.entry_scores[at[hit]]
-            row[open_[hit]] = -1
-            open_ = open_[~hit]
-            score[open_] += self.left[row[open_]]
-            row[open_] = self.parents[row[open_]]
-            open_ = open_[row[open_] > 0]
-        known = (row == 0) & (codes >= 0)
-        score[known] += self.root_scores(self.counts[codes[known]])
-        return score
 
+def _turned(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values << np.uint64(bits)) | (values >> np.uint64(64 - bits))
 
-def _places(sizes: np.ndarray) -> np.ndarray:
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+def _xxhash64(values: np.ndarray, seeds: np.ndarray | np.uint64) -> np.ndarray:
+    """Spark's xxhash64 of a long."""
+    out = (seeds + _P5 + np.uint64(8)) ^ (_turned(values * _P2, 31) * _P1)
+    out = _turned(out, 27) * _P1 + _P4
+    out = (out ^ (out >> np.uint64(33))) * _P2
+    out = (out ^ (out >> np.uint64(29))) * _P3
+    return out ^ (out >> np.uint64(32))
+
+
+def grams_of(shorter: np.ndarray) -> np.ndarray:
+    """The names of runs one word longer than those named, which end at consecutive tokens: Spark's
+    xxhash64 of the context's and the suffix's names. A single word's name is its hash."""
+    return _xxhash64(shorter[1:], _xxhash64(shorter[:-1], np.uint64(42)))
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -150,120 +128,148 @@ def count_words(texts: DataFrame) -> DataFrame:
         F.sum("count").alias("count"))
 
 
-def _count_next(texts: DataFrame, tree: SuffixTree, depth: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (state of this depth, next word) that reach `least`, by sorted key."""
-    shared = texts.sparkSession.sparkContext.broadcast(tree)
+def _passing(filter_: np.ndarray, names: np.ndarray) -> np.ndarray:
+    bit = names & np.uint64((1 << FILTER_BITS) - 1)
+    return (filter_[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _filter(names: DataFrame) -> np.ndarray:
+    """The bits of the names in `g`: at most 2^FILTER_BITS, whatever the size of the table."""
+    bit = F.col("g").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = names.select(F.shiftright(bit, 6).alias("at"), F.expr(
+        "shiftleft(1L, cast(g & 63 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _count_grams(texts: DataFrame, level: int, least: int, shorter: np.ndarray) -> DataFrame:
+    """c, s, n: contexts and suffixes of the runs of level + 1 words seen `least` times. Neither
+    of the two is seen less often, so `shorter`, the filter of the level before, spares most of
+    the others the shuffle."""
+    shared = texts.sparkSession.sparkContext.broadcast(shorter)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tokens, sizes in _chunks(batches):
-            tree = shared.value
-            codes = tree.codes(tokens)
-            row, deep = tree.states(codes, _places(sizes), depth)
-            use = (deep == depth) & (codes >= 0)
-            keys, counts = np.unique(row[use] * len(tree.words) + codes[use], return_counts=True)
-            yield pd.DataFrame({"key": keys, "count": counts})
+            within = _places(sizes)[level:] >= level
+            part = tokens
+            for _ in range(level - 1):
+                part = grams_of(part)
+            passed = _passing(shared.value, part)
+            use = np.flatnonzero(within & passed[:-1] & passed[1:])
+            _, first, counts = np.unique(grams_of(part)[use], return_index=True, return_counts=True)
+            yield pd.DataFrame({"c": part[use[first]].view(np.int64), "s": part[use[first] + 1].view(np.int64),
+                                "n": counts})
+
+    return texts.mapInPandas(counted, "c long, s long, n long").groupBy("c", "s").agg(
+        F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+@dataclass
+class SuffixTree:
+    """The table of words and grams, and the part of it that tasks know without a join."""
 
-    pairs = (texts.mapInPandas(counted, "key long, count long").groupBy("key")
-             .agg(F.sum("count").alias("count")).where(F.col("count") >= least)).toPandas()
-    order = np.argsort(pairs["key"].to_numpy(np.int64), kind="stable")
-    return pairs["key"].to_numpy(np.int64)[order], pairs["count"].to_numpy(np.int64)[order]
+    table: DataFrame  # g, count (of a word, else 0), delta, seen
+    total: int
+    vocabulary: int
+    names: np.ndarray  # sorted
+    counts: np.ndarray
+    deltas: np.ndarray
+    filter: np.ndarray  # of grams that have a delta
+
+    def root_scores(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.vocabulary + 1)))
 
 
 def learn(texts: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, word_share: float = WORD_SHARE,
           context_share: float = CONTEXT_SHARE, entry_share: float = ENTRY_SHARE) -> SuffixTree:
     """The tree of texts whose words are counted in `vocabulary`."""
+    spark = texts.sparkSession
     sums = vocabulary.agg(F.sum("count"), F.count(F.lit(1))).first()
     total, size = int(sums[0] or 0), int(sums[1])
     least = lambda share: max(LEAST_COUNT, int(np.ceil(share * total)))
-    frequent = vocabulary.where(F.col("count") >= least(word_share)).toPandas()  # <= 1 / word_share
-    words = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words, counts = words[order], frequent["count"].to_numpy(np.int64)[order]
-    n = max(1, len(words))
-
-    # Candidates by depth: of each, its parent's row, the word before, its last context's words.
-    rows = {(): 0}
-    row_counts, parents, child = [total], [-1], {}
-
-    def tree_so_far() -> SuffixTree:
-        keys = np.array(sorted(child), dtype=np.int64)
-        return SuffixTree(words, counts, total, size, keys,
-                          np.array([child[k] for k in keys.tolist()], dtype=np.int64),
-                          np.array(parents), np.zeros(len(parents)), np.zeros(0, np.int64), np.zeros(0))
-
-    def add(context: tuple[int, ...], count: int) -> None:
-        suffix = rows.get(context[1:])
-        if suffix is not None:
-            rows[context] = len(parents)
-            child[suffix * n + context[0]] = len(parents)
-            parents.append(suffix)
-            row_counts.append(count)
-
-    end_code = int(_find(words, np.array([END]))[0])
-    for code in np.flatnonzero(counts >= least(context_share)).tolist():
-        if code != end_code:
-            add((code,), int(counts[code]))
-    keys, values = [], []
+    nothing = F.lit(None).cast("long")
+    # The level before: of each gram its probability, count and suffix.
+    before = vocabulary.select(
+        F.col("word").alias("g"), F.col("count").alias("n"), nothing.alias("s"),
+        ((F.col("count") + 0.5) / F.lit(total + 0.5 * (size + 1))).alias("p"))
+    levels, contexts, folders = [], [], []
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        folders.append(new_folder(spark, name))
+        rows.write.parquet(folders[-1])
+        return spark.read.schema(rows.schema).parquet(folders[-1])
+
+    # Frequent contexts and suffixes are in many grams: AQE splits these joins, whose results are
+    # written or combined by another key.
     for level in range(1, depth + 1):
-        if not any(len(c) == level for c in rows):
-            break
-        k, v = _count_next(texts, tree_so_far(), level, least(entry_share))
-        keys.append(k)
-        values.append(v)
-        if level < depth:
-            context_of = {r: c for c, r in rows.items() if len(c) == level}
-            for key, count in zip(k.tolist(), v.tolist()):
-                if count >= least(context_share) and key % n != end_code:
-                    add((*context_of[key // n], key % n), count)
-    tree = tree_so_far()
-    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    value = np.concatenate(values) if values else np.zeros(0, np.int64)
-    return _retain(tree, np.array(row_counts), key, value)
-
-
-def _retain(tree: SuffixTree, row_counts: np.ndarray, keys: np.ndarray, values: np.ndarray) -> SuffixTree:
-    """The tree of the candidates that pass the divergence test, and of their suffixes."""
-    n, rows = max(1, len(tree.words)), len(tree.parents)
-    own, code = keys // n, keys % n
-    taken = np.bincount(own, weights=values - DISCOUNT, minlength=rows)
-    left = np.ones(rows)
-    left[1:] = 1 - taken[1:] / row_counts[1:]
-    tree.left = np.log10(np.maximum(left, 1e-12))
-    # Probabilities from the root down: children have higher rows than their parents.
-    scores = np.zeros(len(keys))
-    beneath = np.zeros(len(keys))
-    order = np.argsort(own, kind="stable")
-    keys, values, own, code = keys[order], values[order], own[order], code[order]
-    deep = np.zeros(rows, dtype=np.int64)
-    for r in range(1, rows):
-        deep[r] = deep[tree.parents[r]] + 1
-    for level in range(1, int(deep.max(initial=0)) + 1):
-        at = np.flatnonzero(deep[own] == level)
-        known = deep[own] < level
-        tree.entry_keys, tree.entry_scores = keys[known], scores[known]
-        by = np.argsort(tree.entry_keys, kind="stable")
-        tree.entry_keys, tree.entry_scores = tree.entry_keys[by], tree.entry_scores[by]
-        beneath[at] = tree.predict(code[at], tree.parents[own[at]])
-        p = (values[at] - DISCOUNT) / row_counts[own[at]] + left[own[at]] * 10 ** beneath[at]
-        scores[at] = np.log10(p)
-    # Divergence of the counts from the suffix's prediction, the words without entries as one.
-    share = values / row_counts[own]
-    gain = np.bincount(own, weights=values * (np.log(share) - np.log(10) * beneath), minlength=rows).astype(float)
-    rest = np.maximum(row_counts - np.bincount(own, weights=values, minlength=rows), 0)
-    rest_beneath = np.clip(1 - np.bincount(own, weights=10**beneath, minlength=rows), 1e-12, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain += np.where(rest > 0, rest * np.log(rest / row_counts / rest_beneath), 0)
-    entries = np.bincount(own, minlength=rows)
-    keep = (entries > 0) & (gain >= COST * 0.5 * np.log(max(2, tree.total)) * (entries + 1))
-    keep[0] = True
-    for r in range(rows - 1, 0, -1):
-        keep[tree.parents[r]] |= keep[r]
-    kept = keep[own]
-    by = np.argsort(keys[kept], kind="stable")
-    tree.entry_keys, tree.entry_scores = keys[kept][by], scores[kept][by]
-    alive = keep[tree.child_rows] if len(tree.child_rows) else np.zeros(0, bool)
-    tree.child_keys, tree.child_rows = tree.child_keys[alive], tree.child_rows[alive]
-    return tree
+        filter_ = _filter(before.where(F.col("n") >= least(entry_share)))
+        grams = written(_count_grams(texts, level, least(entry_share), filter_), f"grams-{level}")
+        counted = folders.pop()
+        grams = grams.join(before.select(F.col("g").alias("s"), F.col("p").alias("beneath")), "s")
+        sums = grams.groupBy("c").agg(
+            F.count(F.lit(1)).alias("entries"), F.sum("n").alias("taken"), F.sum("beneath").alias("mass"),
+            F.sum(F.col("n") * (F.log(F.col("n").cast("double")) - F.log("beneath"))).alias("gain"))
+        # Divergence of the counts from the suffix's prediction, the words without entries as one.
+        rest = F.col("size") - F.col("taken")
+        rest_beneath = F.least(F.greatest(1 - F.col("mass"), F.lit(1e-12)), F.lit(1.0))
+        gain = F.col("gain") - F.col("taken") * F.log(F.col("size").cast("double")) + F.when(
+            rest > 0, rest * F.log(rest / F.col("size") / rest_beneath)).otherwise(0.0)
+        sized = before.where(F.col("n") >= least(context_share)).select(
+            F.col("g").alias("c"), F.col("n").alias("size"), F.col("s").alias("suffix"))
+        context = written(sums.join(sized, "c").select(
+            "c", "size", "suffix",
+            F.greatest(1 - (F.col("taken") - DISCOUNT * F.col("entries")) / F.col("size"),
+                       F.lit(1e-12)).alias("left"),
+            (gain >= COST * 0.5 * float(np.log(max(2, total))) * (F.col("entries") + 1)).alias("keep")),
+            f"contexts-{level}")
+        level_rows = written(grams.join(context.select("c", "size", "left"), "c").select(
+            "c", "s", "n", "beneath",
+            ((F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("beneath")).alias("p")),
+            f"level-{level}").withColumn("g", F.xxhash64("c", "s"))
+        drop_folder(spark, counted)
+        before = level_rows
+        levels.append(before)
+        contexts.append(context)
+
+    # States, from the deepest up: what passes the test, and the suffixes of states.
+    deltas, longer = [], None
+    for grams, context in zip(reversed(levels), reversed(contexts)):
+        if longer is not None:
+            under = longer.select(F.col("suffix").alias("c")).distinct().withColumn("under", F.lit(True))
+            context = context.join(under, "c", "left").withColumn("keep", F.col("keep") | F.col("under").isNotNull())
+        longer = written(context.where("keep").select("c", "size", "suffix", "left"), "states")
+        held = grams.join(longer.select("c", "left"), "c")
+        none = F.lit(0).cast("long").alias("count")
+        deltas.append(held.select("g", none, F.log10(F.col("p") / F.col("beneath") / F.col("left")).alias("delta"),
+                                  F.col("n").alias("seen"), F.lit(True).alias("stated")))
+        deltas.append(longer.select(F.col("c").alias("g"), none, F.log10("left").alias("delta"),
+                                    F.col("size").alias("seen"), F.lit(True).alias("stated")))
+    rows = vocabulary.select(F.col("word").alias("g"), "count", F.lit(0.0).alias("delta"),
+                             F.col("count").alias("seen"), F.lit(False).alias("stated"))
+    for more in deltas:
+        rows = rows.unionByName(more)
+    table = stored(rows.groupBy("g").agg(
+        F.sum("count").alias("count"), F.sum("delta").alias("delta"), F.max("seen").alias("seen"),
+        F.max("stated").alias("stated")), "suffix-tree")
+    for path in folders:
+        drop_folder(spark, path)
+    # At most 1 / word_share of each length.
+    often = table.where(F.col("seen") >= least(word_share)).select("g", "count", "delta").toArrow()
+    names = often["g"].to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return SuffixTree(table, total, size, names[order], often["count"].to_numpy()[order],
+                      often["delta"].to_numpy()[order],
+                      _filter(table.where("stated").where(F.col("seen") < least(word_share))))
+
+
+def _counted_by_text(text: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's different names and how often it has them."""
+    order = np.lexsort((names, text))
+    text, names = text[order], names[order]
+    first = np.append(True, (np.diff(text) != 0) | (names[1:] != names[:-1]))[: len(text)]
+    counts = np.diff(np.append(np.flatnonzero(first), len(text)))
+    return text[first], names[first].view(np.int64), counts
 
 
 def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_share: float = WORD_SHARE,
@@ -276,39 +282,48 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
     unknown. Other columns are not read. base_score is the root's alone, score the tree's, both
     log10 of the whole text's probability.
 
-    Frequent words are scored where the text is read. Of the others, each text sends its counts to
-    the vocabulary by a join; no word among them can have more than a WORD_SHARE of the tokens.
+    Frequent words and grams are scored where the text is read. Of the others, each text sends its
+    counts to the table by a join; none among them can have more than a WORD_SHARE of the tokens.
     """
     texts = docs.where(F.coalesce(learn_from, F.lit(True))).select(F.col(text_col).alias("text"))
     vocabulary = stored(count_words(texts), "vocabulary")
     tree = learn(texts, vocabulary, depth, word_share, context_share, entry_share)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (tree.names, tree.root_scores(tree.counts), tree.deltas, tree.filter))
 
     def score_part(names: list[tuple], texts: list[str | None]) -> pd.DataFrame:
-        tree = shared.value
+        often, roots, deltas, filter_ = shared.value
         tokens, sizes = tokens_of(texts)
         starts = np.cumsum(sizes) - sizes
-        codes = tree.codes(tokens)
-        state, _ = tree.states(codes, _places(sizes), depth)
-        known = codes >= 0
-        base = np.zeros(len(codes))
-        base[known] = tree.root_scores(tree.counts[codes[known]])
-        # Words without a code: one row per text and word.
-        text, word = np.repeat(np.arange(len(texts)), sizes)[~known], tokens[~known].view(np.int64)
-        order = np.lexsort((word, text))
-        text, word = text[order], word[order]
-        first = np.append(True, (np.diff(text) != 0) | (np.diff(word) != 0))[: len(text)]
-        counts = np.diff(np.append(np.flatnonzero(first), len(text)))
-        text, word = text[first], word[first]
+        at = _find(often, tokens)
+        known = at >= 0
+        base = np.zeros(len(tokens))
+        base[known] = roots[at[known]]
+        score = base.copy()
+        score[known] += deltas[at[known]]
+        text, place = np.repeat(np.arange(len(texts)), sizes), _places(sizes)
+        sent = [(RARE, *_counted_by_text(text[~known], tokens[~known]))]
+        named = tokens
+        for level in range(1, depth + 1):
+            last = level + np.flatnonzero(place[level:] >= level)
+            named = grams_of(named)
+            grams = named[last - level]
+            found = _find(often, grams)
+            hit = found >= 0
+            score[last[hit]] += deltas[found[hit]]
+            use = ~hit & _passing(filter_, grams)
+            sent.append((GRAM, *_counted_by_text(text[last[use]], grams[use])))
         rows, ids, missing = (np.array(c) for c in zip(*names))
-        none = np.zeros(len(text), dtype=np.int64)
+        whose = np.concatenate([x[1] for x in sent])
+        none = np.zeros(len(whose), dtype=np.int64)
         return pd.DataFrame({
-            "row": np.append(rows, rows[text]), "id": np.append(ids, none),
-            "kind": np.append(np.where(missing, NAMELESS, NAMED), none + RARE),
-            "word": np.append(np.zeros(len(rows), dtype=np.int64), word),
-            "n": np.append(np.add.reduceat(known.astype(np.int64), starts), counts),
+            "row": np.append(rows, rows[whose]), "id": np.append(ids, none),
+            "kind": np.append(np.where(missing, NAMELESS, NAMED),
+                              np.concatenate([np.full(len(x[1]), x[0]) for x in sent])),
+            "name": np.append(np.zeros(len(rows), dtype=np.int64), np.concatenate([x[2] for x in sent])),
+            "n": np.append(np.add.reduceat(known.astype(np.int64), starts), np.concatenate([x[3] for x in sent])),
             "base": np.append(np.add.reduceat(base, starts), none),
-            "score": np.append(np.add.reduceat(tree.predict(codes, state), starts), none),
+            "score": np.append(np.add.reduceat(score, starts), none),
         })
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,20 +344,21 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(ident, F.lit(0)).alias("id"),
                        ident.isNull().alias("missing"), F.col(text_col).alias("text"))
     parts = rows.mapInPandas(
-        scored, "row long, id long, kind int, word long, n long, base double, score double")
-    summary = F.col("kind") != RARE
+        scored, "row long, id long, kind int, name long, n long, base double, score double")
+    summary, rare = F.col("kind") >= NAMED, F.col("kind") == RARE
     # A summary joins to nothing; its key only has to be spread.
-    known = vocabulary.select(F.col("word").alias("_word"), F.col("count").alias("_count"))
-    key = F.when(summary, F.xxhash64("row")).otherwise(F.col("word"))
-    found = parts.withColumn("_word", key).join(known, "_word", "left")
-    count = F.when(summary, 0).otherwise(F.coalesce("_count", F.lit(0)))
-    root = F.when(summary, 0.0).otherwise(F.col("n") * F.log10(
-        (count + 0.5) / F.lit(float(tree.total + 0.5 * (tree.vocabulary + 1)))))
+    known = tree.table.select(F.col("g").alias("_name"), F.col("count").alias("_count"), F.col("delta").alias("_delta"))
+    key = F.when(summary, F.xxhash64("row")).otherwise(F.col("name"))
+    found = parts.withColumn("_name", key).join(known, "_name", "left")
+    count = F.when(rare, F.coalesce("_count", F.lit(0))).otherwise(0)
+    root = F.when(rare, F.col("n") * F.log10(
+        (count + 0.5) / F.lit(float(tree.total + 0.5 * (tree.vocabulary + 1))))).otherwise(0.0)
+    delta = F.when(summary, 0.0).otherwise(F.col("n") * F.coalesce("_delta", F.lit(0.0)))
     sums = found.groupBy("row").agg(
         F.max(F.when(F.col("kind") == NAMED, F.col("id"))).alias(id_col),
-        F.sum("n").alias("n_tokens"),
+        F.sum(F.when(F.col("kind") != GRAM, F.col("n")).otherwise(0)).alias("n_tokens"),
         F.sum(F.when(summary | (count > 0), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + root).alias("base_score"), F.sum(F.col("score") + root).alias("score"),
+        F.sum(F.col("base") + root).alias("base_score"), F.sum(F.col("score") + root + delta).alias("score"),
     )
     return sums.select(id_col, "n_tokens", "n_known",
                        F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")

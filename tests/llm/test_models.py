@@ -159,6 +159,24 @@ def test_suffix_tree_scores(spark, depth):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("word_share", [5e-7, 0.002, 1.0])
+def test_a_context_seen_often_enough_is_kept_whatever_its_share(spark, word_share):
+    """Three words that follow each other three times among 60,000 others, by the default least
+    counts: 5e-5 of the tokens would be four times."""
+    rng = random.Random(12)
+    docs = [(i, sentence(rng, 1000, 3000)) for i in range(60)]
+    docs += [(100 + i, f"{sentence(rng, 20)} left of centre stage {sentence(rng, 20)}") for i in range(3)]
+    docs += [(200, "left of centre stage"), (201, "off centre stage"), (202, "stage centre of left")]
+    held = [d >= 200 for d, _ in docs]
+    wanted, states = plain_scores(docs, held, 3, {"context": 0, "entry": 0}, 2)
+    assert {(b"left",), (b"of",)} <= states
+    got = {r.doc_id: r for r in score_texts(frame(spark, docs), F.col("doc_id") < 200, word_share=word_share).collect()}
+    for (doc_id, _), (n, known, total, base, score) in zip(docs, wanted):
+        r = got[doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
+
+
 def test_language_model_of_odd_documents(spark, odd, none):
     got = score_texts(odd, F.lit(True)).collect()
     assert len(got) == len(odd_documents())
