@@ -2,7 +2,8 @@
 
 Encoding a text in one go spends most of its time on words met before. Both vocabularies here
 never join bytes across certain boundaries, so a text is cut there, each distinct piece is
-encoded by the library once per worker, and the ids of the pieces are joined.
+encoded by the library once per worker, and the ids of the pieces are joined. The strings of added
+tokens, such as <|endoftext|>, are one id each, as in the library; a text is split at them first.
 """
 
 from __future__ import annotations
@@ -51,7 +52,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are plain text
+        added = self._tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path}: an added token that takes in more than its own string")
+        self._added = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        self._at_added = re.compile("({})".format("|".join(  # the longest, as the library does
+            re.escape(c) for c in sorted(self._added, key=len, reverse=True))))
         self._cut, self._lower, self._blank = CUTS[cut], LOWER[cut], cut == "space"
         self._words: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
@@ -67,6 +73,24 @@ class TextEncoder:
         yield from self._encoded(held)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
+        """What lies between added tokens is encoded like a text of its own."""
+        marked = [i for i, t in enumerate(texts) if any(a in t for a in self._added)]
+        if not marked:
+            return self._between(texts)
+        split = [self._at_added.split(texts[i]) for i in marked]
+        whole = list(texts)
+        for i in marked:
+            whole[i] = ""
+        done = self._between(whole + [t for some in split for t in some[::2]])
+        at = len(texts)
+        for i, some in zip(marked, split):
+            ids = [self._added.get(t, b"") for t in some]
+            ids[::2] = done[at: at + len(ids[::2])]
+            at += len(ids[::2])
+            done[i] = b"".join(ids)
+        return done[: len(texts)]
+
+    def _between(self, texts: list[str]) -> list[bytes]:
         """Texts are cut and their distinct words found by Arrow; each word's ids are copied to its
         places by numpy."""
         if not texts:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from duebook.llm import token_files
 from duebook.llm.common import new_folder
 from duebook.llm.packing import CAPACITY, cuts, differencing, pack_documents, pack_pieces
 from duebook.llm.queries import tokenizer_file
 from duebook.llm.token_files import pack_blocks, read_segments, read_token_files, unpack_blocks, write_segment, write_token_files
-from duebook.llm.tokens import TextEncoder
+from duebook.llm.tokens import TextEncoder, encoder as encoder_of
 from tests.llm.conftest import odd_documents
 
 FILES = {"word": "word_bpe_49k.json", "space": "byte_bpe_50k.json"}
@@ -40,6 +42,25 @@ def test_cutting_keeps_the_ids(encoder, text):
     assert list(encoder.encode([text])) == plain(encoder, [text])
 
 
+@lru_cache
+def fresh_tokenizer(cut):
+    return Tokenizer.from_file(tokenizer_file(FILES[cut]))
+
+
+@pytest.mark.parametrize("cut, ends", [("word", {49406, 49407}), ("space", {50256})])
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(
+    ALPHABET + ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>"]), max_size=15).map("".join), max_size=4))
+@example(texts=["a <|endoftext|>  b<|startoftext|>", "<|endoftext|><|endoftext|>", "plain", "é<|endoftext|>\u0301 "])
+def test_added_tokens_are_one_id(cut, ends, texts):
+    """Against a tokenizer as the library loads it."""
+    fresh = fresh_tokenizer(cut)
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder_of(tokenizer_file(FILES[cut]), cut).encode(texts)]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    if texts[2:3] == ["plain"]:
+        assert ends <= set(got[0])
+
+
 def test_a_full_memory_keeps_the_ids(encoder, monkeypatch):
     monkeypatch.setattr("duebook.llm.tokens.CACHED_WORDS", 2)
     monkeypatch.setattr("duebook.llm.tokens.CACHED_PARTS", 2)
