@@ -241,3 +241,12 @@ def test_overflow_raises_whatever_the_default(spark):
             FrameTables({"clinic": rows}).read("clinic", "clinicnum")
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_places_are_given_without_one_task_for_all_rows(spark):
+    """Ranges of the sorted rows are numbered apart, also where one is empty."""
+    rows = spark.range(0, 1000, 1, 7).where("id < 300 or id > 500")
+    got = contract._in_order(lambda _: rows)(None)
+    assert "Window" not in got._jdf.queryExecution().toString()
+    assert [r.id for r in sorted(got.collect(), key=lambda r: r.position)] == [r.id for r in rows.collect()]
+    assert sorted(r.position for r in got.collect()) == list(range(1, rows.count() + 1))
