@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from duebook.llm import answers
 from duebook.llm.common import held_out, new_folder, table
+from duebook.llm.conversations import repair_damaged
 from duebook.llm.decontamination import contaminated
 from duebook.llm.exact_dedup import exact_dedup
+from duebook.llm.main_text import extract_main_text
 from duebook.llm.ngram_join import jaccard_join
 from duebook.llm.packing import pack_documents
 from duebook.llm.quality import fit_quality, score_quality
+from duebook.llm.spelling import spelling_variants
 from duebook.llm.suffix_dedup import remove_repeats
 from duebook.llm.suffix_lm import score_texts
 from duebook.llm.token_files import read_token_files, write_token_files
@@ -80,6 +83,18 @@ def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -92,6 +107,9 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_suffix_lm": op10_suffix_lm,
+        "op11_html_extraction": op11_html_extraction,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -100,4 +118,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_join": answers.NGRAM_JOIN,
         "op6_warc": answers.WARC,
         "op9_exact_dedup": answers.EXACT_DEDUP,
+        "op11_html_extraction": answers.MAIN_TEXT,
+        "op12_conversation_repair": answers.CONVERSATIONS,
+        "op13_spelling_variants": answers.SPELLING,
     }

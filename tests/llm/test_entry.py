@@ -18,7 +18,7 @@ MIDDLE = "/root/testdata/sf0.01"
 
 def test_all_are_registered():
     assert {*queries.queries(), "pipeline"} <= set(contract.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
