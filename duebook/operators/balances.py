@@ -9,11 +9,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.buckets import (
-    age_bucket, allocate_oldest_first, owed, owing, sums_by_age,
-)
+from duebook.functions.buckets import allocate_oldest_first, owed, owing
 from duebook.functions.money import ZERO, rounded
 from duebook.operators.rows import union_all
+from duebook.operators.totals import Ages, totals
 from duebook.params import AsOf
 from duebook.schema import (
     ADJ, AGING_EDGES, AR_EDGES, CLAIM, PAT_PAY, PLAN_OFFSET, PROC, PROC_AND_DATE, PROC_SUM,
@@ -56,21 +55,19 @@ def receivable_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) ->
     money per patient. The sums are linear and their tests read only what a procedure's
     rows share, so they are taken straight from the ledger, without the step above."""
     charged = f"trantype IN ('{PROC}', '{CLAIM}', '{ADJ}', '{PLAN_OFFSET}')"
-    rows = ledger.selectExpr(
-        *keys, "patnum", "tranamount", "payplanamount", "instotest", "inspayest", "inswoest",
-        f"{age_bucket('procdate', as_of.date, AR_EDGES)} AS age",
-        f"if({charged}, tranamount - instotest, {ZERO}) AS patshare",
-        f"if(trantype = '{PAT_PAY}', -tranamount, {ZERO}) AS payment",
+    amounts = {
+        "TotalPayments": f"if(trantype = '{PAT_PAY}', -tranamount, {ZERO})",
+        "TotalBalance": "tranamount", "TotalPayPlan": "payplanamount", "InsPayEst": "inspayest",
+        "InsWoEst": "inswoest",
+    }
+    ages = Ages("procdate", AR_EDGES, {
+        "instotest": INS_BUCKETS, f"if({charged}, tranamount - instotest, {ZERO})": PAT_BUCKETS,
+    })
+    sums = totals(ledger, as_of, [*keys, "patnum"], amounts, ages)
+    return sums.selectExpr(
+        *as_of.keys, *keys, "patnum", *INS_BUCKETS, *PAT_BUCKETS, "TotalPayments",
+        f"{rounded('TotalBalance', 2)} AS TotalBalance", "TotalPayPlan", "InsPayEst", "InsWoEst",
     )
-    return _sums(rows, [*keys, "patnum"], [
-        *sums_by_age("age", "instotest", INS_BUCKETS),
-        *sums_by_age("age", "patshare", PAT_BUCKETS),
-        "sum(payment) AS TotalPayments",
-        f"{rounded('sum(tranamount)', 2)} AS TotalBalance",
-        "sum(payplanamount) AS TotalPayPlan",
-        "sum(inspayest) AS InsPayEst",
-        "sum(inswoest) AS InsWoEst",
-    ])
 
 
 def open_receivables(sums: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -107,7 +104,7 @@ def day_groups(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def aged_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataFrame:
+def aged_sums(ledger: DataFrame, as_of: AsOf) -> DataFrame:
     """Charges by age, credits, balance and estimates per patient over the day groups.
 
     Rows attached to nothing keep their day, and a group of them holds one sign only, so
@@ -115,32 +112,25 @@ def aged_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataF
     through the grouping; the bulk of the ledger is shuffled once, as partial sums.
     """
     free = ledger.filter(_UNATTACHED)
-    attached = day_groups(ledger.filter(f"NOT ({_UNATTACHED})"), keys)
-    used = [*keys, "trantype", "patnum", "trandate", "tranamount", "payplanamount", "inswoest",
+    marks = as_of.moving().keys
+    attached = day_groups(ledger.filter(f"NOT ({_UNATTACHED})"), marks)
+    used = [*marks, "trantype", "patnum", "trandate", "tranamount", "payplanamount", "inswoest",
             "inspayest"]
-    return charge_sums(union_all([free.select(*used), attached.select(*used)]), as_of, keys)
+    return charge_sums(union_all([free.select(*used), attached.select(*used)]), as_of)
 
 
-def charge_sums(groups: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataFrame:
+def charge_sums(groups: DataFrame, as_of: AsOf) -> DataFrame:
     """Charges by age, credits, balance and estimates per patient."""
     whole = f"trantype IN ('{WRITEOFF_ORIG}', '{PROC_AND_DATE}')"
-    reached = as_of.covers("trandate")
-    age = age_bucket("trandate", as_of.date, AGING_EDGES)
-    rows = groups.selectExpr(
-        *keys, "patnum", "inswoest", "inspayest", "payplanamount",
-        f"if({reached}, {age}, NULL) AS age",
-        f"if(tranamount > 0 OR {whole}, tranamount, {ZERO}) AS charge",
-        f"if({reached} AND tranamount < 0 AND NOT {whole}, -tranamount, {ZERO}) AS credit",
-        f"if({reached}, tranamount, {ZERO}) AS balance",
+    estimates = {"InsWoEst": "inswoest", "InsPayEst": "inspayest", "PayPlanDue": "payplanamount"}
+    ages = Ages(
+        "trandate", AGING_EDGES,
+        {f"if(tranamount > 0 OR {whole}, tranamount, {ZERO})": CHARGE_BUCKETS}, cut=True,
+        reached={"TotalCredits": f"if(tranamount < 0 AND NOT {whole}, -tranamount, {ZERO})",
+                 "BalTotal": "tranamount"},
     )
-    return _sums(rows, [*keys, "patnum"], [
-        *sums_by_age("age", "charge", CHARGE_BUCKETS),
-        "sum(credit) AS TotalCredits",
-        "sum(balance) AS BalTotal",
-        "sum(inswoest) AS InsWoEst",
-        "sum(inspayest) AS InsPayEst",
-        "sum(payplanamount) AS PayPlanDue",
-    ])
+    return totals(groups, as_of, ["patnum"], estimates, ages).select(
+        *as_of.keys, "patnum", *CHARGE_BUCKETS, "TotalCredits", "BalTotal", *estimates)
 
 
 def clamped(sums: DataFrame) -> DataFrame:
@@ -158,22 +148,14 @@ def open_balances(sums: DataFrame) -> DataFrame:
     return sums.selectExpr("*", *_allocated(CHARGE_BUCKETS, OPEN_BUCKETS, "TotalCredits", 3))
 
 
-def signed_sums(ledger: DataFrame, as_of: AsOf, keys: Sequence[str] = ()) -> DataFrame:
+def signed_sums(ledger: DataFrame, as_of: AsOf) -> DataFrame:
     """Positive rows as charges and negative ones as credits, by age, per patient. The
     rows are cut at the report date already; a later one counts as the youngest."""
-    rows = ledger.selectExpr(
-        *keys, "patnum", "tranamount",
-        f"{age_bucket('trandate', as_of.date, AGING_EDGES)} AS age",
-        f"greatest(tranamount, {ZERO}) AS charge",
-        f"greatest(-tranamount, {ZERO}) AS credit",
-    )
-    return _sums(rows, [*keys, "patnum"], [
-        *sums_by_age("age", "charge", CHARGE_BUCKETS),
-        "sum(charge) AS TotalCharges",
-        *sums_by_age("age", "credit", CREDIT_BUCKETS),
-        "sum(credit) AS TotalCredits",
-        "sum(tranamount) AS BalTotal",
-    ])
+    charge, credit = f"greatest(tranamount, {ZERO})", f"greatest(-tranamount, {ZERO})"
+    ages = Ages("trandate", AGING_EDGES, {charge: CHARGE_BUCKETS, credit: CREDIT_BUCKETS})
+    sums = {"TotalCharges": charge, "TotalCredits": credit, "BalTotal": "tranamount"}
+    return totals(ledger, as_of, ["patnum"], sums, ages).select(
+        *as_of.keys, "patnum", *CHARGE_BUCKETS, "TotalCharges", *CREDIT_BUCKETS, "TotalCredits", "BalTotal")
 
 
 def _allocated(

@@ -29,28 +29,49 @@ def _on_complete_work(tables: Tables, columns: Sequence[str], condition: str) ->
     return free_or_matched(free.filter(condition), bound.filter(condition), "procnum", complete)
 
 
-def _received(as_of: AsOf) -> str:
-    return f"(status != {NOT_RECEIVED} AND {as_of.covers('datecp')})"
-
-
-def _pending(as_of: AsOf) -> str:
-    """Not received by the report date; only plain lines wait once they have a date."""
-    return (f"(status = {NOT_RECEIVED} OR "
-            f"(status = {RECEIVED} AND NOT {as_of.covers('datecp')}))")
+def _on_the_day(lines: DataFrame, as_of: AsOf, dated: bool) -> DataFrame:
+    """Whether a line is received, or still waiting for service done by then: not received by the
+    report date; only plain lines wait once they have a date."""
+    received, served = f"status != {NOT_RECEIVED}", as_of.covers("procdate")
+    if dated:
+        lines, served = as_of.select(lines, "procdate"), "true"
+        received = f"{received} AND {as_of.covers('datecp')}"
+    else:
+        lines = as_of.spread(lines)
+    waiting = f"status = {NOT_RECEIVED} OR (status = {RECEIVED} AND NOT {as_of.covers('datecp')})"
+    return lines.selectExpr("*", f"({received}) AS received", f"({served} AND ({waiting})) AS pending")
+
+
+def _in_turns(lines: DataFrame, as_of: AsOf, dated: bool) -> DataFrame:
+    """The same for a moving series, a row for each turn of a line: it waits from its service on,
+    until it has a date, and counts as received from that date on, or where the amounts are
+    cut in the sums, all along."""
+    served, none = as_of.ever("procdate"), "CAST(NULL AS DATE)"
+    received, since = f"status != {NOT_RECEIVED}", none
+    if dated:
+        received = f"{received} AND {served} AND {as_of.ever('datecp')}"
+        since = "greatest(procdate, datecp)"
+    waiting = f"status = {NOT_RECEIVED} OR (status = {RECEIVED} AND datecp IS NOT NULL)"
+    turns = each_entry(lines, [
+        (received, {"received": "true", "since": since, "until": none}),
+        (f"{served} AND ({waiting})", {
+            "received": "false", "since": "procdate", "until": f"if(status = {RECEIVED}, datecp, {none})"}),
+    ])
+    return turns.selectExpr(*lines.columns, "entry.received AS received", "NOT entry.received AS pending",
+                            "entry.since AS since", "entry.until AS until")
 
 
 def _claim_lines(
-    tables: Tables, as_of: AsOf, with_clinic: bool, received: str, pending: str, amount: str,
-    writeoff: str, counts: str, dated: bool = True,
+    tables: Tables, as_of: AsOf, with_clinic: bool, amount: str, writeoff: str, counts: str,
+    dated: bool = True,
 ) -> DataFrame:
-    """Claim lines that are ``received`` and count for something, or ``pending`` with
-    something to expect. The tests and amounts are columns of their own, made once per
+    """Claim lines that are received and count for something, or pending with something to
+    expect. The tests and amounts are columns of their own, made once per
     line: repeated in place they would grow the generated method past what the JVM
     compiles."""
     columns = [*_LINE, "inspayest", *place(with_clinic)]
     lines = _on_complete_work(tables, columns, f"status IN {CLAIM_STATUSES}")
-    lines = as_of.select(lines, "procdate") if dated else as_of.spread(lines)
-    lines = lines.selectExpr("*", f"{received} AS received", f"{pending} AS pending").filter(
+    lines = (_in_turns if as_of.moves else _on_the_day)(lines, as_of, dated).filter(
         f"received AND ({counts}) OR pending AND (inspayest != 0 OR writeoff != 0)"
     )
     lines = lines.selectExpr(
@@ -84,25 +105,18 @@ _TWO_AMOUNTS = {
 def claims_receivable(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     """Claim lines with payment and write-off in one amount; a plan line still loses its
     write-off."""
-    return _claim_lines(
-        tables, as_of, with_clinic, _received(as_of), _pending(as_of), **_ONE_AMOUNT
-    )
+    return _claim_lines(tables, as_of, with_clinic, **_ONE_AMOUNT)
 
 
 def claims_production(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     """Claim lines with payment and write-off apart; a plan line loses neither."""
-    return _claim_lines(
-        tables, as_of, with_clinic, _received(as_of), _pending(as_of), **_TWO_AMOUNTS
-    )
+    return _claim_lines(tables, as_of, with_clinic, **_TWO_AMOUNTS)
 
 
 def claims_aging(tables: Tables, as_of: AsOf) -> DataFrame:
     """Claim lines as the A/R aging takes them: amounts without a date test (they are cut
     in the sums), estimates for service up to the report date."""
-    pending = f"({as_of.covers('procdate')} AND {_pending(as_of)})"
-    return _claim_lines(
-        tables, as_of, False, f"status != {NOT_RECEIVED}", pending, **_ONE_AMOUNT, dated=False
-    )
+    return _claim_lines(tables, as_of, False, **_ONE_AMOUNT, dated=False)
 
 
 def claims_paid(

@@ -65,10 +65,9 @@ def plan_charges(tables: Tables, as_of: AsOf, look_ahead: int = 10) -> DataFrame
         "payplancharge", "payplanchargenum", "payplannum", "guarantor", "chargedate",
         "chargetype", "principal", "interest",
     ).filter(f"chargetype = {DEBIT} AND principal + interest != 0")
-    rows = as_of.spread(rows.join(own_plans, "payplannum", "left_semi"))
+    rows = rows.join(own_plans, "payplannum", "left_semi")
     return ledger_rows(
-        rows.filter(f"chargedate <= date_add({as_of.date}, {look_ahead})"),
-        as_of.keys, PLAN_CHARGE,
+        as_of.due(rows, "chargedate", look_ahead), as_of.keys, PLAN_CHARGE,
         prikey="payplanchargenum", patnum="guarantor", trandate="chargedate",
         procdate="chargedate", payplanamount=_DUE,
     )

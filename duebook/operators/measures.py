@@ -5,31 +5,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from duebook.functions.buckets import owed, owing, sum_where
-from duebook.functions.money import rounded
+from duebook.functions.buckets import owed, owing
+from duebook.functions.money import ZERO, rounded
+from duebook.operators.totals import totals
+from duebook.params import AsOf, Period
 from duebook.schema import ADJ, CLAIM, PAT_PAY, PLAN_OFFSET, PROC
 
 
+def _where(condition: str) -> str:
+    return f"if({condition}, tranamount, {ZERO})"
+
+
 def production_measures(
-    ledger: DataFrame, keys: Sequence[str], net_of_rounded: bool = True
+    ledger: DataFrame, scope: AsOf | Period, keys: Sequence[str], net_of_rounded: bool = True
 ) -> DataFrame:
     """Production, write-offs, adjustments, collections and balances per key, each rounded to
     cents after its sum. The net amounts add up what was rounded, or else are rounded once."""
     adjustment = f"trantype = '{ADJ}'"
     sums = {
-        "RawProduction": sum_where(f"trantype IN ('{PROC}', '{PLAN_OFFSET}')", "tranamount"),
-        "TotWo": "sum(woamount)",
-        "PosAdj": sum_where(f"{adjustment} AND tranamount > 0", "tranamount"),
-        "NegAdj": sum_where(f"{adjustment} AND tranamount < 0", "tranamount"),
-        "TotInsPaymt": sum_where(f"trantype = '{CLAIM}'", "tranamount"),
-        "PatPaymts": sum_where(f"trantype = '{PAT_PAY}'", "tranamount"),
-        "TotBalance": "sum(tranamount) + sum(woamount)",
-        "InsAR": "sum(instotest)",
-        "PPOwed": "sum(payplanamount)",
+        "RawProduction": _where(f"trantype IN ('{PROC}', '{PLAN_OFFSET}')"),
+        "TotWo": "woamount",
+        "PosAdj": _where(f"{adjustment} AND tranamount > 0"),
+        "NegAdj": _where(f"{adjustment} AND tranamount < 0"),
+        "TotInsPaymt": _where(f"trantype = '{CLAIM}'"),
+        "PatPaymts": _where(f"trantype = '{PAT_PAY}'"),
+        "TotBalance": "tranamount",
+        "InsAR": "instotest",
+        "PPOwed": "payplanamount",
     }
-    rows = ledger.groupBy(*keys).agg(*(F.expr(f"{s} AS {name}") for name, s in sums.items()))
+    rows = totals(ledger, scope, keys, sums)
+    rows = rows.selectExpr(*(f"{c} + TotWo AS {c}" if c == "TotBalance" else c for c in rows.columns))
     nets = {
         "NetProduction": ["RawProduction", "TotWo", "PosAdj", "NegAdj"],
         "NetCollections": ["TotInsPaymt", "PatPaymts"],
@@ -40,4 +46,4 @@ def production_measures(
                        else rounded(" + ".join(parts), 2))
     account = rounded("TotBalance - InsAR", 2)
     shown["PatAR"], shown["PatAP"] = owed(account), owing(account)
-    return rows.selectExpr(*keys, *(f"{e} AS {name}" for name, e in shown.items()))
+    return rows.selectExpr(*scope.keys, *keys, *(f"{e} AS {name}" for name, e in shown.items()))

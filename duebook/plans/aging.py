@@ -43,13 +43,13 @@ def aging_day_groups(tables: Tables, as_of: AsOf) -> DataFrame:
 
 def aging_charges(tables: Tables, as_of: AsOf, clamp: bool = False) -> DataFrame:
     """Charges by age and credits per patient, negative buckets kept or turned to credit."""
-    sums = aged_sums(ledgers.aging(tables, as_of), as_of, as_of.keys)
+    sums = aged_sums(ledgers.aging(tables, as_of.moving()), as_of)
     sums = clamped(sums) if clamp else sums
     return in_dollars(sums, *CHARGE_BUCKETS, "TotalCredits", *_ESTIMATES)
 
 
 def _aged(tables: Tables, as_of: AsOf) -> DataFrame:
-    sums = aged_sums(ledgers.aging(tables, as_of), as_of, as_of.keys)
+    sums = aged_sums(ledgers.aging(tables, as_of.moving()), as_of)
     return open_balances(clamped(sums)).selectExpr(
         *as_of.keys, "patnum", *reversed(OPEN_BUCKETS),
         *(f"{rounded(e, 3)} AS {e}" for e in _ESTIMATES),
@@ -75,7 +75,7 @@ def aging_of_receivables(tables: Tables, as_of: AsOf) -> DataFrame:
 
 def custom_aging_charges(tables: Tables, as_of: AsOf) -> DataFrame:
     """Charges and credits by age per patient, known patients only."""
-    sums = signed_sums(ledgers.custom_aging(tables, as_of), as_of, as_of.keys)
+    sums = signed_sums(ledgers.custom_aging(tables, as_of.moving()), as_of)
     known = sums.join(tables.read("patient", "patnum"), "patnum", "left_semi")
     return in_dollars(known, *(c for c in sums.columns if c not in (*as_of.keys, "patnum")))
 
@@ -83,7 +83,7 @@ def custom_aging_charges(tables: Tables, as_of: AsOf) -> DataFrame:
 def custom_aging(tables: Tables, as_of: AsOf) -> DataFrame:
     """Patients who owe money on balance, with some bucket open. Names are joined to the
     summed rows; that join also drops transactions of unknown patients."""
-    sums = signed_sums(ledgers.custom_aging(tables, as_of), as_of, as_of.keys)
+    sums = signed_sums(ledgers.custom_aging(tables, as_of.moving()), as_of)
     total = rounded("TotalCharges - TotalCredits", 3)
     rows = open_balances(sums).filter(f"({_any_bucket('!= 0')}) AND {total} > 0")
     people = tables.read("patient", "patnum", "fname", "lname")

@@ -28,8 +28,8 @@ def _totals(rows: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Da
 
 
 def _per_patient(tables: Tables, as_of: AsOf) -> DataFrame:
-    keys = [*as_of.keys, "patnum"]
-    return production_measures(ledgers.production(tables, as_of), keys).select(*keys, *MEASURES)
+    rows = production_measures(ledgers.production(tables, as_of.moving()), as_of, ["patnum"])
+    return rows.select(*as_of.keys, "patnum", *MEASURES)
 
 
 def production_by_patient(tables: Tables, as_of: AsOf) -> DataFrame:
@@ -46,7 +46,7 @@ def _per_month(tables: Tables, period: Period) -> DataFrame:
     ledger = ledgers.month(tables, period).selectExpr(
         "*", "date_format(trandate, 'yyyy-MM') AS TranMonth"
     )
-    measures = production_measures(ledger, keys, net_of_rounded=False)
+    measures = production_measures(ledger, period, keys, net_of_rounded=False)
     return measures.select(*keys, *MONTH_MEASURES)
 
 

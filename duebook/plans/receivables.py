@@ -21,9 +21,9 @@ _TOTALS = [f"{dollars(wide_sum(a))} AS {a}" for a in AMOUNTS]
 
 
 def _per_patient(tables: Tables, as_of: AsOf, by_clinic: bool = False) -> DataFrame:
-    keys = [*as_of.keys, *(["clinicnum"] if by_clinic else [])]
-    ledger = ledgers.receivable(tables, as_of, with_clinic=by_clinic)
-    return open_receivables(receivable_sums(ledger, as_of, keys), keys)
+    place = ["clinicnum"] if by_clinic else []
+    ledger = ledgers.receivable(tables, as_of.moving(), with_clinic=by_clinic)
+    return open_receivables(receivable_sums(ledger, as_of, place), [*as_of.keys, *place])
 
 
 def receivables_by_patient(tables: Tables, as_of: AsOf) -> DataFrame:
