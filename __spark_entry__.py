@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -26,6 +24,8 @@ from duebook.operators import (  # noqa: E402
     balances, charges, claims, installments, ledgers, linked, splits,
 )
 from duebook.plans import aging, listing, production, receivables  # noqa: E402
+from duebook.plans.places import with_places  # noqa: E402
+from duebook.session import new_folder  # noqa: E402
 from trade_tables import TradeTables  # noqa: E402
 from duebook.schema import INS_EST, INS_PAY, PLAN_OFFSET, PLAN_TOTAL, TABLES, WRITEOFF  # noqa: E402
 
@@ -91,35 +91,16 @@ def _day_groups(tables, as_of):
     return aging.aging_day_groups(tables, as_of).toDF(*names)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _in_order(build: Build) -> Build:
-    """The rows with their places, as the report hands them out: places within each range of the
-    sorted report, which is stored, and the rows of the ranges before it."""
-    def query(tables):
-        rows = build(tables).withColumn("_at", F.monotonically_increasing_id())
-        path = _folder(rows.sparkSession, "in-order")
-        rows.write.parquet(path)
-        rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
-        rows = rows.withColumn("_range", F.shiftright("_at", 33))
-        counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
-        before = counts.select("_range").join(
-            counts.select(F.col("_range").alias("_less"), "n"), F.col("_less") < F.col("_range"), "left",
-        ).groupBy("_range").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_before"))
-        place = (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).cast("int")
-        return rows.join(F.broadcast(before), "_range").withColumn("position", place).drop("_at", "_range", "_before")
-
-    return query
+    """The rows with their places, as the report hands them out."""
+    return lambda tables: with_places(build(tables)).withColumn("position", F.col("position").cast("int"))
 
 
 def _written(name: str) -> Build:
     """A table after ``write_tables`` and reading it back."""
     def query(tables):
         spark = tables.read(name, "adjnum").sparkSession
-        path = _folder(spark, "written")
+        path = new_folder(spark, "written")
         write_tables(tables, path, [name])
         return StoredTables(spark, path).read(name, *TABLES[name])
 

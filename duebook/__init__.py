@@ -1,6 +1,9 @@
 """Receivables and production reports over a practice ledger, on PySpark."""
 
 from duebook.params import AsOf, Period
-from duebook.sources import CatalogTables, FrameTables, StoredTables
+from duebook.sources import (
+    BucketedTables, CatalogTables, FrameTables, PublishedTables, StoredTables,
+)
 
-__all__ = ["AsOf", "Period", "CatalogTables", "FrameTables", "StoredTables"]
+__all__ = ["AsOf", "Period", "BucketedTables", "CatalogTables", "FrameTables", "PublishedTables",
+           "StoredTables"]

@@ -7,26 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.keys import free_or_matched
 from duebook.functions.money import ZERO, units
 from duebook.operators.rows import each_entry, ledger_rows, place
 from duebook.params import AsOf, Period
 from duebook.schema import (
-    CLAIM, CLAIM_STATUSES, COMPLETE, INS_EST, INS_PAY, NOT_RECEIVED, PAID_STATUSES, RECEIVED,
+    CLAIM, CLAIM_STATUSES, INS_EST, INS_PAY, NOT_RECEIVED, PAID_STATUSES, RECEIVED,
     UNSET, WRITEOFF, WRITEOFF_EST,
 )
-from duebook.sources.base import Tables
+from duebook.sources.base import ON_COMPLETE_WORK, Tables
 
 _LINE = ("claimprocnum", "procnum", "patnum", "procdate", "datecp", "status", "inspayamt",
          "writeoff", "payplannum")
+
+
 def _on_complete_work(tables: Tables, columns: Sequence[str], condition: str) -> DataFrame:
     """Lines that meet ``condition`` and are paid by total (no procedure) or on a completed
     procedure."""
-    free, bound = tables.split("claimproc", "procnum", *columns)
-    complete = tables.read("procedurelog", "procnum", "procstatus").filter(
-        f"procstatus = {COMPLETE}"
-    )
-    return free_or_matched(free.filter(condition), bound.filter(condition), "procnum", complete)
+    return tables.referring(ON_COMPLETE_WORK, *columns, where=condition)
 
 
 def _on_the_day(lines: DataFrame, as_of: AsOf, dated: bool) -> DataFrame:

@@ -119,9 +119,10 @@ def procedure_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
     adjustment counts where patient, provider and clinic are those of its procedure. All
     joins are by procedure alone, so one placement serves them."""
     wanted = wanted.filter("procnum != 0").select("procnum").distinct()
-    procedures = tables.read("procedurelog", *_PROCEDURE).join(wanted, "procnum", "left_semi")
+    procedures = tables.read("procedurelog", *_PROCEDURE, by="procnum").join(wanted, "procnum", "left_semi")
     own = procedures.selectExpr("procnum", "patnum AS pat", "provnum AS prov", "clinicnum AS clinic")
-    adjusted = tables.read("adjustment", "procnum", "patnum", "provnum", "clinicnum", "adjamt")
+    adjusted = tables.read(
+        "adjustment", "procnum", "patnum", "provnum", "clinicnum", "adjamt", by="procnum")
     same = "patnum = pat AND provnum = prov AND clinicnum = clinic"
     credits = union_all([
         claims_by_procedure(tables, wanted).selectExpr("procnum", "inspay + writeoff AS credit"),
@@ -144,7 +145,7 @@ def _linked_procedures(tables: Tables, valued: bool) -> DataFrame:
     else:
         procedures = tables.read(
             "procedurelog", "procnum", "patnum", "procdate", "procstatus", "discount",
-            "discountplanamt",
+            "discountplanamt", by="procnum",
         )
     return links.join(plans, "payplannum").join(procedures, "procnum")
 

@@ -41,13 +41,14 @@ def month(tables: Tables, period: Period) -> DataFrame:
     ])
 
 
-def listing(tables: Tables, as_of: AsOf) -> DataFrame:
-    return union_all([
+def listing(tables: Tables, as_of: AsOf) -> list[DataFrame]:
+    """The sources one by one, each as its table is laid out."""
+    return [
         charges.procedure_charges(tables, as_of, with_clinic=True),
         claims.claims_paid(tables, as_of, with_clinic=True, tag=INS_PAY),
         charges.adjustments_by_service(tables, as_of, with_clinic=True),
         splits.splits_listed(tables, as_of),
-    ])
+    ]
 
 
 def aging(tables: Tables, as_of: AsOf) -> DataFrame:

@@ -39,7 +39,7 @@ def claims_by_procedure(tables: Tables, among: DataFrame | None = None) -> DataF
     others the override, else the estimate."""
     rows = tables.read(
         "claimproc", "procnum", "status", "inspayamt", "inspayest", "writeoff",
-        "insesttotaloverride", "writeoffest", "writeoffestoverride",
+        "insesttotaloverride", "writeoffest", "writeoffestoverride", by=None if among is None else "procnum",
     ).filter(f"status != {PREAUTH}")
     pay = _settled_or("inspayamt", f"coalesce({_if_set('insesttotaloverride')}, inspayest)")
     writeoff = _settled_or(
@@ -53,7 +53,7 @@ def claims_by_procedure(tables: Tables, among: DataFrame | None = None) -> DataF
 def splits_by(tables: Tables, key: str, among: DataFrame | None = None) -> DataFrame:
     """Payments outside plans per procedure (``procnum``) or adjustment (``adjnum``),
     negative."""
-    rows = tables.read("paysplit", key, "payplannum", "splitamt").filter("payplannum = 0")
+    rows = tables.read("paysplit", key, "payplannum", "splitamt", by=None if among is None else key).filter("payplannum = 0")
     return _restricted(rows, key, among).groupBy(key).agg(
         F.expr(f"sum(-coalesce({units('splitamt')}, {ZERO})) AS splitamt")
     )

@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from duebook.functions.keys import free_or_matched
 from duebook.functions.money import ZERO, units
 from duebook.operators.rows import ledger_rows, place
 from duebook.params import AsOf, Period
 from duebook.schema import PAT_PAY, UNEARNED_TYPES
-from duebook.sources.base import Tables
+from duebook.sources.base import ON_OPEN_PLAN, Tables
 
 
 _SPLIT = ("splitnum", "patnum", "payplannum", "datepay", "procdate", "splitamt")
@@ -23,9 +22,7 @@ def _splits(tables: Tables, *more: str) -> DataFrame:
 
 def _on_open_plan(tables: Tables, *more: str) -> DataFrame:
     """Splits outside plans or on a plan that is still open."""
-    free, bound = tables.split("paysplit", "payplannum", *_SPLIT, *more)
-    plans = tables.read("payplan", "payplannum", "isclosed").filter("isclosed = 0")
-    return free_or_matched(free, bound, "payplannum", plans).filter("splitamt != 0")
+    return tables.referring(ON_OPEN_PLAN, *_SPLIT, *more, where="splitamt != 0")
 
 
 def _rows(splits: DataFrame, keys: Sequence[str], apart: bool = True) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +47,29 @@ def cluster_settings(input_bytes: int) -> dict[str, str]:
     return settings
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a
+    local master gets a folder of its own; on a cluster it would be another one on each machine, so
+    there it raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.split("[")[0] == "local":
+        raise ValueError(f"spark.checkpoint.dir is unset: {master or 'the cluster'} needs a folder that all executors see")
+    if master not in _LOCAL:
+        _LOCAL[master] = "file://" + tempfile.mkdtemp(prefix="duebook-")
+    return _LOCAL[master]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder; nothing is overwritten."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Single-machine session for tests and the benchmark."""
     builder = (

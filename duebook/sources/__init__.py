@@ -1,5 +1,9 @@
 """Where the eleven ledger tables come from."""
 
-from duebook.sources.base import CatalogTables, FrameTables, StoredTables, Tables, write_tables
+from duebook.sources.base import (
+    CatalogTables, FrameTables, PublishedTables, StoredTables, Tables, publish_tables, write_tables,
+)
+from duebook.sources.layout import BucketedTables, write_buckets
 
-__all__ = ["CatalogTables", "FrameTables", "StoredTables", "Tables", "write_tables"]
+__all__ = ["BucketedTables", "CatalogTables", "FrameTables", "PublishedTables", "StoredTables", "Tables",
+           "publish_tables", "write_buckets", "write_tables"]

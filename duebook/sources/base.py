@@ -3,28 +3,55 @@ its use and a source that assembles a table can leave out what nobody asked for.
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from duebook.schema import DATES, TABLES
+from duebook.functions.keys import free_or_matched
+from duebook.schema import COMPLETE, DATES, TABLES
 
 
 # Options of the text formats. With FAILFAST a value that can't be read raises.
 _TEXT = {"csv": {"header": "true", "mode": "FAILFAST"}, "json": {"mode": "FAILFAST"}}
 
 
+@dataclass(frozen=True)
+class Reference:
+    """A reference of table ``name`` by ``key`` to the same column of ``target``, which holds where
+    ``condition`` on the target's ``column`` does."""
+
+    name: str
+    key: str
+    target: str
+    column: str
+    condition: str
+
+    def held(self, tables: Tables) -> DataFrame:
+        return tables.read(self.target, self.key, self.column, by=self.key).filter(self.condition)
+
+
+#: Claim lines on completed work, and payments outside plans or on an open one.
+ON_COMPLETE_WORK = Reference("claimproc", "procnum", "procedurelog", "procstatus", f"procstatus = {COMPLETE}")
+ON_OPEN_PLAN = Reference("paysplit", "payplannum", "payplan", "isclosed", "isclosed = 0")
+
+
 class Tables(ABC):
     @abstractmethod
     def frame(self, name: str, columns: Sequence[str]) -> DataFrame:
         """The table, holding at least ``columns``."""
 
-    def read(self, name: str, *columns: str) -> DataFrame:
+    def read(self, name: str, *columns: str, by: str | None = None) -> DataFrame:
         """``columns`` of a table in their contract types. The cast is a no-op, and
-        predicates still reach the files, where the stored type already agrees."""
+        predicates still reach the files, where the stored type already agrees. ``by`` names the
+        column that the rows are joined on, for a source that has them laid out by it; rows that refer
+        to nothing by it may then be left out."""
         return self._typed(name, self.frame(name, columns), columns)
 
     @staticmethod
@@ -39,6 +66,11 @@ class Tables(ABC):
         rows = self.read(name, *columns)
         return rows.filter(f"{key} = 0"), rows.filter(f"{key} != 0")
 
+    def referring(self, reference: Reference, *columns: str, where: str = "true") -> DataFrame:
+        """Rows that meet ``where`` and refer to nothing, or to a row that the reference holds for."""
+        free, bound = self.split(reference.name, reference.key, *columns)
+        return free_or_matched(free.filter(where), bound.filter(where), reference.key, reference.held(self))
+
 
 class StoredTables(Tables):
     """One file set per table below ``path``.
@@ -111,3 +143,44 @@ def write_tables(
             parts = [files] if files else []
             rows = rows.repartitionByRange(*parts, *order).sortWithinPartitions(*order)
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+class PublishedTables(StoredTables):
+    """The set of tables that was last published below ``path``. It is looked up once: a reader
+    keeps to one set, whatever is published meanwhile."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        current = _current(spark, path.rstrip("/"))
+        if not current:
+            raise ValueError(f"nothing has been published below {path}")
+        super().__init__(spark, f"{path.rstrip('/')}/{current['folder']}")
+
+
+_MANIFEST = "number long, folder string"
+
+
+def _current(spark: SparkSession, path: str):
+    """The manifest's last entry, or None: of equal numbers, by writers at the same time, the last name."""
+    try:
+        entries = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+        return entries.orderBy(F.desc("number"), F.desc("folder")).first()
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing.getCondition()):
+            raise
+        return None
+
+
+def publish_tables(
+    tables: Tables, spark: SparkSession, path: str, names: Sequence[str] = tuple(TABLES), files: int | None = None
+) -> str:
+    """Write a set of tables beside the published ones and switch to it when it is whole, for
+    ``PublishedTables``. The switch is one file added to the manifest, which Spark's writer commits
+    as a whole; a failure before leaves the old set in force and a folder nobody reads. Returns
+    the folder. Old sets stay until the caller deletes them: a reader may be at work on one."""
+    path = path.rstrip("/")
+    folder = f"set-{uuid.uuid4().hex}"
+    write_tables(tables, f"{path}/{folder}", names, files)
+    number = 1 + (getattr(_current(spark, path), "number", None) or 0)
+    entry = spark.createDataFrame([(number, folder)], _MANIFEST).coalesce(1)
+    entry.write.mode("append").parquet(f"{path}/manifest")
+    return folder

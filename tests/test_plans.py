@@ -12,7 +12,8 @@ from duebook import AsOf, CatalogTables, FrameTables, Period, StoredTables
 from duebook.operators import claims
 from duebook.plans import listing, production, receivables
 from duebook.schema import DATES, TABLES
-from duebook.session import cluster_settings
+from duebook.plans.places import with_places
+from duebook.session import cluster_settings, shared_folder
 from duebook.sources import write_tables
 from trade_tables import TradeTables
 from tests.ledger_rows import random_tables, stored
@@ -247,10 +248,38 @@ def test_overflow_raises_whatever_the_default(spark):
         spark.conf.set("spark.sql.ansi.enabled", "true")
 
 
-def test_places_are_given_without_one_task_for_all_rows(spark):
-    """Ranges of the sorted rows are numbered apart, also where one is empty."""
-    rows = spark.range(0, 1000, 1, 7).where("id < 300 or id > 500")
-    got = contract._in_order(lambda _: rows)(None)
-    assert "Window" not in got._jdf.queryExecution().toString()
-    assert [r.id for r in sorted(got.collect(), key=lambda r: r.position)] == [r.id for r in rows.collect()]
-    assert sorted(r.position for r in got.collect()) == list(range(1, rows.count() + 1))
+def test_places_are_given_range_by_range(spark, tmp_path):
+    """A thousand ranges, some of them empty; only one row per range goes through the running sum, and
+    no rows are paired but by their range."""
+    rows = spark.range(0, 20_000, 1, 1000).where("id < 3000 or id > 5000 and id % 7 > 0")
+    got = with_places(rows, path=f"{tmp_path}/places")
+    text = plan(got, "simple")
+    assert "NestedLoop" not in text and "Cartesian" not in text and "BroadcastHashJoin" in text
+    window = text[text.index("Window ["):]
+    assert "HashAggregate(keys=[_range" in window and "Window [" not in window[1:]
+    found = sorted(map(tuple, got.collect()))
+    assert [place for _, place in found] == list(range(1, rows.count() + 1))
+    assert [i for i, _ in found] == [r.id for r in rows.collect()]
+
+
+def test_places_follow_the_sort(spark):
+    rows = spark.range(0, 5000, 1, 8).selectExpr("id * 7919 % 5000 AS k", "'x' AS _n", "id AS position")
+    got = with_places(rows.orderBy("k"), "place")
+    assert sorted((r.k, r.place) for r in got.collect()) == [(k, k + 1) for k in range(5000)]
+    empty = with_places(rows.where("k < 0").orderBy("k"))
+    assert empty.collect() == []
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf(dict):
+        get = dict.get
+
+    class Session:
+        conf = Conf({"spark.master": "spark://x:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert shared_folder(Session()) == "hdfs:///shared"
+    Session.conf = Conf({"spark.master": "local[4]"})
+    assert shared_folder(Session()).startswith("file://")
