@@ -24,6 +24,7 @@ from duebook.operators import (  # noqa: E402
     balances, charges, claims, installments, ledgers, linked, splits,
 )
 from duebook.plans import aging, listing, production, receivables  # noqa: E402
+from duebook.plans.kept import KeptDayGroups  # noqa: E402
 from duebook.plans.places import with_places  # noqa: E402
 from duebook.session import new_folder  # noqa: E402
 from trade_tables import TradeTables  # noqa: E402
@@ -96,6 +97,27 @@ def _in_order(build: Build) -> Build:
     return lambda tables: with_places(build(tables)).withColumn("position", F.col("position").cast("int"))
 
 
+class _Lacking(Tables):
+    """Another source's tables, one of them without rows."""
+
+    def __init__(self, tables: Tables, name: str):
+        self.tables, self.name = tables, name
+
+    def frame(self, name, columns):
+        rows = self.tables.frame(name, columns)
+        return rows.filter("false") if name == self.name else rows
+
+
+def _kept(tables: Tables) -> DataFrame:
+    """The A/R aging from day groups kept before any adjustment was made, and merged since with the
+    patients that have one."""
+    adjusted = tables.read("adjustment", "patnum")
+    kept = KeptDayGroups(adjusted.sparkSession, new_folder(adjusted.sparkSession, "day-groups"))
+    kept.write(_Lacking(tables, "adjustment"))
+    kept.merge(tables, adjusted)
+    return kept.aging_of_receivables(tables, INCLUSIVE)
+
+
 def _written(name: str) -> Build:
     """A table after ``write_tables`` and reading it back."""
     def query(tables):
@@ -220,6 +242,7 @@ def builds() -> dict[str, Build]:
             ledgers.aging, q, fields=f"{_BASE} agedprocnum agedprocdate",
             money="tranamount payplanamount inswoest inspayest"),
         "r12_aging_of_ar": _report(aging.aging_of_receivables, q),
+        "r12_aging_kept": _report(_kept),
         "r13_custom_aging": _report(aging.custom_aging, q),
         "o1_aging_of_ar_order": _in_order(_report(aging.aging_of_receivables, q)),
         "o1_custom_aging_order": _in_order(_report(aging.custom_aging, q)),

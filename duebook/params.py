@@ -88,6 +88,11 @@ class AsOf:
         """The date in ``column`` is covered by the last report day."""
         return self._reached(column, _literal(self.days[-1]))
 
+    @property
+    def counting(self) -> str:
+        """Whether a row of the moving form counts on the one report day."""
+        return f"(since IS NULL OR {self.covers('since')}) AND NOT (until IS NOT NULL AND {self.covers('until')})"
+
     def days_until(self, date: str) -> str:
         """The number of report days up to a date, that day included; NULL for no date."""
         first, last = self.days[0], self.days[-1]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from duebook.functions.money import DOLLAR, dollars, in_dollars, rounded
 from duebook.operators import ledgers
 from duebook.operators.balances import (
-    CHARGE_BUCKETS, OPEN_BUCKETS, aged_sums, clamped, day_groups, open_balances, signed_sums,
+    CHARGE_BUCKETS, OPEN_BUCKETS, aged_sums, charge_sums, clamped, day_groups, open_balances, signed_sums,
 )
 from duebook.params import AsOf
 from duebook.schema import LEDGER_MONEY
@@ -49,22 +49,42 @@ def aging_charges(tables: Tables, as_of: AsOf, clamp: bool = False) -> DataFrame
 
 
 def _aged(tables: Tables, as_of: AsOf) -> DataFrame:
-    sums = aged_sums(ledgers.aging(tables, as_of.moving()), as_of)
+    return _opened(aged_sums(ledgers.aging(tables, as_of.moving()), as_of), as_of)
+
+
+def _opened(sums: DataFrame, as_of: AsOf) -> DataFrame:
     return open_balances(clamped(sums)).selectExpr(
         *as_of.keys, "patnum", *reversed(OPEN_BUCKETS),
         *(f"{rounded(e, 3)} AS {e}" for e in _ESTIMATES),
     )
 
 
+def _aged_groups(groups: DataFrame, as_of: AsOf) -> DataFrame:
+    """The same from day groups that say since when and until when they count."""
+    return _opened(charge_sums(groups if as_of.many else groups.filter(as_of.counting), as_of), as_of)
+
+
 def aging_balances(tables: Tables, as_of: AsOf) -> DataFrame:
     """Open balances by age per patient, before names and the materiality test."""
     return in_dollars(_aged(tables, as_of), *OPEN_BUCKETS, *_ESTIMATES)
 
 
+def balances_of(groups: DataFrame, as_of: AsOf) -> DataFrame:
+    return in_dollars(_aged_groups(groups, as_of), *OPEN_BUCKETS, *_ESTIMATES)
+
+
 def aging_of_receivables(tables: Tables, as_of: AsOf) -> DataFrame:
     """Patients with at least half a cent open in some bucket."""
-    people = tables.read("patient", "patnum", "lname", "fname", "middlei")
-    rows = _aged(tables, as_of).filter(_any_bucket(f">= {_MATERIAL}")).join(people, "patnum")
+    return _shown(_aged(tables, as_of), tables, as_of)
+
+
+def receivables_of(groups: DataFrame, tables: Tables, as_of: AsOf) -> DataFrame:
+    return _shown(_aged_groups(groups, as_of), tables, as_of)
+
+
+def _shown(balances: DataFrame, tables: Tables, as_of: AsOf) -> DataFrame:
+    people = tables.read("patient", "patnum", "lname", "fname", "middlei", by="patnum")
+    rows = balances.filter(_any_bucket(f">= {_MATERIAL}")).join(people, "patnum")
     shown = (*OPEN_BUCKETS, "BalTotal", "InsWoEst", "InsPayEst")
     return _by_name(rows, as_of).selectExpr(
         *as_of.keys, "concat(lname, ', ', fname, ' ', middlei) AS patName",

@@ -9,13 +9,12 @@ from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from duebook.functions.keys import free_or_matched
 from duebook.schema import COMPLETE, DATES, TABLES
+from duebook.sources.manifest import add_entry, entries
 
 
 # Options of the text formats. With FAILFAST a value that can't be read raises.
@@ -150,37 +149,20 @@ class PublishedTables(StoredTables):
     keeps to one set, whatever is published meanwhile."""
 
     def __init__(self, spark: SparkSession, path: str):
-        current = _current(spark, path.rstrip("/"))
-        if not current:
+        published = entries(spark, path.rstrip("/"))
+        if not published:
             raise ValueError(f"nothing has been published below {path}")
-        super().__init__(spark, f"{path.rstrip('/')}/{current['folder']}")
-
-
-_MANIFEST = "number long, folder string"
-
-
-def _current(spark: SparkSession, path: str):
-    """The manifest's last entry, or None: of equal numbers, by writers at the same time, the last name."""
-    try:
-        entries = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
-        return entries.orderBy(F.desc("number"), F.desc("folder")).first()
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing.getCondition()):
-            raise
-        return None
+        super().__init__(spark, f"{path.rstrip('/')}/{published[-1]}")
 
 
 def publish_tables(
     tables: Tables, spark: SparkSession, path: str, names: Sequence[str] = tuple(TABLES), files: int | None = None
 ) -> str:
     """Write a set of tables beside the published ones and switch to it when it is whole, for
-    ``PublishedTables``. The switch is one file added to the manifest, which Spark's writer commits
-    as a whole; a failure before leaves the old set in force and a folder nobody reads. Returns
-    the folder. Old sets stay until the caller deletes them: a reader may be at work on one."""
-    path = path.rstrip("/")
+    ``PublishedTables``. The switch is one entry of the manifest; a failure before leaves the old
+    set in force and a folder nobody reads. Returns the folder. Old sets stay until the caller
+    deletes them: a reader may be at work on one."""
     folder = f"set-{uuid.uuid4().hex}"
-    write_tables(tables, f"{path}/{folder}", names, files)
-    number = 1 + (getattr(_current(spark, path), "number", None) or 0)
-    entry = spark.createDataFrame([(number, folder)], _MANIFEST).coalesce(1)
-    entry.write.mode("append").parquet(f"{path}/manifest")
+    write_tables(tables, f"{path.rstrip('/')}/{folder}", names, files)
+    add_entry(spark, path.rstrip("/"), folder)
     return folder

@@ -257,6 +257,7 @@ answer("r14_prod_series", f"SELECT q AS as_of, {_prod_totals(_PROD)} FROM prod_d
 
 _ADJUSTMENT = ANSWERS["s04_adjustment"][1]
 answer("s12_written_adjustment", _ADJUSTMENT)
+answer("r12_aging_kept", ANSWERS["r12_aging_of_ar"][1])
 answer("p6_transactions_clinic", ANSWERS["r09_transactions"][1] + "\nWHERE t.clinicnum = 3", EXCLUSIVE)
 _PLACE = "CAST(row_number() OVER (ORDER BY lower(lname), lower(fname), patnum) AS INT) AS position"
 for _name, _report in (("o1_aging_of_ar_order", "r12_aging_of_ar"), ("o1_custom_aging_order", "r13_custom_aging")):
