@@ -7,6 +7,7 @@ and a logistic regression is fitted on the scaled features.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,6 +64,15 @@ class _Distinct:
         return cells[self._last[cells] == places]
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    """Distinct cells in order, as compressed steps: about a third of their size, for the driver's sake."""
+    return zlib.compress(np.diff(np.sort(cells), prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4"), dtype=np.int32)
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray  # log-count ratio times fitted weight, by cell
@@ -156,13 +166,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, label_c
         for batch in batches:
             yield pd.DataFrame({
                 "id": batch["id"], "label": batch["label"],
-                "cells": [np.sort(distinct(cells_of(t))).astype("<i4").tobytes() for t in batch["text"]],
+                "cells": [_packed(distinct(cells_of(t))) for t in batch["text"]],
             })
 
     rows = sample.mapInPandas(features, "id long, label int, cells binary").toPandas()
     rows = rows.sort_values(["label", "id", "cells"], ignore_index=True)  # one order at every run
-    cells = [np.frombuffer(c, "<i4") for c in rows["cells"]]
-    return fit(cells, rows["label"].to_numpy(), share)
+    cells, found = [_unpacked(c) for c in rows["cells"]], rows["label"].to_numpy()
+    del rows
+    return fit(cells, found, share)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3,
