@@ -107,26 +107,34 @@ class _Join:
                                 F.col(text_col).alias("text"))
 
     def sets(self, counts) -> DataFrame:
-        """One row per document: id, n (size of its set), node, and its last first column."""
+        """One row per document: id, n (size of its set), node, its last first column, and for the
+        first row of a node in a batch its first columns, with the part that a hot one is dealt to."""
         size, per_cent = self.size, self.per_cent
 
         def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                n, nodes, last = [], [], []
-                for text in batch["text"]:
+                seen, n, nodes, last, firsts, parts = set(), [], [], [], [], []
+                for missing, text in zip(batch["missing"], batch["text"]):
                     shingles = _sets(text, size)
                     n.append(len(shingles))
                     nodes.append(_node(shingles))
                     columns, weight = first_columns(shingles, counts.value, per_cent)
                     last.append((weight[-1], columns[-1]) if len(columns) else (0, 0))
+                    known = missing or not len(columns) or nodes[-1] in seen  # copies are one row
+                    seen.update(() if known else nodes[-1:])
+                    firsts.append(None if known else columns)
+                    # A column that may be hot is dealt by node too; -1 marks the others.
+                    hot = not known and (weight > HOT_COLUMN).any()
+                    parts.append(np.where(weight > HOT_COLUMN, nodes[-1] % (weight // HOT_COLUMN + 1), -1) if hot else None)
                 weights, columns = zip(*last) if last else ((), ())
                 yield pd.DataFrame({
                     "id": batch["id"], "missing": batch["missing"], "n": np.array(n, dtype=np.int64),
                     "node": np.array(nodes, dtype=np.int64), "last_count": np.array(weights, dtype=np.int64),
-                    "last_column": np.array(columns, dtype=np.int64)})
+                    "last_column": np.array(columns, dtype=np.int64), "columns": firsts, "parts": parts})
 
         return stored(self.rows.mapInPandas(
-            made, "id long, missing boolean, n long, node long, last_count long, last_column long",
+            made, "id long, missing boolean, n long, node long, last_count long, last_column long, "
+            "columns array<long>, parts array<long>",
         ).withColumn("salt", salted("id")), "shingle_sets")
 
     def nodes(self, sets: DataFrame) -> DataFrame:
@@ -135,34 +143,12 @@ class _Join:
         return stored(sets.where("not missing and n > 0").groupBy("node", "n", "last_count", "last_column").agg(
             F.min("id").alias("first_id")), "shingle_nodes")
 
-    def entries(self, counts) -> DataFrame:
+    def entries(self, sets: DataFrame) -> DataFrame:
         """h, node, n, place: entries of the matrix in columns that more than one node has; place
         is the number of the node's columns before."""
-        size, per_cent = self.size, self.per_cent
-
-        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                seen, columns, nodes, n, parts, places = set(), [], [], [], [], []
-                for text in batch["text"]:
-                    shingles = _sets(text, size)
-                    node = _node(shingles)
-                    if node in seen or not len(shingles):  # copies are one row
-                        continue
-                    seen.add(node)
-                    first, weight = first_columns(shingles, counts.value, per_cent)
-                    columns.append(first)
-                    # A column that may be hot is dealt by node too; -1 marks the others.
-                    parts.append(np.where(weight > HOT_COLUMN, node % (weight // HOT_COLUMN + 1), -1))
-                    nodes.append(np.full(len(first), node))
-                    n.append(np.full(len(first), len(shingles), dtype=np.int32))
-                    places.append(np.arange(len(first), dtype=np.int32))
-                if columns:
-                    yield pd.DataFrame({"h": np.concatenate(columns), "part": np.concatenate(parts),
-                                        "node": np.concatenate(nodes), "n": np.concatenate(n),
-                                        "place": np.concatenate(places)})
-
-        every = self.rows.where(~F.col("missing")).select("text").mapInPandas(
-            made, "h long, part long, node long, n int, place int")
+        every = sets.where("columns is not null").select(
+            "node", F.col("n").cast("int").alias("n"), "parts", F.posexplode("columns").alias("place", "h"),
+        ).select("h", F.coalesce(F.get("parts", "place"), F.lit(-1)).alias("part"), "node", "n", "place")
         # One exchange serves both the copies of other batches and the count.
         column = Window.partitionBy("h", "part")
         dealt = every.repartition("h", "part").dropDuplicates(["h", "part", "node"])
@@ -274,7 +260,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = docs.sparkSession.sparkContext.broadcast(column_counts(docs, text_col, size))  # 2**CELL_BITS longs
     sets = join.sets(counts)
     nodes = join.nodes(sets)
-    entries = join.entries(counts)
+    entries = join.entries(sets)
     columns = stored(entries.groupBy("node").agg(F.collect_list("h").alias("columns")), "shingle_columns")
     named = sets.where("not missing and n > 0")
     # Rows of one id are linked to begin with.
