@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local master gets one of
+    our own; on a cluster that would be another one on each machine, so there it raises."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors see")
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="duebook-")
