@@ -38,6 +38,8 @@ CELL_BITS, SLICES, TASK_GROUPS = 20, 64, 64
 #: Rows of a column, by its cell, above which its entries are dealt by row as well.
 HOT_COLUMN = 20_000
 STAR_ROUNDS = 2
+#: First columns, in all, after which the rows made so far leave the worker.
+HELD_COLUMNS = 250_000
 
 
 def _sets(text: str | None, size: int) -> np.ndarray:
@@ -113,8 +115,9 @@ class _Join:
 
         def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                seen, n, nodes, last, firsts, parts = set(), [], [], [], [], []
-                for missing, text in zip(batch["missing"], batch["text"]):
+                seen, low, held = set(), 0, 0
+                n, nodes, last, firsts, parts = [], [], [], [], []
+                for row, (missing, text) in enumerate(zip(batch["missing"], batch["text"]), 1):
                     shingles = _sets(text, size)
                     n.append(len(shingles))
                     nodes.append(_node(shingles))
@@ -126,11 +129,16 @@ class _Join:
                     # A column that may be hot is dealt by node too; -1 marks the others.
                     hot = not known and (weight > HOT_COLUMN).any()
                     parts.append(np.where(weight > HOT_COLUMN, nodes[-1] % (weight // HOT_COLUMN + 1), -1) if hot else None)
-                weights, columns = zip(*last) if last else ((), ())
-                yield pd.DataFrame({
-                    "id": batch["id"], "missing": batch["missing"], "n": np.array(n, dtype=np.int64),
-                    "node": np.array(nodes, dtype=np.int64), "last_count": np.array(weights, dtype=np.int64),
-                    "last_column": np.array(columns, dtype=np.int64), "columns": firsts, "parts": parts})
+                    held += 0 if known else len(columns)
+                    if held > HELD_COLUMNS or row == len(batch):
+                        weights, lasts = zip(*last)
+                        yield pd.DataFrame({
+                            "id": batch["id"].iloc[low:row], "missing": batch["missing"].iloc[low:row],
+                            "n": np.array(n, dtype=np.int64), "node": np.array(nodes, dtype=np.int64),
+                            "last_count": np.array(weights, dtype=np.int64),
+                            "last_column": np.array(lasts, dtype=np.int64), "columns": firsts, "parts": parts})
+                        low, held = row, 0
+                        n, nodes, last, firsts, parts = [], [], [], [], []
 
         return stored(self.rows.mapInPandas(
             made, "id long, missing boolean, n long, node long, last_count long, last_column long, "

@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duebook.llm.caches import CACHED_BYTES, ENTRY, remembered
 from duebook.llm.sampling import labelled_sample
 
 PASSAGE_WORDS = 48
@@ -26,9 +26,6 @@ HIDDEN, GATE = 24, 16
 #: Labelled texts of each class that the model is fitted on at most; this bounds the driver's share.
 SAMPLE_PER_CLASS = 1_500
 EPOCHS, BATCH, RATE = 20, 64, 0.005
-#: Words remembered by a worker; beyond that it starts anew.
-CACHED_WORDS = 300_000
-
 _SHAPES = 14
 #: Features of a passage: means of its words' shapes, shares of word cells, three of the whole.
 FEATURES = _SHAPES + WORD_CELLS + 3
@@ -57,10 +54,21 @@ class _Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
+        self.bytes = 0
         self.shapes = np.zeros((1024, _SHAPES), dtype=np.float32)
         self.cells = np.zeros(1024, dtype=np.int64)
 
+    def start_text(self) -> None:
+        """Beyond CACHED_BYTES all is forgotten, but not within a text, whose words refer to rows."""
+        if self.bytes > CACHED_BYTES:
+            self._start()
+
     def __missing__(self, word: str) -> int:
+        self.bytes += len(word) + ENTRY + 4 * _SHAPES + 8
         row = len(self)
         if row == len(self.cells):
             self.shapes = np.concatenate([self.shapes, np.zeros_like(self.shapes)])
@@ -72,19 +80,13 @@ class _Words(dict):
         return row
 
 
-@lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
-
-
 def passages_of(text: str | None) -> np.ndarray:
     """A row of features per passage of PASSAGE_WORDS words; an empty text is one empty passage."""
     words = (text or "").split()
     if not words:
         return np.zeros((1, FEATURES), dtype=np.float32)
-    table = _words()
-    if len(table) > CACHED_WORDS:
-        table.clear()
+    table = remembered("word shapes", _Words)
+    table.start_text()
     ids = np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
     starts = np.arange(0, len(ids), PASSAGE_WORDS)
     sizes = np.diff(np.append(starts, len(ids)))

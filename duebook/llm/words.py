@@ -3,29 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 import xxhash
 
-#: Words remembered by a worker; beyond that it starts anew, so its memory is bounded.
-CACHED_WORDS = 400_000
+from duebook.llm.caches import CACHED_BYTES, ENTRY, remembered
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Hashes(dict):
+    """Word to its hash; beyond CACHED_BYTES it starts anew."""
+
+    bytes = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
+        self.bytes += len(word) + ENTRY
+        if self.bytes > CACHED_BYTES:
             self.clear()
+            self.bytes = len(word) + ENTRY
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return remembered("word hashes", _Hashes)
 
 
 def words_of(text: str | None) -> list[bytes]:
