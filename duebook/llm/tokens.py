@@ -2,8 +2,10 @@
 
 Encoding a text in one go spends most of its time on words met before. Both vocabularies here
 never join bytes across certain boundaries, so a text is cut there, each distinct piece is
-encoded by the library once per worker, and the ids of the pieces are joined. The strings of added
-tokens, such as <|endoftext|>, are one id each, as in the library; a text is split at them first.
+encoded by the library once, and the ids of the pieces are joined. Cutting, finding distinct pieces
+and joining are done by Arrow and numpy over many texts at a time; only pieces that are new to the
+worker become Python strings. The strings of added tokens, such as <|endoftext|>, are one id each, as
+in the library; a text is split at them first.
 """
 
 from __future__ import annotations
@@ -11,15 +13,19 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, and parts of words, that a worker remembers. Those met first are kept, which the frequent
-#: ones are among; others are encoded each time, so memory is bounded.
-CACHED_WORDS, CACHED_PARTS = 300_000, 500_000
+from duebook.llm.caches import remembered
+
+#: Bytes of the parts of words, and their ids, that a worker remembers. Those met first are kept, which
+#: the frequent ones are among; others are encoded each time, so memory is bounded.
+PART_BYTES = 8 << 20
+#: Parts given to the library at a time.
+BATCH_PARTS = 8192
 #: Characters of text encoded together.
 CHUNK_CHARS = 4_000_000
 
@@ -35,13 +41,43 @@ _ODD_BLANK = (r" ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 
 # Both pre-tokenizers end a piece between one of these letters or digits and one of these marks,
 # either way round: none of the marks starts a contraction, and none of the letters gains a
-# combining mark when the text is normalised. A single line end is a piece too.
-_LETTER, _MARK = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:|]"
-_PARTS = re.compile(rf"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})"
-                    r"|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+# combining mark when the text is normalised. A single line end is a piece too. Parts that are left
+# together cost time only.
+_LETTER, _MARK, _VISIBLE = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:|]", "[!-~À-ÖØ-öø-ÿ]"
+_PARTS = [(f"({_LETTER})({_MARK})", "\\1{0}\\2"), (f"({_MARK})({_LETTER})", "\\1{0}\\2"),
+          (f"({_VISIBLE})\n({_VISIBLE})", "\\1{0}\n{0}\\2")]
 
 #: Vocabularies of lower case: A-Z may be lowered first, so that fewer parts are distinct.
-LOWER = {"word": {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}, "space": None}
+LOWER = {"word": True, "space": False}
+
+
+def _joined(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of the given codes one after the other, and the edges between them. An item is
+    `sizes[code]` values of `flat`."""
+    counts = sizes[codes]
+    ends = np.cumsum(counts)
+    first = np.cumsum(sizes) - sizes
+    places = np.repeat(first[codes] - (ends - counts), counts) + np.arange(int(counts.sum()))
+    return flat[places], np.append(0, ends)
+
+
+class _Known:
+    """Parts and their ids in flat arrays, up to PART_BYTES."""
+
+    def __init__(self) -> None:
+        self.parts = pa.array([], pa.string())
+        self.flat, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.bytes = 0
+
+    def keep(self, parts: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """The first of these, as far as there is room."""
+        taken = self.bytes + np.cumsum(pc.binary_length(parts).to_numpy() + 4 * sizes + 12)
+        n = int(np.searchsorted(taken, PART_BYTES, side="right"))
+        if n:
+            self.bytes = int(taken[n - 1])
+            self.parts = pa.concat_arrays([self.parts, parts[:n]])
+            self.flat = np.concatenate([self.flat, flat[: int(sizes[:n].sum())]])
+            self.sizes = np.concatenate([self.sizes, sizes[:n]])
 
 
 class TextEncoder:
@@ -59,8 +95,7 @@ class TextEncoder:
         self._at_added = re.compile("({})".format("|".join(  # the longest, as the library does
             re.escape(c) for c in sorted(self._added, key=len, reverse=True))))
         self._cut, self._lower, self._blank = CUTS[cut], LOWER[cut], cut == "space"
-        self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._known = _Known()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         held, chars = [], 0
@@ -91,8 +126,7 @@ class TextEncoder:
         return done[: len(texts)]
 
     def _between(self, texts: list[str]) -> list[bytes]:
-        """Texts are cut and their distinct words found by Arrow; each word's ids are copied to its
-        places by numpy."""
+        """Texts are cut and their distinct words found; each word's ids are copied to its places."""
         if not texts:
             return []
         rows = pa.array(texts, pa.string())
@@ -103,56 +137,54 @@ class TextEncoder:
             odd = ()
             pieces = pc.split_pattern_regex(rows, _WHITE)
         coded = pieces.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy()
+        codes, words = coded.indices.to_numpy(), coded.dictionary
         starts = pieces.offsets.to_numpy()
-        words = coded.dictionary.to_pylist()
         if self._blank:  # all but a text's first piece have the blank before them
-            opening = [words[c] for c in codes[starts[:-1]]]
+            opening = words.take(pa.array(codes[starts[:-1]]))
             codes = codes.copy()
             codes[starts[:-1]] = len(words) + np.arange(len(texts))
-            words = [" " + w for w in words] + opening
-        ids = self._ids(words)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        first = np.cumsum(sizes) - sizes
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        places = np.repeat(first[codes] - (ends - counts), counts) + np.arange(int(counts.sum()))
-        out = flat[places]
-        edges = np.append(0, ends)[starts]
+            words = pa.concat_arrays([pc.binary_join_element_wise("", words, " "), opening])
+        out, edges = _joined(*self._ids(words), codes)
+        edges = edges[starts]
         done = [out[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
         for i in odd:  # more blanks than one between words
-            done[i] = b"".join(self._ids(self._cut.split(texts[i])))
+            done[i] = self._ids(pa.array(self._cut.split(texts[i]), pa.string()))[0].tobytes()
         return done
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        known = self._words
-        new = self._learn(set(words).difference(known))
-        if len(known) < CACHED_WORDS:
-            known.update(new)
-            new = {}
-        if not new:
-            return list(map(known.__getitem__, words))
-        return [known[w] if w in known else new[w] for w in words]
-
-    def _parts_of(self, word: str) -> list[str]:
-        if self._lower and not word.islower():
-            word = word.translate(self._lower)
-        # Most words are letters only, and have no place to be cut at.
-        return [word] if word.lstrip(" ").isalpha() else _PARTS.split(word)
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        cut = {w: self._parts_of(w) for w in words}
-        known = self._parts
-        parts = list({p for some in cut.values() for p in some}.difference(known))
-        done = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        new = {p: np.array(d.ids, dtype="<u4").tobytes() for p, d in zip(parts, done)}
-        if len(known) < CACHED_PARTS:
-            known.update(new)
-        return {w: b"".join([known[p] if p in known else new[p] for p in some]) for w, some in cut.items()}
-
-
-@lru_cache(maxsize=4)
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after the other, and each word's number of ids."""
+        edge = "\x00"  # a string that no word has
+        while pc.any(pc.match_substring(words, edge)).as_py():
+            edge += "\x01"
+        if self._lower:
+            words = pc.ascii_lower(words)
+        for pattern, cut in _PARTS:
+            words = pc.replace_substring_regex(words, pattern, cut.format(edge))
+        parts = pc.split_pattern(words, edge)
+        coded = parts.flatten().dictionary_encode()
+        flat, edges = _joined(*self._ids_of_parts(coded.dictionary), coded.indices.to_numpy())
+        return flat, np.diff(edges[parts.offsets.to_numpy()])
+
+    def _ids_of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As of words, for distinct parts."""
+        known = self._known
+        at = pc.fill_null(pc.index_in(parts, value_set=known.parts), -1).to_numpy().copy()
+        fresh = np.flatnonzero(at < 0)
+        new = parts.take(pa.array(fresh))
+        flats, sizes = [known.flat], [known.sizes]
+        for low in range(0, len(new), BATCH_PARTS):
+            done = [d.ids for d in self._tokenizer.encode_batch_fast(
+                new[low: low + BATCH_PARTS].to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, done), np.int64, len(done)))
+            flats.append(np.fromiter(chain.from_iterable(done), "<u4", int(sizes[-1].sum())))
+        at[fresh] = len(known.sizes) + np.arange(len(fresh))
+        flat, size = np.concatenate(flats), np.concatenate(sizes)
+        if len(fresh):
+            known.keep(new, flat[len(known.flat):], size[len(known.sizes):])
+        out, edges = _joined(flat, size, at)
+        return out, np.diff(edges)
+
+
 def encoder(path: str, cut: str) -> TextEncoder:
     """One per worker process and file."""
-    return TextEncoder(path, cut)
+    return remembered(("encoder", path, cut), lambda: TextEncoder(path, cut))

@@ -62,8 +62,7 @@ def test_added_tokens_are_one_id(cut, ends, texts):
 
 
 def test_a_full_memory_keeps_the_ids(encoder, monkeypatch):
-    monkeypatch.setattr("duebook.llm.tokens.CACHED_WORDS", 2)
-    monkeypatch.setattr("duebook.llm.tokens.CACHED_PARTS", 2)
+    monkeypatch.setattr("duebook.llm.tokens.PART_BYTES", 60)
     monkeypatch.setattr("duebook.llm.tokens.CHUNK_CHARS", 50)
     texts = [t for _, t in odd_documents()]
     assert list(encoder.encode(texts)) == plain(encoder, texts)
