@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from duebook.llm.decontamination import contaminated, similarity
+from duebook.llm import decontamination
+from duebook.llm.decontamination import CHAR_BYTES, ITEM_BYTES, RADIUS, ItemIndex, contaminated
 from duebook.llm.words import words_of
 from tests.llm.conftest import frame, odd_documents, sentence
 
@@ -17,6 +20,12 @@ def shingles(words):
     return Counter(tuple(words[i: i + n]) for i in range(len(words) - n + 1)) if n else Counter()
 
 
+def similarity(a, b):
+    both = sum((a & b).values())
+    either = sum(a.values()) + sum(b.values()) - both
+    return both / either if either else 0.0
+
+
 def plain(docs, items):
     out = []
     for doc_id, text in docs:
@@ -63,6 +72,37 @@ def test_every_window_is_found(spark, items, block_chars):
     assert found == plain(docs, items) and len(found) > 50
 
 
+def test_few_items_at_a_time(spark, items):
+    docs = texts(items)[:120]
+    benchmark = frame(spark, items, "item_id long, text string")
+    whole, parts = (sorted(map(tuple, contaminated(frame(spark, docs), benchmark, block_items=n).collect()), key=str)
+                    for n in (100_000, 7))
+    assert whole == parts and whole
+
+
+def test_all_fingerprints_within_the_radius(monkeypatch):
+    rng = random.Random(4)
+    index = ItemIndex([(i, sentence(rng, 6 + i % 3, 300)) for i in range(600)])
+    some = np.array([rng.getrandbits(64) for _ in range(40)], dtype=np.uint64)
+    for step in (1_000_000, 100):
+        monkeypatch.setattr(decontamination, "LOOKED_AT", step)
+        for size in (6, 7, 8):
+            expected = [(place, item) for place, fingerprint in enumerate(some.tolist())
+                        for item in np.flatnonzero(index.sizes == size).tolist()
+                        if (int(index.prints[item]) ^ fingerprint).bit_count() <= RADIUS]
+            assert list(index.near(size, some)) == expected and expected
+
+
+@pytest.mark.parametrize("count, words", [(50_000, 6), (500, 1500)])
+def test_an_index_keeps_to_its_bytes(count, words):
+    """What is broadcast is bounded by items and characters, also for many short items."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=words)) for _ in range(count)]
+    index = ItemIndex(enumerate(texts))
+    bound = ITEM_BYTES * count + CHAR_BYTES * sum(map(len, texts)) + 100_000
+    assert index.nbytes() <= bound and len(pickle.dumps(index, protocol=5)) <= bound
+
+
 def test_nothing_in_nothing(spark, odd, none, items):
     benchmark = frame(spark, items, "item_id long, text string")
     assert contaminated(none, benchmark).count() == 0
