@@ -2,8 +2,8 @@
 
 from duebook.params import AsOf, Period
 from duebook.sources import (
-    BucketedTables, CatalogTables, FrameTables, PublishedTables, StoredTables,
+    BucketedTables, CatalogTables, FrameTables, MonthTables, PublishedTables, StoredTables,
 )
 
-__all__ = ["AsOf", "Period", "BucketedTables", "CatalogTables", "FrameTables", "PublishedTables",
-           "StoredTables"]
+__all__ = ["AsOf", "Period", "BucketedTables", "CatalogTables", "FrameTables", "MonthTables",
+           "PublishedTables", "StoredTables"]

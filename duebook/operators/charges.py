@@ -21,7 +21,7 @@ def procedure_charges(
     are cut where the amounts are summed."""
     rows = tables.read(
         "procedurelog", "procnum", "patnum", *place(with_clinic), "procdate", "procfee",
-        "unitqty", "baseunits", "procstatus",
+        "unitqty", "baseunits", "procstatus", scope=scope if dated else None,
     ).filter(f"procstatus = {COMPLETE} AND procfee != 0")
     rows = scope.select(rows, "procdate") if dated else scope.spread(rows)
     return ledger_rows(
@@ -36,7 +36,7 @@ def adjustments_by_service(
 ) -> DataFrame:
     """Adjustments dated by the procedure they belong to."""
     rows = tables.read(
-        "adjustment", "adjnum", "procnum", "patnum", *place(with_clinic), "procdate", "adjamt"
+        "adjustment", "adjnum", "procnum", "patnum", *place(with_clinic), "procdate", "adjamt", scope=scope
     ).filter("adjamt != 0")
     return ledger_rows(
         scope.select(rows, "procdate"), [*scope.keys, *place(with_clinic)], ADJ,

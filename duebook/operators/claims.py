@@ -20,10 +20,12 @@ _LINE = ("claimprocnum", "procnum", "patnum", "procdate", "datecp", "status", "i
          "writeoff", "payplannum")
 
 
-def _on_complete_work(tables: Tables, columns: Sequence[str], condition: str) -> DataFrame:
+def _on_complete_work(
+    tables: Tables, columns: Sequence[str], condition: str, scope: AsOf | Period | None = None
+) -> DataFrame:
     """Lines that meet ``condition`` and are paid by total (no procedure) or on a completed
     procedure."""
-    return tables.referring(ON_COMPLETE_WORK, *columns, where=condition)
+    return tables.referring(ON_COMPLETE_WORK, *columns, where=condition, scope=scope)
 
 
 def _on_the_day(lines: DataFrame, as_of: AsOf, dated: bool) -> DataFrame:
@@ -125,7 +127,7 @@ def claims_paid(
     of them, so those tests go to the scan and the join sees one window of lines only.
     """
     counted = f"status IN {PAID_STATUSES} AND payplannum = 0 AND (inspayamt != 0 OR writeoff != 0)"
-    lines = _on_complete_work(tables, [*_LINE, *place(with_clinic)], counted)
+    lines = _on_complete_work(tables, [*_LINE, *place(with_clinic)], counted, scope)
     lines = scope.select(lines, "datecp").filter(scope.not_after("procdate"))
     return ledger_rows(
         lines, [*scope.keys, *place(with_clinic)], tag,
@@ -153,7 +155,7 @@ def claim_events(
     ]
     lines = tables.read(
         "claimproc", "claimprocnum", "patnum", "datecp", "status", "payplannum",
-        *(amount for _, _, amount in chosen),
+        *(amount for _, _, amount in chosen), scope=as_of,
     )
     return ledger_rows(
         each_entry(as_of.select(lines, "datecp"), entries), as_of.keys, "entry.kind",

@@ -16,13 +16,13 @@ from duebook.sources.base import ON_OPEN_PLAN, Tables
 _SPLIT = ("splitnum", "patnum", "payplannum", "datepay", "procdate", "splitamt")
 
 
-def _splits(tables: Tables, *more: str) -> DataFrame:
-    return tables.read("paysplit", *_SPLIT, *more).filter("splitamt != 0")
+def _splits(tables: Tables, scope: AsOf, *more: str) -> DataFrame:
+    return tables.read("paysplit", *_SPLIT, *more, scope=scope).filter("splitamt != 0")
 
 
-def _on_open_plan(tables: Tables, *more: str) -> DataFrame:
+def _on_open_plan(tables: Tables, scope: AsOf | Period, *more: str) -> DataFrame:
     """Splits outside plans or on a plan that is still open."""
-    return tables.referring(ON_OPEN_PLAN, *_SPLIT, *more, where="splitamt != 0")
+    return tables.referring(ON_OPEN_PLAN, *_SPLIT, *more, where="splitamt != 0", scope=scope)
 
 
 def _rows(splits: DataFrame, keys: Sequence[str], apart: bool = True) -> DataFrame:
@@ -39,8 +39,8 @@ def _rows(splits: DataFrame, keys: Sequence[str], apart: bool = True) -> DataFra
 def splits_entered(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> DataFrame:
     """Splits paid, and their payment entered, by the report date; closed plans left out.
     Splits of no payment never match one, so they don't enter the join."""
-    splits = _on_open_plan(tables, "paynum", *place(with_clinic)).filter("paynum != 0").join(
-        tables.read("payment", "paynum", "dateentry"), "paynum"
+    splits = _on_open_plan(tables, as_of, "paynum", *place(with_clinic)).filter("paynum != 0").join(
+        tables.read("payment", "paynum", "dateentry", scope=as_of), "paynum"
     )
     return _rows(
         as_of.select(splits, "datepay", "dateentry"), [*as_of.keys, *place(with_clinic)]
@@ -49,19 +49,19 @@ def splits_entered(tables: Tables, as_of: AsOf, with_clinic: bool = False) -> Da
 
 def splits_in_period(tables: Tables, period: Period, with_clinic: bool = True) -> DataFrame:
     """Splits paid within the window; closed plans left out."""
-    splits = _on_open_plan(tables, *place(with_clinic))
+    splits = _on_open_plan(tables, period, *place(with_clinic))
     return _rows(period.select(splits, "datepay"), place(with_clinic))
 
 
 def splits_listed(tables: Tables, as_of: AsOf) -> DataFrame:
     """All splits paid by the report date, plans included."""
-    splits = as_of.select(_splits(tables, "clinicnum"), "datepay")
+    splits = as_of.select(_splits(tables, as_of, "clinicnum"), "datepay")
     return _rows(splits, [*as_of.keys, "clinicnum"], apart=False)
 
 
 def splits_paid(tables: Tables, as_of: AsOf) -> DataFrame:
     """Splits paid by the report date, payments on open and closed plans apart."""
-    return _rows(as_of.select(_splits(tables), "datepay"), as_of.keys)
+    return _rows(as_of.select(_splits(tables, as_of), "datepay"), as_of.keys)
 
 
 def splits_earned(
@@ -69,5 +69,5 @@ def splits_earned(
 ) -> DataFrame:
     """Splits paid by the report date that are not of the given unearned-income types."""
     types = ", ".join(map(str, unearned))
-    splits = _splits(tables, "unearnedtype").filter(f"unearnedtype NOT IN ({types})")
+    splits = _splits(tables, as_of, "unearnedtype").filter(f"unearnedtype NOT IN ({types})")
     return _rows(as_of.select(splits, "datepay"), as_of.keys, apart=False)

@@ -21,6 +21,10 @@ def _literal(day: dt.date) -> str:
     return f"DATE'{day.isoformat()}'"
 
 
+def _month(day: dt.date) -> int:
+    return day.year * 100 + day.month
+
+
 @dataclass(frozen=True)
 class AsOf:
     """Report date. ``inclusive`` says whether rows dated on the day itself count.
@@ -93,6 +97,10 @@ class AsOf:
         """Whether a row of the moving form counts on the one report day."""
         return f"(since IS NULL OR {self.covers('since')}) AND NOT (until IS NOT NULL AND {self.covers('until')})"
 
+    def months(self, column: str) -> str:
+        """The month in ``column``, as 202401, may hold a covered date."""
+        return f"({column} <= {_month(self.days[-1])})"
+
     def days_until(self, date: str) -> str:
         """The number of report days up to a date, that day included; NULL for no date."""
         first, last = self.days[0], self.days[-1]
@@ -146,5 +154,9 @@ class Period:
     def not_after(self, column: str) -> str:
         return f"({column} <= {_literal(self.end)})"
 
+    def months(self, column: str) -> str:
+        """The month in ``column``, as 202401, may hold a covered date."""
+        return f"({column} BETWEEN {_month(self.start)} AND {_month(self.end)})"
+
     def select(self, rows: DataFrame, *columns: str) -> DataFrame:
         return rows.filter(" AND ".join(map(self.covers, columns)))

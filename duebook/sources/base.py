@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from duebook.functions.keys import free_or_matched
+from duebook.params import AsOf, Period
 from duebook.schema import COMPLETE, DATES, TABLES
 from duebook.sources.manifest import add_entry, entries
 
@@ -46,11 +47,14 @@ class Tables(ABC):
     def frame(self, name: str, columns: Sequence[str]) -> DataFrame:
         """The table, holding at least ``columns``."""
 
-    def read(self, name: str, *columns: str, by: str | None = None) -> DataFrame:
+    def read(
+        self, name: str, *columns: str, by: str | None = None, scope: AsOf | Period | None = None
+    ) -> DataFrame:
         """``columns`` of a table in their contract types. The cast is a no-op, and
         predicates still reach the files, where the stored type already agrees. ``by`` names the
         column that the rows are joined on, for a source that has them laid out by it; rows that refer
-        to nothing by it may then be left out."""
+        to nothing by it may then be left out. So may rows whose own date (see ``DATES``) the
+        ``scope`` doesn't cover; a caller that gives one tests that date itself."""
         return self._typed(name, self.frame(name, columns), columns)
 
     @staticmethod
@@ -60,14 +64,18 @@ class Tables(ABC):
             warnings.warn("spark.sql.ansi.enabled is off: sums that overflow wrap", stacklevel=3)
         return rows.selectExpr(*(f"CAST({c} AS {types[c]}) AS {c}" for c in columns))
 
-    def split(self, name: str, key: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    def split(
+        self, name: str, key: str, *columns: str, scope: AsOf | Period | None = None
+    ) -> tuple[DataFrame, DataFrame]:
         """The table in two: rows that refer to nothing (``key`` is 0), and the others."""
-        rows = self.read(name, *columns)
+        rows = self.read(name, *columns, scope=scope)
         return rows.filter(f"{key} = 0"), rows.filter(f"{key} != 0")
 
-    def referring(self, reference: Reference, *columns: str, where: str = "true") -> DataFrame:
+    def referring(
+        self, reference: Reference, *columns: str, where: str = "true", scope: AsOf | Period | None = None
+    ) -> DataFrame:
         """Rows that meet ``where`` and refer to nothing, or to a row that the reference holds for."""
-        free, bound = self.split(reference.name, reference.key, *columns)
+        free, bound = self.split(reference.name, reference.key, *columns, scope=scope)
         return free_or_matched(free.filter(where), bound.filter(where), reference.key, reference.held(self))
 
 

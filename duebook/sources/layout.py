@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duebook.params import AsOf, Period
 from duebook.schema import TABLES
 from duebook.sources.base import ON_COMPLETE_WORK, ON_OPEN_PLAN, Reference, Tables
 
@@ -93,10 +94,14 @@ class BucketedTables(Tables):
         keys = COPIES.get(name, (None,))
         return self.spark.table(f"{self.database}.{_table(name, by if by in keys else keys[0])}")
 
-    def read(self, name: str, *columns: str, by: str | None = None) -> DataFrame:
+    def read(
+        self, name: str, *columns: str, by: str | None = None, scope: AsOf | Period | None = None
+    ) -> DataFrame:
         return self._typed(name, self.frame(name, columns, by), columns)
 
-    def referring(self, reference: Reference, *columns: str, where: str = "true") -> DataFrame:
+    def referring(
+        self, reference: Reference, *columns: str, where: str = "true", scope: AsOf | Period | None = None
+    ) -> DataFrame:
         if reference not in SETTLED:
             return super().referring(reference, *columns, where=where)
         rows = self.frame(reference.name, columns).filter(SETTLED[reference])

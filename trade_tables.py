@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duebook.schema import UNSET
+from duebook.params import AsOf, Period
 from duebook.sources.base import Tables
 
 # The test tables hold whole cents (FIXTURES.md §2).
@@ -101,9 +102,11 @@ class TradeTables(Tables):
             "if(line = 5, 25, 0) AS discountplanamt",
         )
 
-    def split(self, name: str, key: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    def split(
+        self, name: str, key: str, *columns: str, scope: AsOf | Period | None = None
+    ) -> tuple[DataFrame, DataFrame]:
         if (name, key) != ("claimproc", "procnum"):
-            return super().split(name, key, *columns)
+            return super().split(name, key, *columns, scope=scope)
         need = set(columns)  # the two parts come from sources of their own
         return (self._typed(name, self._claim_totals(need), columns),
                 self._typed(name, self._claim_lines(need), columns))
