@@ -7,22 +7,24 @@ dealt out so that equal ones meet, and each share gets a suffix array of its own
    windows have equal names; neighbouring windows mostly share theirs and make one segment.
 2. Segments whose name occurs once have no repeats and go no further; they are nearly all of them.
 3. The bytes of the others are dealt by name into blocks of bounded size, equal segments as one.
-   A block's suffix array, by prefix doubling up to `width` bytes, puts windows in suffix order;
-   of windows equal that far, the previous smaller position is an earlier match (the longest
-   previous factor reaches `width`) and the next one a later match.
-4. A name with very many different segments would outgrow a block; its windows are dealt by their
-   own digests and counted instead, which gives the same matches.
+   A block's suffix array, by prefix doubling up to `width` bytes, puts windows in suffix order.
+   The longest previous factor of a window is the longer of its common prefixes with the nearest
+   windows before and after it in that order that start earlier in the block (the previous and
+   the next smaller position). Where it reaches `width` the window has an earlier match, and its
+   source a later one.
+4. A name with very many different segments, or bytes, would outgrow a block; its windows are dealt
+   by their own digests and counted instead, which gives the same matches.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duebook.llm.common import joined_evenly, salted, stored
@@ -30,10 +32,15 @@ from duebook.llm.words import mixed
 
 WIDTH = 200
 GRAM = 64
-#: Bytes of a text that are hashed at a time.
-CHUNK = 1 << 20
-#: Bytes of segments in a block on average, and different segments that one name may bring to it.
-BLOCK_BYTES, BLOCK_SEGMENTS = 4_000_000, 4_000
+#: Bytes of a text that are hashed at a time, and bytes up to which short texts are hashed together.
+CHUNK, TOGETHER = 1 << 20, 1 << 15
+#: Bytes of segments in a block on average (their places fit three to a word), and different
+#: segments that one name may bring to it. It may bring as many bytes as a block has.
+BLOCK_BYTES, BLOCK_SEGMENTS = 1_000_000, 4_000
+#: Bytes of segments that a task cuts out before it passes them on.
+CUT_BYTES = 4_000_000
+#: Bytes that suffixes are ranked by at first.
+STEP = 5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,8 +62,8 @@ _POWERS: list[_Powers] = []
 
 
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    if not _POWERS:
-        _POWERS.append(_Powers())
+    if not _POWERS or len(_POWERS[0].up) <= len(data):
+        _POWERS[:] = [_Powers()]
     p = _POWERS[0]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(p.bytes[data] * p.up[: len(data)], out=sums[1:])
@@ -89,34 +96,128 @@ def segments(text: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tupl
         yield name[first].view(np.int64), first + low, last + low, np.logical_or.reduceat(moved, first)
 
 
-def suffix_ranks(data: np.ndarray, width: int, starts: np.ndarray) -> np.ndarray:
-    """Dense ranks of the suffixes at `starts` by their first `width` bytes, all of them within data."""
-    step = 8
-    padded = np.concatenate([data, np.zeros(width + step, np.uint8)]).astype(np.uint64)
+def together(raws: list[bytes], width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """Segments of several texts: which text, then as `segments`. Texts are hashed as one; windows
+    across a border are left out, and no segment crosses one."""
+    sizes = np.array([len(raw) for raw in raws])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    for name, first, last, own in segments(b"".join(raws), width, gram):
+        # A segment that crosses borders is cut into its parts: one per text that it has windows of.
+        low, high = np.searchsorted(ends, first, "right"), np.searchsorted(ends, last, "right")
+        count = high - low + 1
+        at = np.repeat(np.arange(len(first)), count)
+        text = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        first = np.maximum(first[at], starts[text]) - starts[text]
+        last = np.minimum(last[at], ends[text] - width) - starts[text]
+        use = first <= last
+        yield text[use], name[at][use], first[use], last[use], own[at][use]
+
+
+def _dense(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks of keys below 2**bits, and their order, equal ones by place."""
+    n = len(key)
+    place = max(1, (n - 1).bit_length())
+    if bits + place <= 64:
+        word = (key << np.uint64(place)) | np.arange(n, dtype=np.uint64)
+        word.sort()
+        order = (word & np.uint64((1 << place) - 1)).astype(np.int64)
+        word >>= np.uint64(place)
+    else:
+        order = np.argsort(key, kind="stable")
+        word = key[order]
+    rank = np.zeros(n, dtype=np.uint64)
+    rank[order[1:]] = np.cumsum(word[1:] != word[:-1], dtype=np.uint64)
+    return rank, order
+
+
+def prefix_ranks(data: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+    """Dense ranks of all places by their first STEP bytes, and by twice as many as long as that
+    is within the width."""
+    step = min(STEP, width)
+    padded = np.concatenate([data, np.zeros(step, np.uint8)]).astype(np.uint64)
     word = np.zeros(len(data), dtype=np.uint64)
     for i in range(step):
         word = (word << np.uint64(8)) | padded[i: i + len(data)]
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
+    bits = max(1, len(data).bit_length())
+    levels = [(step, _dense(word, 8 * step)[0])]
     while step * 2 <= width:
-        after = np.concatenate([rank[step:], np.zeros(step, np.int64)])[: len(rank)]
-        rank = np.unique(rank * (len(data) + 1) + after, return_inverse=True)[1].astype(np.int64)
+        rank = levels[-1][1]
+        after = np.concatenate([rank[step:], np.zeros(step, np.uint64)])[: len(rank)]
         step *= 2
-    key = rank[starts] * (len(data) + 1) + rank[starts + (width - step)]
-    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+        levels.append((step, _dense((rank << np.uint64(bits)) | after, 2 * bits)[0]))
+    return levels
 
 
-def earlier_and_later(ranks: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the longest previous factor of each window reaches the width, and whether a later
-    window has it as such.
+def _sorted(levels: list[tuple[int, np.ndarray]], width: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    step, rank = levels[-1]
+    bits = max(1, len(rank).bit_length())
+    return _dense((rank[starts] << np.uint64(bits)) | rank[starts + (width - step)], 2 * bits)
+
+
+def suffix_ranks(data: np.ndarray, width: int, starts: np.ndarray) -> np.ndarray:
+    """Dense ranks of the suffixes at `starts` by their first `width` bytes, all of them within data."""
+    return _sorted(prefix_ranks(data, width), width, starts)[0].astype(np.int64)
+
+
+def _common(data: np.ndarray, levels: list[tuple[int, np.ndarray]], width: int, a: np.ndarray,
+            b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes at a and b, up to the width."""
+    out = np.zeros(len(a), dtype=np.int64)
+    if not len(a):
+        return out
+    for step, rank in reversed(levels):
+        fits = out + step <= width
+        reach = np.where(fits, out, 0)
+        out += step * (fits & (rank[a + reach] == rank[b + reach]))
+    for _ in range(min(STEP, width) - 1):
+        fits = out < width
+        reach = np.where(fits, out, 0)
+        more = fits & (data[a + reach] == data[b + reach])
+        if not more.any():
+            break
+        # A suffix that differs here differs at the same byte the next time.
+        out += more
+    return out
 
-    In suffix order, with equal windows in order of place, the previous smaller place of a window
-    is its neighbour before if that is equal; the next smaller one lies beyond the equal ones.
-    """
-    order = np.lexsort((places, ranks))
-    same = ranks[order][1:] == ranks[order][:-1]
-    earlier, later = np.zeros(len(ranks), bool), np.zeros(len(ranks), bool)
-    earlier[order[1:]], later[order[:-1]] = same, same
-    return earlier, later
+
+def _smaller_before(places: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where before each element the nearest smaller one is (-1: nowhere), and the least `common`
+    on the way; common[i] is between i - 1 and i. Candidates that are too large hand on their own,
+    so the ways double."""
+    at, least = np.arange(len(places)) - 1, common.copy()
+    open_ = np.flatnonzero(places[at] > places)
+    open_ = open_[at[open_] >= 0]
+    while len(open_):
+        via = at[open_]
+        least[open_] = np.minimum(least[open_], least[via])
+        at[open_] = at[via]
+        open_ = open_[at[open_] >= 0]
+        open_ = open_[places[at[open_]] > places[open_]]
+    least[at < 0] = 0
+    return at, least
+
+
+def longest_previous_factors(data: np.ndarray, width: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the suffix at each of the rising `starts` the longest prefix, up to the width, that one
+    before it has too, and which one that is (-1: none has a byte in common)."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    levels = prefix_ranks(data, width)
+    order = _sorted(levels, width, starts)[1]
+    common = np.zeros(n + 1, dtype=np.int64)
+    common[1:n] = _common(data, levels, width, starts[order[:-1]], starts[order[1:]])
+    before, length = _smaller_before(order, common[:n])
+    after, length_after = _smaller_before(order[::-1], common[:0:-1])
+    after, length_after = n - 1 - after[::-1], length_after[::-1]
+    which = np.where(length >= length_after, before, after)
+    length = np.maximum(length, length_after)
+    lengths, sources = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    lengths[order] = length
+    has = length > 0
+    sources[order[has]] = order[which[has]]
+    return lengths, sources
 
 
 def _runs(marks: np.ndarray) -> list[int]:
@@ -137,8 +238,7 @@ def _spans(runs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
 
 
 class _Dedup:
-    """The steps of one removal. A text is known by its 64-bit hash: of a million texts, two share
-    one with a chance of 3e-8."""
+    """The steps of one removal. A text is known by the first 128 bits of its SHA-256."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, gram: int):
         self.width, self.gram = width, gram
@@ -149,7 +249,7 @@ class _Dedup:
     def names(self) -> DataFrame:
         """One narrow row per document."""
         return stored(self.rows.select(
-            "id", "missing", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"),
+            "id", "missing", _text_key().alias("key"), F.octet_length("text").cast("long").alias("n_bytes"),
             F.sha2("text", 256).alias("sha")).withColumn("salt", salted("id")), "repeat_names")
 
     def texts(self, names: DataFrame) -> DataFrame:
@@ -166,23 +266,19 @@ class _Dedup:
         def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 seen, parts, size = set(), [], 0
-                for text in batch["text"]:
-                    raw = text.encode()
-                    key = np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64)  # as xxhash64 in SQL
-                    if len(raw) < width or key in seen:
-                        continue
-                    seen.add(key)
-                    for name, first, last, own in segments(raw, width, gram):
-                        parts.append((name, np.full(len(name), key), first, last, own))
+                for raws, keys in _gathered(batch["text"], seen, width):
+                    for text, name, first, last, own in together(raws, width, gram):
+                        parts.append((name, _objects(keys)[text], first, last, own))
                         size += len(name)
-                    if size > 200_000:
-                        yield _columns(parts, "name", "key", "first", "last", "own")
-                        parts, size = [], 0
+                        if size > 200_000:
+                            yield _columns(parts, "name", "key", "first", "last", "own")
+                            parts, size = [], 0
                 if parts:
                     yield _columns(parts, "name", "key", "first", "last", "own")
 
-        every = self.rows.where(F.octet_length("text") >= width).select("text").mapInPandas(
-            made, "name long, key long, first long, last long, own boolean")
+        # Written, so that texts are hashed once for both sides of the join.
+        every = stored(self.rows.where(F.octet_length("text") >= width).select("text").mapInPandas(
+            made, "name long, key binary, first long, last long, own boolean"), "repeat_names_of_segments")
         place = F.xxhash64("key", "first")
         again = every.groupBy("name").agg(F.min(place).alias("lo"), F.max(place).alias("hi"),
                                           F.max("own").alias("own")).where("own or lo <> hi").select("name")
@@ -190,11 +286,13 @@ class _Dedup:
                       .dropDuplicates(["name", "key", "first"]), "repeat_seeds")
 
     def marked(self, texts: DataFrame, seeds: DataFrame) -> DataFrame:
-        """key, copies, missing, id, text, parts: texts that have such segments, and these. A text
-        has as many as it is long."""
+        """key, copies, missing, id, text, and names, firsts and lasts of such segments: the texts that
+        have any. A text has as many as it is long."""
         parts = seeds.groupBy("key").agg(F.collect_list(F.struct("name", "first", "last")).alias("parts"))
-        chosen = texts.join(parts, "key")
-        return stored(self.rows.join(chosen, ["missing", "id"]).where(F.xxhash64("text") == F.col("key")),
+        chosen = texts.join(parts, "key").select(
+            "key", "copies", "missing", "id", F.col("parts.name").alias("names"),
+            F.col("parts.first").alias("firsts"), F.col("parts.last").alias("lasts"))
+        return stored(self.rows.join(chosen, ["missing", "id"]).where(_text_key() == F.col("key")),
                       "repeat_marked")
 
     def cut(self, marked: DataFrame) -> DataFrame:
@@ -203,22 +301,33 @@ class _Dedup:
 
         def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
+                parts, size = [], 0
                 for row in batch.itertuples():
                     raw = row.text.encode()
-                    pieces = [raw[p["first"]: p["last"] + width] for p in row.parts]
-                    yield pd.DataFrame({
-                        "name": [p["name"] for p in row.parts], "first": [p["first"] for p in row.parts],
-                        "digest": [xxhash.xxh3_128_digest(b) for b in pieces], "bytes": pieces,
-                        "key": row.key, "missing": row.missing, "id": row.id, "copies": row.copies})
+                    for low in range(0, len(row.names), 2_000):
+                        firsts, lasts = row.firsts[low: low + 2_000], row.lasts[low: low + 2_000]
+                        pieces = [raw[a: b + width] for a, b in zip(firsts.tolist(), lasts.tolist())]
+                        n = len(pieces)
+                        parts.append((row.names[low: low + 2_000], firsts,
+                                      _objects([xxhash.xxh3_128_digest(b) for b in pieces]), _objects(pieces),
+                                      _objects([row.key] * n), np.full(n, row.missing), np.full(n, row.id),
+                                      np.full(n, row.copies)))
+                        size += sum(map(len, pieces))
+                        if size > CUT_BYTES:
+                            yield _columns(parts, *_SEGMENT)
+                            parts, size = [], 0
+                if parts:
+                    yield _columns(parts, *_SEGMENT)
 
-        return stored(marked.mapInPandas(made, "name long, first long, digest binary, bytes binary, key long, "
+        return stored(marked.mapInPandas(made, "name long, first long, digest binary, bytes binary, key binary, "
                                                "missing boolean, id long, copies long"), "repeat_segments")
 
     def solved(self, distinct: DataFrame, block_bytes: int, block_segments: int) -> DataFrame:
         """name, digest, repeated, firsts: of each distinct segment, the runs of its windows that
         occur elsewhere, and of those the runs that occur nowhere earlier."""
-        sizes = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-        hot = sizes.where(F.col("n") > block_segments).select("name")
+        sizes = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n"),
+                                             F.sum(F.octet_length("bytes")).alias("size"))
+        hot = sizes.where((F.col("n") > block_segments) | (F.col("size") > block_bytes)).select("name")
         total = distinct.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
         blocks = max(1, -(-total // block_bytes))
         return self.blocks(distinct.join(hot, "name", "left_anti"), blocks).unionByName(
@@ -237,8 +346,9 @@ class _Dedup:
             owner = np.repeat(np.arange(len(raw)), counts)
             starts = (np.cumsum(sizes) - sizes)[owner] + np.arange(counts.sum()) - at[owner]
             # Segments are in order of their first occurrence, so places in the block are too.
-            ranks = suffix_ranks(data, width, starts)
-            earlier, later = earlier_and_later(ranks, np.arange(len(ranks)))
+            lengths, sources = longest_previous_factors(data, width, starts)
+            earlier, later = lengths >= width, np.zeros(len(starts), dtype=bool)
+            later[sources[earlier]] = True
             elsewhere = earlier | later | (group["copies"].to_numpy() > 1)[owner]
             return pd.DataFrame({
                 "name": group["name"], "digest": group["digest"],
@@ -308,13 +418,46 @@ class _Dedup:
                 "first", "repeated", "firsts", (F.struct("missing", "id", "first") == F.col("lo")).alias("is_first"),
             ).alias("run")).groupBy("key").agg(F.collect_list("run").alias("runs"))
         return marked.select("key", "text").join(runs, "key").mapInPandas(
-            made, f"key long, n_removed long, spans {_SPANS}, kept_sha string").dropDuplicates(["key"])
+            made, f"key binary, n_removed long, spans {_SPANS}, kept_sha string").dropDuplicates(["key"])
 
 
 _SOLVED = "name long, digest binary, repeated array<int>, firsts array<int>"
 _SPANS = "array<struct<start: long, end: long>>"
 
 
+_SEGMENT = ("name", "first", "digest", "bytes", "key", "missing", "id", "copies")
+
+
+def _text_key() -> Column:
+    """The first 128 bits of the text's SHA-256."""
+    return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+
+
+def _gathered(texts: Iterable[str], seen: set[bytes], width: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """Texts not seen before and their keys, short ones together up to TOGETHER bytes."""
+    raws, keys, size = [], [], 0
+    for text in texts:
+        raw = text.encode()
+        key = hashlib.sha256(raw).digest()[:16]  # as _text_key
+        if len(raw) < width or key in seen:
+            continue
+        seen.add(key)
+        if raws and size + len(raw) > TOGETHER:
+            yield raws, keys
+            raws, keys, size = [], [], 0
+        raws.append(raw)
+        keys.append(key)
+        size += len(raw)
+    if raws:
+        yield raws, keys
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), dtype=object)
+    out[:] = values
+    return out
+
+
 def _columns(parts: list[tuple[np.ndarray, ...]], *names: str) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*parts)))))
 

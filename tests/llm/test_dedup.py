@@ -133,10 +133,10 @@ def repeats(docs, width, keep_first=False):
     return out
 
 
-@pytest.mark.parametrize("block_segments", [4000, 2])
-def test_remove_repeats(spark, odd, block_segments):
-    """Also where every name has too many segments for a block."""
-    got = remove_repeats(odd, block_segments=block_segments, block_bytes=100_000).drop("spans").collect()
+@pytest.mark.parametrize("block_segments, block_bytes", [(4000, 100_000), (2, 100_000), (4000, 250)])
+def test_remove_repeats(spark, odd, block_segments, block_bytes):
+    """Also where every name has too many segments, or bytes, for a block."""
+    got = remove_repeats(odd, block_segments=block_segments, block_bytes=block_bytes).drop("spans").collect()
     same(got, repeats(odd_documents(), 200))
 
 
@@ -169,5 +169,37 @@ def test_suffix_ranks_are_the_order_of_suffixes():
     assert [ranks[s] for s in order] == sorted(ranks.tolist())
 
 
+@pytest.mark.parametrize("width", [3, 12, 200])
+def test_longest_previous_factors(width):
+    rng = random.Random(width)
+    for size, letters in [(width, b"a"), (700, b"a"), (700, b"ab"), (700, b"abcdefgh"), (700, bytes(range(256)))]:
+        data = bytes(rng.choice(letters) for _ in range(size))
+        if size > 600:
+            data = data[:300] + data[40:290] + data[:150]
+        starts = np.array(sorted(rng.sample(range(len(data) - width + 1), min(150, len(data) - width + 1))))
+        lengths, sources = suffix_dedup.longest_previous_factors(np.frombuffer(data, np.uint8), width, starts)
+        for i, s in enumerate(starts.tolist()):
+            def common(j):
+                t = starts[j]
+                return next((k for k in range(width) if data[s + k] != data[t + k]), width)
+
+            assert lengths[i] == max(map(common, range(i)), default=0)
+            assert sources[i] == -1 if not lengths[i] else sources[i] < i and common(sources[i]) == lengths[i]
+
+
+def test_texts_named_together_are_named_as_alone():
+    rng = random.Random(10)
+    raws = [sentence(rng, rng.randrange(30, 90), 50).encode() for _ in range(40)] + [b"x" * 700, b"x" * 300, b"ab" * 200]
+    raws = [r for r in raws if len(r) >= 200]
+    expand = lambda n, a, b: {(s, int(n)) for s in range(a, b + 1)}
+    alone = [set().union(*(expand(n, a, b) for part in suffix_dedup.segments(r) for n, a, b, _ in zip(*part)))
+             for r in raws]
+    got = [set() for _ in raws]
+    for part in suffix_dedup.together(raws):
+        for text, name, first, last, _ in zip(*part):
+            got[text] |= expand(name, first, last)
+    assert got == alone
+
+
 def test_empty_tables(none):
     assert exact_dedup(none).count() == jaccard_join(none).count() == remove_repeats(none).count() == 0
