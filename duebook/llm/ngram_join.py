@@ -43,7 +43,9 @@ HELD_COLUMNS = 250_000
 
 
 def _sets(text: str | None, size: int) -> np.ndarray:
-    return np.unique(shingles_of(hashes_of(words_of(text)), size))
+    shingles = shingles_of(hashes_of(words_of(text)), size)
+    shingles.sort()
+    return shingles[np.append(True, shingles[1:] != shingles[:-1])[: len(shingles)]]
 
 
 def column_counts(docs: DataFrame, text_col: str, size: int) -> np.ndarray:

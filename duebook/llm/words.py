@@ -7,37 +7,18 @@ from collections.abc import Sequence
 import numpy as np
 import xxhash
 
-from duebook.llm.caches import CACHED_BYTES, ENTRY, remembered
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Hashes(dict):
-    """Word to its hash; beyond CACHED_BYTES it starts anew."""
-
-    bytes = 0
-
-    def __missing__(self, word: bytes) -> int:
-        self.bytes += len(word) + ENTRY
-        if self.bytes > CACHED_BYTES:
-            self.clear()
-            self.bytes = len(word) + ENTRY
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _hashes() -> _Hashes:
-    return remembered("word hashes", _Hashes)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """The runs of [^\\x20\\x09-\\x0D] after lower-casing A-Z; bytes split and lower just so."""
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
 def hashes_of(words: Sequence[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
+    """Hashing a word anew costs less than remembering it."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
