@@ -103,10 +103,26 @@ class _Lacking(Tables):
     def __init__(self, tables: Tables, name: str):
         self.tables, self.name = tables, name
 
-    def frame(self, name, columns):
-        rows = self.tables.frame(name, columns)
+    def _without(self, name, rows):
         return rows.filter("false") if name == self.name else rows
 
+    def frame(self, name, columns):
+        return self._without(name, self.tables.frame(name, columns))
+
+    def read(self, name, *columns, **how):
+        return self._without(name, self.tables.read(name, *columns, **how))
+
+    def among(self, name, key, wanted, *columns):
+        return self._without(name, self.tables.among(name, key, wanted, *columns))
+
+    def split(self, name, key, *columns, **how):
+        return tuple(self._without(name, rows) for rows in self.tables.split(name, key, *columns, **how))
+
+    def referring(self, reference, *columns, **how):
+        if reference.target == self.name:
+            return super().referring(reference, *columns, **how)
+        return self._without(reference.name, self.tables.referring(reference, *columns, **how))
+
 
 def _kept(tables: Tables) -> DataFrame:
     """The A/R aging from day groups kept before any adjustment was made, and merged since with the

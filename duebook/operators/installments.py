@@ -119,7 +119,7 @@ def procedure_worth(tables: Tables, wanted: DataFrame) -> DataFrame:
     adjustment counts where patient, provider and clinic are those of its procedure. All
     joins are by procedure alone, so one placement serves them."""
     wanted = wanted.filter("procnum != 0").select("procnum").distinct()
-    procedures = tables.read("procedurelog", *_PROCEDURE, by="procnum").join(wanted, "procnum", "left_semi")
+    procedures = tables.among("procedurelog", "procnum", wanted, *_PROCEDURE)
     own = procedures.selectExpr("procnum", "patnum AS pat", "provnum AS prov", "clinicnum AS clinic")
     adjusted = tables.read(
         "adjustment", "procnum", "patnum", "provnum", "clinicnum", "adjamt", by="procnum")

@@ -45,7 +45,7 @@ class KeptDayGroups:
 
     def _add(self, kind: str, groups: DataFrame, patients: DataFrame | None) -> None:
         folder = f"{kind}-{uuid.uuid4().hex}"
-        groups.drop("prikey").write.parquet(f"{self.path}/{folder}/groups")
+        groups.drop("prikey").write.option("compression", "zstd").parquet(f"{self.path}/{folder}/groups")
         if patients is not None:
             patients.write.parquet(f"{self.path}/{folder}/patients")
         add_entry(self.spark, self.path, folder)

@@ -57,6 +57,11 @@ class Tables(ABC):
         ``scope`` doesn't cover; a caller that gives one tests that date itself."""
         return self._typed(name, self.frame(name, columns), columns)
 
+    def among(self, name: str, key: str, wanted: DataFrame, *columns: str) -> DataFrame:
+        """Rows whose ``key`` is found in the column of that name, the only one, of ``wanted``. A source
+        that joins something to the table may do so afterwards, to the rows that are left."""
+        return self.read(name, *columns, by=key).join(wanted, key, "left_semi")
+
     @staticmethod
     def _typed(name: str, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         types = TABLES[name]

@@ -6,14 +6,14 @@ is asked for gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duebook.schema import UNSET
 from duebook.params import AsOf, Period
-from duebook.sources.base import Tables
+from duebook.sources.base import ON_COMPLETE_WORK, Reference, Tables
 
 # The test tables hold whole cents (FIXTURES.md §2).
 CENTS = "decimal(12,2)"
@@ -55,21 +55,34 @@ class TradeTables(Tables):
             orders = orders.join(homes, "cust", "left")
         return orders
 
-    def _lines(self) -> DataFrame:
-        """One row per (order, line); the source repeats that pair."""
-        return (
-            self._file("lineitem")
-            .groupBy(F.expr("l_orderkey AS k"), F.expr("l_linenumber AS line"))
-            .agg(
-                F.expr(f"CAST(max(l_extendedprice) AS {CENTS}) AS price"),
-                F.expr(f"CAST(max(l_discount) AS {CENTS}) AS disc"),
-                F.expr("max(l_suppkey) AS suppkey"),
-                # The lowest flag is 'R': as numbers, since strings would make it a sort
-                # aggregation.
-                F.expr("min(if(l_returnflag < 'R', 0, if(l_returnflag = 'R', 1, 2))) = 1 "
-                       "AS returned"),
-                F.expr("CAST(min(l_shipdate) AS DATE) AS sd"),
-            )
+    def _lines(self, at: str) -> DataFrame:
+        """One row per (order, line); the source repeats that pair. They lie by ``at``, the column they are
+        joined on next, so that they are shuffled once: by order (k), or by procedure (procnum), without
+        the rows that name none."""
+        rows = self._file("lineitem").selectExpr(
+            "l_orderkey AS k", "l_linenumber AS line", "l_orderkey * 10 + l_linenumber AS procnum",
+            "l_extendedprice", "l_discount", "l_suppkey", "l_returnflag", "l_shipdate",
+        )
+        if at == "k":
+            return self._once(rows.repartition("k"), "k", "line")
+        # A number below ten tells the pair from its procedure, which is then all that is grouped by;
+        # files without other numbers are left unread by the second part.
+        plain = self._once(rows.filter("k IS NOT NULL AND line >= 0 AND line <= 9"), "procnum").selectExpr(
+            "(procnum - pmod(procnum, 10)) div 10 AS k", "CAST(pmod(procnum, 10) AS INT) AS line", "*")
+        others = self._once(rows.filter("line < 0 OR line > 9").repartition("procnum"), "procnum", "k", "line")
+        return plain.unionByName(others)
+
+    @staticmethod
+    def _once(rows: DataFrame, *pair: str) -> DataFrame:
+        return rows.groupBy(*pair).agg(
+            F.expr(f"CAST(max(l_extendedprice) AS {CENTS}) AS price"),
+            F.expr(f"CAST(max(l_discount) AS {CENTS}) AS disc"),
+            F.expr("max(l_suppkey) AS suppkey"),
+            # The lowest flag is 'R': as numbers, since strings would make it a sort
+            # aggregation.
+            F.expr("min(if(l_returnflag < 'R', 0, if(l_returnflag = 'R', 1, 2))) = 1 "
+                   "AS returned"),
+            F.expr("CAST(min(l_shipdate) AS DATE) AS sd"),
         )
 
     def _first_lines(self, orders: str) -> DataFrame:
@@ -87,15 +100,37 @@ class TradeTables(Tables):
 
     # --- the eleven tables ---------------------------------------------------------
 
-    def _procedurelog(self, need: set[str]) -> DataFrame:
-        lines = self._lines()
+    def read(
+        self, name: str, *columns: str, by: str | None = None, scope: AsOf | Period | None = None
+    ) -> DataFrame:
+        if by != "procnum" or name not in ("procedurelog", "claimproc"):
+            return super().read(name, *columns, by=by, scope=scope)
+        return self._typed(name, self._by_procedure(name)(set(columns), "procnum"), columns)
+
+    def among(self, name: str, key: str, wanted: DataFrame, *columns: str) -> DataFrame:
+        if key != "procnum" or name not in ("procedurelog", "claimproc"):
+            return super().among(name, key, wanted, *columns)
+        return self._typed(name, self._by_procedure(name)(set(columns), key, wanted), columns)
+
+    def _by_procedure(self, name: str) -> Callable[..., DataFrame]:
+        # Claims paid by total name no procedure.
+        return self._procedurelog if name == "procedurelog" else self._claim_lines
+
+    def _procedurelog(
+        self, need: set[str], at: str = "k", wanted: DataFrame | None = None
+    ) -> DataFrame:
+        """Lines with their owners; the ``wanted`` procedures are chosen before those are joined."""
+        lines = self._lines(at)
+        if wanted is not None:
+            lines = lines.join(wanted, "procnum", "left_semi")
+        number = "k * 10 + line" if at == "k" else at
         owner = [c for c in ("patnum", "clinicnum") if c in need]
         if owner:
             orders = self._orders("clinicnum" in need).select("k", *owner)
             lines = lines.join(orders, "k", "left")
         return lines.selectExpr(
-            "k * 10 + line AS procnum", *owner, "suppkey + 1 AS provnum", "sd AS procdate",
-            f"if((k * 10 + line) % 97 = 0, CAST(0 AS {CENTS}), price) AS procfee",
+            f"{number} AS procnum", *owner, "suppkey + 1 AS provnum", "sd AS procdate",
+            f"if(({number}) % 97 = 0, CAST(0 AS {CENTS}), price) AS procfee",
             "if(line % 4 = 0, 2, 1) AS unitqty", "if(line = 7, 1, 0) AS baseunits",
             "if(returned, 1, 2) AS procstatus",
             f"if(line % 3 = 0, CAST(price * disc AS {CENTS}), 0) AS discount",
@@ -111,6 +146,16 @@ class TradeTables(Tables):
         return (self._typed(name, self._claim_totals(need), columns),
                 self._typed(name, self._claim_lines(need), columns))
 
+    def referring(
+        self, reference: Reference, *columns: str, where: str = "true", scope: AsOf | Period | None = None
+    ) -> DataFrame:
+        if reference != ON_COMPLETE_WORK:
+            return super().referring(reference, *columns, where=where, scope=scope)
+        free, _ = self.split(reference.name, reference.key, *columns, scope=scope)
+        held = reference.held(self).select(reference.key)
+        bound = self.among(reference.name, reference.key, held, *columns)
+        return free.filter(where).unionByName(bound.filter(where))
+
     def _claimproc(self, need: set[str]) -> DataFrame:
         totals = self._claim_totals(need)
         wanted = [c for c in totals.columns if c in need]
@@ -127,9 +172,11 @@ class TradeTables(Tables):
             f"CAST({UNSET} AS {CENTS}) AS writeoffestoverride",
         )
 
-    def _claim_lines(self, need: set[str]) -> DataFrame:
+    def _claim_lines(
+        self, need: set[str], at: str = "k", wanted: DataFrame | None = None
+    ) -> DataFrame:
         owner = [c for c in ("patnum", "clinicnum") if c in need]
-        lines = self._procedurelog({*owner, "procnum"}).filter("procnum % 3 != 0")
+        lines = self._procedurelog({*owner, "procnum"}, at, wanted).filter("procnum % 3 != 0")
 
         def unless_unset(test: str, amount: str) -> str:
             return f"if({test}, {amount}, CAST({UNSET} AS {CENTS}))"
@@ -149,7 +196,7 @@ class TradeTables(Tables):
         )
 
     def _claimsnapshot(self, need: set[str]) -> DataFrame:
-        waiting = self._claim_lines(set()).filter("status = 0 AND claimprocnum % 5 != 0")
+        waiting = self._claim_lines(set(), "procnum").filter("status = 0 AND claimprocnum % 5 != 0")
         return waiting.selectExpr(
             "claimprocnum",
             f"if(claimprocnum % 4 = 0, CAST({UNSET} AS {CENTS}), {_share('inspayest', '0.15')}) "
