@@ -44,12 +44,48 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+#: Whether Spark deletes a query's shuffle files when it ends. A table that is written is not read from
+#: them again, so they need not wait until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(rows: DataFrame, path: str, **options: str) -> DataFrame:
+    """rows, written as Parquet and read back; the shuffles for it are dropped."""
+    conf = rows.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        rows.write.options(**options).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """rows, written to the shared folder and read back: lineage ends here, lost executors
     cost nothing that was done before."""
-    path = new_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return written(rows, new_folder(rows.sparkSession, name))
+
+
+class Scratch:
+    """Tables that an operator stores on its way, dropped as soon as nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def stored(self, rows: DataFrame, name: str) -> DataFrame:
+        path = new_folder(self.spark, name)
+        self.held.append((written(rows, path), path))
+        return self.held[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables; without any, all."""
+        gone = [x for x in self.held if not tables or any(x[0] is t for t in tables)]
+        paths = {path for _, path in gone}
+        self.held = [x for x in self.held if x[1] not in paths]
+        for _, path in gone:
+            drop_folder(self.spark, path)
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:

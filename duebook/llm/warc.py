@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duebook.llm.common import salted, stored
+from duebook.llm.common import Scratch, salted, stored
 
 #: Bytes of payload an archive holds on average; a reader has one archive in memory.
 ARCHIVE_BYTES = 16 << 20
+#: Binary log of the bits in the filter of payloads that come more than once; 64 of them make a row of it.
+FILTER_BITS = 24
 #: The capture time of page n, where the pages have none: n seconds after this one.
 FIRST_CAPTURE = 1_704_067_200
 
@@ -59,23 +61,41 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     smallest id of their payload are all responses; a null id comes after all others. An empty
     table makes an empty folder. Other columns are not read.
 
-    Payloads are exchanged once. A hot payload is cut into parts by page id, each with one row
-    that says which page comes first.
+    A payload that comes once is written where it lies, so the exchange holds only payloads that
+    come again, and the archives hold each of those once. A filter of FILTER_BITS bits tells them apart;
+    if it fills up, more is exchanged and nothing else changes. A hot payload is cut into parts by page
+    id, each with one row that says which page comes first.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit(""))
-    total = pages.agg(F.sum(F.octet_length(F.col(html_col)))).first()[0] or 0
     rows = pages.select(
         F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), html.alias("_html"),
         F.sha1(html).alias("_sha"), salted(id_col).alias("_salt"),
     )
-    parts = rows.groupBy("_sha", "_salt").agg(F.min("_id").alias("_first"))
     # One row per payload and salt; the smallest of a payload goes back to each of its parts.
-    firsts = parts.groupBy("_sha").agg(
-        F.min("_first").alias("_first"), F.collect_list("_salt").alias("_salts"))
-    firsts = firsts.withColumn("_salt", F.explode("_salts")).drop("_salts")
+    scratch = Scratch(spark)
+    parts = scratch.stored(rows.groupBy("_sha", "_salt").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_pages"),
+        F.sum(F.octet_length("_html")).alias("_bytes")), "warc_payloads")
+    total, count = (int(x or 0) for x in parts.agg(F.sum("_bytes"), F.sum("_pages")).first())
+    repeated = parts.groupBy("_sha").agg(
+        F.min("_first").alias("_first"), F.collect_list("_salt").alias("_salts"), F.sum("_pages").alias("_pages"),
+    ).where("_pages > 1")
+    # Repeated payloads by bits of their digests; a row holds 64 bits.
+    bit = F.conv(F.substring("_sha", 1, FILTER_BITS // 4), 16, 10).cast("long")
+    place, mask = F.shiftright(bit, 6), F.expr("shiftleft(1L, cast(_bit & 63 as int))")
+    bits = repeated.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_place")).agg(
+        F.bit_or(mask).alias("_bits"))
+    seen = rows.withColumn("_bit", bit).withColumn("_place", place).join(F.broadcast(bits), "_place", "left")
+    again = F.coalesce(F.col("_bits").bitwiseAND(mask), F.lit(0)) != 0
+    columns = ["_id", "_url", "_html", "_sha"]
+    alone = seen.where(~again).select(*columns, F.col("_id").alias("_first"))
+    firsts = repeated.withColumn("_salt", F.explode("_salts")).select("_sha", "_salt", F.col("_first").alias("_least"))
     archives = max(spark.sparkContext.defaultParallelism, -(-total // archive_bytes))
-    told = rows.repartition(archives, "_sha", "_salt").join(firsts, ["_sha", "_salt"])
+    # What only the filter took for repeated finds no row here and comes first itself.
+    told = seen.where(again).select(*columns, "_salt").repartition(archives, "_sha", "_salt").join(
+        firsts, ["_sha", "_salt"], "left")
+    told = alone.unionByName(told.select(*columns, F.coalesce("_least", "_id").alias("_first")))
 
     size = F.octet_length("_html")
     revisit = (size >= least_bytes) & ~F.col("_id").eqNullSafe(F.col("_first"))
@@ -99,7 +119,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
         _line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(_END), block,
     )
-    told.select(record.alias("value")).write.option("lineSep", _END * 2).text(path)
+    told.select(record.alias("value")).write.option("lineSep", _END * 2).option(
+        "maxRecordsPerFile", max(1, archive_bytes * count // max(1, total))).text(path)
+    scratch.drop()
 
 
 def url_key(url: str | None) -> str:

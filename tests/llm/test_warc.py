@@ -68,6 +68,28 @@ def test_records_are_where_the_index_says(spark):
         assert (offset, length, headers["WARC-Type"]) == (0, r.length, r.record_type)
 
 
+def test_payloads_that_come_once_stay_where_they_lie(spark):
+    """Before, every payload was exchanged, and an archive held pages of all partitions."""
+    rows = spark.range(0, 90, numPartitions=3).selectExpr(
+        "id AS page_id", "'http://a.example/' AS url", "concat('<p>', id, '</p>') AS html")
+    path = new_folder(spark, "test-warc")
+    write_archives(rows, path)
+    found = {}
+    for r in index_archives(spark, path).collect():
+        found.setdefault(r.archive, set()).add(r.page_id // 30)
+    assert all(len(x) == 1 for x in found.values()) and set.union(*found.values()) == {0, 1, 2}
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILTER_BITS", 4)
+    rows = pages()
+    path = new_folder(spark, "test-warc")
+    write_archives(frame(spark, rows, COLUMNS), path)
+    known = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
+             for r in index_archives(spark, path).collect()]
+    assert sorted(known, key=str) == sorted(wanted(rows), key=str)
+
+
 def test_no_pages(spark):
     path = new_folder(spark, "test-warc")
     write_archives(frame(spark, [], COLUMNS), path)
