@@ -33,6 +33,8 @@ WIDTH_PERCENTILE = 90
 #: Tokens after which a segment is closed, and segments in a file: a reader holds one file.
 SEGMENT_TOKENS = 500_000
 FILE_SEGMENTS = 16
+#: Blocks unpacked together; their arrays stay in the cache.
+UNPACKED = 256
 
 _HEAD = struct.Struct("<4sIIII")
 
@@ -51,25 +53,30 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
             continue
         low = blocks.min(axis=1)
         offsets = (blocks - low[:, None]).astype(np.uint32)
-        order = np.sort(offsets, axis=1)
         n = blocks.shape[1]
-        width = _bits(order[:, min(n - 1, (n * WIDTH_PERCENTILE + 99) // 100 - 1)])
-        over = _bits(offsets) > width[:, None]
+        place = min(n - 1, (n * WIDTH_PERCENTILE + 99) // 100 - 1)
+        width = _bits(np.partition(offsets, place, axis=1)[:, place])
+        over = offsets >> width[:, None].astype(np.uint32) != 0
+        kept = np.where(over, 0, offsets).astype("<u4")
         packed: list[bytes] = [b""] * len(blocks)
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
-            kept = np.where(over[rows], 0, offsets[rows])
-            bits = (kept[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            flat = np.packbits(bits.reshape(len(rows), -1).astype(np.uint8), axis=1, bitorder="little")
-            for row, line in zip(rows, flat):
-                packed[row] = line.tobytes()
-        for b in range(len(blocks)):
-            where = np.flatnonzero(over[b])
-            part = (struct.pack("<IBH", int(low[b]), int(width[b]), len(where)) + packed[b]
-                    + where.astype(np.uint8).tobytes() + offsets[b][where].astype("<u4").tobytes())
+            bits = np.unpackbits(kept[rows].view(np.uint8).reshape(len(rows), n, 4), axis=2, count=w, bitorder="little")
+            flat = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+            size, lines = flat.shape[1], flat.tobytes()
+            for i, row in enumerate(rows.tolist()):
+                packed[row] = lines[i * size: (i + 1) * size]
+        row, where = np.nonzero(over)
+        places, values = where.astype(np.uint8).tobytes(), offsets[row, where].astype("<u4").tobytes()
+        ends = np.cumsum(over.sum(axis=1))
+        first = 0
+        for b, (least, bits, last) in enumerate(zip(low.tolist(), width.tolist(), ends.tolist())):
+            part = (struct.pack("<IBH", least, bits, last - first) + packed[b]
+                    + places[first:last] + values[4 * first: 4 * last])
             starts.append(at)
             parts.append(part)
             at += len(part)
+            first = last
     return np.array(starts, dtype="<u4"), b"".join(parts)
 
 
@@ -85,15 +92,18 @@ def unpack_blocks(body: bytes, starts: np.ndarray, tokens: int) -> np.ndarray:
     lengths = np.full(len(starts), BLOCK, dtype=np.int64)
     lengths[whole:] = tokens - whole * BLOCK
     for n, w in {(int(n), int(w)) for n, w in zip(lengths, width)}:
-        rows = np.flatnonzero((lengths == n) & (width == w))
-        offsets = np.zeros((len(rows), n), dtype=np.uint32)
-        if w:
-            size = (n * w + 7) // 8
-            lines = raw[starts[rows][:, None] + 7 + np.arange(size)]
-            bits = np.unpackbits(lines, axis=1, count=n * w, bitorder="little").reshape(len(rows), n, w)
-            for bit in range(w):
-                offsets |= bits[:, :, bit].astype(np.uint32) << np.uint32(bit)
-        out[(rows[:, None] * BLOCK + np.arange(n)).ravel()] = (offsets + low[rows][:, None]).ravel()
+        # Each value lies within four bytes, wide ones within eight, from the byte of its first bit.
+        bits = np.arange(n) * w
+        size, word = (n * w + 7) // 8, 4 if w <= 25 else 8
+        kind, take = np.dtype(f"<u{word}"), (bits >> 3)
+        shift, mask = (bits & 7).astype(kind), kind.type((1 << w) - 1)
+        same = np.flatnonzero((lengths == n) & (width == w))
+        for rows in np.split(same, np.arange(UNPACKED, len(same), UNPACKED)):
+            lines = np.zeros((len(rows), size + word), dtype=np.uint8)
+            lines[:, :size] = raw[starts[rows][:, None] + 7 + np.arange(size)]
+            words = np.ndarray((len(rows), size + 1), kind, lines, strides=(size + word, 1))
+            offsets = (words[:, take] >> shift) & mask
+            out[(rows[:, None] * BLOCK + np.arange(n)).ravel()] = (offsets + low[rows][:, None]).ravel()
     for b in np.flatnonzero(over).tolist():
         n, k = int(lengths[b]), int(over[b])
         at = int(starts[b]) + 7 + (n * int(width[b]) + 7) // 8

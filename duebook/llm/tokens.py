@@ -24,26 +24,25 @@ from duebook.llm.caches import remembered
 #: Bytes of the parts of words, and their ids, that a worker remembers. Those met first are kept, which
 #: the frequent ones are among; others are encoded each time, so memory is bounded.
 PART_BYTES = 8 << 20
-#: Parts given to the library at a time.
-BATCH_PARTS = 8192
+#: Parts given to the library at a time, and those that make one string of it.
+BATCH_PARTS, JOINED_PARTS = 8192, 64
 #: Characters of text encoded together.
 CHUNK_CHARS = 4_000_000
 
 #: Where a text may be cut without changing its ids.
 #: "word": the vocabulary drops white space and never joins across it.
 #: "space": a blank before a visible character opens a new piece and belongs to it.
-_WHITE = r"[ \n\r\t]+"
-CUTS = {"word": re.compile(_WHITE), "space": re.compile(r"(?= \S)")}
+CUTS = {"word": re.compile(r"[\x20\x09-\x0D]+"), "space": re.compile(r"(?= \S)")}
 # A blank that is last or before other white space; texts that have one are cut by CUTS, others at
 # every blank.
 _ODD_BLANK = (r" ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
               r"\x{205f}\x{3000}]|\z)")
 
-# Both pre-tokenizers end a piece between one of these letters or digits and one of these marks,
-# either way round: none of the marks starts a contraction, and none of the letters gains a
-# combining mark when the text is normalised. A single line end is a piece too. Parts that are left
+# Both pre-tokenizers end a piece between one of these letters or digits and one of these marks (all
+# of ASCII but the apostrophe), either way round: none of the marks starts a contraction, and none of
+# the letters gains a combining mark when the text is normalised. A single line end is a piece too. Parts that are left
 # together cost time only.
-_LETTER, _MARK, _VISIBLE = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:|]", "[!-~À-ÖØ-öø-ÿ]"
+_LETTER, _MARK, _VISIBLE = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]", "[!-~À-ÖØ-öø-ÿ]"
 _PARTS = [(f"({_LETTER})({_MARK})", "\\1{0}\\2"), (f"({_MARK})({_LETTER})", "\\1{0}\\2"),
           (f"({_VISIBLE})\n({_VISIBLE})", "\\1{0}\n{0}\\2")]
 
@@ -94,6 +93,10 @@ class TextEncoder:
         self._added = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
         self._at_added = re.compile("({})".format("|".join(  # the longest, as the library does
             re.escape(c) for c in sorted(self._added, key=len, reverse=True))))
+        # An added token that no other overlaps; between two parts it keeps them apart.
+        heads = {c[0] for c in self._added}
+        self._border = next((t.content for t in added.values()
+                             if not any(h in c[1:] for h in heads for c in self._added)), None)
         self._cut, self._lower, self._blank = CUTS[cut], LOWER[cut], cut == "space"
         self._known = _Known()
 
@@ -135,7 +138,7 @@ class TextEncoder:
             pieces = pc.split_pattern(rows, " ")
         else:
             odd = ()
-            pieces = pc.split_pattern_regex(rows, _WHITE)
+            pieces = pc.ascii_split_whitespace(pc.ascii_lower(rows) if self._lower else rows)
         coded = pieces.flatten().dictionary_encode()
         codes, words = coded.indices.to_numpy(), coded.dictionary
         starts = pieces.offsets.to_numpy()
@@ -156,8 +159,6 @@ class TextEncoder:
         edge = "\x00"  # a string that no word has
         while pc.any(pc.match_substring(words, edge)).as_py():
             edge += "\x01"
-        if self._lower:
-            words = pc.ascii_lower(words)
         for pattern, cut in _PARTS:
             words = pc.replace_substring_regex(words, pattern, cut.format(edge))
         parts = pc.split_pattern(words, edge)
@@ -165,6 +166,21 @@ class TextEncoder:
         flat, edges = _joined(*self._ids_of_parts(coded.dictionary), coded.indices.to_numpy())
         return flat, np.diff(edges[parts.offsets.to_numpy()])
 
+    def _by_library(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As of words, by the tokenizers library. Many parts go to it as one string, since each result
+        costs as much as a short part."""
+        border, some = self._border, parts.to_pylist()
+        whole = border is None or pc.any(pc.match_substring(parts, border)).as_py()
+        if not whole:
+            some = [border.join((*some[i: i + JOINED_PARTS], "")) for i in range(0, len(some), JOINED_PARTS)]
+        done = [d.ids for d in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, done), np.int64, len(done))
+        flat = np.fromiter(chain.from_iterable(done), "<u4", int(sizes.sum()))
+        if whole:
+            return flat, sizes
+        ends = flat == np.frombuffer(self._added[border], "<u4")[0]
+        return flat[~ends], np.diff(np.append(-1, np.flatnonzero(ends))) - 1
+
     def _ids_of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As of words, for distinct parts."""
         known = self._known
@@ -173,10 +189,9 @@ class TextEncoder:
         new = parts.take(pa.array(fresh))
         flats, sizes = [known.flat], [known.sizes]
         for low in range(0, len(new), BATCH_PARTS):
-            done = [d.ids for d in self._tokenizer.encode_batch_fast(
-                new[low: low + BATCH_PARTS].to_pylist(), add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, done), np.int64, len(done)))
-            flats.append(np.fromiter(chain.from_iterable(done), "<u4", int(sizes[-1].sum())))
+            ids, counts = self._by_library(new[low: low + BATCH_PARTS])
+            flats.append(ids)
+            sizes.append(counts)
         at[fresh] = len(known.sizes) + np.arange(len(fresh))
         flat, size = np.concatenate(flats), np.concatenate(sizes)
         if len(fresh):

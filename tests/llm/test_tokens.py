@@ -68,6 +68,41 @@ def test_a_full_memory_keeps_the_ids(encoder, monkeypatch):
     assert list(encoder.encode(texts)) == plain(encoder, texts)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(ALPHABET + list("#$%&*+/<=>@[\\]^`{}~\"") + ["###", "\u0338", "\u0301", "<|ENDOFTEXT|>", "\x0b", "\x0c", "\x1f"]),
+                max_size=30).map("".join))
+@example("<\u0338a=\u0338b'#s$'s é#\u0301e`\u0300a^b~")
+def test_every_mark_keeps_the_ids(encoder, text):
+    assert list(encoder.encode([text])) == plain(encoder, [text])
+
+
+def test_a_word_is_one_part_whatever_marks_it_has(encoder):
+    """Before, each of these words was a part of its own."""
+    fresh = TextEncoder(tokenizer_file(FILES["word"]), "word")
+    list(fresh.encode(["abcde### abcde$$$ abcde%%%", "(abcde) abcde&&& *abcde*"]))
+    assert [p for p in fresh._known.parts.to_pylist() if "abcde" in p] == ["abcde"]
+
+
+def test_many_parts_are_one_string_for_the_library(encoder):
+    """Before, each part was a string of its own."""
+    class Counting:
+        def __init__(self, of):
+            self.of, self.given = of, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.given += len(texts)
+            return self.of.encode_batch_fast(texts, **how)
+
+    texts = [" ".join(f"w{i}x" for i in range(1000))]
+    wanted, real = plain(encoder, texts), encoder._tokenizer
+    encoder._tokenizer = counting = Counting(real)
+    try:
+        assert list(encoder.encode(texts)) == wanted
+    finally:
+        encoder._tokenizer = real
+    assert 0 < counting.given < 100
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=900))
 def test_blocks_round_trip(values):
