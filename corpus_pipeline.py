@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duebook.llm.common import held_out, new_folder, stored, table
+from duebook.llm.common import held_out, new_folder, stored, table, written
 from duebook.llm.decontamination import contaminated
 from duebook.llm.exact_dedup import exact_dedup
 from duebook.llm.ngram_join import jaccard_join
@@ -29,9 +29,7 @@ ROW = "_row_key"
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with ROW, written so that a row has the same key wherever it is read."""
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    path = new_folder(docs.sparkSession, "keyed")
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return written(rows, new_folder(docs.sparkSession, "keyed"), compression="zstd")
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import stored
+from duebook.llm.common import Scratch
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,13 +25,15 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
             .select("a", "b"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, component (the smallest node that links reach) for links of columns a and b.
 
     Nodes without a link have no row. Rounds go on until the edges are stars, none of whose centres
-    is the end of another; their number grows with the logarithm of the longest chain.
+    is the end of another; their number grows with the logarithm of the longest chain. The result reads a
+    table of `scratch`.
     """
-    edges = stored(links.where("a <> b").select(
+    scratch = scratch or Scratch(links.sparkSession)
+    edges = scratch.stored(links.where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while True:
         # Every end has one centre, and no centre is an end.
@@ -39,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
         centres = edges.select(F.col("a").alias("node")).distinct().withColumn("centre", F.lit(True))
         if ends.join(centres, "node", "left").where("n > 1 or centre").isEmpty():
             break
-        edges = stored(_starred(_starred(edges, large=True), large=False), "edges")
+        old, edges = edges, scratch.stored(_starred(_starred(edges, large=True), large=False), "edges")
+        scratch.drop(old)
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     centres = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return stars.unionByName(centres)

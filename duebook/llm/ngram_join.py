@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duebook.llm.common import joined_evenly, salted, stored
+from duebook.llm.common import Scratch, joined_evenly, salted, stored
 from duebook.llm.components import components
 from duebook.llm.words import hashes_of, shingles_of, words_of
 
@@ -106,6 +106,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, per_cent: int):
         self.docs, self.size, self.per_cent = docs, size, per_cent
+        self.scratch = Scratch(docs.sparkSession)
         ident = F.col(id_col).cast("long")
         self.rows = docs.select(F.coalesce(ident, F.lit(0)).alias("id"), ident.isNull().alias("missing"),
                                 F.col(text_col).alias("text"))
@@ -142,7 +143,7 @@ class _Join:
                         low, held = row, 0
                         n, nodes, last, firsts, parts = [], [], [], [], []
 
-        return stored(self.rows.mapInPandas(
+        return self.scratch.stored(self.rows.mapInPandas(
             made, "id long, missing boolean, n long, node long, last_count long, last_column long, "
             "columns array<long>, parts array<long>",
         ).withColumn("salt", salted("id")), "shingle_sets")
@@ -150,7 +151,7 @@ class _Join:
     def nodes(self, sets: DataFrame) -> DataFrame:
         """node, n, last_count, last_column, first_id: one row per distinct set. Copies are summed
         where they are read, and a hot group meets as one row per task."""
-        return stored(sets.where("not missing and n > 0").groupBy("node", "n", "last_count", "last_column").agg(
+        return self.scratch.stored(sets.where("not missing and n > 0").groupBy("node", "n", "last_count", "last_column").agg(
             F.min("id").alias("first_id")), "shingle_nodes")
 
     def entries(self, sets: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ class _Join:
         # One exchange serves both the copies of other batches and the count.
         column = Window.partitionBy("h", "part")
         dealt = every.repartition("h", "part").dropDuplicates(["h", "part", "node"])
-        return stored(dealt.withColumn("rows", F.count(F.lit(1)).over(column))
+        return self.scratch.stored(dealt.withColumn("rows", F.count(F.lit(1)).over(column))
                       .where("rows > 1 or part >= 0").select("h", "node", "n", "place"), "shingle_entries")
 
     def plausible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -197,17 +198,19 @@ class _Join:
                 yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": np.array([
                     linked(set_of(x), set_of(y), per_cent) for x, y in zip(batch["x"], batch["y"])], dtype=bool)})
 
-        pairs = stored(pairs, "shingle_pairs")
+        pairs = self.scratch.stored(pairs, "shingle_pairs")
         wanted = pairs.select(F.col("a").alias("node")).unionByName(
             pairs.select(F.col("b").alias("node"))).distinct()
         names = nodes.join(wanted, "node").select("node", F.col("first_id").alias("id"), "n")
         # An id with several texts gives several; the one of the node is known by its set's name.
-        texts = stored(self.rows.where(~F.col("missing")).join(names, "id").select("node", "text"), "shingle_texts")
+        texts = self.scratch.stored(self.rows.where(~F.col("missing")).join(names, "id").select("node", "text"), "shingle_texts")
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
         rows = pairs.join(left, "a").join(right, "b")
-        return stored(rows.mapInPandas(compared, "a long, b long, linked boolean")
-                      .groupBy("a", "b").agg(F.max("linked").alias("linked")), "shingle_links")
+        answers = self.scratch.stored(rows.mapInPandas(compared, "a long, b long, linked boolean")
+                                      .groupBy("a", "b").agg(F.max("linked").alias("linked")), "shingle_links")
+        self.scratch.drop(pairs, texts)
+        return answers
 
     def sizes_allow(self, n: str, place: str, other_n: str, other_place: str) -> Column:
         """Whether two nodes that meet in a column can be similar enough with this one as the first
@@ -271,7 +274,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = join.sets(counts)
     nodes = join.nodes(sets)
     entries = join.entries(sets)
-    columns = stored(entries.groupBy("node").agg(F.collect_list("h").alias("columns")), "shingle_columns")
+    columns = join.scratch.stored(entries.groupBy("node").agg(F.collect_list("h").alias("columns")), "shingle_columns")
     named = sets.where("not missing and n > 0")
     # Rows of one id are linked to begin with.
     same = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
@@ -284,17 +287,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         now = join.verified(join.plausible(join.overlaps(pairs, columns), nodes), nodes)
         checked = now if checked is None else checked.unionByName(now)
-        found = components(checked.where("linked").select("a", "b").unionByName(links))
+        found = components(checked.where("linked").select("a", "b").unionByName(links), join.scratch)
         if step < rounds:
             labelled = entries.join(found, "node", "left").select(
                 "h", "node", "n", "place", F.coalesce("component", "node").alias("component"))
             open_columns = labelled.groupBy("h").agg(
                 F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-            current = stored(labelled.join(open_columns, "h", "left_semi"), "shingle_entries")
+            old, current = current, join.scratch.stored(
+                labelled.join(open_columns, "h", "left_semi"), "shingle_entries")
+            join.scratch.drop(old)
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named_by = labelled.join(least, "component").select("node", "component_id")
     answer = joined_evenly(sets, named_by, "node", "salt")
-    return answer.select(
+    result = stored(answer.select(
         F.when(~F.col("missing"), F.col("id")).alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(~F.col("missing"), F.coalesce("component_id", "id")).alias("component_id"))
+        F.when(~F.col("missing"), F.coalesce("component_id", "id")).alias("component_id")), "components")
+    join.scratch.drop()
+    return result

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from duebook.llm import ngram_join, suffix_dedup
+from duebook.llm import common, ngram_join, suffix_dedup
 from duebook.llm.components import components
 from duebook.llm.exact_dedup import exact_dedup
 from duebook.llm.ngram_join import jaccard_join
@@ -49,6 +51,33 @@ def test_a_hot_group_of_copies_is_one_group(spark):
     assert len(got) == 3000 and {r.keep_id for r in got} == {0} and {r.group_size for r in got} == {3000}
 
 
+def test_only_the_result_of_a_jaccard_join_is_kept(spark, odd, tmp_path, monkeypatch):
+    """Before, the sets, the entries of the matrix, the texts of pairs and the edges stayed."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    got = jaccard_join(odd)
+    assert {x.rsplit("-", 1)[0] for x in os.listdir(tmp_path)} == {"components"}
+    same(got.collect(), jaccard(odd_documents()))
+
+
+def shuffles(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {n.split("_")[1] for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_the_shuffles_of_a_stored_table_are_dropped(spark, tmp_path, monkeypatch):
+    """Before, they stayed until the driver collected its garbage."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    before = shuffles(spark)
+    setting = spark.conf.get(common._CLEANUP, "false")
+    assert common.stored(spark.range(1000).repartition(4, "id").groupBy("id").count(), "test").count() == 1000
+    assert spark.conf.get(common._CLEANUP, "false") == setting
+    until = time.time() + 10
+    while len(shuffles(spark) - before) > 1 and time.time() < until:  # files go in the background
+        time.sleep(0.1)
+    assert len(shuffles(spark) - before) <= 1  # that of the count
+
+
 def jaccard(docs, size=5):
     sets = []
     for doc_id, text in docs:
