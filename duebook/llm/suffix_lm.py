@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import drop_folder, new_folder, stored
+from duebook.llm.common import Scratch, stored
 from duebook.llm.words import hashes_of, words_of
 
 DEPTH = 3
@@ -143,23 +144,25 @@ def _filter(names: DataFrame) -> np.ndarray:
     return out
 
 
-def _count_grams(texts: DataFrame, level: int, least: int, shorter: np.ndarray) -> DataFrame:
+def _count_grams(texts: DataFrame, level: int, least: int, shorter: Broadcast) -> DataFrame:
     """c, s, n: contexts and suffixes of the runs of level + 1 words seen `least` times. Neither
     of the two is seen less often, so `shorter`, the filter of the level before, spares most of
     the others the shuffle."""
-    shared = texts.sparkSession.sparkContext.broadcast(shorter)
-
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tokens, sizes in _chunks(batches):
             within = _places(sizes)[level:] >= level
             part = tokens
             for _ in range(level - 1):
                 part = grams_of(part)
-            passed = _passing(shared.value, part)
+            passed = _passing(shorter.value, part)
             use = np.flatnonzero(within & passed[:-1] & passed[1:])
-            _, first, counts = np.unique(grams_of(part)[use], return_index=True, return_counts=True)
-            yield pd.DataFrame({"c": part[use[first]].view(np.int64), "s": part[use[first] + 1].view(np.int64),
-                                "n": counts})
+            names = grams_of(part)[use]
+            order = np.argsort(names)  # equal names are the same gram, whichever comes first
+            names = names[order]
+            edges = np.flatnonzero(np.append(True, names[1:] != names[:-1])[: len(names)])
+            first = use[order[edges]]
+            yield pd.DataFrame({"c": part[first].view(np.int64), "s": part[first + 1].view(np.int64),
+                                "n": np.diff(np.append(edges, len(names)))})
 
     return texts.mapInPandas(counted, "c long, s long, n long").groupBy("c", "s").agg(
         F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -184,7 +187,6 @@ class SuffixTree:
 def learn(texts: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, word_share: float = WORD_SHARE,
           context_share: float = CONTEXT_SHARE, entry_share: float = ENTRY_SHARE) -> SuffixTree:
     """The tree of texts whose words are counted in `vocabulary`."""
-    spark = texts.sparkSession
     sums = vocabulary.agg(F.sum("count"), F.count(F.lit(1))).first()
     total, size = int(sums[0] or 0), int(sums[1])
     least = lambda share: max(LEAST_COUNT, int(np.ceil(share * total)))
@@ -193,20 +195,15 @@ def learn(texts: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, word_shar
     before = vocabulary.select(
         F.col("word").alias("g"), F.col("count").alias("n"), nothing.alias("s"),
         ((F.col("count") + 0.5) / F.lit(total + 0.5 * (size + 1))).alias("p"))
-    levels, contexts, folders = [], [], []
-
-    def written(rows: DataFrame, name: str) -> DataFrame:
-        folders.append(new_folder(spark, name))
-        rows.write.parquet(folders[-1])
-        return spark.read.schema(rows.schema).parquet(folders[-1])
+    levels, contexts, scratch = [], [], Scratch(texts.sparkSession)
 
     # Frequent contexts and suffixes are in many grams: AQE splits these joins, whose results are
     # written or combined by another key.
     for level in range(1, depth + 1):
-        filter_ = _filter(before.where(F.col("n") >= least(entry_share)))
-        grams = written(_count_grams(texts, level, least(entry_share), filter_), f"grams-{level}")
-        counted = folders.pop()
-        grams = grams.join(before.select(F.col("g").alias("s"), F.col("p").alias("beneath")), "s")
+        filter_ = texts.sparkSession.sparkContext.broadcast(_filter(before.where(F.col("n") >= least(entry_share))))
+        counted = scratch.stored(_count_grams(texts, level, least(entry_share), filter_), f"grams-{level}")
+        filter_.destroy()  # it lies on the disk of each executor
+        grams = counted.join(before.select(F.col("g").alias("s"), F.col("p").alias("beneath")), "s")
         sums = grams.groupBy("c").agg(
             F.count(F.lit(1)).alias("entries"), F.sum("n").alias("taken"), F.sum("beneath").alias("mass"),
             F.sum(F.col("n") * (F.log(F.col("n").cast("double")) - F.log("beneath"))).alias("gain"))
@@ -217,17 +214,17 @@ def learn(texts: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, word_shar
             rest > 0, rest * F.log(rest / F.col("size") / rest_beneath)).otherwise(0.0)
         sized = before.where(F.col("n") >= least(context_share)).select(
             F.col("g").alias("c"), F.col("n").alias("size"), F.col("s").alias("suffix"))
-        context = written(sums.join(sized, "c").select(
+        context = scratch.stored(sums.join(sized, "c").select(
             "c", "size", "suffix",
             F.greatest(1 - (F.col("taken") - DISCOUNT * F.col("entries")) / F.col("size"),
                        F.lit(1e-12)).alias("left"),
             (gain >= COST * 0.5 * float(np.log(max(2, total))) * (F.col("entries") + 1)).alias("keep")),
             f"contexts-{level}")
-        level_rows = written(grams.join(context.select("c", "size", "left"), "c").select(
+        level_rows = scratch.stored(grams.join(context.select("c", "size", "left"), "c").select(
             "c", "s", "n", "beneath",
             ((F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("beneath")).alias("p")),
             f"level-{level}").withColumn("g", F.xxhash64("c", "s"))
-        drop_folder(spark, counted)
+        scratch.drop(counted)
         before = level_rows
         levels.append(before)
         contexts.append(context)
@@ -238,7 +235,7 @@ def learn(texts: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, word_shar
         if longer is not None:
             under = longer.select(F.col("suffix").alias("c")).distinct().withColumn("under", F.lit(True))
             context = context.join(under, "c", "left").withColumn("keep", F.col("keep") | F.col("under").isNotNull())
-        longer = written(context.where("keep").select("c", "size", "suffix", "left"), "states")
+        longer = scratch.stored(context.where("keep").select("c", "size", "suffix", "left"), "states")
         held = grams.join(longer.select("c", "left"), "c")
         none = F.lit(0).cast("long").alias("count")
         deltas.append(held.select("g", none, F.log10(F.col("p") / F.col("beneath") / F.col("left")).alias("delta"),
@@ -252,8 +249,7 @@ def learn(texts: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, word_shar
     table = stored(rows.groupBy("g").agg(
         F.sum("count").alias("count"), F.sum("delta").alias("delta"), F.max("seen").alias("seen"),
         F.max("stated").alias("stated")), "suffix-tree")
-    for path in folders:
-        drop_folder(spark, path)
+    scratch.drop()
     # At most 1 / word_share of each length.
     often = table.where(F.col("seen") >= least(word_share)).select("g", "count", "delta").toArrow()
     names = often["g"].to_numpy().view(np.uint64)
@@ -286,8 +282,10 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
     counts to the table by a join; none among them can have more than a WORD_SHARE of the tokens.
     """
     texts = docs.where(F.coalesce(learn_from, F.lit(True))).select(F.col(text_col).alias("text"))
-    vocabulary = stored(count_words(texts), "vocabulary")
+    scratch = Scratch(docs.sparkSession)
+    vocabulary = scratch.stored(count_words(texts), "vocabulary")
     tree = learn(texts, vocabulary, depth, word_share, context_share, entry_share)
+    scratch.drop()  # its counts are in the tree's table
     shared = docs.sparkSession.sparkContext.broadcast(
         (tree.names, tree.root_scores(tree.counts), tree.deltas, tree.filter))
 

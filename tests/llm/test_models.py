@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duebook.llm import queries
+from duebook.llm import common, queries
 from duebook.llm.quality import FEATURES, PASSAGE_WORDS, QualityModel, _gradients, fit, fit_quality, passages_of, score_quality
 from duebook.llm.suffix_lm import score_texts
 from duebook.llm.toxicity import cells_of, fit_toxicity, score_toxicity
@@ -190,3 +191,11 @@ def test_contexts_help_on_held_out_texts(spark):
     rows = queries.queries()["op10_suffix_lm"](spark, LARGER).where("held_out")
     sums = rows.agg(F.sum("score"), F.sum("base_score")).first()
     assert sums[0] > 0.98 * sums[1] and sums[0] > sums[1]
+
+
+def test_only_the_table_of_the_tree_is_kept(spark, odd, tmp_path, monkeypatch):
+    """Before, the counted words stayed too."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    got = score_texts(odd, F.lit(True))
+    assert {x.rsplit("-", 1)[0] for x in os.listdir(tmp_path)} == {"suffix-tree"}
+    assert got.count() == len(odd_documents())
