@@ -18,6 +18,10 @@ over all of a text's grams: log10 of p(w|c) / (left(c) p(w|suffix of c)) of each
 log10 left(c) of each state, and the root's log10 p of each word. So texts are scored by a join of
 their grams to the table; the frequent grams, bounded by a share, are looked up where a text is
 read.
+
+Grams on their way to be counted or looked up are packed: a row holds those of many texts whose
+names lie in one range, as arrays. There are as many ranges as the tokens ask for, so what a task
+merges at a time is bounded.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import Scratch, stored
+from duebook.llm.common import Scratch, new_folder, written
 from duebook.llm.words import hashes_of, words_of
 
 DEPTH = 3
@@ -45,16 +49,23 @@ LEAST_COUNT = 2
 DISCOUNT = 0.75
 #: Nats of divergence that a stored next-word count has to bring, in halves of the log of N.
 COST = 1.0
-#: Tokens that a task counts before it passes the counts on.
-CHUNK_TOKENS = 3_000_000
+#: Tokens that a task counts, and grams that it asks for, before it passes them on.
+CHUNK_TOKENS, ASKED_GRAMS = 2_000_000, 500_000
+#: Texts that are Python strings at a time.
+READ_TEXTS = 500
+#: Training tokens for each range of names, when grams are counted and when they are looked up. Names are
+#: hashes, so a range has its share of them; a gram is in it once for each chunk.
+COUNTED_TOKENS, SOUGHT_TOKENS = 2_000_000, 4_000_000
+#: Ranges that leave a task in one batch.
+BATCH_RANGES = 16
 #: Binary log of the bits in a filter. Grams that it lets pass are joined to the table, which
 #: decides, so a filter that fills up costs time and changes nothing.
 FILTER_BITS = 27
 
 #: Characters of text that a task scores at a time.
-SCORED_CHARS = 2_000_000
-#: Kinds of rows on the way: a gram, a rare word, the summary of a text with an id, and of one without.
-GRAM, RARE, NAMED, NAMELESS = 0, 1, 2, 3
+SCORED_CHARS = 1_000_000
+#: What a text's frequent words and grams add up to, as it travels.
+SUMMARY = np.dtype([("row", "<i8"), ("id", "<i8"), ("missing", "?"), ("n", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
 #: The end of a text; no word is likely to hash to it.
 END = np.uint64(0xE17D0F7E87C0FFEE)
@@ -102,11 +113,17 @@ def grams_of(shorter: np.ndarray) -> np.ndarray:
     return _xxhash64(shorter[1:], _xxhash64(shorter[:-1], np.uint64(42)))
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, len(batch), READ_TEXTS):
+            yield batch.slice(low, READ_TEXTS)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Tokens of many texts at a time, and the texts' numbers of tokens."""
     held, sizes, count = [], [], 0
-    for batch in batches:
-        for text in batch["text"]:
+    for batch in _slices(batches):
+        for text in batch["text"].to_pylist():
             tokens, size = tokens_of([text])
             held.append(tokens)
             sizes.append(size)
@@ -118,14 +135,40 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
         yield np.concatenate(held), np.concatenate(sizes)
 
 
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+
+
+def _dealt(names: np.ndarray, ranges: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The columns of rows in order of their names, packed by the names' ranges."""
+    whose = ((names >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    first = _edges(whose)
+    ends = np.append(first[1:], len(names))
+    for low in range(0, len(first), BATCH_RANGES):
+        part = slice(low, low + BATCH_RANGES)
+        packed = [pa.array([x[i:j].tobytes() for i, j in zip(first[part], ends[part])], pa.binary())
+                  for x in columns.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(whose[first[part]].astype(np.int32)), *packed], ["part", *columns])
+
+
+def _ranges(tokens: int, each: int) -> int:
+    return max(1, -(-tokens // each))
+
+
+def _unpacked(packed: pa.Table, column: str, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packed[column].to_pylist()), dtype)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """word (hash), count: over all texts, ends included."""
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, _ in _chunks(batches):
             words, counts = np.unique(tokens, return_counts=True)
-            yield pd.DataFrame({"word": words.view(np.int64), "count": counts})
+            yield pa.RecordBatch.from_pydict({"word": words.view(np.int64), "count": counts})
 
-    return texts.mapInPandas(counted, "word long, count long").groupBy("word").agg(
+    return texts.mapInArrow(counted, "word long, count long").groupBy("word").agg(
         F.sum("count").alias("count"))
 
 
@@ -144,11 +187,11 @@ def _filter(names: DataFrame) -> np.ndarray:
     return out
 
 
-def _count_grams(texts: DataFrame, level: int, least: int, shorter: Broadcast) -> DataFrame:
+def _count_grams(texts: DataFrame, level: int, least: int, shorter: Broadcast, ranges: int) -> DataFrame:
     """c, s, n: contexts and suffixes of the runs of level + 1 words seen `least` times. Neither
     of the two is seen less often, so `shorter`, the filter of the level before, spares most of
     the others the shuffle."""
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, sizes in _chunks(batches):
             within = _places(sizes)[level:] >= level
             part = tokens
@@ -159,13 +202,22 @@ def _count_grams(texts: DataFrame, level: int, least: int, shorter: Broadcast) -
             names = grams_of(part)[use]
             order = np.argsort(names)  # equal names are the same gram, whichever comes first
             names = names[order]
-            edges = np.flatnonzero(np.append(True, names[1:] != names[:-1])[: len(names)])
+            edges = _edges(names)
             first = use[order[edges]]
-            yield pd.DataFrame({"c": part[first].view(np.int64), "s": part[first + 1].view(np.int64),
-                                "n": np.diff(np.append(edges, len(names)))})
+            yield from _dealt(names[edges], ranges, c=part[first], s=part[first + 1],
+                              n=np.diff(np.append(edges, len(names))).astype("<u4"))
 
-    return texts.mapInPandas(counted, "c long, s long, n long").groupBy("c", "s").agg(
-        F.sum("n").alias("n")).where(F.col("n") >= least)
+    def merged(packed: pa.Table) -> pa.Table:
+        c, s = _unpacked(packed, "c", "<u8"), _unpacked(packed, "s", "<u8")
+        names = _xxhash64(s, _xxhash64(c, np.uint64(42)))
+        order = np.argsort(names)
+        edges = _edges(names[order])
+        n = np.add.reduceat(_unpacked(packed, "n", "<u4").astype(np.int64)[order], edges)
+        first = order[edges[n >= least]]
+        return pa.table({"c": c[first].view(np.int64), "s": s[first].view(np.int64), "n": n[n >= least]})
+
+    return texts.mapInArrow(counted, "part int, c binary, s binary, n binary").groupBy("part").applyInArrow(
+        merged, "c long, s long, n long")
 
 
 @dataclass
@@ -190,20 +242,21 @@ def learn(texts: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, word_shar
     sums = vocabulary.agg(F.sum("count"), F.count(F.lit(1))).first()
     total, size = int(sums[0] or 0), int(sums[1])
     least = lambda share: max(LEAST_COUNT, int(np.ceil(share * total)))
-    nothing = F.lit(None).cast("long")
-    # The level before: of each gram its probability, count and suffix.
-    before = vocabulary.select(
-        F.col("word").alias("g"), F.col("count").alias("n"), nothing.alias("s"),
-        ((F.col("count") + 0.5) / F.lit(total + 0.5 * (size + 1))).alias("p"))
+    ranges = _ranges(total, COUNTED_TOKENS)
+    # The level before: of each gram its count and suffix, and its probability.
+    before = vocabulary.select(F.col("word").alias("g"), F.col("count").alias("n"), F.lit(None).cast("long").alias("s"))
+    likely = vocabulary.select(F.col("word").alias("s"), (
+        (F.col("count") + 0.5) / F.lit(total + 0.5 * (size + 1))).alias("beneath"))
     levels, contexts, scratch = [], [], Scratch(texts.sparkSession)
 
     # Frequent contexts and suffixes are in many grams: AQE splits these joins, whose results are
     # written or combined by another key.
     for level in range(1, depth + 1):
         filter_ = texts.sparkSession.sparkContext.broadcast(_filter(before.where(F.col("n") >= least(entry_share))))
-        counted = scratch.stored(_count_grams(texts, level, least(entry_share), filter_), f"grams-{level}")
+        counted = scratch.stored(_count_grams(texts, level, least(entry_share), filter_, ranges), f"grams-{level}")
         filter_.destroy()  # it lies on the disk of each executor
-        grams = counted.join(before.select(F.col("g").alias("s"), F.col("p").alias("beneath")), "s")
+        grams = scratch.stored(counted.join(likely, "s").select("c", "s", "n", "beneath"), f"level-{level}")
+        scratch.drop(counted)
         sums = grams.groupBy("c").agg(
             F.count(F.lit(1)).alias("entries"), F.sum("n").alias("taken"), F.sum("beneath").alias("mass"),
             F.sum(F.col("n") * (F.log(F.col("n").cast("double")) - F.log("beneath"))).alias("gain"))
@@ -220,35 +273,46 @@ def learn(texts: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, word_shar
                        F.lit(1e-12)).alias("left"),
             (gain >= COST * 0.5 * float(np.log(max(2, total))) * (F.col("entries") + 1)).alias("keep")),
             f"contexts-{level}")
-        level_rows = scratch.stored(grams.join(context.select("c", "size", "left"), "c").select(
-            "c", "s", "n", "beneath",
-            ((F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("beneath")).alias("p")),
-            f"level-{level}").withColumn("g", F.xxhash64("c", "s"))
-        scratch.drop(counted)
-        before = level_rows
-        levels.append(before)
+        before = grams.withColumn("g", F.xxhash64("c", "s"))
+        p = (F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("beneath")
+        likely = before.join(context.select("c", "size", "left"), "c").select(F.col("g").alias("s"), p.alias("beneath"))
+        levels.append(grams)
         contexts.append(context)
 
-    # States, from the deepest up: what passes the test, and the suffixes of states.
-    deltas, longer = [], None
-    for grams, context in zip(reversed(levels), reversed(contexts)):
+    # States, from the deepest up: what passes the test, and the suffixes of states. A level's grams and
+    # the states that are one word longer than their contexts have the same names.
+    longer, path = None, new_folder(texts.sparkSession, "suffix-tree")
+    columns = "g", "count", "delta", "seen", "stated"
+    none = F.lit(0).cast("long").alias("count")
+
+    def with_states(rows: DataFrame) -> DataFrame:
+        """Rows of the table, and those of the states `longer`."""
+        if longer is None:
+            return rows
+        both = rows.unionByName(longer.select(
+            F.col("c").alias("g"), none, F.log10("left").alias("delta"), F.col("size").alias("seen"),
+            F.lit(True).alias("stated")))
+        return both.groupBy("g").agg(F.sum("count").alias("count"), F.sum("delta").alias("delta"),
+                                     F.max("seen").alias("seen"), F.max("stated").alias("stated"))
+
+    for level, grams, context in reversed(list(zip(range(1, depth + 1), levels, contexts))):
+        kept = context
         if longer is not None:
             under = longer.select(F.col("suffix").alias("c")).distinct().withColumn("under", F.lit(True))
-            context = context.join(under, "c", "left").withColumn("keep", F.col("keep") | F.col("under").isNotNull())
-        longer = scratch.stored(context.where("keep").select("c", "size", "suffix", "left"), "states")
-        held = grams.join(longer.select("c", "left"), "c")
-        none = F.lit(0).cast("long").alias("count")
-        deltas.append(held.select("g", none, F.log10(F.col("p") / F.col("beneath") / F.col("left")).alias("delta"),
-                                  F.col("n").alias("seen"), F.lit(True).alias("stated")))
-        deltas.append(longer.select(F.col("c").alias("g"), none, F.log10("left").alias("delta"),
-                                    F.col("size").alias("seen"), F.lit(True).alias("stated")))
-    rows = vocabulary.select(F.col("word").alias("g"), "count", F.lit(0.0).alias("delta"),
-                             F.col("count").alias("seen"), F.lit(False).alias("stated"))
-    for more in deltas:
-        rows = rows.unionByName(more)
-    table = stored(rows.groupBy("g").agg(
-        F.sum("count").alias("count"), F.sum("delta").alias("delta"), F.max("seen").alias("seen"),
-        F.max("stated").alias("stated")), "suffix-tree")
+            kept = context.join(under, "c", "left").withColumn("keep", F.col("keep") | F.col("under").isNotNull())
+        states = scratch.stored(kept.where("keep").drop("keep", "under"), "states")
+        scratch.drop(context)
+        held = grams.join(states.select("c", "size", "left"), "c").select(
+            F.xxhash64("c", "s").alias("g"), none, F.log10(p / F.col("beneath") / F.col("left")).alias("delta"),
+            F.col("n").alias("seen"), F.lit(True).alias("stated"))
+        written(with_states(held).select(*columns), f"{path}/words={level + 1}")
+        scratch.drop(grams, *([longer] if longer is not None else []))
+        longer = states
+    words = vocabulary.select(F.col("word").alias("g"), "count", F.lit(0.0).alias("delta"),
+                              F.col("count").alias("seen"), F.lit(False).alias("stated"))
+    written(with_states(words).select(*columns), f"{path}/words=1")
+    table = texts.sparkSession.read.schema(
+        "g long, count long, delta double, seen long, stated boolean, words int").parquet(path)
     scratch.drop()
     # At most 1 / word_share of each length.
     often = table.where(F.col("seen") >= least(word_share)).select("g", "count", "delta").toArrow()
@@ -289,7 +353,12 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
     shared = docs.sparkSession.sparkContext.broadcast(
         (tree.names, tree.root_scores(tree.counts), tree.deltas, tree.filter))
 
-    def score_part(names: list[tuple], texts: list[str | None]) -> pd.DataFrame:
+    ranges = _ranges(tree.total, SOUGHT_TOKENS)
+    own = SUMMARY
+
+    def score_part(names: list[tuple], texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """The texts' summaries, and of their other words and grams the text's row, whether it is a
+        word, the name and how often the text has it."""
         often, roots, deltas, filter_ = shared.value
         tokens, sizes = tokens_of(texts)
         starts = np.cumsum(sizes) - sizes
@@ -300,7 +369,7 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
         score = base.copy()
         score[known] += deltas[at[known]]
         text, place = np.repeat(np.arange(len(texts)), sizes), _places(sizes)
-        sent = [(RARE, *_counted_by_text(text[~known], tokens[~known]))]
+        sent = [_counted_by_text(text[~known], tokens[~known])]
         named = tokens
         for level in range(1, depth + 1):
             last = level + np.flatnonzero(place[level:] >= level)
@@ -310,53 +379,102 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
             hit = found >= 0
             score[last[hit]] += deltas[found[hit]]
             use = ~hit & _passing(filter_, grams)
-            sent.append((GRAM, *_counted_by_text(text[last[use]], grams[use])))
-        rows, ids, missing = (np.array(c) for c in zip(*names))
-        whose = np.concatenate([x[1] for x in sent])
-        none = np.zeros(len(whose), dtype=np.int64)
-        return pd.DataFrame({
-            "row": np.append(rows, rows[whose]), "id": np.append(ids, none),
-            "kind": np.append(np.where(missing, NAMELESS, NAMED),
-                              np.concatenate([np.full(len(x[1]), x[0]) for x in sent])),
-            "name": np.append(np.zeros(len(rows), dtype=np.int64), np.concatenate([x[2] for x in sent])),
-            "n": np.append(np.add.reduceat(known.astype(np.int64), starts), np.concatenate([x[3] for x in sent])),
-            "base": np.append(np.add.reduceat(base, starts), none),
-            "score": np.append(np.add.reduceat(score, starts), none),
-        })
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names, texts, held = [], [], 0
-            for row, ident, missing, text in zip(batch["row"], batch["id"], batch["missing"], batch["text"]):
+            sent.append(_counted_by_text(text[last[use]], grams[use]))
+        summaries = np.zeros(len(texts), own)
+        summaries["row"], summaries["id"], summaries["missing"] = (np.array(x) for x in zip(*names))
+        summaries["n"] = np.add.reduceat(known.astype(np.int64), starts)
+        summaries["base"], summaries["score"] = np.add.reduceat(base, starts), np.add.reduceat(score, starts)
+        whose, grams, counts = (np.concatenate(x) for x in zip(*sent))
+        return (summaries, summaries["row"][whose], np.arange(len(whose)) < len(sent[0][0]),
+                grams.view(np.uint64), counts)
+
+    def asked(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        summaries, rows, words, names, counts = (np.concatenate(x) for x in zip(*held))
+        first = int(summaries["row"][0])
+        order = np.argsort(names)
+        # A task's row numbers follow each other.
+        for batch in _dealt(names[order], ranges, row=(rows - first)[order].astype("<u4"), name=names[order],
+                            n=counts[order].astype("<u4"), word=words[order]):
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([first] * len(batch)), pa.nulls(len(batch), pa.binary())],
+                [*batch.schema.names, "first", "own"])
+        empty = pa.array([b""], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([first % ranges], pa.int32()), empty, empty, empty, empty, pa.array([first]),
+             pa.array([summaries.tobytes()], pa.binary())],
+            ["part", "row", "name", "n", "word", "first", "own"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, waiting = [], 0
+        names, texts, chars = [], [], 0
+        for batch in _slices(batches):
+            for row, ident, missing, text in zip(*(batch[x].to_pylist() for x in ("row", "id", "missing", "text"))):
                 names.append((row, ident, missing))
                 texts.append(text)
-                held += len(text or "")
-                if held > SCORED_CHARS:
-                    yield score_part(names, texts)
-                    names, texts, held = [], [], 0
-            if texts:
-                yield score_part(names, texts)
-
+                chars += len(text or "")
+                if chars > SCORED_CHARS:
+                    done.append(score_part(names, texts))
+                    waiting += len(done[-1][1])
+                    names, texts, chars = [], [], 0
+                if waiting > ASKED_GRAMS:
+                    yield from asked(done)
+                    done, waiting = [], 0
+        if texts:
+            done.append(score_part(names, texts))
+        if done:
+            yield from asked(done)
+
+    def packed_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch["g"].to_numpy().view(np.uint64)
+            order = np.argsort(names)
+            yield from _dealt(names[order], ranges, name=names[order],
+                              count=batch["count"].to_numpy()[order], delta=batch["delta"].to_numpy()[order])
+
+    divisor = float(tree.total + 0.5 * (tree.vocabulary + 1))
+
+    def looked_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+        names = _unpacked(known, "name", "<u8")
+        order = np.argsort(names)
+        names = names[order]
+        in_table = _unpacked(known, "count", "<i8")[order]
+        deltas = _unpacked(known, "delta", "<f8")[order]
+        out = []
+        for piece in asked.to_batches(max_chunksize=1):
+            one = pa.Table.from_batches([piece])
+            if piece["own"][0].is_valid:
+                s = _unpacked(one, "own", own)
+                out.append((s["row"], s["id"], ~s["missing"], s["n"], s["n"], s["base"], s["score"]))
+                continue
+            row = _unpacked(one, "row", "<u4")
+            by_row = np.argsort(row, kind="stable")
+            row, n = row[by_row], _unpacked(one, "n", "<u4")[by_row].astype(np.int64)
+            word, at = _unpacked(one, "word", "?")[by_row], _find(names, _unpacked(one, "name", "<u8")[by_row])
+            count, delta = np.zeros(len(at), np.int64), np.zeros(len(at))
+            count[at >= 0], delta[at >= 0] = in_table[at[at >= 0]], deltas[at[at >= 0]]
+            base = np.where(word, n * np.log10((count + 0.5) / divisor), 0.0)
+            edges = _edges(row)
+            none = np.zeros(len(edges), np.int64)
+            sums = [np.add.reduceat(x, edges) for x in (n * word, n * (word & (count > 0)), base, base + n * delta)]
+            out.append((row[edges].astype(np.int64) + piece["first"][0].as_py(), none, none > 0, *sums))
+        if not out:
+            return answer.empty_table()
+        row, ident, named, *sums = (np.concatenate(x) for x in zip(*out))
+        return pa.table([pa.array(row), pa.array(ident, mask=~named), *map(pa.array, sums)], schema=answer)
+
+    answer = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("base_score", pa.float64()), ("score", pa.float64())])
     # The texts are read once, so a row's number is the same wherever it is used.
     ident = F.col(id_col).cast("long")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(ident, F.lit(0)).alias("id"),
                        ident.isNull().alias("missing"), F.col(text_col).alias("text"))
-    parts = rows.mapInPandas(
-        scored, "row long, id long, kind int, name long, n long, base double, score double")
-    summary, rare = F.col("kind") >= NAMED, F.col("kind") == RARE
-    # A summary joins to nothing; its key only has to be spread.
-    known = tree.table.select(F.col("g").alias("_name"), F.col("count").alias("_count"), F.col("delta").alias("_delta"))
-    key = F.when(summary, F.xxhash64("row")).otherwise(F.col("name"))
-    found = parts.withColumn("_name", key).join(known, "_name", "left")
-    count = F.when(rare, F.coalesce("_count", F.lit(0))).otherwise(0)
-    root = F.when(rare, F.col("n") * F.log10(
-        (count + 0.5) / F.lit(float(tree.total + 0.5 * (tree.vocabulary + 1))))).otherwise(0.0)
-    delta = F.when(summary, 0.0).otherwise(F.col("n") * F.coalesce("_delta", F.lit(0.0)))
-    sums = found.groupBy("row").agg(
-        F.max(F.when(F.col("kind") == NAMED, F.col("id"))).alias(id_col),
-        F.sum(F.when(F.col("kind") != GRAM, F.col("n")).otherwise(0)).alias("n_tokens"),
-        F.sum(F.when(summary | (count > 0), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + root).alias("base_score"), F.sum(F.col("score") + root + delta).alias("score"),
-    )
+    sought = rows.mapInArrow(
+        read, "part int, row binary, name binary, n binary, word binary, first long, own binary")
+    known = tree.table.select("g", "count", "delta").mapInArrow(
+        packed_table, "part int, name binary, count binary, delta binary")
+    found = sought.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
+        looked_up, "row long, id long, n_tokens long, n_known long, base_score double, score double")
+    sums = found.groupBy("row").agg(F.max("id").alias(id_col), *(
+        F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")))
     return sums.select(id_col, "n_tokens", "n_known",
                        F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duebook.llm import common, queries
+from duebook.llm import common, queries, suffix_lm
 from duebook.llm.quality import FEATURES, PASSAGE_WORDS, QualityModel, _gradients, fit, fit_quality, passages_of, score_quality
 from duebook.llm.suffix_lm import score_texts
 from duebook.llm.toxicity import cells_of, fit_toxicity, score_toxicity
@@ -199,3 +199,33 @@ def test_only_the_table_of_the_tree_is_kept(spark, odd, tmp_path, monkeypatch):
     got = score_texts(odd, F.lit(True))
     assert {x.rsplit("-", 1)[0] for x in os.listdir(tmp_path)} == {"suffix-tree"}
     assert got.count() == len(odd_documents())
+
+
+def test_levels_are_dropped_when_their_part_of_the_table_is_written(spark, odd, tmp_path, monkeypatch):
+    """Before, the grams of all levels lay beside the table until it was whole."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    beside, write = {}, suffix_lm.written
+
+    def watched(rows, path, **options):
+        beside[path.rsplit("/", 1)[1]] = {x.rsplit("-", 1)[0] for x in os.listdir(tmp_path)}
+        return write(rows, path, **options)
+
+    monkeypatch.setattr(suffix_lm, "written", watched)
+    score_texts(odd, F.lit(True))
+    levels = {n: {x for x in beside[f"words={n}"] if x.startswith("level-")} for n in (1, 2, 3, 4)}
+    assert levels == {4: {"level-1", "level-2", "level-3"}, 3: {"level-1", "level-2"}, 2: {"level-1"}, 1: set()}
+
+
+def test_counted_grams_travel_as_arrays(spark, monkeypatch):
+    """Before, each gram of a task was a row of the shuffle."""
+    monkeypatch.setattr(suffix_lm, "CHUNK_TOKENS", 50)
+    rng = random.Random(5)
+    texts = [sentence(rng, rng.randrange(1, 90), 12) for _ in range(40)]
+    every = spark.sparkContext.broadcast(np.full(1 << (suffix_lm.FILTER_BITS - 6), ~np.uint64(0)))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for ranges in (1, 7, 40):
+        found = suffix_lm._count_grams(rows, 1, 2, every, ranges)
+        assert "MapInArrow" in found._jdf.queryExecution().toString()
+        tokens = [suffix_lm.tokens_of([t])[0].view(np.int64).tolist() for t in texts]
+        wanted = Counter(pair for t in tokens for pair in zip(t, t[1:]))
+        assert {(r.c, r.s): r.n for r in found.collect()} == {k: n for k, n in wanted.items() if n >= 2}
