@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ CAPACITY = 1024
 PIECE = 256
 #: Documents whose tails are packed together, on average.
 GROUP_DOCS = 512
+#: Characters of text that a task encodes together, and texts that it passes on together.
+ENCODED_CHARS, PASSED_TEXTS = 1_000_000, 500
 
 
 def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +112,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "spa
     groups = max(1, -(-docs.count() // group_docs))
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, cut).encode
-        for batch in batches:
+        for batch in (b.slice(i, PASSED_TEXTS) for b in batches for i in range(0, len(b), PASSED_TEXTS)):
             starts, lengths, crcs, rows, sizes, ids = [], [], [], [], [], []
-            for i, done in enumerate(encode(batch["text"])):
+            for i, done in enumerate(encode(batch["text"].to_pylist(), ENCODED_CHARS)):
                 raw = done + end
                 at = cuts(len(raw) // 4, capacity, piece)
                 starts.append(at[:-1])
@@ -126,26 +128,33 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "spa
                 rows.append(np.full(len(at) - 1, i))
                 sizes.append(np.full(len(at) - 1, len(raw) // 4))
             if rows:
-                row = np.concatenate(rows)
+                row = pa.array(np.concatenate(rows))
                 out = {
-                    "doc_id": batch["id"].to_numpy()[row], "missing": batch["missing"].to_numpy()[row],
-                    "pack": batch["pack"].to_numpy()[row], "start": np.concatenate(starts),
-                    "length": np.concatenate(lengths), "ids_crc32": crcs,
+                    "doc_id": batch["id"].take(row), "missing": batch["missing"].take(row),
+                    "pack": batch["pack"].take(row), "start": np.concatenate(starts),
+                    "length": np.concatenate(lengths), "ids_crc32": pa.array(crcs, pa.int64()),
                     "doc_tokens": np.concatenate(sizes),
                 }
-                yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}))
+                yield pa.RecordBatch.from_pydict(out | ({"ids": ids} if with_ids else {}))
 
-    def placed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def placed(group: pa.Table) -> pa.Table:
         # In one order whatever the shuffle's, so that a task that runs again packs alike.
-        group = group.sort_values(["missing", "doc_id", "start", "doc_tokens", "ids_crc32"],
-                                  kind="stable", ignore_index=True)
-        full = (group["length"] == capacity).to_numpy()
-        window = np.empty(len(group), dtype=np.int64)
+        group = group.take(pa.array(np.lexsort([group[x].to_numpy() for x in (
+            "ids_crc32", "doc_tokens", "start", "doc_id", "missing")])))
+        lengths = group["length"].to_numpy()
+        full = lengths == capacity
+        window = np.empty(len(lengths), dtype=np.int64)
         window[full] = np.arange(int(full.sum()))
-        window[~full] = int(full.sum()) + pack_pieces(group["length"].to_numpy()[~full], capacity)
-        group["sequence_id"] = (np.int64(key[0]) << 32) + window
-        group["offset"] = group.groupby("sequence_id")["length"].cumsum() - group["length"]
-        return group.drop(columns="pack")
+        window[~full] = int(full.sum()) + pack_pieces(lengths[~full], capacity)
+        by_window = np.argsort(window, kind="stable")
+        ends = np.cumsum(lengths[by_window])
+        first = np.append(True, np.diff(window[by_window]) != 0)
+        begins = ends - lengths[by_window]
+        offset = np.empty_like(window)
+        offset[by_window] = begins - begins[first][np.cumsum(first) - 1]
+        window += np.int64(group["pack"][0].as_py()) << 32
+        return (group.drop_columns("pack").append_column("sequence_id", pa.array(window))
+                .append_column("offset", pa.array(offset)))
 
     ident = F.col(id_col).cast("long")
     rows = docs.select(
@@ -155,8 +164,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "spa
     )
     columns = "doc_id long, missing boolean, {}start long, length long, ids_crc32 long, doc_tokens long"
     more = ", ids array<long>" if with_ids else ""
-    packed = (rows.mapInPandas(pieces, columns.format("pack long, ") + more)
-              .groupBy("pack").applyInPandas(
+    packed = (rows.mapInArrow(pieces, columns.format("pack long, ") + more)
+              .groupBy("pack").applyInArrow(
                   placed, columns.format("") + more + ", sequence_id long, offset long"))
     return packed.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",

@@ -100,12 +100,12 @@ class TextEncoder:
         self._cut, self._lower, self._blank = CUTS[cut], LOWER[cut], cut == "space"
         self._known = _Known()
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        held, chars = [], 0
+    def encode(self, texts: Iterable[str | None], at_a_time: int | None = None) -> Iterator[bytes]:
+        held, chars, most = [], 0, at_a_time or CHUNK_CHARS
         for text in texts:
             held.append(text or "")
             chars += len(text or "")
-            if chars > CHUNK_CHARS:
+            if chars > most:
                 yield from self._encoded(held)
                 held, chars = [], 0
         yield from self._encoded(held)

@@ -199,3 +199,15 @@ def test_packing(spark, odd, none):
     assert loads.sum().max() <= CAPACITY
     assert 1 - got["length"].sum() / (CAPACITY * got["sequence_id"].nunique()) < 0.05
     assert pack_documents(none, tokenizer_file(FILES["space"]), end_id=0).count() == 0
+
+
+def test_packing_holds_few_texts_at_a_time(spark, monkeypatch):
+    """Before, a worker encoded 4,000,000 characters together and loaded pandas."""
+    plan = pack_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"),
+                          tokenizer_file(FILES["space"]), end_id=0)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Pandas" not in plan
+    fresh, given = TextEncoder(tokenizer_file(FILES["space"]), "space"), []
+    encoded = fresh._encoded
+    monkeypatch.setattr(fresh, "_encoded", lambda texts: given.append(len(texts)) or encoded(texts))
+    texts = ["some words"] * 25
+    assert list(fresh.encode(texts, 100)) == plain(fresh, texts) and max(given) == 11
