@@ -31,12 +31,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duebook.llm.common import Scratch, new_folder, written
-from duebook.llm.words import hashes_of, words_of
+from duebook.llm.words import mixed
 
 DEPTH = 3
 #: Least share of all training tokens of a word or gram that tasks know without a join.
@@ -51,41 +52,28 @@ DISCOUNT = 0.75
 COST = 1.0
 #: Tokens that a task counts, and grams that it asks for, before it passes them on.
 CHUNK_TOKENS, ASKED_GRAMS = 2_000_000, 500_000
-#: Texts that are Python strings at a time.
-READ_TEXTS = 500
+#: Bytes of text that a task cuts into words, and scores, at a time; a word is never cut.
+READ_BYTES = 1 << 20
 #: Training tokens for each range of names, when grams are counted and when they are looked up. Names are
 #: hashes, so a range has its share of them; a gram is in it once for each chunk.
 COUNTED_TOKENS, SOUGHT_TOKENS = 2_000_000, 4_000_000
+#: Rows of the table that a task deals at a time.
+DEALT_ROWS = 500_000
 #: Ranges that leave a task in one batch.
 BATCH_RANGES = 16
 #: Binary log of the bits in a filter. Grams that it lets pass are joined to the table, which
 #: decides, so a filter that fills up costs time and changes nothing.
 FILTER_BITS = 27
 
-#: Characters of text that a task scores at a time.
-SCORED_CHARS = 1_000_000
+#: Binary log of the parts in which a filter is put together.
+FILTER_PARTS = 8
 #: What a text's frequent words and grams add up to, as it travels.
-SUMMARY = np.dtype([("row", "<i8"), ("id", "<i8"), ("missing", "?"), ("n", "<i8"), ("base", "<f8"), ("score", "<f8")])
+SUMMARY = np.dtype([("row", "<i8"), ("id", "<i8"), ("missing", "?"), ("size", "<i8"), ("n", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
 #: The end of a text; no word is likely to hash to it.
 END = np.uint64(0xE17D0F7E87C0FFEE)
 
 
-def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The token hashes of texts one after the other, each closed by END, and their numbers."""
-    parts = [np.append(hashes_of(words_of(t)), END) for t in texts]
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), sizes
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places in sorted keys, -1 where missing."""
-    if not len(keys):
-        return np.full(len(wanted), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
 def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
@@ -113,36 +101,168 @@ def grams_of(shorter: np.ndarray) -> np.ndarray:
     return _xxhash64(shorter[1:], _xxhash64(shorter[:-1], np.uint64(42)))
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: A number for each byte, the same for A-Z and a-z.
+_BYTES = _xxhash64(np.arange(256, dtype=np.uint64), np.uint64(42))
+_BYTES[ord("A"): ord("Z") + 1] = _BYTES[ord("a"): ord("z") + 1]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """The first powers of _BASE and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < size:
+        _POWERS[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(max(size, READ_BYTES) - 1, x)))
+                      for x in (_BASE, _INVERSE)]
+    return _POWERS
+
+
+def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in pieces of text, which lie between bounds, and each piece's number of
+    words. A word is a polynomial of its bytes' numbers, so a running sum over all bytes gives it."""
+    up, down = _powers(len(data))
+    inside = ~_SPACE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edge = bounds[(bounds > 0) & (bounds < len(data))]  # words end with their piece
+    begins[edge], ends[edge - 1] = inside[edge], inside[edge - 1]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    values = _BYTES[data]
+    values *= up[: len(data)]
+    sums = np.cumsum(values)
+    words = (sums[ends] - sums[begins] + values[begins]) * down[begins]
+    return mixed(words), np.diff(np.searchsorted(begins, bounds))
+
+
+def _pieces(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """bounds, and more of them before white space so that pieces have READ_BYTES, if words do not forbid."""
+    more = []
+    for text in np.flatnonzero(np.diff(bounds) > READ_BYTES):
+        low, high = int(bounds[text]), int(bounds[text + 1])
+        while high - low > READ_BYTES:
+            spaces = np.flatnonzero(_SPACE[data[low + 1: low + READ_BYTES]])
+            after = low + READ_BYTES
+            low = low + 1 + int(spaces[-1]) if len(spaces) else high
+            while low == high and after < high:  # a long word
+                spaces = np.flatnonzero(_SPACE[data[after: after + READ_BYTES]])
+                if len(spaces):
+                    low = after + int(spaces[0])
+                after += READ_BYTES
+            if low < high:
+                more.append(low)
+    return np.sort(np.concatenate([bounds, np.array(more, dtype=np.int64)])) if more else bounds
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts one after the other, and where each begins and the last ends."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, "<i8")[texts.offset: texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[bounds[0]: bounds[-1]], bounds - bounds[0]
+
+
+def tokens_of(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The token hashes of texts one after the other, each closed by END, and their numbers."""
+    if isinstance(texts, list):
+        texts = pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.large_binary())
+    data, bounds = _bytes_of(texts)
+    cut = _pieces(data, bounds)
+    found, numbers, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while low < len(cut) - 1:
+        high = max(low + 1, int(np.searchsorted(cut, cut[low] + READ_BYTES, "right")) - 1)
+        words, counts = _words(data[cut[low]: cut[high]], cut[low: high + 1] - cut[low])
+        found.append(words)
+        numbers.append(counts)
+        low = high
+    words = np.concatenate(found)
+    before = np.append(0, np.cumsum(np.concatenate(numbers)))  # words before each piece
+    counts = np.diff(before[np.searchsorted(cut, bounds)])
+    out = np.full(len(words) + len(counts), END)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words
+    return out, counts + 1
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have READ_BYTES, or one."""
     for batch in batches:
-        for low in range(0, len(batch), READ_TEXTS):
-            yield batch.slice(low, READ_TEXTS)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < len(batch):
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + READ_BYTES, "right")))
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Tokens of many texts at a time, and the texts' numbers of tokens."""
     held, sizes, count = [], [], 0
     for batch in _slices(batches):
-        for text in batch["text"].to_pylist():
-            tokens, size = tokens_of([text])
-            held.append(tokens)
-            sizes.append(size)
-            count += len(tokens)
-            if count >= CHUNK_TOKENS:
-                yield np.concatenate(held), np.concatenate(sizes)
-                held, sizes, count = [], [], 0
+        tokens, size = tokens_of(batch["text"])
+        held.append(tokens)
+        sizes.append(size)
+        count += len(tokens)
+        if count >= CHUNK_TOKENS:
+            yield np.concatenate(held), np.concatenate(sizes)
+            held, sizes, count = [], [], 0
     if held:
         yield np.concatenate(held), np.concatenate(sizes)
 
 
+def _order(names: np.ndarray) -> np.ndarray:
+    """np.argsort(names). Sorting values is much faster, so the lowest bits, which seldom decide, give
+    way to the names' places."""
+    low = np.uint64((1 << len(names).bit_length()) - 1)
+    keys = (names & ~low) | np.arange(len(names), dtype=np.uint64)
+    keys.sort()
+    order = (keys & low).astype(np.int64)
+    ordered = names[order]
+    return np.argsort(names) if (ordered[1:] < ordered[:-1]).any() else order
+
+
+class _Names:
+    """Sorted names by their leading bits: as they are hashes, few share these."""
+
+    def __init__(self, names: np.ndarray):
+        bits = max(1, len(names).bit_length())
+        self.names = np.append(names, ~np.uint64(0))
+        self.shift = np.uint64(64 - bits)
+        leading = (names >> self.shift).astype(np.int64)
+        self.first = np.append(0, np.cumsum(np.bincount(leading, minlength=1 << bits))).astype(np.int32 if bits < 31 else np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places, -1 where missing."""
+        at = self.first[(wanted >> self.shift).astype(np.int64)]
+        found = self.names[at]
+        open_ = np.flatnonzero(found < wanted)
+        while len(open_):
+            at[open_] += 1
+            found[open_] = self.names[at[open_]]
+            open_ = open_[found[open_] < wanted[open_]]
+        return np.where((found == wanted) & (at < len(self.names) - 1), at, -1)
+
+
 def _edges(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
 
 
+def _ranges_of(names: np.ndarray, ranges: int) -> np.ndarray:
+    return ((names >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _by_range(names: np.ndarray, ranges: int) -> np.ndarray:
+    """The order of the names' ranges, which leaves a range's names as they were."""
+    whose = _ranges_of(names, ranges)
+    return np.argsort(whose.astype(np.uint16) if ranges <= 1 << 16 else whose, kind="stable")
+
+
 def _dealt(names: np.ndarray, ranges: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The columns of rows in order of their names, packed by the names' ranges."""
-    whose = ((names >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    """The columns of rows in order of their names, or of these names' ranges, packed by ranges."""
+    whose = _ranges_of(names, ranges)
     first = _edges(whose)
     ends = np.append(first[1:], len(names))
     for low in range(0, len(first), BATCH_RANGES):
@@ -153,6 +273,19 @@ def _dealt(names: np.ndarray, ranges: int, **columns: np.ndarray) -> Iterator[pa
             [pa.array(whose[first[part]].astype(np.int32)), *packed], ["part", *columns])
 
 
+def _held(arrays: Iterator[np.ndarray], rows: int) -> Iterator[np.ndarray]:
+    """The arrays, as many at a time as have so many rows."""
+    held, count = [], 0
+    for array in arrays:
+        held.append(array)
+        count += len(array)
+        if count >= rows:
+            yield np.concatenate(held)
+            held, count = [], 0
+    if count:
+        yield np.concatenate(held)
+
+
 def _ranges(tokens: int, each: int) -> int:
     return max(1, -(-tokens // each))
 
@@ -173,18 +306,39 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def _passing(filter_: np.ndarray, names: np.ndarray) -> np.ndarray:
-    bit = names & np.uint64((1 << FILTER_BITS) - 1)
+    bit = names >> np.uint64(64 - FILTER_BITS)
     return (filter_[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _filter(names: DataFrame) -> np.ndarray:
-    """The bits of the names in `g`: at most 2^FILTER_BITS, whatever the size of the table."""
-    bit = F.col("g").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    rows = names.select(F.shiftright(bit, 6).alias("at"), F.expr(
-        "shiftleft(1L, cast(g & 63 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
+    """The bits of the names in `g`: at most 2^FILTER_BITS, whatever the size of the table. Each task
+    sends no more than the words of a part that it has set."""
+    parts, words = 1 << FILTER_PARTS, 1 << (FILTER_BITS - 6)
+
+    def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names in _held((b["g"].to_numpy() for b in batches), DEALT_ROWS):
+            bit = names.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            bit.sort()
+            at = bit >> np.uint64(6)
+            edges = _edges(at)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), edges)
+            at = at[edges]
+            yield from _dealt(at << np.uint64(64 - FILTER_BITS + 6), parts, at=at.astype("<u4"), bits=bits)
+
+    def one_part(packed: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, part = np.zeros(words // parts, np.uint64), 0
+        for batch in packed:
+            part = batch["part"][0].as_py()
+            for at, bits in zip(batch["at"], batch["bits"]):
+                out[np.frombuffer(at.as_py(), "<u4") - part * len(out)] |= np.frombuffer(bits.as_py(), "<u8")
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "bits"])
+
+    rows = names.select("g").mapInArrow(in_parts, "part int, at binary, bits binary").groupBy("part").applyInArrow(
+        one_part, "part int, bits binary").toArrow()
+    out = np.zeros((parts, words // parts), dtype=np.uint64)
+    for part, bits in zip(rows["part"].to_pylist(), rows["bits"].to_pylist()):
+        out[part] = np.frombuffer(bits, "<u8")
+    return out.ravel()
 
 
 def _count_grams(texts: DataFrame, level: int, least: int, shorter: Broadcast, ranges: int) -> DataFrame:
@@ -200,7 +354,7 @@ def _count_grams(texts: DataFrame, level: int, least: int, shorter: Broadcast, r
             passed = _passing(shorter.value, part)
             use = np.flatnonzero(within & passed[:-1] & passed[1:])
             names = grams_of(part)[use]
-            order = np.argsort(names)  # equal names are the same gram, whichever comes first
+            order = _order(names)  # equal names are the same gram, whichever comes first
             names = names[order]
             edges = _edges(names)
             first = use[order[edges]]
@@ -210,7 +364,7 @@ def _count_grams(texts: DataFrame, level: int, least: int, shorter: Broadcast, r
     def merged(packed: pa.Table) -> pa.Table:
         c, s = _unpacked(packed, "c", "<u8"), _unpacked(packed, "s", "<u8")
         names = _xxhash64(s, _xxhash64(c, np.uint64(42)))
-        order = np.argsort(names)
+        order = _order(names)
         edges = _edges(names[order])
         n = np.add.reduceat(_unpacked(packed, "n", "<u4").astype(np.int64)[order], edges)
         first = order[edges[n >= least]]
@@ -253,10 +407,9 @@ def learn(texts: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, word_shar
     # written or combined by another key.
     for level in range(1, depth + 1):
         filter_ = texts.sparkSession.sparkContext.broadcast(_filter(before.where(F.col("n") >= least(entry_share))))
-        counted = scratch.stored(_count_grams(texts, level, least(entry_share), filter_, ranges), f"grams-{level}")
-        filter_.destroy()  # it lies on the disk of each executor
+        counted = _count_grams(texts, level, least(entry_share), filter_, ranges)
         grams = scratch.stored(counted.join(likely, "s").select("c", "s", "n", "beneath"), f"level-{level}")
-        scratch.drop(counted)
+        filter_.destroy()  # it lies on the disk of each executor
         sums = grams.groupBy("c").agg(
             F.count(F.lit(1)).alias("entries"), F.sum("n").alias("taken"), F.sum("beneath").alias("mass"),
             F.sum(F.col("n") * (F.log(F.col("n").cast("double")) - F.log("beneath"))).alias("gain"))
@@ -356,34 +509,42 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
     ranges = _ranges(tree.total, SOUGHT_TOKENS)
     own = SUMMARY
 
-    def score_part(names: list[tuple], texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    def score_part(batch: pa.RecordBatch, often: _Names) -> tuple[np.ndarray, ...]:
         """The texts' summaries, and of their other words and grams the text's row, whether it is a
         word, the name and how often the text has it."""
-        often, roots, deltas, filter_ = shared.value
-        tokens, sizes = tokens_of(texts)
+        _, roots, deltas, filter_ = shared.value
+        tokens, sizes = tokens_of(batch["text"])
         starts = np.cumsum(sizes) - sizes
-        at = _find(often, tokens)
+        at = often.find(tokens)
         known = at >= 0
         base = np.zeros(len(tokens))
         base[known] = roots[at[known]]
         score = base.copy()
         score[known] += deltas[at[known]]
-        text, place = np.repeat(np.arange(len(texts)), sizes), _places(sizes)
-        sent = [_counted_by_text(text[~known], tokens[~known])]
+        text, place = np.repeat(np.arange(len(sizes)), sizes), _places(sizes)
+        sent = [(text[~known], tokens[~known])]
         named = tokens
+        last = np.arange(len(tokens))  # where grams end that may be in the table: their suffixes are, too
         for level in range(1, depth + 1):
-            last = level + np.flatnonzero(place[level:] >= level)
             named = grams_of(named)
+            last = last[place[last] >= level]
             grams = named[last - level]
-            found = _find(often, grams)
+            found = often.find(grams)
             hit = found >= 0
             score[last[hit]] += deltas[found[hit]]
             use = ~hit & _passing(filter_, grams)
-            sent.append(_counted_by_text(text[last[use]], grams[use]))
-        summaries = np.zeros(len(texts), own)
-        summaries["row"], summaries["id"], summaries["missing"] = (np.array(x) for x in zip(*names))
+            sent.append((text[last[use]], grams[use]))
+            last = last[hit | use]
+        summaries = np.zeros(len(sizes), own)
+        for name in ("row", "id", "missing"):
+            summaries[name] = batch[name].to_numpy(zero_copy_only=False)
+        summaries["size"] = sizes
         summaries["n"] = np.add.reduceat(known.astype(np.int64), starts)
         summaries["base"], summaries["score"] = np.add.reduceat(base, starts), np.add.reduceat(score, starts)
+        if sum(len(x) for x, _ in sent) > ASKED_GRAMS:  # long texts, which may repeat what they ask for
+            sent = [_counted_by_text(*x) for x in sent]
+        else:
+            sent = [(*x, np.ones(len(x[0]), np.int64)) for x in sent]
         whose, grams, counts = (np.concatenate(x) for x in zip(*sent))
         return (summaries, summaries["row"][whose], np.arange(len(whose)) < len(sent[0][0]),
                 grams.view(np.uint64), counts)
@@ -391,7 +552,7 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
     def asked(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         summaries, rows, words, names, counts = (np.concatenate(x) for x in zip(*held))
         first = int(summaries["row"][0])
-        order = np.argsort(names)
+        order = _by_range(names, ranges)
         # A task's row numbers follow each other.
         for batch in _dealt(names[order], ranges, row=(rows - first)[order].astype("<u4"), name=names[order],
                             n=counts[order].astype("<u4"), word=words[order]):
@@ -405,65 +566,71 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
             ["part", "row", "name", "n", "word", "first", "own"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, waiting = [], 0
-        names, texts, chars = [], [], 0
+        often, done, waiting, texts = _Names(shared.value[0]), [], 0, 0
         for batch in _slices(batches):
-            for row, ident, missing, text in zip(*(batch[x].to_pylist() for x in ("row", "id", "missing", "text"))):
-                names.append((row, ident, missing))
-                texts.append(text)
-                chars += len(text or "")
-                if chars > SCORED_CHARS:
-                    done.append(score_part(names, texts))
-                    waiting += len(done[-1][1])
-                    names, texts, chars = [], [], 0
-                if waiting > ASKED_GRAMS:
-                    yield from asked(done)
-                    done, waiting = [], 0
-        if texts:
-            done.append(score_part(names, texts))
+            done.append(score_part(batch, often))
+            waiting += len(done[-1][1])
+            texts += len(batch)
+            if waiting > ASKED_GRAMS or texts > ASKED_GRAMS:
+                yield from asked(done)
+                done, waiting, texts = [], 0, 0
         if done:
             yield from asked(done)
 
     def packed_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch["g"].to_numpy().view(np.uint64)
-            order = np.argsort(names)
-            yield from _dealt(names[order], ranges, name=names[order],
-                              count=batch["count"].to_numpy()[order], delta=batch["delta"].to_numpy()[order])
+        row = np.dtype([("name", "<u8"), ("count", "<i8"), ("delta", "<f8")])
+
+        def rows_of(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros(len(batch), row)
+            out["name"] = batch["g"].to_numpy().view(np.uint64)
+            out["count"], out["delta"] = batch["count"].to_numpy(), batch["delta"].to_numpy()
+            return out
+
+        for rows in _held(map(rows_of, batches), DEALT_ROWS):
+            rows = rows[_by_range(rows["name"], ranges)]
+            yield from _dealt(rows["name"], ranges, name=rows["name"], count=rows["count"], delta=rows["delta"])
 
     divisor = float(tree.total + 0.5 * (tree.vocabulary + 1))
+    answer = np.dtype([("row", "<u4"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
     def looked_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+        """For each batch of texts, packed, what its texts' names of one range add up to."""
         names = _unpacked(known, "name", "<u8")
-        order = np.argsort(names)
-        names = names[order]
-        in_table = _unpacked(known, "count", "<i8")[order]
-        deltas = _unpacked(known, "delta", "<f8")[order]
-        out = []
+        order = _order(names)
+        table = _Names(names[order])
+        in_table = np.append(_unpacked(known, "count", "<i8")[order], 0)
+        deltas = np.append(_unpacked(known, "delta", "<f8")[order], 0.0)  # the last is that of missing names
+        sums = []
         for piece in asked.to_batches(max_chunksize=1):
             one = pa.Table.from_batches([piece])
-            if piece["own"][0].is_valid:
-                s = _unpacked(one, "own", own)
-                out.append((s["row"], s["id"], ~s["missing"], s["n"], s["n"], s["base"], s["score"]))
+            row, n = _unpacked(one, "row", "<u4"), _unpacked(one, "n", "<u4").astype(np.int64)
+            if not len(row):
+                sums.append(b"")
                 continue
-            row = _unpacked(one, "row", "<u4")
-            by_row = np.argsort(row, kind="stable")
-            row, n = row[by_row], _unpacked(one, "n", "<u4")[by_row].astype(np.int64)
-            word, at = _unpacked(one, "word", "?")[by_row], _find(names, _unpacked(one, "name", "<u8")[by_row])
-            count, delta = np.zeros(len(at), np.int64), np.zeros(len(at))
-            count[at >= 0], delta[at >= 0] = in_table[at[at >= 0]], deltas[at[at >= 0]]
-            base = np.where(word, n * np.log10((count + 0.5) / divisor), 0.0)
+            by_row = _order(row.astype(np.uint64))
+            row, n = row[by_row], n[by_row]
+            word, at = _unpacked(one, "word", "?")[by_row], table.find(_unpacked(one, "name", "<u8")[by_row])
+            count, delta = in_table[at], deltas[at]
+            base = np.zeros(len(at))
+            base[word] = n[word] * np.log10((count[word] + 0.5) / divisor)
             edges = _edges(row)
-            none = np.zeros(len(edges), np.int64)
-            sums = [np.add.reduceat(x, edges) for x in (n * word, n * (word & (count > 0)), base, base + n * delta)]
-            out.append((row[edges].astype(np.int64) + piece["first"][0].as_py(), none, none > 0, *sums))
-        if not out:
-            return answer.empty_table()
-        row, ident, named, *sums = (np.concatenate(x) for x in zip(*out))
-        return pa.table([pa.array(row), pa.array(ident, mask=~named), *map(pa.array, sums)], schema=answer)
-
-    answer = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                        ("base_score", pa.float64()), ("score", pa.float64())])
+            out = np.zeros(len(edges), answer)
+            out["row"] = row[edges]
+            for name, x in (("known", n * (word & (count > 0))), ("base", base), ("score", base + n * delta)):
+                out[name] = np.add.reduceat(x, edges)
+            sums.append(out.tobytes())
+        return pa.table([asked["first"], asked["own"], pa.array(sums, pa.binary())], names=["first", "own", "sums"])
+
+    def summed(packed: pa.Table) -> pa.Table:
+        """The texts that were read together: their summaries, and what all ranges have added."""
+        s = np.frombuffer(b"".join(x for x in packed["own"].to_pylist() if x is not None), own)
+        added = _unpacked(packed, "sums", answer)
+        total = lambda name: np.bincount(added["row"], added[name], len(s))
+        return pa.table({
+            "id": pa.array(s["id"], mask=s["missing"]), "n_tokens": s["size"],
+            "n_known": s["n"] + total("known").astype(np.int64),
+            "base_score": s["base"] + total("base"), "score": s["score"] + total("score")})
+
     # The texts are read once, so a row's number is the same wherever it is used.
     ident = F.col(id_col).cast("long")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(ident, F.lit(0)).alias("id"),
@@ -473,8 +640,8 @@ def score_texts(docs: DataFrame, learn_from: Column, depth: int = DEPTH, word_sh
     known = tree.table.select("g", "count", "delta").mapInArrow(
         packed_table, "part int, name binary, count binary, delta binary")
     found = sought.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
-        looked_up, "row long, id long, n_tokens long, n_known long, base_score double, score double")
-    sums = found.groupBy("row").agg(F.max("id").alias(id_col), *(
-        F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")))
-    return sums.select(id_col, "n_tokens", "n_known",
-                       F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+        looked_up, "first long, own binary, sums binary")
+    scores = found.groupBy("first").applyInArrow(
+        summed, "id long, n_tokens long, n_known long, base_score double, score double")
+    return scores.select(F.col("id").alias(id_col), "n_tokens", "n_known",
+                         F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,8 +9,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from duebook.llm import common, queries, suffix_lm
 from duebook.llm.quality import FEATURES, PASSAGE_WORDS, QualityModel, _gradients, fit, fit_quality, passages_of, score_quality
@@ -229,3 +231,56 @@ def test_counted_grams_travel_as_arrays(spark, monkeypatch):
         tokens = [suffix_lm.tokens_of([t])[0].view(np.int64).tolist() for t in texts]
         wanted = Counter(pair for t in tokens for pair in zip(t, t[1:]))
         assert {(r.c, r.s): r.n for r in found.collect()} == {k: n for k, n in wanted.items() if n >= 2}
+
+
+def test_texts_read_together_come_back_as_one_row_of_a_range(spark, monkeypatch):
+    """Before, the lookup made a row for each text and range of names, so their number grew with both."""
+    rng = random.Random(6)
+    docs = [(i, sentence(rng, 40, 500)) for i in range(60)]
+    scores = lambda: {r.doc_id: r for r in score_texts(
+        frame(spark, docs).coalesce(1), F.col("doc_id") % 3 > 0, word_share=0.01).collect()}
+    wanted = scores()
+    monkeypatch.setattr(suffix_lm, "SOUGHT_TOKENS", 100)
+    made, apply = [], PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda *args: made.append(apply(*args)) or made[-1])
+    got = scores()
+    ranges = suffix_lm._ranges(wanted[0].train_tokens, 100)
+    assert ranges > 10 and len(made) == 1 and made[0].count() <= ranges + 1
+    assert got.keys() == wanted.keys()
+    for doc_id, r in wanted.items():
+        assert got[doc_id][:4] == r[:4]
+        assert np.allclose(got[doc_id][4:], r[4:], rtol=1e-12)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 1 << 20])
+def test_tokens_are_words_wherever_the_bytes_are_cut(monkeypatch, size):
+    """Before, each word was hashed by itself."""
+    texts = [t for _, t, *_ in odd_documents()] + [None, "", "  a\tA\x0bb\x0c", "a" * 50 + " b" * 40, "x y É é", "\ud800 ?"]
+    words = [words_of(t) for t in texts]
+    monkeypatch.setattr(suffix_lm, "READ_BYTES", size)
+    tokens, sizes = suffix_lm.tokens_of(texts)
+    assert sizes.tolist() == [len(w) + 1 for w in words]
+    names = [x for w in words for x in (*w, None)]  # an end is None
+    assert len(set(zip(names, tokens.tolist()))) == len(set(names)) == len(set(tokens.tolist()))
+    assert suffix_lm.END in tokens
+    valid = pa.array([t if t != "\ud800 ?" else "? ?" for t in texts])
+    assert (suffix_lm.tokens_of(pa.concat_arrays([pa.array(["left out"]), valid]).slice(1))[0] == tokens).all()
+
+
+def test_names_are_ordered_and_found():
+    rng = np.random.default_rng(7)
+    top = np.uint64(1 << 60)
+    for names in (np.zeros(0, np.uint64), rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 50, 5000).astype(np.uint64),
+                  np.append(rng.integers(0, 9, 500).astype(np.uint64) + top, ~np.uint64(0))):
+        assert (names[suffix_lm._order(names)] == np.sort(names)).all()
+        known = np.unique(names[::2])
+        at = suffix_lm._Names(known).find(names)
+        assert ((at >= 0) == np.isin(names, known)).all() and (known[at[at >= 0]] == names[at >= 0]).all()
+
+
+def test_a_filter_lets_its_names_pass(spark):
+    names = np.random.default_rng(8).integers(0, 1 << 64, 3000, np.uint64)
+    rows = spark.createDataFrame([(int(x),) for x in names[:1000].view(np.int64)], "g long").repartition(3)
+    found = suffix_lm._filter(rows)
+    assert suffix_lm._passing(found, names[:1000]).all() and suffix_lm._passing(found, names[1000:]).sum() < 10
+    assert not suffix_lm._passing(suffix_lm._filter(rows.limit(0)), names).any()
